@@ -1,0 +1 @@
+"""sources of the engine; see README.md."""
