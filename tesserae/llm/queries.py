@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, secrets, sentence_pieces, sharding, token_counts
+from . import exact_dedup, jaccard_join, mixing, secrets, sentence_pieces, sharding, token_counts
 from .shared import shared_dir, table
 
 
@@ -28,6 +28,10 @@ def op2_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_pieces.digests(sentence_pieces.encode_decode(docs, _tokenizer("piece_bpe_32k.model")))
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.link_components(table(spark, sf_dir, "documents"), n=4, num=85, den=100)
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), 24)
 
@@ -47,6 +51,7 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_sentence_pieces": op2_sentence_pieces,
+    "op4_jaccard_join": op4_jaccard_join,
     "op5_sharding": op5_sharding,
     "op6_mixing": op6_mixing,
     "op8_secret_scans": op8_secret_scans,
