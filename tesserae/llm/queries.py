@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, jaccard_join, mixing, secrets, sentence_pieces, sharding, token_counts
+from . import exact_dedup, jaccard_join, mixing, neighbours, secrets, sentence_pieces, sharding, token_counts
 from .shared import shared_dir, table
 
 
@@ -48,6 +48,11 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.group_copies(table(spark, sf_dir, "documents"))
 
 
+def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return neighbours.nearest(vectors, vectors.where("vec_id % 20 = 0"), k=20)
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_sentence_pieces": op2_sentence_pieces,
@@ -56,6 +61,7 @@ QUERIES = {
     "op6_mixing": op6_mixing,
     "op8_secret_scans": op8_secret_scans,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_nearest_neighbours": op10_nearest_neighbours,
 }
 
 ORACLE_SQL = {
