@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, jaccard_join, mixing, neighbours, secrets, sentence_pieces, sharding, token_counts
+from . import exact_dedup, jaccard_join, mixing, neighbours, preferences, quality, secrets, sentence_pieces, sharding, token_counts
 from .shared import shared_dir, table
 
 
@@ -28,6 +28,12 @@ def op2_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_pieces.digests(sentence_pieces.encode_decode(docs, _tokenizer("piece_bpe_32k.model")))
 
 
+def op3_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = preferences.format_conversations(table(spark, sf_dir, "conversations"))
+    spans = F.array_join(F.transform("mask_spans", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ",")
+    return made.select("pair_id", "segment", "part", "n_turns", "text", spans.alias("mask_spans"))
+
+
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.link_components(table(spark, sf_dir, "documents"), n=4, num=85, den=100)
 
@@ -40,6 +46,11 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(table(spark, sf_dir, "documents"))
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.classify(docs, table(spark, sf_dir, "labels")).select("doc_id", "log_weight", "gumbel_key", "kept")
+
+
 def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(secrets.scan_secrets(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.tiktoken")))
 
@@ -56,15 +67,30 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_sentence_pieces": op2_sentence_pieces,
+    "op3_preference_pairs": op3_preference_pairs,
     "op4_jaccard_join": op4_jaccard_join,
     "op5_sharding": op5_sharding,
     "op6_mixing": op6_mixing,
+    "op7_quality_classifier": op7_quality_classifier,
     "op8_secret_scans": op8_secret_scans,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_nearest_neighbours": op10_nearest_neighbours,
 }
 
 ORACLE_SQL = {
+    # first turns with over 1000 conversations would be split; the tables that this is held against have none
+    "op3_preference_pairs": """
+        WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS pos, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations),
+             f AS (SELECT conv_id, row_number() OVER w - 1 AS k, lead(conv_id) OVER w AS nxt, lag(conv_id) OVER w AS lst FROM t WHERE pos = 0 WINDOW w AS (PARTITION BY role, text ORDER BY conv_id)),
+             p AS (SELECT conv_id, CASE WHEN k % 2 = 0 THEN conv_id ELSE lst END AS pair_id, k % 2 AS side, k % 2 = 0 AND nxt IS NULL AS alone FROM f),
+             a AS (SELECT pair_id, pos, count(*) = 2 AND min(role) = max(role) AND min(text) = max(text) AS same, bool_or(alone) AS alone FROM t JOIN p USING (conv_id) GROUP BY 1, 2),
+             x AS (SELECT pair_id, CASE WHEN bool_or(alone) THEN max(pos) ELSE coalesce(min(pos) FILTER (NOT same), max(pos) + 1) END AS prefix FROM a GROUP BY 1),
+             s AS (SELECT pair_id, CASE WHEN pos < prefix THEN 'prompt' WHEN side = 0 THEN 'chosen' ELSE 'rejected' END AS segment, pos // 64 AS part, pos, role, '<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10) AS shown, length(text) AS len
+                   FROM t JOIN p USING (conv_id) JOIN x USING (pair_id) WHERE NOT (pos < prefix AND side = 1)),
+             o AS (SELECT *, sum(length(shown)) OVER (PARTITION BY pair_id, segment, part ORDER BY pos) - length(shown) + 13 + length(role) AS begin FROM s)
+        SELECT pair_id, segment, part, count(*) AS n_turns, string_agg(shown, '' ORDER BY pos) AS text,
+               coalesce(string_agg(CAST(begin AS BIGINT) || ':' || CAST(begin + len + 10 AS BIGINT), ',' ORDER BY pos) FILTER (role = 'assistant' AND segment <> 'prompt'), '') AS mask_spans
+        FROM o GROUP BY 1, 2, 3""",
     # A-Z alone are folded; DuckDB's translate does the same
     "op9_exact_dedup": """
         WITH n AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),

@@ -127,3 +127,48 @@ def shingles(words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
     new[1:] = (h[1:] != h[:-1]) | (of[1:] != of[:-1])
     h, of = h[new], of[new]
     return h, np.searchsorted(of, np.arange(docs + 1))
+
+
+_KIND = np.full(256, 2, np.uint8)  # 0 space, 1 letter, digit or part of a longer character, 2 other
+_KIND[[0x20, *range(0x09, 0x0E)]] = 0
+_KIND[[*range(48, 58), *range(65, 91), 95, *range(97, 123), *range(128, 256)]] = 1
+
+
+def split_tokens(data: np.ndarray, offsets: np.ndarray) -> Words:
+    """Tokens are runs of word bytes and runs of punctuation bytes; case is kept."""
+    docs = len(offsets) - 1
+    if not len(data):
+        return Words(np.zeros(0, U), np.zeros(docs + 1, np.int64))
+    kind = _KIND[data]
+    edge = np.zeros(len(data) + 1, bool)
+    edge[offsets] = True
+    new = edge[:-1].copy()
+    new[1:] |= kind[1:] != kind[:-1]
+    starts = np.flatnonzero(new)
+    ends = np.append(starts[1:], len(data))
+    keep = kind[starts] != 0
+    starts, ends = starts[keep], ends[keep]
+    p, q = _tables(len(data) + 1)
+    sums = np.zeros(len(data) + 1, U)
+    np.cumsum(_BYTE[data] * p[: len(data)], out=sums[1:])
+    return Words(mix((sums[ends] - sums[starts]) * q[starts] + (ends - starts).astype(U)), np.searchsorted(starts, offsets))
+
+
+def ngram_buckets(words: Words, n: int, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hash bucket of each n-gram of 1 to n tokens, and its doc. A token that repeats the one before it counts as one and the same bigram."""
+    count = np.diff(words.first)
+    doc = np.repeat(np.arange(len(count)), count)
+    out_h, out_d = [words.hash], [doc]
+    total = len(words.hash)
+    acc = words.hash * _STEPS[0]
+    for j in range(1, n):
+        if total <= j:
+            break
+        acc = acc[:-1] + words.hash[j:] * _STEPS[j]
+        inside = doc[: total - j] == doc[j:]
+        h = mix(acc[inside])
+        if j == 1:
+            h[(words.hash[:-1] == words.hash[1:])[inside]] = U(0x5851F42D4C957F2D)
+        out_h.append(h)
+        out_d.append(doc[: total - j][inside])
+    return (np.concatenate(out_h) % U(buckets)).astype(np.int64), np.concatenate(out_d)
