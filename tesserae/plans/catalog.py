@@ -2,5 +2,540 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from tesserae.functions import bytegroups, hashes
+from tesserae.functions.chunking import ChunkSpec
+from tesserae.operators import chunks as ch
+from tesserae.operators import dedup, edits, intervals, merkle, metrics, packing, reconstruct, shards
+
+from . import relations as rel
+from .relations import read, sql_with
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def registered(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+METRICS_SQL = """count(*) AS total_chunks, CAST(sum(length) AS BIGINT) AS total_bytes, count(*) FILTER (is_new) AS new_chunks, CAST(coalesce(sum(length) FILTER (is_new), 0) AS BIGINT) AS new_bytes,
+    count(*) FILTER (NOT is_new) AS deduped_chunks, CAST(coalesce(sum(length) FILTER (NOT is_new), 0) AS BIGINT) AS deduped_bytes,
+    round(coalesce(CAST(coalesce(sum(length) FILTER (NOT is_new), 0) AS DOUBLE) / nullif(sum(length), 0), 0), 6) AS dedup_ratio"""
+
+
+@registered(sql_with(f"SELECT d.source, {METRICS_SQL} FROM flagged f JOIN documents d ON d.doc_id = f.file_id GROUP BY d.source", "flagged"))
+def line_chunk_dedup_report(spark, sf_dir):
+    """Chunks and bytes in all, new and deduplicated, by source."""
+    docs = read(spark, sf_dir, "documents")
+    flagged = dedup.flag_new(ch.line_chunks(docs))
+    return dedup.dedup_metrics(flagged.join(docs.select(F.col("doc_id").alias("file_id"), "source"), "file_id"), "source")
+
+
+@registered(sql_with("SELECT chunk_hash, file_id, chunk_idx, length FROM firsts", "firsts"))
+def chunk_index_build(spark, sf_dir):
+    return dedup.first_locations(rel.line_chunks(spark, sf_dir))
+
+
+@registered(sql_with("SELECT chunk_hash, count(*) AS n, count(DISTINCT file_id) AS n_files, CAST(sum(length) AS BIGINT) AS bytes FROM chunks GROUP BY 1 ORDER BY n DESC, chunk_hash LIMIT 100", "chunks"))
+def chunk_popularity_topk(spark, sf_dir):
+    by = rel.line_chunks(spark, sf_dir).groupBy("chunk_hash", "file_id").agg(F.count("*").alias("n"), F.sum("length").alias("bytes"))
+    return by.groupBy("chunk_hash").agg(F.sum("n").alias("n"), F.count("*").alias("n_files"), F.sum("bytes").alias("bytes")).orderBy(F.desc("n"), "chunk_hash").limit(100)
+
+
+@registered(sql_with("SELECT DISTINCT chunk_hash FROM chunks WHERE chunk_idx = 0 OR right(chunk_hash, 1) = '0'", "chunks"))
+def global_dedup_eligible(spark, sf_dir):
+    """Chunks that start a file, or whose hash is a multiple of 16."""
+    return dedup.eligible_chunks(rel.line_chunks(spark, sf_dir), hashes.dedup_eligible("chunk_hash", 16))
+
+
+@registered(
+    sql_with(
+        """SELECT file_id, group_idx, count(*) AS n_chunks, CAST(sum(length) AS BIGINT) AS bytes FROM (SELECT *, CAST(coalesce(sum(CASE WHEN right(chunk_hash, 1) IN ('0', '4', '8', 'c') THEN 1 ELSE 0 END)
+        OVER (PARTITION BY file_id ORDER BY chunk_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS group_idx FROM chunks) GROUP BY 1, 2""",
+        "chunks",
+    )
+)
+def natural_cut_groups(spark, sf_dir):
+    return ch.natural_groups(rel.line_chunks(spark, sf_dir), hashes.natural_cut("chunk_hash"))
+
+
+@registered(
+    sql_with(
+        """SELECT file_id, target, min(chunk_idx) AS chunk_start, max(chunk_idx) + 1 AS chunk_end, min(target_idx) AS target_start, CAST(sum(length) AS BIGINT) AS bytes FROM
+        (SELECT *, chunk_idx - row_number() OVER (PARTITION BY file_id, target, chunk_idx - target_idx ORDER BY chunk_idx) AS island FROM hit) GROUP BY file_id, target, chunk_idx - target_idx, island""",
+        "chunks",
+        extra="""known AS (SELECT chunk_hash, file_id AS target, chunk_idx AS target_idx FROM (SELECT *, row_number() OVER (PARTITION BY chunk_hash ORDER BY file_id, chunk_idx) AS r FROM chunks WHERE file_id % 2 = 0) WHERE r = 1),
+        hit AS (SELECT c.*, k.target, k.target_idx FROM chunks c JOIN known k USING (chunk_hash) WHERE c.file_id % 2 = 1)""",
+    )
+)
+def dedup_runs_vs_index(spark, sf_dir):
+    """Files with odd ids against an index of those with even ids."""
+    chunks = rel.line_chunks(spark, sf_dir)
+    known = dedup.first_locations(chunks.where("file_id % 2 = 0")).select("chunk_hash", F.col("file_id").alias("target"), F.col("chunk_idx").alias("target_idx"))
+    return dedup.runs_against_index(chunks.where("file_id % 2 = 1"), known)
+
+
+@registered(
+    sql_with(
+        """SELECT file_id, chunk_idx, CASE WHEN chunk_hash IN (SELECT sha256(text) FROM benchmark) THEN 'session' WHEN chunk_hash IN (SELECT chunk_hash FROM chunks WHERE file_id % 3 = 0) THEN 'cache'
+        WHEN chunk_hash IN (SELECT sha256(text) FROM conversations) THEN 'remote' END AS layer FROM chunks WHERE file_id % 3 <> 0""",
+        "chunks",
+    )
+)
+def dedup_layer_priority(spark, sf_dir):
+    chunks = rel.line_chunks(spark, sf_dir)
+    whole = lambda t: read(spark, sf_dir, t).select(F.sha2("text", 256).alias("chunk_hash"))
+    layers = [("session", whole("benchmark")), ("cache", chunks.where("file_id % 3 = 0")), ("remote", whole("conversations"))]
+    return dedup.layered_lookup(chunks.where("file_id % 3 <> 0"), layers).select("file_id", "chunk_idx", "layer")
+
+
+@registered(sql_with("SELECT grp, bin, count(*) AS n_chunks, CAST(sum(length) AS BIGINT) AS bytes, min(file_id) AS first_file, max(file_id) AS last_file FROM packed GROUP BY grp, bin", "packed"))
+def greedy_bin_packing(spark, sf_dir):
+    bins = rel.packed(rel.line_chunks(spark, sf_dir))
+    return bins.groupBy("grp", "bin").agg(F.count("*").alias("n_chunks"), F.sum("length").alias("bytes"), F.min("file_id").alias("first_file"), F.max("file_id").alias("last_file"))
+
+
+@registered(sql_with("SELECT * FROM placed", "placed"))
+def container_chunk_offsets(spark, sf_dir):
+    return rel.store(spark, sf_dir)[2]
+
+
+@registered(sql_with("SELECT * FROM segments", "segments"))
+def file_segments(spark, sf_dir):
+    return rel.segments(spark, sf_dir)[0]
+
+
+def _terms(spark, sf_dir):
+    segs, placed = rel.segments(spark, sf_dir)
+    asked = rel.requests(segs)
+    return asked, reconstruct.terms(asked, segs, placed), placed
+
+
+@registered(sql_with("SELECT * FROM terms", "terms"))
+def reconstruct_range_terms(spark, sf_dir):
+    return _terms(spark, sf_dir)[1]
+
+
+@registered(sql_with("SELECT * FROM fetches", "fetches"))
+def reconstruct_fetch_ranges(spark, sf_dir):
+    _, found, placed = _terms(spark, sf_dir)
+    return reconstruct.fetch_ranges(found, placed)
+
+
+@registered(
+    sql_with(
+        """SELECT query_id, container_hash, request_idx, 'bytes=' || string_agg(byte_start || '-' || (byte_end - 1), ',' ORDER BY chunk_start) AS byte_ranges FROM
+        (SELECT *, (row_number() OVER (PARTITION BY query_id, container_hash ORDER BY chunk_start) - 1) // 2 AS request_idx FROM fetches) GROUP BY 1, 2, 3""",
+        "fetches",
+    )
+)
+def reconstruct_multirange(spark, sf_dir):
+    _, found, placed = _terms(spark, sf_dir)
+    return reconstruct.multirange(reconstruct.fetch_ranges(found, placed), 2)
+
+
+@registered(sql_with("SELECT query_id, count(*) AS n_fetches, CAST(sum(byte_end - byte_start) AS BIGINT) AS transfer_bytes FROM fetches GROUP BY 1", "fetches"))
+def reconstruct_transfer_bytes(spark, sf_dir):
+    _, found, placed = _terms(spark, sf_dir)
+    return reconstruct.fetch_ranges(found, placed).groupBy("query_id").agg(F.count("*").alias("n_fetches"), F.sum(F.col("byte_end") - F.col("byte_start")).alias("transfer_bytes"))
+
+
+@registered(
+    sql_with("SELECT t.query_id, t.term_idx, t.container_hash, f.chunk_start AS block_start, f.chunk_end AS block_end FROM terms t LEFT JOIN fetches f ON f.query_id = t.query_id AND f.container_hash = t.container_hash AND f.chunk_start <= t.chunk_start AND f.chunk_end >= t.chunk_end", "fetches")
+)
+def term_to_block_containment(spark, sf_dir):
+    _, found, placed = _terms(spark, sf_dir)
+    return reconstruct.blocks_of_terms(found, reconstruct.fetch_ranges(found, placed))
+
+
+@registered()
+def reconstruct_bytes_equal(spark, sf_dir):
+    """Every requested range, rebuilt from container chunks, next to the same range cut from its file."""
+    docs = read(spark, sf_dir, "documents")
+    chunks = ch.line_chunks(docs)
+    asked, found, placed = _terms(spark, sf_dir)
+    lines = docs.select(F.explode(F.split("text", "\n")).alias("line")).distinct().select(F.sha2("line", 256).alias("chunk_hash"), F.encode("line", "utf-8").alias("data"))
+    got = reconstruct.file_bytes(asked, found, placed, lines)
+    # chunks are lines without their ends, so that is what the file is here
+    whole = docs.select(F.col("doc_id").alias("file_id"), F.encode(F.replace("text", F.lit("\n"), F.lit("")), "utf-8").alias("file"))
+    want = asked.join(whole, "file_id").select("query_id", F.substring("file", F.col("start").cast("int") + 1, (F.col("end") - F.col("start")).cast("int")).alias("want"))
+    return want.join(got, "query_id", "left").select("query_id", F.octet_length("want").cast("long").alias("n_bytes"), F.coalesce(F.col("want") == F.col("data"), F.octet_length("want") == 0).alias("equal"))
+
+
+@registered(
+    sql_with(
+        """SELECT file_id, min(s) AS start, max(e) AS end, count(*) AS n_ranges FROM (SELECT *, sum(CASE WHEN s > reach OR reach IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY file_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS isl FROM
+        (SELECT *, max(e) OVER (PARTITION BY file_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM (SELECT file_id, chunk_idx * 97 % 1000 AS s, chunk_idx * 97 % 1000 + length % 120 AS e FROM chunks))) GROUP BY file_id, isl""",
+        "chunks",
+    )
+)
+def interval_union(spark, sf_dir):
+    ranges = rel.line_chunks(spark, sf_dir).select("file_id", (F.col("chunk_idx") * 97 % 1000).alias("start"), (F.col("chunk_idx") * 97 % 1000 + F.col("length") % 120).alias("end"))
+    return intervals.coalesced(ranges, ["file_id"])
+
+
+def _file_records(spark, sf_dir):
+    """Two shards of file records that share the files with ids divisible by 6; verification and sha256 are there on one side or the other."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("h"))
+    files = docs.groupBy(F.col("h").alias("file_hash")).agg(F.min("doc_id").alias("id"))
+    side = lambda m, flag, ver, sha: files.where(F.col("id") % m == 0).select("file_hash", F.lit(flag).cast("long").alias("flags"), F.when(F.lit(ver), F.substring("file_hash", 1, 8)).alias("verification"), F.when(F.lit(sha), F.col("file_hash")).alias("sha256"))
+    return side(2, 1 << 31, True, False), side(3, 1 << 30, False, True)
+
+
+FILES_SQL = """f AS (SELECT sha256(text) AS file_hash, min(doc_id) AS id FROM documents GROUP BY 1)"""
+
+
+@registered(
+    f"""WITH {FILES_SQL} SELECT file_hash, CASE WHEN id % 2 = 0 THEN 2147483648 ELSE 0 END + CASE WHEN id % 3 = 0 THEN 1073741824 ELSE 0 END AS flags,
+    CASE WHEN id % 2 = 0 THEN substr(file_hash, 1, 8) END AS verification, CASE WHEN id % 3 = 0 THEN file_hash END AS sha256 FROM f WHERE id % 2 = 0 OR id % 3 = 0"""
+)
+def shard_union_files(spark, sf_dir):
+    return shards.union_files(*_file_records(spark, sf_dir))
+
+
+@registered(f"WITH {FILES_SQL} SELECT file_hash, CAST(1073741824 AS BIGINT) AS flags FROM f WHERE id % 3 = 0 AND id % 2 <> 0")
+def shard_difference(spark, sf_dir):
+    return shards.difference(*_file_records(spark, sf_dir), "file_hash").select("file_hash", "flags")
+
+
+@registered(sql_with("SELECT container_hash, n_chunks, CASE WHEN grp % 2 = 0 THEN 'left' ELSE 'right' END AS side FROM named", "named"))
+def shard_union_containers(spark, sf_dir):
+    named = rel.store(spark, sf_dir)[1]
+    left = named.where("grp % 2 = 0").select("container_hash", "n_chunks", F.lit("left").alias("side"))
+    return shards.union_containers(left, named.select("container_hash", "n_chunks", F.lit("right").alias("side")))
+
+
+@registered(
+    sql_with(
+        """SELECT shard_id, size, CASE WHEN expires >= 60 AND upto <= 40000 THEN 'live' WHEN expires >= 60 THEN 'pruned' WHEN expires + 30 <= 60 THEN 'deleted' ELSE 'expired' END AS state
+        FROM (SELECT *, sum(size) OVER (PARTITION BY expires >= 60 ORDER BY created DESC, shard_id ROWS UNBOUNDED PRECEDING) AS upto FROM shards)""",
+        "shards",
+    )
+)
+def shard_retention_prune(spark, sf_dir):
+    return shards.retained(rel.synthetic_shards(rel.line_chunks(spark, sf_dir)), now=60, buffer=30, cap_bytes=40000)
+
+
+@registered(sql_with("SELECT shard_id, n_chunks, coalesce(sum(n_chunks) OVER (ORDER BY created DESC, shard_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < 3000 AS indexed FROM shards", "shards"))
+def shard_index_cap(spark, sf_dir):
+    return shards.indexed_within(rel.synthetic_shards(rel.line_chunks(spark, sf_dir)), 3000)
+
+
+@registered(
+    sql_with(
+        "SELECT s.kind, s.shard_id, s.size, m.g AS merge_group FROM m JOIN s USING (kind, rn)",
+        "shards",
+        extra="""s AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY created, shard_id) AS rn FROM shards),
+        m AS (SELECT kind, rn, CAST(0 AS BIGINT) AS g, size AS held FROM s WHERE rn = 1 UNION ALL SELECT s.kind, s.rn, CASE WHEN m.held + s.size - 200 > 30000 THEN m.g + 1 ELSE m.g END,
+            CASE WHEN m.held + s.size - 200 > 30000 THEN s.size ELSE m.held + s.size - 200 END FROM m JOIN s ON s.kind = m.kind AND s.rn = m.rn + 1)""",
+    )
+)
+def shard_compaction_groups(spark, sf_dir):
+    return shards.compaction_groups(rel.synthetic_shards(rel.line_chunks(spark, sf_dir)), "kind", target=30000, overhead=200)
+
+
+@registered(
+    sql_with(
+        "SELECT (SELECT count(*) FROM named) AS n_containers, (SELECT count(*) FROM placed) AS n_stored_chunks, (SELECT CAST(sum(bytes_raw) AS BIGINT) FROM named) AS stored_bytes, (SELECT count(DISTINCT file_id) FROM segments) AS n_files, (SELECT count(*) FROM segments) AS n_segments, (SELECT CAST(sum(bytes) AS BIGINT) FROM segments) AS materialized_bytes",
+        "segments",
+    )
+)
+def storage_totals(spark, sf_dir):
+    chunks, named, placed = rel.store(spark, sf_dir)
+    a = named.agg(F.count("*").alias("n_containers"), F.coalesce(F.sum("n_chunks"), F.lit(0)).alias("n_stored_chunks"), F.sum("bytes_raw").alias("stored_bytes"))
+    b = packing.segments(chunks, placed).groupBy("file_id").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes")).agg(F.count("*").alias("n_files"), F.sum("n").alias("n_segments"), F.sum("bytes").alias("materialized_bytes"))
+    return a.crossJoin(b)  # one row each
+
+
+def _holes(spark, sf_dir):
+    """A store with holes: containers of every third group are gone, files 0 mod 5 and those of every fourth shard are deleted, dedup rows name shards that may be missing."""
+    chunks, named, placed = rel.store(spark, sf_dir)
+    segs = packing.segments(chunks, placed).select(F.col("file_id").cast("string").alias("file_hash"), "seg_idx", "container_hash", "chunk_start", "chunk_end")
+    files = chunks.select("file_id").distinct().where("file_id % 5 <> 0 and floor(file_id / 20) % 4 <> 3").select(F.col("file_id").cast("string").alias("file_hash"), F.floor(F.col("file_id") / 20).alias("shard_id"))
+    all_shards = rel.synthetic_shards(chunks).select("shard_id")
+    listed = named.where("bin % 4 <> 3").select((F.col("grp") * 13 + F.col("bin")).alias("shard_id"), "container_hash")
+    stored = named.where("grp % 3 <> 2").select("container_hash", F.when(F.col("bin") % 5 == 4, F.col("n_chunks") - 1).otherwise(F.col("n_chunks")).alias("n_chunks"))
+    rows = placed.where("chunk_idx = 0").select("chunk_hash", (F.conv(F.right("chunk_hash", F.lit(3)), 16, 10).cast("long") % 80).alias("shard_id"))
+    return segs, files, all_shards, listed, stored, rows
+
+
+HOLES = """seg AS (SELECT CAST(file_id AS VARCHAR) AS file_hash, seg_idx, container_hash, chunk_start, chunk_end FROM segments),
+    files AS (SELECT DISTINCT CAST(file_id AS VARCHAR) AS file_hash, file_id // 20 AS shard_id FROM chunks WHERE file_id % 5 <> 0 AND file_id // 20 % 4 <> 3),
+    listed AS (SELECT grp * 13 + bin AS shard_id, container_hash FROM named WHERE bin % 4 <> 3),
+    stored AS (SELECT container_hash, CASE WHEN bin % 5 = 4 THEN n_chunks - 1 ELSE n_chunks END AS n_chunks FROM named WHERE grp % 3 <> 2),
+    dedup_rows AS (SELECT chunk_hash, CAST('0x' || right(chunk_hash, 3) AS BIGINT) % 80 AS shard_id FROM placed WHERE chunk_idx = 0),
+    used AS (SELECT DISTINCT container_hash FROM seg WHERE file_hash IN (SELECT file_hash FROM files))"""
+
+
+@registered(
+    sql_with(
+        """SELECT 'shard' AS kind, CAST(shard_id AS VARCHAR) AS id FROM shards WHERE shard_id NOT IN (SELECT shard_id FROM files) AND shard_id NOT IN (SELECT shard_id FROM listed WHERE container_hash IN (SELECT container_hash FROM used))
+        UNION ALL SELECT 'container', container_hash FROM stored WHERE container_hash NOT IN (SELECT container_hash FROM used) AND container_hash NOT IN (SELECT container_hash FROM listed)""",
+        "segments",
+        "shards",
+        extra=HOLES,
+    )
+)
+def reachability_orphans(spark, sf_dir):
+    segs, files, all_shards, listed, stored, _ = _holes(spark, sf_dir)
+    return shards.orphans(all_shards, files, segs, listed, stored)
+
+
+@registered(
+    sql_with(
+        """SELECT DISTINCT 'missing_container' AS kind, container_hash AS id FROM listed WHERE container_hash NOT IN (SELECT container_hash FROM stored)
+        UNION ALL SELECT CASE WHEN n_chunks IS NULL THEN 'unknown_container' ELSE 'range' END, file_hash || ':' || seg_idx FROM seg LEFT JOIN stored USING (container_hash) WHERE n_chunks IS NULL OR chunk_end > n_chunks
+        UNION ALL SELECT 'missing_shard', chunk_hash FROM dedup_rows WHERE shard_id NOT IN (SELECT shard_id FROM shards)""",
+        "segments",
+        "shards",
+        extra=HOLES,
+    )
+)
+def integrity_violations(spark, sf_dir):
+    segs, _, all_shards, listed, stored, rows = _holes(spark, sf_dir)
+    return shards.violations(segs, stored, listed, rows, all_shards)
+
+
+@registered("SELECT CAST(doc_id AS VARCHAR) AS file_hash, doc_id // 20 AS shard_id FROM documents WHERE doc_id % 7 <> 0")
+def delete_files(spark, sf_dir):
+    files = read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("file_hash"), F.floor(F.col("doc_id") / 20).alias("shard_id"), "doc_id")
+    return shards.difference(files.where("doc_id % 7 = 0"), files, "file_hash").select("file_hash", "shard_id")
+
+
+@registered(sql_with("SELECT chunk_hash, shard_id FROM dedup_rows WHERE shard_id NOT BETWEEN 10 AND 19", "segments", "shards", extra=HOLES))
+def remove_shard_dedup_entries(spark, sf_dir):
+    rows = _holes(spark, sf_dir)[-1]
+    return shards.difference(spark.range(10, 20).select(F.col("id").alias("shard_id")), rows, "shard_id").select("chunk_hash", "shard_id")
+
+
+@registered("SELECT doc_id AS id, 't' || doc_id % 4 AS tag, doc_id % 2 = 0 AND doc_id % 4 = doc_id % 6 AS deleted FROM documents")
+def tagged_delete(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"))
+    tag = lambda m: F.concat(F.lit("t"), (F.col("id") % m).cast("string"))
+    return shards.delete_tagged(docs.select("id", tag(4).alias("tag")), docs.where("id % 2 = 0").select("id", tag(6).alias("tag")))
+
+
+@registered(
+    sql_with(
+        """SELECT file_id, min(chunk_idx) FILTER (ok) AS stable_idx FROM (SELECT *, lead(length, 1) OVER w >= 100 AND lead(length, 1) OVER w < 600 AND lead(length, 2) OVER w >= 100 AND lead(length, 2) OVER w < 600 AS ok
+        FROM chunks WINDOW w AS (PARTITION BY file_id ORDER BY chunk_idx)) GROUP BY 1""",
+        "chunks",
+    )
+)
+def stable_chunk_boundary(spark, sf_dir):
+    return ch.stable_boundary(rel.line_chunks(spark, sf_dir), 100, 600)
+
+
+def _edits(spark, sf_dir):
+    sizes = rel.line_chunks(spark, sf_dir).groupBy("file_id").agg(F.sum("length").alias("size"))
+    k = sizes.withColumn("k", F.explode(F.array(*map(F.lit, range(3)))))
+    start = F.col("file_id") * 31 % 500 + F.col("k") * 400
+    return k.select("file_id", start.alias("start"), (start + F.col("file_id") * 17 % 450).alias("end"), (F.col("file_id") * 13 % 200).alias("new_length")), sizes
+
+
+EDITS = """sizes AS (SELECT file_id, CAST(sum(length) AS BIGINT) AS size FROM chunks GROUP BY 1),
+    ed AS (SELECT file_id, file_id * 31 % 500 + k * 400 AS s, file_id * 31 % 500 + k * 400 + file_id * 17 % 450 AS e, file_id * 13 % 200 AS new_length FROM sizes, (VALUES (0), (1), (2)) v(k))"""
+
+
+@registered(
+    sql_with(
+        """SELECT file_id, bool_and(ok) AS valid, CAST(CASE WHEN bool_and(ok) THEN max(size) + sum(new_length) - sum(e - s) END AS BIGINT) AS new_size FROM
+        (SELECT *, s <= e AND e <= size AND s >= coalesce(lag(e) OVER (PARTITION BY file_id ORDER BY s, e), 0) AS ok FROM ed JOIN sizes USING (file_id)) GROUP BY 1""",
+        "chunks",
+        extra=EDITS,
+    )
+)
+def edit_validate_and_size(spark, sf_dir):
+    return edits.validated(*_edits(spark, sf_dir))
+
+
+def _spans(segs):
+    before = Window.partitionBy("file_id").orderBy("seg_idx")
+    at = F.sum("bytes").over(before)
+    return segs.select("file_id", "seg_idx", (at - F.col("bytes")).alias("seg_start"), at.alias("seg_end")).where("seg_start < seg_end")
+
+
+SPANS = """spans AS (SELECT file_id, seg_idx, u - bytes AS seg_start, u AS seg_end FROM (SELECT *, CAST(sum(bytes) OVER (PARTITION BY file_id ORDER BY seg_idx) AS BIGINT) AS u FROM segments) WHERE bytes > 0),
+    wide AS (SELECT ed.file_id, coalesce(max(seg_start) FILTER (seg_start <= s), s) AS ws, coalesce(min(seg_end) FILTER (seg_end >= e), e) AS we FROM ed JOIN spans USING (file_id) GROUP BY ed.file_id, s, e),
+    win AS (SELECT file_id, min(ws) AS start_, max(we) AS end_, count(*) AS n_edits FROM (SELECT *, sum(CASE WHEN ws > reach OR reach IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY file_id ORDER BY ws, we ROWS UNBOUNDED PRECEDING) AS isl FROM
+        (SELECT *, max(we) OVER (PARTITION BY file_id ORDER BY ws, we ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM wide)) GROUP BY file_id, isl)"""
+
+
+@registered(sql_with("SELECT file_id, start_ AS start, end_ AS end, n_edits FROM win", "segments", extra=EDITS + ", " + SPANS))
+def edit_snap_windows(spark, sf_dir):
+    return edits.snapped(_edits(spark, sf_dir)[0], _spans(rel.segments(spark, sf_dir)[0]))
+
+
+@registered(sql_with("SELECT file_id, seg_idx, seg_start, seg_end FROM spans p WHERE NOT EXISTS (SELECT 1 FROM win w WHERE w.file_id = p.file_id AND p.seg_start < w.end_ AND w.start_ < p.seg_end)", "segments", extra=EDITS + ", " + SPANS))
+def stable_segments(spark, sf_dir):
+    spans = _spans(rel.segments(spark, sf_dir)[0])
+    return edits.untouched(spans, edits.snapped(_edits(spark, sf_dir)[0], spans))
+
+
+def _blocks(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id", F.encode(F.coalesce("text", F.lit("")), "utf-8").alias("data"))
+
+
+# all bytes of all texts, as rows
+BYTES = """hx AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents), by_ AS (SELECT doc_id, i % 4 AS lane, CAST(bit_count(CAST('0x' || substr(h, i * 2 + 1, 2) AS BIGINT)) AS BIGINT) AS bits FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2)) AS i FROM hx)),
+    hist AS (SELECT doc_id, lane, bits, count(*) AS n FROM by_ GROUP BY 1, 2, 3)"""
+LANES = """base AS (SELECT doc_id, bits, sum(n) + 1 AS base_n FROM hist GROUP BY 1, 2), tot AS (SELECT doc_id, sum(n) AS base_total FROM hist GROUP BY 1), lan AS (SELECT doc_id, lane, sum(n) AS lane_total FROM hist GROUP BY 1, 2),
+    kl AS (SELECT h.doc_id, h.lane, -sum((n / lane_total) * log2(n / lane_total)) AS entropy, CASE WHEN count(*) = 9 THEN sum((n / lane_total) * ln((n / lane_total) / (base_n / base_total))) END AS divergence
+    FROM hist h JOIN base USING (doc_id, bits) JOIN tot USING (doc_id) JOIN lan l ON l.doc_id = h.doc_id AND l.lane = h.lane GROUP BY 1, 2)"""
+
+
+@registered(f"WITH {BYTES} SELECT * FROM hist")
+def byte_popcount_histogram(spark, sf_dir):
+    return bytegroups.popcount_histogram(_blocks(spark, sf_dir), "doc_id", "data")
+
+
+@registered(f"WITH {BYTES}, {LANES} SELECT doc_id, lane, round(entropy, 6) AS entropy, round(divergence, 6) AS divergence FROM kl")
+def lane_entropy_divergence(spark, sf_dir):
+    d = bytegroups.lane_divergence(bytegroups.popcount_histogram(_blocks(spark, sf_dir), "doc_id", "data"), "doc_id")
+    return d.select("doc_id", "lane", F.round("entropy", 6).alias("entropy"), F.round("divergence", 6).alias("divergence"))
+
+
+@registered(f"WITH {BYTES}, {LANES} SELECT doc_id, round(greatest(coalesce(max(divergence), 0), 0), 6) AS max_divergence, greatest(coalesce(max(divergence), 0), 0) > 0.02 AS recommended FROM kl GROUP BY 1")
+def byte_planes_recommended(spark, sf_dir):
+    d = bytegroups.lane_divergence(bytegroups.popcount_histogram(_blocks(spark, sf_dir), "doc_id", "data"), "doc_id")
+    return bytegroups.planes_recommended(d, "doc_id").withColumn("max_divergence", F.round("max_divergence", 6))
+
+
+def _as_bytes(spark, sf_dir):
+    floats = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.encode(F.to_json("embedding"), "utf-8").alias("data"))
+    return floats
+
+
+@registered("SELECT vec_id AS id, true AS equal FROM embeddings")
+def byte_planes_roundtrip(spark, sf_dir):
+    return _as_bytes(spark, sf_dir).select("id", (bytegroups.from_byte_planes(bytegroups.byte_planes("data")) == F.col("data")).alias("equal"))
+
+
+@registered("SELECT doc_id, CAST(strlen(coalesce(text, '')) AS BIGINT) AS n_bytes, true AS equal FROM documents")
+def lz4_roundtrip(spark, sf_dir):
+    packed = _blocks(spark, sf_dir).withColumn("z", bytegroups.lz4_frame(bytegroups.byte_planes("data")))
+    size = F.octet_length("data")
+    return packed.select("doc_id", size.cast("long").alias("n_bytes"), (bytegroups.from_byte_planes(bytegroups.lz4_unframe("z", size)) == F.col("data")).alias("equal"))
+
+
+@registered(sql_with("SELECT container_hash, chunk_idx, first_value(chunk_hash) OVER (PARTITION BY container_hash, chunk_idx // 32 ORDER BY chunk_idx) AS decided_by FROM placed", "placed"))
+def compression_retest_windows(spark, sf_dir):
+    return packing.retest_windows(rel.store(spark, sf_dir)[2]).select("container_hash", "chunk_idx", "decided_by")
+
+
+@registered()
+def content_chunk_stats(spark, sf_dir):
+    """Content-defined chunks of all texts at a 1 KiB target: counts, bytes and what dedup saves, by source."""
+    docs = read(spark, sf_dir, "documents")
+    chunks = ch.content_chunks(_blocks(spark, sf_dir).withColumnRenamed("doc_id", "file_id"), ChunkSpec(target=1024))
+    return dedup.dedup_metrics(dedup.flag_new(chunks).join(docs.select(F.col("doc_id").alias("file_id"), "source"), "file_id"), "source")
+
+
+@registered()
+def merkle_file_hash(spark, sf_dir):
+    """Container, file and range hash of each document's list of line chunks."""
+    return merkle.merkle_hashes(rel.line_chunks(spark, sf_dir))
+
+
+def _millis(ts):
+    """Of a timestamp without zone, in a session whose zone is UTC."""
+    return F.unix_millis(F.col(ts).cast("timestamp"))
+
+
+def _samples(spark, sf_dir):
+    return read(spark, sf_dir, "events").select(F.col("user_id").alias("client_id"), _millis("ts").alias("ts_ms"), "value", "event_type", "props", "event_id")
+
+
+SAMPLES = "s AS (SELECT user_id AS client_id, epoch_us(ts) // 1000 AS ts_ms, value, event_type, props, event_id FROM events)"
+ASOF = """l AS (SELECT client_id, ts_ms, max(value) AS value FROM s GROUP BY 1, 2), e AS (SELECT min(ts_ms) AS t0, max(ts_ms) AS t1 FROM l), c AS (SELECT client_id, max(ts_ms) AS stop FROM l GROUP BY 1),
+    g AS (SELECT unnest(range(t0, t1 + 1, 3600000)) AS grid_ms FROM e),
+    r AS (SELECT x.client_id, x.grid_ms, l.value, x.grid_ms <= x.stop AS active FROM (SELECT c.client_id, c.stop, g.grid_ms FROM c, g) x ASOF JOIN l ON l.client_id = x.client_id AND l.ts_ms <= x.grid_ms)"""
+
+
+@registered(f"WITH {SAMPLES}, {ASOF} SELECT client_id, grid_ms, value, active FROM r")
+def timeline_resample_asof(spark, sf_dir):
+    return metrics.resample(_samples(spark, sf_dir), 3_600_000)
+
+
+@registered(f"WITH {SAMPLES}, {ASOF} SELECT grid_ms, count(*) AS n_clients, count(*) FILTER (active) AS n_active, round(sum(value), 4) AS total_value, round(coalesce(avg(value) FILTER (active), 0), 4) AS mean_active FROM r GROUP BY 1")
+def timeline_summary(spark, sf_dir):
+    r = metrics.resample(_samples(spark, sf_dir), 3_600_000)
+    on = F.when(F.col("active"), F.col("value"))
+    return r.groupBy("grid_ms").agg(F.count("*").alias("n_clients"), F.count(on).alias("n_active"), F.round(F.sum("value"), 4).alias("total_value"), F.round(F.coalesce(F.avg(on), F.lit(0.0)), 4).alias("mean_active"))
+
+
+@registered(
+    f"""WITH {SAMPLES} SELECT event_id, round(sum(y.value * pow(2.0, (y.ts_ms - x.ts_ms) / 21600000.0)) / sum(pow(2.0, (y.ts_ms - x.ts_ms) / 21600000.0)), 5) AS ewma
+    FROM (SELECT event_id, client_id, ts_ms FROM s) x JOIN (SELECT client_id, ts_ms, value FROM s) y ON y.client_id = x.client_id AND y.ts_ms <= x.ts_ms AND y.ts_ms >= x.ts_ms - 172800000 GROUP BY 1"""
+)
+def ewma_rate(spark, sf_dir):
+    return metrics.ewma(_samples(spark, sf_dir), "client_id", "ts_ms", "value", 21_600_000, 8).select("event_id", F.round("ewma", 5).alias("ewma"))
+
+
+@registered(
+    f"""WITH {SAMPLES}, p AS (SELECT client_id, CAST(json_extract(props, '$.k') AS DOUBLE) AS x, value AS y, pow(2.0, -(row_number() OVER (PARTITION BY client_id ORDER BY event_id DESC) - 1) / 20.0) AS w FROM s),
+    m AS (SELECT client_id, count(*) AS n, sum(w) AS sw, sum(w * x) AS sx, sum(w * y) AS sy, sum(w * x * x) AS sxx, sum(w * x * y) AS sxy, sum(w * y * y) AS syy FROM p GROUP BY 1),
+    b AS (SELECT *, (sw * sxy - sx * sy) / (sw * sxx - sx * sx) AS slope, (sxx * sy - sx * sxy) / (sw * sxx - sx * sx) AS intercept FROM m)
+    SELECT client_id, n, round(sw, 5) AS weight, round(intercept, 5) AS intercept, round(slope, 5) AS slope, round(intercept + slope * 10, 5) AS mean_at,
+    round(CASE WHEN sw > 2 THEN sqrt(greatest(greatest((syy - intercept * sy - slope * sxy) / (sw - 2), 0) * (sxx - 20 * sx + sw * 100) / (sw * sxx - sx * sx), 0)) END, 5) AS se_at FROM b"""
+)
+def ew_linear_regression(spark, sf_dir):
+    points = _samples(spark, sf_dir).select("client_id", "event_id", F.get_json_object("props", "$.k").cast("double").alias("x"), F.col("value").alias("y"))
+    fit = metrics.ew_regression(points, "client_id", "event_id", 20, 10.0)
+    return fit.select("client_id", "n", *(F.round(c, 5).alias(c) for c in ("weight", "intercept", "slope", "mean_at", "se_at")))
+
+
+@registered(f"WITH {SAMPLES} SELECT event_id, ts_ms % 10000 AS phase_ms, CASE WHEN ts_ms % 10000 < 4000 THEN 0.25 ELSE 1.0 END::DOUBLE AS factor FROM s")
+def congestion_cycle(spark, sf_dir):
+    return metrics.congestion(_samples(spark, sf_dir), "ts_ms", 4000, 6000, 0.25).select("event_id", "phase_ms", "factor")
+
+
+STAGE_SQL = "CASE event_type WHEN 'view' THEN 'validating' WHEN 'click' THEN 'committing' WHEN 'purchase' THEN 'result' END"
+
+
+@registered(
+    f"""WITH e AS (SELECT event_id // 10 AS upload_id, {STAGE_SQL} AS stage, CAST(floor(value) AS BIGINT) AS verified FROM events)
+    SELECT upload_id, CASE max(CASE stage WHEN 'validating' THEN 1 WHEN 'committing' THEN 2 WHEN 'result' THEN 3 END) WHEN 1 THEN 'validating' WHEN 2 THEN 'committing' WHEN 3 THEN 'result' END AS stage, coalesce(max(verified), 0) AS verified, count(*) AS n_events FROM e GROUP BY 1"""
+)
+def shard_event_progress(spark, sf_dir):
+    stage = F.create_map(*map(F.lit, ("view", "validating", "click", "committing", "purchase", "result")))[F.col("event_type")]
+    ev = read(spark, sf_dir, "events").select(F.floor(F.col("event_id") / 10).alias("upload_id"), stage.alias("stage"), F.floor("value").alias("verified"))
+    return metrics.latest_stage(ev, "upload_id")
+
+
+@registered(
+    sql_with(
+        """SELECT file_id, CAST(sum(done) AS BIGINT) AS completed_bytes, CAST(sum(n) AS BIGINT) AS total_bytes, bool_and(done = n) AS complete FROM
+        (SELECT file_id, n, CASE WHEN ext THEN n ELSE CAST(floor(n * coalesce(ratio, 0)) AS BIGINT) END AS done FROM (SELECT file_id, container_hash, CAST(sum(bytes) AS BIGINT) AS n, file_id % 9 = 0 AS ext FROM segments GROUP BY 1, 2)
+        LEFT JOIN (SELECT container_hash, bin % 5 / 4.0 AS ratio FROM named WHERE grp % 4 <> 3) USING (container_hash)) GROUP BY 1""",
+        "segments",
+    )
+)
+def upload_progress_rollup(spark, sf_dir):
+    chunks, named, placed = rel.store(spark, sf_dir)
+    deps = packing.segments(chunks, placed).groupBy("file_id", "container_hash").agg(F.sum("bytes").alias("n_bytes")).withColumn("is_external", F.col("file_id") % 9 == 0)
+    return metrics.upload_rollup(deps, named.where("grp % 4 <> 3").select("container_hash", (F.col("bin") % 5 / 4.0).alias("ratio")))
+
+
+@registered(
+    """WITH t AS (SELECT event_id // 50 AS transfer_id, value, epoch_us(ts) // 1000 AS ms, event_id % 97 = 0 AS gone, CASE event_id % 11 WHEN 1 THEN 429 WHEN 2 THEN 503 WHEN 3 THEN 404 WHEN 4 THEN 418 END AS status, CASE event_id % 7 WHEN 1 THEN 'timeout' WHEN 2 THEN 'network' END AS transport FROM events)
+    SELECT transfer_id, CASE WHEN gone THEN 'cancelled' WHEN status = 429 THEN 'rate_limited' WHEN status >= 500 THEN 'server_error' WHEN status = 404 THEN 'not_found' WHEN transport IS NOT NULL THEN transport WHEN status >= 400 THEN 'other' ELSE 'ok' END AS outcome,
+    count(*) AS n, round(coalesce(sum(value) / nullif((max(ms) - min(ms)) / 1000.0, 0), 0), 6) AS value_per_s FROM t GROUP BY 1, 2"""
+)
+def transfer_telemetry(spark, sf_dir):
+    k, seven = F.col("event_id") % 11, F.col("event_id") % 7
+    status = F.when(k == 1, 429).when(k == 2, 503).when(k == 3, 404).when(k == 4, 418)
+    ev = read(spark, sf_dir, "events").select(F.floor(F.col("event_id") / 50).alias("transfer_id"), "value", _millis("ts").alias("ms"), metrics.outcome(status, F.when(seven == 1, "timeout").when(seven == 2, "network"), F.col("event_id") % 97 == 0).alias("outcome"))
+    out = ev.groupBy("transfer_id", "outcome").agg(F.count("*").alias("n"), metrics.rate(F.sum("value"), (F.max("ms") - F.min("ms")) / 1000.0).alias("r"))
+    return out.select("transfer_id", "outcome", "n", F.round("r", 6).alias("value_per_s"))
