@@ -15,7 +15,7 @@ features) leaves its thin signatures out and still shares another.
 
 Signatures are shuffled once. Within a bucket each set is paired with the first
 and with the one before it; pairs pass a lower bound of the difference (the
-parity sketches' differing bits) and then an exact comparison of the texts'
+difference of count sketches) and then an exact comparison of the texts'
 shingle sets. Sets that are already connected need no more comparisons, so a
 group of near copies is never expanded into pairs: only buckets that still hold
 several components are compared pairwise, in blocks of bounded size, by sketch,
@@ -42,7 +42,6 @@ from .components import components
 from .shared import written
 from .words import U, mix, shingles, slices, split_words
 
-SKETCH_WORDS = 16
 THIN = 2
 BLOCK = 2000
 _K = [U(x) for x in (0x8CB92BA72F3D8DD7, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xA0761D6478BD642F)]
@@ -118,13 +117,28 @@ def signatures(h: np.ndarray, first: np.ndarray, bands: Bands) -> tuple[np.ndarr
     return np.concatenate(out_sig), np.concatenate(out_doc)
 
 
-def sketches(h: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Parity of the feature counts in SKETCH_WORDS * 64 cells, as SKETCH_WORDS words a set."""
-    bits, n = SKETCH_WORDS * 64, len(first) - 1
-    doc = np.repeat(np.arange(n), np.diff(first))
-    cell = (mix(h ^ _K[3]) % U(bits)).astype(np.int64)
-    odd = (np.bincount(doc * bits + cell, minlength=n * bits) & 1).astype(np.uint8)
-    return np.packbits(odd.reshape(n, bits), axis=1).view(np.int64)
+def sketches(h: np.ndarray, first: np.ndarray) -> list[bytes]:
+    """Feature counts (up to 255) in cells, a power of two between half the set's size and all of it, at least 64.
+
+    The sum of the counts' differences is at most the sets' difference. Adding the
+    halves of a sketch gives that of half as many cells.
+    """
+    size = np.diff(first)
+    cells = 1 << np.maximum(6, np.ceil(np.log2(np.maximum(size, 1))).astype(np.int64) - 1)
+    base = np.concatenate([[0], np.cumsum(cells)])
+    doc = np.repeat(np.arange(len(size)), size)
+    cell = base[doc] + (mix(h ^ _K[3]) & (cells[doc] - 1).astype(U)).astype(np.int64)
+    counts = np.minimum(np.bincount(cell, minlength=int(base[-1])), 255).astype(np.uint8).tobytes()
+    return [counts[x:y] for x, y in zip(base[:-1].tolist(), base[1:].tolist())]
+
+
+def folded(sketch: np.ndarray, cells: int) -> np.ndarray:
+    """Rows of counts, folded to so many cells."""
+    sketch = sketch.astype(np.int32)
+    while sketch.shape[1] > cells:
+        half = sketch.shape[1] // 2
+        sketch = sketch[:, :half] + sketch[:, half:]
+    return sketch
 
 
 def set_keys(h: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -140,39 +154,45 @@ def _describe(n: int):
             for i, j, data, offsets in slices(b.column("text")):
                 h, first = shingles(split_words(data, offsets), n)
                 keys = set_keys(h, first).view(np.int64)
-                sketch = sketches(h, first)
-                places = pa.array(np.arange(0, (j - i + 1) * SKETCH_WORDS, SKETCH_WORDS), pa.int32())
-                yield pa.RecordBatch.from_arrays(
-                    [b.column("node").slice(i, j - i), pa.array(np.diff(first), pa.int64()), pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.ListArray.from_arrays(places, pa.array(sketch.ravel(), pa.int64()))],
-                    names=["node", "n", "key1", "key2", "sketch"],
-                )
+                columns = [b.column("node").slice(i, j - i), pa.array(np.diff(first), pa.int64()), pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array(sketches(h, first), pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["node", "n", "key1", "key2", "sketch"])
 
     return run
 
 
 def _sign(n: int, bands: Bands):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[tuple] = set()
         for b in batches:
             for i, j, data, offsets in slices(b.column("text")):
                 h, first = shingles(split_words(data, offsets), n)
-                # equal sets of a task sign once; those of other tasks meet in the buckets
-                if len(seen) > 500_000:
-                    seen.clear()
-                fresh = np.zeros(j - i, bool)
-                for r, key in enumerate(map(tuple, set_keys(h, first).tolist())):
-                    if key not in seen:
-                        seen.add(key)
-                        fresh[r] = True
-                size = np.diff(first)
-                keep = np.repeat(fresh, size)
-                sig, of = signatures(h[keep], np.concatenate([[0], np.cumsum(size[fresh])]), bands)
-                nodes = b.column("node").slice(i, j - i).to_numpy(zero_copy_only=False)[fresh]
+                sig, of = signatures(h, first, bands)
+                nodes = b.column("node").slice(i, j - i).to_numpy(zero_copy_only=False)
                 yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(nodes[of], pa.int64())], names=["sig", "node"])
 
     return run
 
 
+def _near(num: int, den: int):
+    """Pairs that sizes and sketches allow to be linked, with the bound's share of their sizes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, y = b.column("n_a").to_numpy(), b.column("n_b").to_numpy()
+            fits = np.flatnonzero(den * np.minimum(x, y) >= num * np.maximum(x, y))
+            far = np.full(b.num_rows, np.iinfo(np.int64).max)
+            sa, sb = b.column("s_a"), b.column("s_b")
+            shape = np.array([(len(sa[i].as_buffer()), len(sb[i].as_buffer())) for i in fits.tolist()], np.int64).reshape(-1, 2)
+            for la, lb in np.unique(shape, axis=0).tolist():
+                at = fits[(shape == (la, lb)).all(1)]
+                left, right = (np.frombuffer(b"".join(c[i].as_py() for i in at.tolist()), np.uint8).reshape(len(at), -1) for c in (sa, sb))
+                cells = min(la, lb)
+                far[at] = np.abs(folded(left, cells) - folded(right, cells)).sum(1)
+            keep = far <= (den - num) * (x + y) // (den + num)
+            yield pa.RecordBatch.from_arrays([b.column("a").filter(pa.array(keep)), b.column("b").filter(pa.array(keep)), pa.array(far[keep] / (x + y)[keep])], names=["a", "b", "far"])
+
+    return run
+
+
 def _linked(n: int, num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -202,7 +222,9 @@ def _cross_pairs(num: int, den: int):
     """Rows sorted by block key -> pairs of different components within the sketch bound."""
 
     def compare(key, rows) -> pa.RecordBatch:
-        node, comp, size, side, sketch = rows
+        node, comp, size, side, raw = rows
+        cells = min(map(len, raw))
+        sketch = np.concatenate([folded(np.frombuffer(x, np.uint8)[None, :], cells) for x in raw])
         a_out, b_out = [], []
         left = np.flatnonzero(side <= 0)
         for i in left:
@@ -213,7 +235,7 @@ def _cross_pairs(num: int, den: int):
                 continue
             low, high = np.minimum(size[other], size[i]), np.maximum(size[other], size[i])
             other = other[den * low >= num * high]
-            far = np.bitwise_count(sketch[other] ^ sketch[i]).sum(1, dtype=np.int64)
+            far = np.abs(sketch[other] - sketch[i]).sum(1)
             other = other[far * (den + num) <= (den - num) * (size[other] + size[i])]
             a_out.append(np.minimum(node[other], node[i]))
             b_out.append(np.maximum(node[other], node[i]))
@@ -225,7 +247,7 @@ def _cross_pairs(num: int, den: int):
         held, last = [], None
         for b in batches:
             keys = np.stack([b.column(c).to_numpy() for c in ("sig", "bi", "bj")], 1)
-            cols = [b.column(c).to_numpy() for c in ("node", "comp", "n", "side")] + [b.column("sketch").flatten().to_numpy().reshape(-1, SKETCH_WORDS)]
+            cols = [b.column(c).to_numpy(zero_copy_only=False) for c in ("node", "comp", "n", "side", "sketch")]
             cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist(), len(keys)] if len(keys) else []
             for x, y in zip(cuts, cuts[1:]):
                 key = tuple(keys[x])
@@ -240,38 +262,37 @@ def _cross_pairs(num: int, den: int):
     return run
 
 
-def _apart(x: str, y: str) -> Column:
-    return F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, v: s + v)
+def _matching(df: DataFrame, ids: DataFrame, how: str, bound: int = 1_000_000) -> DataFrame:
+    """Semi or anti join of ``df`` on node; the ids are broadcast if there are at most ``bound`` of them, else both sides are shuffled."""
+    return df.join(F.broadcast(ids) if ids.count() <= bound else ids, "node", how)
 
 
 def link_components(docs: DataFrame, n: int, num: int, den: int, id_col: str = "doc_id", text_col: str = "text", n2: int = 2) -> DataFrame:
     """doc_id, n_shingles, component_id of every row; links at Jaccard >= num / den on n-word shingles."""
     source = docs.select(F.col(id_col).cast("long").alias("node"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = written(source.mapInArrow(_describe(n), "node long, n long, key1 long, key2 long, sketch array<long>"), "sets")
+    rows = written(source.mapInArrow(_describe(n), "node long, n long, key1 long, key2 long, sketch binary"), "sets")
     full = rows.where("n > 0 and node is not null")
     classes = written(full.groupBy("n", "key1", "key2").agg(F.min("node").alias("rep")), "set-classes")
     # one row a node; a node with several texts stands for its smallest class
     nodes = written(full.join(classes, ["n", "key1", "key2"]).groupBy("node").agg(F.min(F.struct("rep", "n", "sketch")).alias("x"), F.max("rep").alias("rep2")).select("node", "x.*", "rep2"), "set-nodes")
     same = nodes.where("rep <> rep2").select(F.col("rep").alias("a"), F.col("rep2").alias("b"))
+    copies = written(nodes.join(classes.select(F.col("rep").alias("node")).distinct(), "node", "left_anti").select("node"), "set-copies")
 
-    signed = source.where("node is not null").mapInArrow(_sign(n, Bands(num, den, n2)), "sig long, node long")
+    signed = _matching(source.where("node is not null"), copies, "left_anti").mapInArrow(_sign(n, Bands(num, den, n2)), "sig long, node long")
     bucket = Window.partitionBy("sig").orderBy("node")
     shared = signed.select("sig", "node", F.lag("node").over(bucket).alias("before"), F.lead("node").over(bucket).alias("after"), F.first("node").over(bucket.rowsBetween(Window.unboundedPreceding, 0)).alias("head"))
     shared = written(shared.where("before is not null or after is not null").select("sig", "node", "before", "head"), "buckets")
 
-    of = lambda side: nodes.select(F.col("node").alias(side), F.col("rep").alias(f"rep_{side}"), F.col("n").alias(f"n_{side}"), F.col("sketch").alias(f"s_{side}"))
+    of = lambda side: nodes.select(F.col("node").alias(side), F.col("n").alias(f"n_{side}"), F.col("sketch").alias(f"s_{side}"))
     pairs = shared.where("head < node").select(F.col("head").alias("a"), F.col("node").alias("b")).unionByName(shared.where("head < before and before < node").select(F.col("before").alias("a"), F.col("node").alias("b"))).distinct()
-    near = pairs.join(of("a"), "a").join(of("b"), "b").where("rep_a <> rep_b").where(F.least("n_a", "n_b") * den >= F.greatest("n_a", "n_b") * num)
-    near = near.withColumn("far", _apart("s_a", "s_b")).where(F.col("far") * (den + num) <= (F.col("n_a") + F.col("n_b")) * (den - num))
-    near = written(near.select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b"), (F.col("far") / (F.col("n_a") + F.col("n_b"))).alias("far")).groupBy("a", "b").agg(F.min("far").alias("far")), "near-pairs")
-
-    # texts of every set that shares a bucket with another, once for all comparisons
-    reps = nodes.join(shared.select("node").distinct(), "node", "left_semi").select(F.col("rep").alias("node")).distinct()
-    texts = written(source.join(reps, "node", "left_semi"), "near-texts")
+    near = written(pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(_near(num, den), "a long, b long, far double"), "near-pairs")
 
     def verified(candidates: DataFrame) -> DataFrame:
+        ids = written(candidates.select(F.col("a").alias("node")).unionByName(candidates.select(F.col("b").alias("node"))).distinct(), "pair-nodes")
+        texts = _matching(source, ids, "left_semi")
         a, b = (texts.select(F.col("node").alias(s), F.col("text").alias(f"text_{s}")) for s in "ab")
-        return candidates.select("a", "b").join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b").mapInArrow(_linked(n, num, den), "a long, b long")
+        # b first: candidates have few rows a b, while an a may be the head of many
+        return candidates.select("a", "b").join(b, "b").join(a, "a").select("a", "b", "text_a", "text_b").mapInArrow(_linked(n, num, den), "a long, b long")
 
     def parts(links: DataFrame) -> DataFrame:
         found = components(links)
@@ -285,22 +306,23 @@ def link_components(docs: DataFrame, n: int, num: int, den: int, id_col: str = "
     best = near.groupBy("b").agg(F.min_by("a", "far").alias("a")).select("a", "b")
     links = written(verified(best).unionByName(same), "links")
     comp = parts(links)
-    more = written(verified(across(near, comp)), "links")
-    links = links.unionByName(more)
-    comp = parts(links)
+    rest = written(across(near, comp), "near-pairs")
+    more = written(verified(rest), "links") if not rest.isEmpty() else rest
+    if not more.isEmpty():
+        links = links.unionByName(more)
+        comp = parts(links)
 
     # the first set of a bucket has been compared with all others, so two sets need no more
-    held = shared.select("sig", "node").join(nodes.select("node", "rep"), "node").join(comp, "rep").select("sig", F.col("rep").alias("node"), "comp").distinct()
-    held = written(held, "bucket-parts")
+    held = written(shared.select("sig", "node").join(comp.select(F.col("rep").alias("node"), "comp"), "node"), "bucket-parts")
     open_ = held.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("sets")).where("lo <> hi and sets > 2").select("sig", F.ceil(F.col("sets") / BLOCK).alias("blocks"))
-    cells = held.join(open_, "sig").join(nodes.where("node = rep").select("node", "n", "sketch"), "node").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    cells = held.join(open_, "sig").join(nodes.select("node", "n", "sketch"), "node").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")))
     cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), -1).otherwise(1).cast("int")
     cells = cells.select("sig", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"), side.alias("side"), "node", "comp", "n", "sketch")
     left = cells.repartition("sig", "bi", "bj").sortWithinPartitions("sig", "bi", "bj").mapInArrow(_cross_pairs(num, den), "a long, b long").distinct()
-    left = written(verified(left), "links")
+    left = written(left, "open-pairs")
     if not left.isEmpty():
-        comp = parts(links.unionByName(left))
+        comp = parts(links.unionByName(written(verified(left), "links")))
 
     of_rep = nodes.select("node", "rep").join(comp, "rep").select(F.col("node").alias("__n"), "comp")
     return rows.join(of_rep, F.col("node") == F.col("__n"), "left").select(F.col("node").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("comp", "node").alias("component_id"))
