@@ -1,0 +1,399 @@
+import collections
+import hashlib
+import random
+import zlib
+
+import numpy as np
+import public_tokenizers as P
+import pytest
+from pyspark.sql import functions as F
+
+from tesserae.functions.chunking import ChunkSpec
+from tesserae.llm import components, exact_dedup, jaccard_join, mixing, neighbours, preferences, quality, queries, secrets, sentence_pieces, sharding, token_counts
+from tesserae.llm.shared import shared_dir
+
+from ..conftest import SF
+from ..oracle import assert_same, connection
+from . import brute, fixtures
+
+
+def texts(df):
+    return {r["doc_id"]: r["text"] for r in df.select("doc_id", "text").collect()}
+
+
+def test_queries_equal_their_sql(spark):
+    con = connection(SF)
+    for name, sql in queries.ORACLE_SQL.items():
+        assert_same(queries.QUERIES[name](spark, SF), con, sql)
+
+
+# 1
+
+
+@pytest.fixture(scope="module")
+def byte_bpe():
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+
+
+@pytest.mark.parametrize("which", ["table", "awkward"])
+def test_token_counts_equal_the_library(spark, byte_bpe, which):
+    df = spark.read.parquet(f"{SF}/documents.parquet") if which == "table" else fixtures.frame(spark)
+    cache = f"{shared_dir(spark)}/test-cache-{random.random()}"
+    got = token_counts.count_tokens(df, P.path("byte_bpe_50k.json"), cache).collect()
+    want = texts(df)
+    assert len(got) == df.count()
+    for r in got:
+        t = want[r["doc_id"]] or ""
+        assert (r["n_bytes"], r["n_tokens"]) == (len(t.encode()), len(byte_bpe.encode(t, add_special_tokens=False).ids))
+
+
+def test_token_cache_encodes_misses_only(spark):
+    df = fixtures.frame(spark)
+    cache = f"{shared_dir(spark)}/test-cache-{random.random()}"
+    path = P.path("byte_bpe_50k.json")
+    token_counts.count_tokens(df.where("doc_id <= 9"), path, cache)
+    stored = spark.read.parquet(cache)
+    first = stored.count()
+    assert first == df.where("doc_id <= 9").select(F.coalesce("text", F.lit(""))).distinct().count()
+    token_counts.count_tokens(df, path, cache)
+    assert spark.read.parquet(cache).count() == df.select(F.coalesce("text", F.lit(""))).distinct().count()
+    # another tokenizer has counts of its own
+    token_counts.count_tokens(df, P.path("piece_bpe_32k.model"), cache)
+    assert spark.read.parquet(cache).select("tokenizer_digest").distinct().count() == 2
+    assert token_counts.count_tokens(fixtures.empty(spark), path, cache).count() == 0
+
+
+def test_byte_encoder_equals_the_library_on_every_code_point(byte_bpe):
+    count = token_counts._counter(P.path("byte_bpe_50k.json"))
+    points = [c for c in range(0x110000) if not 0xD800 <= c <= 0xDFFF]
+    for at in range(0, len(points), 40_000):
+        xs = [f"a{c}b {c}{c}1{c}. {c}'s \n{c}" for c in map(chr, points[at : at + 40_000])]
+        assert count(xs) == [len(x.ids) for x in byte_bpe.encode_batch_fast(xs, add_special_tokens=False)]
+
+
+# 2
+
+
+@pytest.mark.parametrize("which", ["table", "awkward"])
+def test_pieces_equal_the_library(spark, which):
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=P.path("piece_bpe_32k.model"))
+    df = spark.read.parquet(f"{SF}/documents.parquet") if which == "table" else fixtures.frame(spark)
+    got = sentence_pieces.encode_decode(df, P.path("piece_bpe_32k.model")).collect()
+    assert len(got) == df.count()
+    for r in got:
+        ids = sp.encode(r["text"] or "", add_eos=True)
+        assert list(r["piece_ids"]) == ids and r["decoded_text"] == sp.decode(ids)
+    assert sentence_pieces.encode_decode(fixtures.empty(spark), P.path("piece_bpe_32k.model")).count() == 0
+
+
+def test_chunk_table_may_be_emptied_at_any_time():
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=P.path("piece_bpe_32k.model"))
+    table = sentence_pieces.ChunkTable(P.path("piece_bpe_32k.model"), max_words=3)
+    rng = random.Random(5)
+    for _ in range(200):
+        t = "".join(rng.choice("ab é▁ \n\t中\x00") for _ in range(rng.randrange(30)))
+        ids, sizes, shown = table.encode([t])
+        assert ids.tolist() == sp.encode(t) and sizes.tolist() == [len(ids)] and shown == [sp.decode(sp.encode(t))]
+
+
+# 3
+
+
+def test_preferences(spark):
+    conv = [
+        (1, 0, "user", "hi"), (1, 1, "assistant", "hello"), (1, 2, "user", "more"), (1, 3, "assistant", "good"),
+        (2, 0, "user", "hi"), (2, 1, "assistant", "hello"), (2, 2, "user", "more"), (2, 3, "assistant", "bad"),
+        (3, 5, "user", "alone"), (3, 9, "assistant", None), (4, 0, None, None), (5, 0, "user", "same"), (6, 0, "user", "same"),
+    ]
+    df = spark.createDataFrame([(*c, 0, "x") for c in conv], "conv_id long, turn long, role string, text string, pos long, digest string")
+    got = {(r["pair_id"], r["segment"]): r for r in preferences.format_conversations(df).collect()}
+    prompt = got[1, "prompt"]
+    assert prompt["n_turns"] == 3 and prompt["mask_spans"] == [] and prompt["text"].endswith("<|im_start|>user\nmore<|im_end|>\n")
+    for side, word in (("chosen", "good"), ("rejected", "bad")):
+        r = got[1, side]
+        assert [r["text"][s["start"] : s["end"]] for s in r["mask_spans"]] == [word + "<|im_end|>"]
+    assert got[3, "chosen"]["n_turns"] == 1 and (3, "rejected") not in got
+    assert got[4, "chosen"]["text"] == "<|im_start|>\n<|im_end|>\n"
+    assert set(k for k in got if k[0] == 5) == {(5, "prompt")}
+    assert preferences.format_conversations(df.limit(0)).count() == 0
+
+
+def test_long_and_hot_conversations(spark):
+    turns = [(1, t, "assistant" if t % 2 else "user", f"turn {t}") for t in range(150)] + [(c, 0, "user", "hot") for c in range(10, 40)]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    ordered = preferences.ordered_turns(df)
+    made = preferences.format_pairs(ordered, preferences.pair_by_first_turn(ordered, hot=7), part_turns=64)
+    long = made.where("pair_id = 1").orderBy("segment", "part").collect()
+    assert [(r["segment"], r["part"], r["n_turns"]) for r in long] == [("chosen", 2, 1), ("prompt", 0, 64), ("prompt", 1, 64), ("prompt", 2, 21)]
+    pairs = preferences.pair_by_first_turn(ordered, hot=7)
+    assert pairs.count() == 31 and pairs.where("conv_id >= 10").groupBy("pair_id", "side").count().where("count > 1").isEmpty()
+
+
+# 4
+
+
+@pytest.mark.parametrize("n, num, den", [(4, 85, 100), (5, 4, 5)])
+def test_join_components_equal_brute_force(spark, n, num, den):
+    rng = random.Random(11)
+    docs, i = [], 0
+    passage = fixtures.text(99, 60)
+    for g in range(25):
+        base = fixtures.text(g, rng.choice([5, 8, 12, 30, 120, 400])).split()
+        for _ in range(rng.choice([1, 2, 5, 30])):
+            w = list(base)
+            for _ in range(rng.choice([0, 0, 1, 2, 5])):
+                w[rng.randrange(len(w))] = f"edit{rng.randrange(10**6)}"
+            docs.append((i, " ".join(w) + (" " + passage if g % 4 == 0 else "")))
+            i += 1
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = sorted(tuple(r) for r in jaccard_join.link_components(df, n, num, den).collect())
+    assert got == brute.components(docs, n, num, den)
+
+
+def test_join_defined_results(spark):
+    df = fixtures.frame(spark)
+    rows = {r["doc_id"]: r for r in jaccard_join.link_components(df, 4, 85, 100).collect()}
+    want = {i: (n, c) for i, n, c in brute.components(list(texts(df).items()), 4, 85, 100)}
+    assert {i: (r["n_shingles"], r["component_id"]) for i, r in rows.items()} == want
+    assert jaccard_join.link_components(df, 4, 85, 100).count() == df.count()
+    assert jaccard_join.link_components(fixtures.empty(spark), 4, 85, 100).count() == 0
+    unnamed = spark.createDataFrame([(None, "a b c d e"), (None, "a b c d e"), (1, "a b c d e")], "doc_id long, text string")
+    assert sorted((r["doc_id"] or 0, r["component_id"] or 0) for r in jaccard_join.link_components(unnamed, 4, 85, 100).collect()) == [(0, 0), (0, 0), (1, 1)]
+
+
+def test_linked_sets_share_a_signature():
+    rng = np.random.default_rng(0)
+    for n2 in (2, 3):
+        for size in (7, 9, 13, 40, 133, 900):
+            for _ in range(30):
+                bands = jaccard_join.Bands(85, 100, n2)
+                a = rng.integers(0, 2**63, size, dtype=np.int64).astype(np.uint64)
+                both = -(-85 * size * 2 // 185)  # fewest shared features of equal sizes
+                b = np.concatenate([a[:both], rng.integers(0, 2**63, size - both, dtype=np.int64).astype(np.uint64)])
+                sig, of = jaccard_join.signatures(np.concatenate([np.sort(a), np.sort(b)]), np.array([0, size, 2 * size]), bands)
+                assert set(sig[of == 0].tolist()) & set(sig[of == 1].tolist())
+
+
+def test_sketch_difference_is_a_lower_bound():
+    rng = np.random.default_rng(1)
+    for size in (5, 80, 700):
+        for drop in (0, 3, size // 2):
+            a = np.unique(rng.integers(0, 2**63, size, dtype=np.int64).astype(np.uint64))
+            b = np.unique(np.concatenate([a[drop:], rng.integers(0, 2**63, drop, dtype=np.int64).astype(np.uint64)]))
+            s = [np.frombuffer(x, np.uint8)[None, :] for x in jaccard_join.sketches(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]))]
+            cells = min(x.shape[1] for x in s)
+            assert np.abs(jaccard_join.folded(s[0], cells) - jaccard_join.folded(s[1], cells)).sum() <= len(set(a.tolist()) ^ set(b.tolist()))
+
+
+def test_components_of_paths_and_stars(spark):
+    edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 140)] + [(7, 7), (200, 201), (201, 200)]
+    got = {r["node"]: r["component"] for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {**{i: 0 for i in range(41)}, **{i: 100 for i in range(100, 140)}, 200: 200, 201: 200}
+    assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+# 5
+
+
+def test_shards_hold_equal_counts(spark):
+    df = spark.read.parquet(f"{SF}/documents.parquet")
+    got = sharding.shard_documents(df, 24).collect()
+    want = texts(df)
+    sizes = collections.Counter(r["shard"] for r in got)
+    assert len(got) == df.count() and max(sizes.values()) - min(sizes.values()) <= 1
+    for s in sizes:
+        assert sorted(r["slot"] for r in got if r["shard"] == s) == list(range(sizes[s]))
+    for r in got:
+        data = want[r["doc_id"]].encode()
+        assert (r["size"], r["text_crc32"]) == (len(data) + 8, zlib.crc32(data))
+
+
+def test_shards_of_awkward_rows(spark):
+    df = fixtures.frame(spark).unionByName(fixtures.frame(spark).where("doc_id = 3").withColumn("doc_id", F.lit(None).cast("long")))
+    got = sharding.shard_documents(df, 5).collect()
+    assert len(got) == df.count() and {(r["size"], r["text_crc32"]) for r in got if r["doc_id"] == 6} == {(8, 0)}
+    assert sharding.shard_documents(fixtures.empty(spark), 5).count() == 0
+
+
+def test_bounded_loads_move_few_rows(spark):
+    df = spark.range(4000).select(F.col("id").alias("k"))
+    of = lambda n: {r["k"]: r["shard"] for r in sharding.shard_rows(df, n, F.col("k"), [F.col("k")], headroom=0.25).collect()}
+    a, b = of(10), of(11)
+    assert max(collections.Counter(a.values()).values()) <= 500
+    assert sum(a[k] != b[k] for k in a) < 0.3 * len(a)
+    assert a == of(10)
+
+
+# 6
+
+
+def water_fill(sizes, weights, epochs):
+    names = sorted(sizes, key=lambda s: (s is None, s or ""))
+    w = {s: weights[i % len(weights)] for i, s in enumerate(names)}
+    held, total = {}, sum(sizes.values())
+    while True:
+        rest = [s for s in names if s not in held]
+        level = (total - sum(held.values())) / sum(w[s] for s in rest) if rest else 0
+        over = [s for s in rest if w[s] * level > epochs * sizes[s] + 1e-9]
+        if not over:
+            return {**held, **{s: w[s] * level for s in rest}}
+        held |= {s: epochs * sizes[s] for s in over}
+
+
+@pytest.mark.parametrize("which", ["table", "awkward"])
+def test_mix_meets_its_targets(spark, which):
+    df = spark.read.parquet(f"{SF}/documents.parquet") if which == "table" else fixtures.frame(spark)
+    source = {r["doc_id"]: r["source"] for r in df.collect()}
+    want = texts(df)
+    got = mixing.mix_documents(df).collect()
+    assert len(got) == df.count()
+    sizes, taken, largest = collections.Counter(), collections.Counter(), collections.Counter()
+    for r in got:
+        s = source[r["doc_id"]]
+        assert r["size"] == len(brute.WORD.findall(want[r["doc_id"]] or "")) and 0 <= r["taken"] <= 3 * r["size"]
+        sizes[s] += r["size"]
+        taken[s] += r["taken"]
+        largest[s] = max(largest[s], r["size"])
+    goal = water_fill(sizes, mixing.WEIGHTS, 3)
+    for r in got:
+        assert r["target"] == pytest.approx(goal[source[r["doc_id"]]]) and r["source_size"] == sizes[source[r["doc_id"]]]
+    for s in sizes:
+        assert abs(taken[s] - goal[s]) <= max(largest[s] / 2, 0.02 * goal[s]) + 1
+    assert sorted(map(tuple, got)) == sorted(map(tuple, mixing.mix_documents(df.repartition(3)).collect()))
+
+
+def test_mix_beyond_the_large_rows(spark):
+    rng = random.Random(2)
+    rows = spark.createDataFrame([(i, "a" if i % 3 else "b", rng.randrange(1, 60)) for i in range(3000)], "doc_id long, source string, size long")
+    out = mixing.repeats(rows, seed=3, weights=(1, 9), large=8, cells=16).groupBy("target").agg(F.sum(F.col("size") * F.col("times")).alias("taken")).collect()
+    for r in out:
+        assert abs(r["taken"] - r["target"]) <= 30
+    assert mixing.mix_documents(fixtures.empty(spark)).count() == 0
+    assert mixing.mixed_rows(fixtures.empty(spark)).count() == 0
+
+
+# 7
+
+
+def test_quality_on_held_out_labels(spark):
+    sf = SF.replace("0.001", "0.01")
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    judged = quality.classify(docs, labels.where("doc_id % 2 = 0"))
+    held = judged.join(labels.where("doc_id % 2 = 1"), "doc_id")
+    share = lambda cond: held.where(cond).agg(F.avg(F.col("kept").cast("int"))).first()[0]
+    assert share("quality = 1 and toxic = 0") > 0.97 and share("quality = 0") < 0.1
+
+
+def test_quality_defined_results(spark):
+    df = fixtures.frame(spark)
+    labels = spark.createDataFrame([(1, 1, 0), (3, 1, None), (12, 0, 0), (None, 1, 0), (1, 1, 0)], "doc_id long, quality int, toxic int")
+    got = quality.classify(df, labels).collect()
+    assert len(got) == df.count() and all(not r["kept"] and r["log_weight"] is None for r in got if r["doc_id"] in (6, 7, 8))
+    assert quality.classify(df, labels.limit(0)).where("kept").count() == df.count() - 3
+    assert quality.classify(fixtures.empty(spark), labels).count() == 0
+
+
+def test_gumbel_top_k_draws_k_in_proportion(spark):
+    df = spark.range(2000).select(F.col("id").alias("doc_id"), (F.when(F.col("id") % 2 == 0, F.log(F.lit(4.0))).otherwise(0.0) + quality.gumbel(F.col("id"), 5)).alias("key"))
+    key, last = quality.kth_largest(df, 300)
+    drawn = df.where((F.col("key") > key) | ((F.col("key") == key) & (F.col("doc_id") >= last)))
+    assert drawn.count() == 300 and 0.7 < drawn.where("doc_id % 2 = 0").count() / 300 < 0.88
+    ties = spark.range(1000).select(F.col("id").alias("doc_id"), F.lit(1.0).alias("key"))
+    assert quality.kth_largest(ties, 10) == (1.0, 990) and quality.kth_largest(ties, 0) is None and quality.kth_largest(ties.limit(0), 3) is None
+
+
+# 8
+
+
+def base_by_rule(text):
+    import re
+
+    out = []
+    kinds = [("assign", re.compile(r"(?ai:(password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"), lambda m: len(m[2]) >= 8), ("access", re.compile("AKIA[A-Z0-9]+"), lambda m: len(m[0]) >= 16), ("hex", re.compile("[0-9a-f]+"), lambda m: len(m[0]) >= 32)]
+    for k, (name, pattern, ok) in enumerate(kinds):
+        out += [(m.start(), k, f"{name}:{m.start()}:{m.end()}") for m in pattern.finditer(text or "") if ok(m)]
+    return [x for _, _, x in sorted(out)]
+
+
+@pytest.mark.parametrize("which", ["table", "awkward"])
+def test_base_secrets_equal_the_rule(spark, which):
+    df = spark.read.parquet(f"{SF}/documents.parquet") if which == "table" else fixtures.frame(spark)
+    want = texts(df)
+    for r in secrets.digests(secrets.scan_secrets(df, P.path("byte_bpe_50k.tiktoken"))).collect():
+        base = base_by_rule(want[r["doc_id"]])
+        assert r["base_sha256"] == hashlib.sha256(",".join(base).encode()).hexdigest()
+        assert [r["n_assign"], r["n_access"], r["n_hex"]] == [sum(b.startswith(k) for b in base) for k in ("assign", "access", "hex")]
+        assert set(base) <= set(filter(None, r["spans"].split(",")))
+
+
+def test_base_patterns_on_random_strings():
+    rng = random.Random(4)
+    for _ in range(3000):
+        t = "".join(rng.choice(["token", "TOKEN", "ſecret", "secret", "apikey", "api_key", ":", "=", '"', " ", "AKIA", "ABCDEFGHIJKL", "0a1b2c3d4e5f", "é", "x", "\n"]) for _ in range(rng.randrange(25)))
+        found = sorted(secrets.base_spans(t), key=lambda s: (s[1], secrets.KINDS.index(s[0])))
+        assert [f"{k}:{a}:{b}" for k, a, b in found] == base_by_rule(t)
+
+
+def test_random_strings_stand_out():
+    encoding = secrets._encoding(P.path("byte_bpe_50k.tiktoken"))
+    find = lambda t: secrets.random_spans(t, secrets.base_spans(t), encoding, 2.2)
+    assert find("see Zx9Qw3Lk8Vb2Np7RtYu4Hj1M here") == [("random", 4, 28)]
+    for calm in ("internationalization_of_everything_2", "123e4567-e89b-12d3-a456-426614174000", "D41D8CD98F00B204E9800998ECF8427E", "myVeryLongIdentifierNameForTheTest1", "a/path/to/some/file/in/a/tree"):
+        assert find(calm) == []
+
+
+# 9
+
+
+def test_exact_groups_with_and_without_clashes(spark):
+    df = fixtures.frame(spark)
+    want = texts(df)
+    groups = collections.defaultdict(list)
+    for r in df.collect():
+        groups[(want[r["doc_id"]] or "").translate(brute.LOW)].append(r["doc_id"])
+    # one-byte digests clash all the time
+    for size in (32, 1):
+        got = exact_dedup.group_copies(df, spec=ChunkSpec(target=1024), digest_bytes=size).collect()
+        assert len(got) == df.count()
+        for r in got:
+            t = (want[r["doc_id"]] or "").translate(brute.LOW)
+            assert (r["keep_id"], r["group_size"], r["kept"], r["text_sha256"]) == (max(groups[t]), len(groups[t]), r["doc_id"] == max(groups[t]), hashlib.sha256(t.encode()).hexdigest())
+    assert exact_dedup.group_copies(fixtures.empty(spark)).count() == 0
+    kept = exact_dedup.drop_copies(df)
+    assert kept.columns == df.columns and {r["doc_id"] for r in kept.collect()} == {max(v) for v in groups.values()}
+
+
+# 10
+
+
+def test_neighbours_recall_and_scores(spark):
+    rows = spark.read.parquet(f"{SF.replace('0.001', '0.01')}/embeddings.parquet")
+    got = collections.defaultdict(list)
+    for r in neighbours.nearest(rows, rows.where("vec_id % 20 = 0"), k=20).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["rank"], r["vec_id"], r["score"]))
+    table = {r["vec_id"]: np.array(r["embedding"], np.float64) for r in rows.collect()}
+    hits = 0
+    for q, found in got.items():
+        exact = sorted(((-float(v @ table[q]), i) for i, v in table.items() if i != q))[:20]
+        hits += len({i for _, i in exact} & {i for _, i, _ in found})
+        assert [r for r, _, _ in found] == list(range(1, 21))
+        assert all(s == pytest.approx(float(table[i] @ table[q]), abs=1e-12) for _, i, s in found)
+    assert len(got) == sum(i % 20 == 0 for i in table) and hits / (20 * len(got)) >= 0.9
+
+
+def test_neighbours_defined_results(spark):
+    nan, inf = float("nan"), float("inf")
+    vectors = [(0, [1.0, 0.0]), (20, [1.0, 0.0]), (40, [0.0, 0.0]), (60, None), (80, [nan, 1.0]), (100, [None, 1.0]), (120, [inf, 1.0]), (140, [1.0]), (None, [1.0, 1.0])] + [(i, [1.0, 1.0]) for i in range(1, 12)]
+    df = spark.createDataFrame([(i, v, 3) for i, v in vectors], "vec_id long, embedding array<float>, list int")
+    got = [(r["query_id"], r["rank"], r["vec_id"]) for r in neighbours.nearest(df, df.where("vec_id % 20 = 0"), k=3, lists=2, probes=2).orderBy("query_id", "rank").collect()]
+    # equal scores: the smaller ids first
+    assert got == [(0, 1, 1), (0, 2, 2), (0, 3, 3), (20, 1, 0), (20, 2, 1), (20, 3, 2)]
+    few = neighbours.nearest(df.where("vec_id in (0, 20)"), df.where("vec_id = 0"), k=3).collect()
+    assert [(r["vec_id"], r["score"]) for r in few] == [(20, 1.0)]
+    assert neighbours.nearest(df.limit(0), df.limit(0)).count() == 0
