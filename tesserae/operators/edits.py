@@ -31,3 +31,38 @@ def untouched(spans: DataFrame, windows: DataFrame) -> DataFrame:
     """Segments that overlap no window of their file."""
     w = windows.select(F.col("file_id").alias("f"), F.col("start").alias("ws"), F.col("end").alias("we"))
     return spans.join(w, (F.col("file_id") == F.col("f")) & (F.col("seg_start") < F.col("we")) & (F.col("ws") < F.col("seg_end")), "left_anti")
+
+
+def assigned(edits: DataFrame, windows: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Each edit with the start of its window: file_id, start, end, window_start.
+
+    A pure insert at the end of a window belongs to the next one if that begins
+    there, except at the end of the file.
+    """
+    w = windows.select("file_id", F.col("start").alias("ws"), F.col("end").alias("we"))
+    j = edits.join(sizes, "file_id").join(w, "file_id")
+    insert = F.col("start") == F.col("end")
+    inside = (F.col("ws") <= F.col("start")) & (F.col("end") <= F.col("we"))
+    held = j.where(inside & (~insert | (F.col("start") < F.col("we")) | (F.col("we") == F.col("size"))))
+    # an insert at an end that no window begins at stays with the window that ends there
+    either = held.groupBy("file_id", "start", "end").agg(F.max("ws").alias("window_start"))
+    at_end = j.where(inside & insert).groupBy("file_id", "start", "end").agg(F.max("ws").alias("w"))
+    return at_end.join(either, ["file_id", "start", "end"], "full_outer").select("file_id", "start", "end", F.coalesce("window_start", "w").alias("window_start"))
+
+
+def spliced(files: DataFrame, edits: DataFrame) -> DataFrame:
+    """files(file_id, data), edits(file_id, start, end, data), valid and not overlapping -> file_id, data after the edits.
+
+    The untouched pieces between edits and the edits' data, in order, make the new file.
+    """
+    w = Window.partitionBy("file_id").orderBy("start", "end")
+    known = edits.select("file_id", "start", "end", F.col("data").alias("new")).withColumn("from", F.coalesce(F.lag("end").over(w), F.lit(0)))
+    last = edits.groupBy("file_id").agg(F.max("end").alias("rest"))
+    body = files.select("file_id", "data")
+    cut = lambda a, n: F.substring("data", (a + 1).cast("int"), n.cast("int"))
+    before = known.join(body, "file_id").select("file_id", F.col("start").alias("at"), F.lit(0).alias("k"), F.col("end").alias("e"), F.hex(cut(F.col("from"), F.col("start") - F.col("from"))).alias("piece"))
+    new = known.select("file_id", F.col("start").alias("at"), F.lit(1).alias("k"), F.col("end").alias("e"), F.hex("new").alias("piece"))
+    tail = body.join(last, "file_id", "left").select("file_id", F.lit(2**62).alias("at"), F.lit(2).alias("k"), F.lit(2**62).alias("e"), F.hex(cut(F.coalesce("rest", F.lit(0)), F.lit(2**31 - 1))).alias("piece"))
+    pieces = before.unionByName(new).unionByName(tail)
+    joined = pieces.groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("at", "e", "k", "piece"))).alias("p"))
+    return joined.select("file_id", F.unhex(F.array_join(F.transform("p", lambda x: x["piece"]), "")).alias("data"))

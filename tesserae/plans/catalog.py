@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tesserae.functions import bytegroups, hashes
+from tesserae.functions import bytegroups, digests, hashes
 from tesserae.functions.chunking import ChunkSpec
 from tesserae.operators import chunks as ch
-from tesserae.operators import dedup, edits, intervals, merkle, metrics, packing, reconstruct, shards
+from tesserae.operators import dedup, edits, intervals, merkle, metrics, packing, payloads, reconstruct, sessions, shards
+from tesserae.sources import store
 
 from . import relations as rel
 from .relations import read, sql_with
@@ -539,3 +540,80 @@ def transfer_telemetry(spark, sf_dir):
     ev = read(spark, sf_dir, "events").select(F.floor(F.col("event_id") / 50).alias("transfer_id"), "value", _millis("ts").alias("ms"), metrics.outcome(status, F.when(seven == 1, "timeout").when(seven == 2, "network"), F.col("event_id") % 97 == 0).alias("outcome"))
     out = ev.groupBy("transfer_id", "outcome").agg(F.count("*").alias("n"), metrics.rate(F.sum("value"), (F.max("ms") - F.min("ms")) / 1000.0).alias("r"))
     return out.select("transfer_id", "outcome", "n", F.round("r", 6).alias("value_per_s"))
+
+
+RAW = " || ".join(f"substr(chunk_hash, {16 * w + 2 * b + 1}, 2)" for w in range(4) for b in reversed(range(8)))
+
+
+@registered(sql_with(f"SELECT chunk_hash, substr(chunk_hash, 1, 16) AS truncated, CAST('0x' || right(chunk_hash, 3) AS BIGINT) % 1024 AS low_bits, {RAW} AS raw_hex, chunk_hash AS from_base64 FROM firsts", "firsts"))
+def hash_text_forms(spark, sf_dir):
+    h = dedup.first_locations(rel.line_chunks(spark, sf_dir)).select("chunk_hash")
+    return h.select("chunk_hash", hashes.truncated("chunk_hash").alias("truncated"), hashes.low_bits("chunk_hash", 1024).alias("low_bits"), F.lower(F.hex(hashes.to_raw("chunk_hash"))).alias("raw_hex"), hashes.from_base64(hashes.to_base64("chunk_hash")).alias("from_base64"))
+
+
+@registered(sql_with("SELECT query_id, 'bytes=' || start_ || '-' || (end_ - 1) AS header, start_ AS parsed_start, end_ AS parsed_end FROM requests", "requests"))
+def range_header_forms(spark, sf_dir):
+    asked = rel.requests(rel.segments(spark, sf_dir)[0]).withColumn("header", digests.http_range(F.col("start"), F.col("end")))
+    return asked.select("query_id", "header", digests.parsed_range("header")["start"].alias("parsed_start"), digests.parsed_range("header")["end"].alias("parsed_end"))
+
+
+@registered("SELECT page_id, regexp_extract(url, '^(.*)/', 1) AS prefix, regexp_extract(url, '([^/]*)$', 1) AS last FROM pages")
+def key_split(spark, sf_dir):
+    k = digests.split_key("url")
+    return read(spark, sf_dir, "pages").select("page_id", k["prefix"].alias("prefix"), k["hash"].alias("last"))
+
+
+@registered("SELECT doc_id, CASE WHEN doc_id % 5 <> 0 THEN CASE WHEN doc_id % 3 = 0 THEN repeat('ab', 32) ELSE sha256(text) END END AS sha256 FROM documents")
+def sha256_policy(spark, sf_dir):
+    provided = F.when(F.col("doc_id") % 3 == 0, F.lit("AB" * 32)).when(F.col("doc_id") % 3 == 1, F.lit("not a hash"))
+    return read(spark, sf_dir, "documents").select("doc_id", digests.chosen_sha256(F.col("text").cast("binary"), provided, F.col("doc_id") % 5 == 0).alias("sha256"))
+
+
+@registered("SELECT doc_id, s AS start, least(s + 1000, n) AS end FROM (SELECT doc_id, n, unnest(range(0, n, 1000)) AS s FROM (SELECT doc_id, CAST(strlen(text) AS BIGINT) AS n FROM documents))")
+def fixed_range_segments(spark, sf_dir):
+    whole = read(spark, sf_dir, "documents").select("doc_id", F.lit(0).cast("long").alias("start"), F.octet_length("text").cast("long").alias("end"))
+    return intervals.fixed_segments(whole, 1000)
+
+
+@registered("SELECT upload_id, CASE WHEN max(strlen(line)) > 60 THEN 'frame_too_long' ELSE arg_max(event_type, event_id) END AS type, max(strlen(line)) <= 60 AND arg_max(event_type, event_id) = 'result' AS ok FROM (SELECT event_id // 7 AS upload_id, event_id, event_type, '{\"type\":\"' || event_type || '\",\"k\":\"' || repeat('x', event_id % 40) || '\"}' AS line FROM events) GROUP BY 1")
+def upload_outcomes(spark, sf_dir):
+    line = F.to_json(F.struct(F.col("event_type").alias("type"), F.repeat(F.lit("x"), (F.col("event_id") % 40).cast("int")).alias("k")))
+    frames = read(spark, sf_dir, "events").select(F.floor(F.col("event_id") / 7).alias("upload_id"), F.col("event_id").alias("seq"), line.alias("line"))
+    return store.upload_outcomes(frames, 60)
+
+
+@registered(sql_with("SELECT container_hash, chunk_idx, CAST(length AS BIGINT) AS length, true AS equal FROM placed", "placed"))
+def payload_roundtrip(spark, sf_dir):
+    """Every container is encoded and decoded again; each chunk is what went in."""
+    placed = rel.store(spark, sf_dir)[2]
+    lines = read(spark, sf_dir, "documents").select(F.explode(F.split("text", "\n")).alias("line")).distinct().select(F.sha2("line", 256).alias("chunk_hash"), F.encode("line", "utf-8").alias("data"))
+    back = payloads.decode_containers(payloads.encode_containers(placed.join(lines, "chunk_hash"), payloads.PLANES))
+    return placed.join(back.select("container_hash", "chunk_idx", F.sha2("data", 256).alias("h")), ["container_hash", "chunk_idx"]).select("container_hash", "chunk_idx", "length", (F.col("h") == F.col("chunk_hash")).alias("equal"))
+
+
+@registered()
+def greedy_dedup_segments(spark, sf_dir):
+    """Odd files as runs of chunks known from even ones, with fragmentation control over 8 ranges."""
+    chunks = rel.line_chunks(spark, sf_dir)
+    known = dedup.first_locations(chunks.where("file_id % 2 = 0")).select("chunk_hash", F.col("file_id").cast("string").alias("target"), F.col("chunk_idx").alias("target_idx"))
+    return sessions.greedy_segments(chunks.where("file_id % 2 = 1"), known, window=8, limit=3.0)
+
+
+@registered()
+def session_leftovers(spark, sf_dir):
+    bins = rel.packed(rel.line_chunks(spark, sf_dir))
+    left = bins.groupBy("grp", "file_id").agg(F.sum("length").alias("bytes"), F.count("*").alias("chunks"))
+    return sessions.merged_leftovers(left, "grp", rel.MAX_BYTES, rel.MAX_CHUNKS)
+
+
+@registered()
+def edit_windows_to_recut(spark, sf_dir):
+    chunks = ch.running_offsets(rel.line_chunks(spark, sf_dir), "file_id", "chunk_idx", "length")
+    return sessions.edit_windows(chunks, _edits(spark, sf_dir)[0].select("file_id", "start", "end"), 100, 600)
+
+
+@registered()
+def keyed_chunk_export(spark, sf_dir):
+    """Container chunks with their hashes under a key, in order of the keyed hash."""
+    placed = rel.store(spark, sf_dir)[2]
+    return placed.select("container_hash", "chunk_idx", digests.keyed("chunk_hash", "ab" * 32).alias("keyed_hash"), "length").orderBy("keyed_hash")
