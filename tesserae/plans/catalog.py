@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tesserae.functions import bytegroups, digests, hashes
 from tesserae.functions.chunking import ChunkSpec
 from tesserae.operators import chunks as ch
-from tesserae.operators import dedup, edits, intervals, merkle, metrics, packing, payloads, reconstruct, sessions, shards
+from tesserae.operators import dedup, edits, intervals, merkle, merkle_partial, metrics, packing, payloads, reconstruct, sessions, shards
 from tesserae.sources import store
 
 from . import relations as rel
@@ -449,6 +449,14 @@ def merkle_file_hash(spark, sf_dir):
     return merkle.merkle_hashes(rel.line_chunks(spark, sf_dir))
 
 
+@registered("SELECT doc_id AS file_id, true AS equal FROM documents")
+def merkle_partial_equals_full(spark, sf_dir):
+    """File hashes merged from parts of 64 chunks, next to those of whole lists."""
+    chunks = rel.line_chunks(spark, sf_dir)
+    whole = merkle.merkle_hashes(chunks).select("file_id", F.col("file_hash").alias("h"))
+    return whole.join(merkle_partial.merkle_hashes_of_parts(chunks, 64), "file_id", "left").select("file_id", (F.col("h") == F.col("file_hash")).alias("equal"))
+
+
 def _millis(ts):
     """Of a timestamp without zone, in a session whose zone is UTC."""
     return F.unix_millis(F.col(ts).cast("timestamp"))
