@@ -109,7 +109,8 @@ def mix_documents(docs: DataFrame, seed: int = 0) -> DataFrame:
 
 
 def mixed_rows(docs: DataFrame, seed: int = 0) -> DataFrame:
-    """The mix itself: rows of ``docs``, each as often as it is taken. Ids must be distinct."""
-    times = repeats(docs.select("doc_id", "source", word_count("text").alias("size")), seed).where("times > 0").select(F.col("doc_id").alias("__id"), "times")
+    """The mix itself: rows of ``docs``, each as often as it is taken. Rows that share an id repeat alike, as often as the most drawn of them."""
+    drawn = repeats(docs.select("doc_id", "source", word_count("text").alias("size")), seed).where("times > 0")
+    times = drawn.groupBy(F.col("doc_id").alias("__id")).agg(F.max("times").alias("times"))
     again = docs.join(times, docs["doc_id"].eqNullSafe(F.col("__id")))
     return again.withColumn("__time", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times")))).select(*[docs[c] for c in docs.columns])

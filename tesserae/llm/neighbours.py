@@ -65,14 +65,20 @@ def fit(vectors: np.ndarray, lists: int, parts: int, codes: int = 256, rounds: i
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    v = F.col(vector_col).cast("array<float>")
+    wide = vectors.schema[vector_col].dataType.simpleString() == "array<double>"
+    v = F.col(vector_col) if wide else F.col(vector_col).cast("array<float>")
     bad = lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf"))
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v")).where("vec_id is not null and v is not null and size(v) > 0")
     return rows.where(~F.exists("v", bad) & F.exists("v", lambda c: c != 0))
 
 
+def _original(column: pd.Series) -> np.ndarray:
+    return np.stack(column.to_numpy()) if len(column) else np.zeros((0, 0), np.float32)
+
+
 def _matrix(column: pd.Series) -> np.ndarray:
-    return np.stack(column.to_numpy()).astype(np.float32) if len(column) else np.zeros((0, 0), np.float32)
+    """What the index works on; scores are taken from the original."""
+    return np.clip(_original(column), -1e18, 1e18).astype(np.float32)
 
 
 def exact_scores(rows: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -83,17 +89,19 @@ def exact_scores(rows: np.ndarray, q: np.ndarray) -> np.ndarray:
     return total
 
 
-def search_block(index: Index, lists: int, ids: np.ndarray, vectors: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, k: int, rerank: int, at_once: int = 512):
-    """Best k of one block for each query: query ids, row ids, scores. Rows are in order of id."""
+def search_block(index: Index, of: int, ids: np.ndarray, rows: pd.Series, queries: pd.Series, query_ids: np.ndarray, k: int, rerank: int, at_once: int = 512):
+    """Best k of one block of list ``of`` for each query: query ids, row ids, scores. Rows are in order of id."""
     parts, _, width = index.codebooks.shape
-    rest = (vectors - index.centroids[lists]).reshape(len(vectors), parts, width)
+    vectors, original, asked = _matrix(rows), _original(rows), _original(queries)
+    small = _matrix(queries)
+    rest = (vectors - index.centroids[of]).reshape(len(vectors), parts, width)
     codes = np.stack([_nearest(rest[:, m], index.codebooks[m]) for m in range(parts)], 1)
     # equal vectors have equal codes: a hair's breadth puts the smaller id first
     hair = np.arange(len(ids)) * 1e-10
     n = min(rerank, len(ids))
     out = []
     for at in range(0, len(queries), at_once):
-        q, qid = queries[at : at + at_once], query_ids[at : at + at_once]
+        q, qid = small[at : at + at_once], query_ids[at : at + at_once]
         table = np.einsum("mcw,qmw->qmc", index.codebooks, q.reshape(len(q), parts, width))
         score = np.zeros((len(q), len(ids)))
         for m in range(parts):
@@ -101,7 +109,7 @@ def search_block(index: Index, lists: int, ids: np.ndarray, vectors: np.ndarray,
         score -= hair
         score[qid[:, None] == ids] = -np.inf
         pick = np.argpartition(-score, n - 1, axis=1)[:, :n]
-        exact = exact_scores(vectors[pick], q)
+        exact = exact_scores(original[pick], asked[at : at + at_once])
         exact[qid[:, None] == ids[pick]] = -np.inf
         best = np.lexsort((ids[pick], -exact), axis=1)[:, :k]
         found = np.take_along_axis(exact, best, 1)
@@ -200,11 +208,11 @@ def nearest(
     left = spread(indexed, "vec_id", "rb", row_blocks, "qb", query_blocks)
     right = spread(probed, "query_id", "qb", query_blocks, "rb", row_blocks)
 
-    def search(key, r: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
+    def search(key: tuple, r: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
         if not len(r) or not len(q):
             return pd.DataFrame({"query_id": pd.Series([], dtype="int64"), "vec_id": pd.Series([], dtype="int64"), "score": pd.Series([], dtype="float64")})
         r = r.sort_values("vec_id", kind="stable")
-        found = search_block(index, key[0], r["vec_id"].to_numpy(), _matrix(r["v"]), _matrix(q["v"]), q["query_id"].to_numpy(), k, max(rerank, int(np.ceil(share * len(r)))))
+        found = search_block(index, key[0], r["vec_id"].to_numpy(), r["v"], q["v"], q["query_id"].to_numpy(), k, max(rerank, int(np.ceil(share * len(r)))))
         return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), found)))
 
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(search, "query_id long, vec_id long, score double")
