@@ -15,9 +15,13 @@ def first_locations(chunks: DataFrame) -> DataFrame:
 
 
 def flag_new(chunks: DataFrame) -> DataFrame:
-    """chunks with is_new: whether this is the chunk's first place."""
-    first = first_locations(chunks).select("chunk_hash", F.col("file_id").alias("first_file"), F.col("chunk_idx").alias("first_idx"))
-    return chunks.join(first, "chunk_hash").withColumn("is_new", (F.col("file_id") == F.col("first_file")) & (F.col("chunk_idx") == F.col("first_idx"))).drop("first_file", "first_idx")
+    """chunks with is_new: whether this is the chunk's first place.
+
+    First places are joined by place, not by hash: places are spread evenly, while
+    one hash, such as a blank line's, may hold a large share of the rows.
+    """
+    first = first_locations(chunks).select("file_id", "chunk_idx", F.lit(True).alias("is_new"))
+    return chunks.join(first, ["file_id", "chunk_idx"], "left").withColumn("is_new", F.coalesce("is_new", F.lit(False)))
 
 
 def dedup_metrics(flagged: DataFrame, *by: str) -> DataFrame:
@@ -35,7 +39,8 @@ def dedup_metrics(flagged: DataFrame, *by: str) -> DataFrame:
 def runs_against_index(chunks: DataFrame, index: DataFrame) -> DataFrame:
     """Longest runs of consecutive chunks that match consecutive chunks of one indexed file.
 
-    index(chunk_hash, target, target_idx) holds one place a chunk. On a run the
+    index(chunk_hash, target, target_idx) holds one place a chunk, as a stored table,
+    so that adaptive execution can split a hash that many chunks have. On a run the
     difference of the places is constant, so runs are the gapless stretches of
     each (file, target, difference).
     """
