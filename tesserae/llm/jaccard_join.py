@@ -15,7 +15,7 @@ features) leaves its thin signatures out and still shares another.
 
 Signatures are shuffled once. Within a bucket each set is paired with the first
 and with the one before it; pairs pass a lower bound of the difference (the
-difference of count sketches) and then an exact comparison of the texts'
+differing bits of parity sketches) and then an exact comparison of the texts'
 shingle sets. Sets that are already connected need no more comparisons, so a
 group of near copies is never expanded into pairs: only buckets that still hold
 several components are compared pairwise, in blocks of bounded size, by sketch,
@@ -118,29 +118,35 @@ def signatures(h: np.ndarray, first: np.ndarray, bands: Bands) -> tuple[np.ndarr
 
 
 def sketches(h: np.ndarray, first: np.ndarray) -> list[bytes]:
-    """Feature counts (up to 255) in cells, a power of two between half the set's size and all of it, at least 64.
+    """Parity of the feature counts in cells, a bit each; a power of two of cells, from the set's size to twice that, at least 64.
 
-    The sum of the counts' differences is at most the sets' difference. Adding the
-    halves of a sketch gives that of half as many cells.
+    A feature of one set alone turns one bit, so differing bits are at most the
+    sets' difference. The exclusive or of a sketch's halves is the sketch with
+    half as many cells.
     """
     size = np.diff(first)
-    cells = 1 << np.maximum(6, np.ceil(np.log2(np.maximum(size, 1))).astype(np.int64) - 1)
+    cells = 1 << np.maximum(6, np.ceil(np.log2(np.maximum(size, 1))).astype(np.int64))
     base = np.concatenate([[0], np.cumsum(cells)])
     doc = np.repeat(np.arange(len(size)), size)
     cell = base[doc] + (mix(h ^ _K[3]) & (cells[doc] - 1).astype(U)).astype(np.int64)
-    counts = np.minimum(np.bincount(cell, minlength=int(base[-1])), 255).astype(np.uint8).tobytes()
-    return [counts[x:y] for x, y in zip(base[:-1].tolist(), base[1:].tolist())]
+    bits = np.packbits((np.bincount(cell, minlength=int(base[-1])) & 1).astype(np.uint8)).tobytes()
+    return [bits[x:y] for x, y in zip((base[:-1] // 8).tolist(), (base[1:] // 8).tolist())]
 
 
-def folded(sketch: np.ndarray, cells: int) -> np.ndarray:
-    """Rows of counts, folded to so many cells."""
-    sketch = sketch.astype(np.int32)
-    while sketch.shape[1] > cells:
+def folded(sketch: np.ndarray, width: int) -> np.ndarray:
+    """Rows of sketches, folded to so many bytes."""
+    while sketch.shape[1] > width:
         half = sketch.shape[1] // 2
-        sketch = sketch[:, :half] + sketch[:, half:]
+        sketch = sketch[:, :half] ^ sketch[:, half:]
     return sketch
 
 
+def differing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Differing bits of rows of equal width, a multiple of 8 bytes."""
+    x = np.ascontiguousarray(a ^ b).view(np.uint64)
+    return np.bitwise_count(x).sum(-1, dtype=np.int64)
+
+
 def set_keys(h: np.ndarray, first: np.ndarray) -> np.ndarray:
     """128-bit order-free hash of each set as two words."""
     n = len(first) - 1
@@ -185,8 +191,8 @@ def _near(num: int, den: int):
             for la, lb in np.unique(shape, axis=0).tolist():
                 at = fits[(shape == (la, lb)).all(1)]
                 left, right = (np.frombuffer(b"".join(c[i].as_py() for i in at.tolist()), np.uint8).reshape(len(at), -1) for c in (sa, sb))
-                cells = min(la, lb)
-                far[at] = np.abs(folded(left, cells) - folded(right, cells)).sum(1)
+                width = min(la, lb)
+                far[at] = differing(folded(left, width), folded(right, width))
             keep = far <= (den - num) * (x + y) // (den + num)
             yield pa.RecordBatch.from_arrays([b.column("a").filter(pa.array(keep)), b.column("b").filter(pa.array(keep)), pa.array(far[keep] / (x + y)[keep])], names=["a", "b", "far"])
 
@@ -221,10 +227,17 @@ def _linked(n: int, num: int, den: int):
 def _cross_pairs(num: int, den: int):
     """Rows sorted by block key -> pairs of different components within the sketch bound."""
 
-    def compare(key, rows) -> pa.RecordBatch:
+    def compare(rows) -> tuple[np.ndarray, np.ndarray]:
         node, comp, size, side, raw = rows
-        cells = min(map(len, raw))
-        sketch = np.concatenate([folded(np.frombuffer(x, np.uint8)[None, :], cells) for x in raw])
+        width = min(map(len, raw))
+        sketch = np.concatenate([folded(np.frombuffer(x, np.uint8)[None, :], width) for x in raw])
+        if len(node) <= 256 and not side.any():
+            i, j = np.triu_indices(len(node), 1)
+            fits = (comp[i] != comp[j]) & (den * np.minimum(size[i], size[j]) >= num * np.maximum(size[i], size[j]))
+            i, j = i[fits], j[fits]
+            near = differing(sketch[i], sketch[j]) * (den + num) <= (den - num) * (size[i] + size[j])
+            x, y = node[i[near]], node[j[near]]
+            return np.minimum(x, y), np.maximum(x, y)
         a_out, b_out = [], []
         left = np.flatnonzero(side <= 0)
         for i in left:
@@ -235,16 +248,19 @@ def _cross_pairs(num: int, den: int):
                 continue
             low, high = np.minimum(size[other], size[i]), np.maximum(size[other], size[i])
             other = other[den * low >= num * high]
-            far = np.abs(sketch[other] - sketch[i]).sum(1)
+            far = differing(sketch[other], sketch[i])
             other = other[far * (den + num) <= (den - num) * (size[other] + size[i])]
             a_out.append(np.minimum(node[other], node[i]))
             b_out.append(np.maximum(node[other], node[i]))
-        a = np.concatenate(a_out) if a_out else np.zeros(0, np.int64)
-        b = np.concatenate(b_out) if b_out else np.zeros(0, np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+        return np.concatenate(a_out or [np.zeros(0, np.int64)]), np.concatenate(b_out or [np.zeros(0, np.int64)])
+
+    def distinct(found) -> pa.RecordBatch:
+        pairs = np.unique(np.stack([np.concatenate(c) for c in zip(*found)], 1), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0], pa.int64()), pa.array(pairs[:, 1], pa.int64())], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, last = [], None
+        # a pair may meet in several buckets of a task
+        held, last, found = [], None, []
         for b in batches:
             keys = np.stack([b.column(c).to_numpy() for c in ("sig", "bi", "bj")], 1)
             cols = [b.column(c).to_numpy(zero_copy_only=False) for c in ("node", "comp", "n", "side", "sketch")]
@@ -252,12 +268,17 @@ def _cross_pairs(num: int, den: int):
             for x, y in zip(cuts, cuts[1:]):
                 key = tuple(keys[x])
                 if last is not None and key != last:
-                    yield compare(last, [np.concatenate(c) for c in zip(*held)])
+                    found.append(compare([np.concatenate(c) for c in zip(*held)]))
                     held = []
                 last = key
                 held.append([c[x:y] for c in cols])
+            if sum(len(a) for a, _ in found) > 500_000:
+                yield distinct(found)
+                found = []
         if held:
-            yield compare(last, [np.concatenate(c) for c in zip(*held)])
+            found.append(compare([np.concatenate(c) for c in zip(*held)]))
+        if found:
+            yield distinct(found)
 
     return run
 
@@ -283,9 +304,9 @@ def link_components(docs: DataFrame, n: int, num: int, den: int, id_col: str = "
     shared = signed.select("sig", "node", F.lag("node").over(bucket).alias("before"), F.lead("node").over(bucket).alias("after"), F.first("node").over(bucket.rowsBetween(Window.unboundedPreceding, 0)).alias("head"))
     shared = written(shared.where("before is not null or after is not null").select("sig", "node", "before", "head"), "buckets")
 
-    of = lambda side: nodes.select(F.col("node").alias(side), F.col("n").alias(f"n_{side}"), F.col("sketch").alias(f"s_{side}"))
+    a, b = (nodes.select(F.col("node").alias(s), F.col("n").alias(f"n_{s}"), F.col("sketch").alias(f"s_{s}")) for s in "ab")
     pairs = shared.where("head < node").select(F.col("head").alias("a"), F.col("node").alias("b")).unionByName(shared.where("head < before and before < node").select(F.col("before").alias("a"), F.col("node").alias("b"))).distinct()
-    near = written(pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(_near(num, den), "a long, b long, far double"), "near-pairs")
+    near = written(pairs.join(a, "a").join(b, "b").select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(_near(num, den), "a long, b long, far double"), "near-pairs")
 
     def verified(candidates: DataFrame) -> DataFrame:
         ids = written(candidates.select(F.col("a").alias("node")).unionByName(candidates.select(F.col("b").alias("node"))).distinct(), "pair-nodes")

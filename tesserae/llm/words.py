@@ -22,7 +22,7 @@ _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _P = 0x9E3779B97F4A7C15
 _P_INV = pow(_P, -1, 2**64)
 _STEPS = np.array([pow(0xD6E8FEB86659FD93, 2 * j + 1, 2**64) for j in range(64)], U)
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 1_000_000
 
 
 def mix(h: np.ndarray) -> np.ndarray:

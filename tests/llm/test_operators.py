@@ -187,8 +187,8 @@ def test_sketch_difference_is_a_lower_bound():
             a = np.unique(rng.integers(0, 2**63, size, dtype=np.int64).astype(np.uint64))
             b = np.unique(np.concatenate([a[drop:], rng.integers(0, 2**63, drop, dtype=np.int64).astype(np.uint64)]))
             s = [np.frombuffer(x, np.uint8)[None, :] for x in jaccard_join.sketches(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]))]
-            cells = min(x.shape[1] for x in s)
-            assert np.abs(jaccard_join.folded(s[0], cells) - jaccard_join.folded(s[1], cells)).sum() <= len(set(a.tolist()) ^ set(b.tolist()))
+            width = min(x.shape[1] for x in s)
+            assert jaccard_join.differing(jaccard_join.folded(s[0], width), jaccard_join.folded(s[1], width))[0] <= len(set(a.tolist()) ^ set(b.tolist()))
 
 
 def test_components_of_paths_and_stars(spark):
@@ -397,3 +397,6 @@ def test_neighbours_defined_results(spark):
     few = neighbours.nearest(df.where("vec_id in (0, 20)"), df.where("vec_id = 0"), k=3).collect()
     assert [(r["vec_id"], r["score"]) for r in few] == [(20, 1.0)]
     assert neighbours.nearest(df.limit(0), df.limit(0)).count() == 0
+    # double vectors are scored as such
+    fine = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.1, 1.0]), (2, [0.1 + 1e-12, 1.0])], "vec_id long, embedding array<double>")
+    assert [(r["vec_id"], r["score"]) for r in neighbours.nearest(fine, fine.where("vec_id = 0"), k=2).orderBy("rank").collect()] == [(2, 0.1 + 1e-12), (1, 0.1)]
