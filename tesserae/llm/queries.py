@@ -91,6 +91,17 @@ ORACLE_SQL = {
         SELECT pair_id, segment, part, count(*) AS n_turns, string_agg(shown, '' ORDER BY pos) AS text,
                coalesce(string_agg(CAST(begin AS BIGINT) || ':' || CAST(begin + len + 10 AS BIGINT), ',' ORDER BY pos) FILTER (role = 'assistant' AND segment <> 'prompt'), '') AS mask_spans
         FROM o GROUP BY 1, 2, 3""",
+    # every pair of documents that share a shingle, and the closure of their links
+    "op4_jaccard_join": r"""
+        WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS l FROM documents),
+             s AS (SELECT DISTINCT doc_id, array_to_string(l[i:i + 3], ' ') AS g FROM (SELECT doc_id, l, unnest(range(1, greatest(len(l) - 3, 1) + 1)) AS i FROM w WHERE len(l) > 0)),
+             n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+             p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both_ FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+             e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * both_ >= 85 * (x.n + y.n - both_)),
+             v AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+             r AS (SELECT doc_id AS d, doc_id AS o FROM n UNION SELECT r.d, v.b FROM r JOIN v ON v.a = r.o),
+             c AS (SELECT d, min(o) AS c FROM r GROUP BY 1)
+        SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(c.c, w.doc_id) AS component_id FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN c ON c.d = w.doc_id""",
     # A-Z alone are folded; DuckDB's translate does the same
     "op9_exact_dedup": """
         WITH n AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
