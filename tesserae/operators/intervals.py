@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 
 def coalesced(ranges: DataFrame, keys: list[str], start: str = "start", end: str = "end") -> DataFrame:
     """Union of the ranges of each key; ranges that touch are joined."""
-    order = Window.partitionBy(*keys).orderBy(start, end)
-    reach = F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    apart = F.coalesce(F.col(start) > reach, F.lit(True)).cast("long")
-    islands = ranges.withColumn("__apart", apart).withColumn("__island", F.sum("__apart").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    # frames by value: ranges with the same start are in the same island, whatever their order
+    order = Window.partitionBy(*keys).orderBy(start)
+    reach = F.max(end).over(order.rangeBetween(Window.unboundedPreceding, -1))
+    begins = F.when(F.coalesce(F.col(start) > F.col("__reach"), F.lit(True)), F.col(start))
+    islands = ranges.withColumn("__reach", reach).withColumn("__island", F.max(begins).over(order.rangeBetween(Window.unboundedPreceding, 0)))
     return islands.groupBy(*keys, "__island").agg(F.min(start).alias(start), F.max(end).alias(end), F.count("*").alias("n_ranges")).drop("__island")
 
 

@@ -176,8 +176,8 @@ def reconstruct_bytes_equal(spark, sf_dir):
 
 @registered(
     sql_with(
-        """SELECT file_id, min(s) AS start, max(e) AS end, count(*) AS n_ranges FROM (SELECT *, sum(CASE WHEN s > reach OR reach IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY file_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS isl FROM
-        (SELECT *, max(e) OVER (PARTITION BY file_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM (SELECT file_id, chunk_idx * 97 % 1000 AS s, chunk_idx * 97 % 1000 + length % 120 AS e FROM chunks))) GROUP BY file_id, isl""",
+        """SELECT file_id, min(s) AS start, max(e) AS end, count(*) AS n_ranges FROM (SELECT *, max(CASE WHEN s > reach OR reach IS NULL THEN s END) OVER (PARTITION BY file_id ORDER BY s) AS isl FROM
+        (SELECT *, max(e) OVER (PARTITION BY file_id ORDER BY s RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM (SELECT file_id, chunk_idx * 97 % 1000 AS s, chunk_idx * 97 % 1000 + length % 120 AS e FROM chunks))) GROUP BY file_id, isl""",
         "chunks",
     )
 )
@@ -369,8 +369,8 @@ def _spans(segs):
 
 SPANS = """spans AS (SELECT file_id, seg_idx, u - bytes AS seg_start, u AS seg_end FROM (SELECT *, CAST(sum(bytes) OVER (PARTITION BY file_id ORDER BY seg_idx) AS BIGINT) AS u FROM segments) WHERE bytes > 0),
     wide AS (SELECT ed.file_id, coalesce(max(seg_start) FILTER (seg_start <= s), s) AS ws, coalesce(min(seg_end) FILTER (seg_end >= e), e) AS we FROM ed JOIN spans USING (file_id) GROUP BY ed.file_id, s, e),
-    win AS (SELECT file_id, min(ws) AS start_, max(we) AS end_, count(*) AS n_edits FROM (SELECT *, sum(CASE WHEN ws > reach OR reach IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY file_id ORDER BY ws, we ROWS UNBOUNDED PRECEDING) AS isl FROM
-        (SELECT *, max(we) OVER (PARTITION BY file_id ORDER BY ws, we ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM wide)) GROUP BY file_id, isl)"""
+    win AS (SELECT file_id, min(ws) AS start_, max(we) AS end_, count(*) AS n_edits FROM (SELECT *, max(CASE WHEN ws > reach OR reach IS NULL THEN ws END) OVER (PARTITION BY file_id ORDER BY ws) AS isl FROM
+        (SELECT *, max(we) OVER (PARTITION BY file_id ORDER BY ws RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM wide)) GROUP BY file_id, isl)"""
 
 
 @registered(sql_with("SELECT file_id, start_ AS start, end_ AS end, n_edits FROM win", "segments", extra=EDITS + ", " + SPANS))

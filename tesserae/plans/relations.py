@@ -82,8 +82,8 @@ CTES = {
               FROM parts WHERE f_start + c_len > start_ AND f_start < end_ GROUP BY query_id, seg_idx, container_hash))""",
     "fetches": """fetches AS (SELECT j.query_id, j.container_hash, j.s AS chunk_start, j.e AS chunk_end, a.byte_start, b.byte_start + b.length AS byte_end FROM
         (SELECT query_id, container_hash, isl, min(chunk_start) AS s, max(chunk_end) AS e FROM
-            (SELECT *, sum(CASE WHEN chunk_start > reach OR reach IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY query_id, container_hash ORDER BY chunk_start, chunk_end ROWS UNBOUNDED PRECEDING) AS isl FROM
-                (SELECT *, max(chunk_end) OVER (PARTITION BY query_id, container_hash ORDER BY chunk_start, chunk_end ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM terms)) GROUP BY 1, 2, 3) j
+            (SELECT *, max(CASE WHEN chunk_start > reach OR reach IS NULL THEN chunk_start END) OVER (PARTITION BY query_id, container_hash ORDER BY chunk_start) AS isl FROM
+                (SELECT *, max(chunk_end) OVER (PARTITION BY query_id, container_hash ORDER BY chunk_start RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM terms)) GROUP BY 1, 2, 3) j
         JOIN placed a ON a.container_hash = j.container_hash AND a.chunk_idx = j.s JOIN placed b ON b.container_hash = j.container_hash AND b.chunk_idx = j.e - 1)""",
     "shards": """shards AS (SELECT shard_id, shard_id % 3 AS kind, shard_id * 37 % 101 AS created, shard_id * 53 % 211 AS expires, n * 48 + 200 AS size, n AS n_chunks FROM (SELECT file_id // 20 AS shard_id, count(*) AS n FROM chunks GROUP BY 1))""",
 }

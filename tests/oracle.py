@@ -27,4 +27,5 @@ def rows(columns, values):
 
 def assert_same(df, con, sql):
     want = con.sql(sql)
-    assert rows(df.columns, [tuple(r) for r in df.collect()]) == rows(want.columns, want.fetchall())
+    got, wanted = rows(df.columns, [tuple(r) for r in df.collect()]), rows(want.columns, want.fetchall())
+    assert got == wanted, (len(got[1]), len(wanted[1]), [x for x in wanted[1] if x not in set(got[1])][:3])
