@@ -18,8 +18,9 @@ and with the one before it; pairs pass a lower bound of the difference (the
 differing bits of parity sketches) and then an exact comparison of the texts'
 shingle sets. Sets that are already connected need no more comparisons, so a
 group of near copies is never expanded into pairs: only buckets that still hold
-several components are compared pairwise, in blocks of bounded size, by sketch,
-and what passes is compared exactly. Equal sets are folded first. The result is
+several components are compared pairwise, in blocks of bounded size, by sketch;
+sets that have a partner left are compared once more by larger sketches, and what
+passes is compared exactly. Equal sets are folded first. The result is
 every component of the link graph, exactly; no candidate is dropped.
 
 Defined results: a row without words has an empty set, 0 shingles and itself as
@@ -42,8 +43,10 @@ from .components import components
 from .shared import written
 from .words import U, mix, shingles, slices, split_words
 
+FINE = 16
 THIN = 2
 BLOCK = 2000
+DESCRIBED = "node long, n long, key1 long, key2 long, sketch binary"
 _K = [U(x) for x in (0x8CB92BA72F3D8DD7, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xA0761D6478BD642F)]
 
 
@@ -117,15 +120,15 @@ def signatures(h: np.ndarray, first: np.ndarray, bands: Bands) -> tuple[np.ndarr
     return np.concatenate(out_sig), np.concatenate(out_doc)
 
 
-def sketches(h: np.ndarray, first: np.ndarray) -> list[bytes]:
-    """Parity of the feature counts in cells, a bit each; a power of two of cells, from the set's size to twice that, at least 64.
+def sketches(h: np.ndarray, first: np.ndarray, fine: int = 1) -> list[bytes]:
+    """Parity of the feature counts in cells, a bit each; a power of two of cells, from ``fine`` times the set's size to twice that, at least 64.
 
     A feature of one set alone turns one bit, so differing bits are at most the
     sets' difference. The exclusive or of a sketch's halves is the sketch with
     half as many cells.
     """
     size = np.diff(first)
-    cells = 1 << np.maximum(6, np.ceil(np.log2(np.maximum(size, 1))).astype(np.int64))
+    cells = 1 << np.maximum(6, np.ceil(np.log2(np.maximum(size * fine, 1))).astype(np.int64))
     base = np.concatenate([[0], np.cumsum(cells)])
     doc = np.repeat(np.arange(len(size)), size)
     cell = base[doc] + (mix(h ^ _K[3]) & (cells[doc] - 1).astype(U)).astype(np.int64)
@@ -154,13 +157,13 @@ def set_keys(h: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.stack([set_sums(h, doc, n)[0], set_sums(h ^ _K[2], doc, n)[0]], 1)
 
 
-def _describe(n: int):
+def _describe(n: int, fine: int = 1):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, j, data, offsets in slices(b.column("text")):
                 h, first = shingles(split_words(data, offsets), n)
                 keys = set_keys(h, first).view(np.int64)
-                columns = [b.column("node").slice(i, j - i), pa.array(np.diff(first), pa.int64()), pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array(sketches(h, first), pa.binary())]
+                columns = [b.column("node").slice(i, j - i), pa.array(np.diff(first), pa.int64()), pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array(sketches(h, first, fine), pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names=["node", "n", "key1", "key2", "sketch"])
 
     return run
@@ -224,8 +227,8 @@ def _linked(n: int, num: int, den: int):
     return run
 
 
-def _cross_pairs(num: int, den: int):
-    """Rows sorted by block key -> pairs of different components within the sketch bound."""
+def _cross_pairs(num: int, den: int, nodes_only: bool = False):
+    """Rows sorted by block key -> pairs of different components within the sketch bound, or the nodes of such pairs."""
 
     def compare(rows) -> tuple[np.ndarray, np.ndarray]:
         node, comp, size, side, raw = rows
@@ -255,6 +258,8 @@ def _cross_pairs(num: int, den: int):
         return np.concatenate(a_out or [np.zeros(0, np.int64)]), np.concatenate(b_out or [np.zeros(0, np.int64)])
 
     def distinct(found) -> pa.RecordBatch:
+        if nodes_only:
+            return pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate([x for ab in found for x in ab])), pa.int64())], names=["node"])
         pairs = np.unique(np.stack([np.concatenate(c) for c in zip(*found)], 1), axis=0)
         return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0], pa.int64()), pa.array(pairs[:, 1], pa.int64())], names=["a", "b"])
 
@@ -291,7 +296,7 @@ def _matching(df: DataFrame, ids: DataFrame, how: str, bound: int = 1_000_000) -
 def link_components(docs: DataFrame, n: int, num: int, den: int, id_col: str = "doc_id", text_col: str = "text", n2: int = 2) -> DataFrame:
     """doc_id, n_shingles, component_id of every row; links at Jaccard >= num / den on n-word shingles."""
     source = docs.select(F.col(id_col).cast("long").alias("node"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = written(source.mapInArrow(_describe(n), "node long, n long, key1 long, key2 long, sketch binary"), "sets")
+    rows = written(source.mapInArrow(_describe(n), DESCRIBED), "sets")
     full = rows.where("n > 0 and node is not null")
     classes = written(full.groupBy("n", "key1", "key2").agg(F.min("node").alias("rep")), "set-classes")
     # one row a node; a node with several texts stands for its smallest class
@@ -333,15 +338,25 @@ def link_components(docs: DataFrame, n: int, num: int, den: int, id_col: str = "
         links = links.unionByName(more)
         comp = parts(links)
 
-    # the first set of a bucket has been compared with all others, so two sets need no more
+    def open_cells(held: DataFrame, sketched: DataFrame, least: int) -> DataFrame:
+        """Sets of buckets that hold several components, a row for each pair of blocks of a bucket that a set is in."""
+        buckets = held.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("sets")).where(f"lo <> hi and sets >= {least}").select("sig", F.ceil(F.col("sets") / BLOCK).alias("blocks"))
+        cells = held.join(buckets, "sig").join(sketched.select("node", "n", "sketch"), "node").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")))
+        cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+        side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), -1).otherwise(1).cast("int")
+        cells = cells.select("sig", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"), side.alias("side"), "node", "comp", "n", "sketch")
+        return cells.repartition("sig", "bi", "bj").sortWithinPartitions("sig", "bi", "bj")
+
     held = written(shared.select("sig", "node").join(comp.select(F.col("rep").alias("node"), "comp"), "node"), "bucket-parts")
-    open_ = held.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("sets")).where("lo <> hi and sets > 2").select("sig", F.ceil(F.col("sets") / BLOCK).alias("blocks"))
-    cells = held.join(open_, "sig").join(nodes.select("node", "n", "sketch"), "node").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")))
-    cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), -1).otherwise(1).cast("int")
-    cells = cells.select("sig", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"), side.alias("side"), "node", "comp", "n", "sketch")
-    left = cells.repartition("sig", "bi", "bj").sortWithinPartitions("sig", "bi", "bj").mapInArrow(_cross_pairs(num, den), "a long, b long").distinct()
-    left = written(left, "open-pairs")
+    # the first set of a bucket has been compared with all others, so buckets of two need no more;
+    # which sets have a partner by the small sketch; then pairs of those by one that is nearly exact
+    close = written(open_cells(held, nodes, 3).mapInArrow(_cross_pairs(num, den, nodes_only=True), "node long").distinct(), "open-nodes")
+    if close.isEmpty():
+        left = close
+    else:
+        fine = written(_matching(source, close, "left_semi").mapInArrow(_describe(n, FINE), DESCRIBED).select("node", "n", "sketch"), "fine-sketches")
+        few = written(_matching(held, close, "left_semi"), "open-parts")
+        left = written(open_cells(few, fine, 2).mapInArrow(_cross_pairs(num, den), "a long, b long").distinct(), "open-pairs")
     if not left.isEmpty():
         comp = parts(links.unionByName(written(verified(left), "links")))
 
