@@ -23,31 +23,45 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import written
+
 START, END = "<|im_start|>", "<|im_end|>"
 
 
-def ordered_turns(conversations: DataFrame) -> DataFrame:
-    """conv_id, pos from 0, role, text, digest."""
+def ordered_turns(conversations: DataFrame, most: int | None = None) -> DataFrame:
+    """conv_id, pos from 0, role, text, digest; of the first ``most`` turns of each conversation, or of all."""
     turns = conversations.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     turns = turns.withColumn("digest", F.sha2(F.concat_ws("\n", F.length("role").cast("string"), "role", "text"), 256))
     order = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
-    return turns.select("conv_id", (F.row_number().over(order) - 1).cast("long").alias("pos"), "role", "text", "digest")
+    turns = turns.withColumn("nth", F.row_number().over(order))
+    if most is not None:
+        turns = turns.where(F.col("nth") <= most)  # Spark drops the others before it shuffles
+    return turns.select("conv_id", (F.col("nth") - 1).cast("long").alias("pos"), "role", "text", "digest")
 
 
 def pair_by_first_turn(turns: DataFrame, hot: int = 1000) -> DataFrame:
     """conv_id, pair_id, side (0 chosen, 1 rejected), alone.
 
     Conversations with the same first turn are paired in order of id: first with
-    second, third with fourth. A first turn with more than ``hot`` conversations is
-    split by id hash into groups of about that size, and pairs are made within them.
+    second, third with fourth. All are sorted by (first turn, id) in ranges, of
+    ``hot`` conversations at least on average; a conversation's rank is its place
+    within the range and the counts of its first turn in earlier ranges, so that
+    no task holds a whole first turn.
     """
-    firsts = turns.where("pos = 0").select("conv_id", F.col("digest").alias("first"))
-    groups = firsts.groupBy("first").agg(F.ceil(F.count("*") / hot).alias("groups"))
-    split = firsts.join(groups, "first").withColumn("group", F.pmod(F.xxhash64("conv_id"), F.col("groups")))
-    by = Window.partitionBy("first", "group").orderBy("conv_id")
-    placed = split.select("conv_id", "first", "group", (F.row_number().over(by) - 1).alias("k"), F.lead("conv_id").over(by).alias("next"), F.lag("conv_id").over(by).alias("last"))
-    side = (F.col("k") % 2).cast("int")
-    return placed.select("conv_id", F.when(side == 0, F.col("conv_id")).otherwise(F.col("last")).alias("pair_id"), side.alias("side"), ((side == 0) & F.col("next").isNull()).alias("alone"))
+    firsts = written(turns.where("pos = 0").select("conv_id", F.col("digest").alias("first")), "first-turns")
+    most = int(firsts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = min(most, firsts.count() // hot + 1)
+    # the id has the range in its upper bits and the place within the range in the lower 33
+    placed = firsts.repartitionByRange(ranges, "first", "conv_id").sortWithinPartitions("first", "conv_id").withColumn("id", F.monotonically_increasing_id())
+    placed = written(placed, "first-turn-places")
+    placed = placed.withColumn("range", F.shiftright("id", 33))
+    counts = placed.groupBy("first", "range").agg(F.min("id").alias("begin"), F.count("*").alias("n"))
+    earlier = Window.partitionBy("first").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    counts = counts.select("first", "range", "begin", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    ranked = placed.join(counts, ["first", "range"]).withColumn("pair", F.floor((F.col("id") - F.col("begin") + F.col("before")) / 2))
+    pairs = ranked.groupBy("first", "pair").agg(F.array_sort(F.collect_list(F.struct("conv_id"))).alias("both"))  # at most two
+    pairs = pairs.select(F.col("both")[0]["conv_id"].alias("pair_id"), (F.size("both") == 1).alias("alone"), F.posexplode("both").alias("side", "of"))
+    return pairs.select(F.col("of")["conv_id"].alias("conv_id"), "pair_id", "side", "alone")
 
 
 def rendered(role: Column, text: Column) -> Column:
@@ -89,5 +103,4 @@ def format_pairs(turns: DataFrame, pairs: DataFrame, part_turns: int = 64) -> Da
 
 
 def format_conversations(conversations: DataFrame) -> DataFrame:
-    turns = ordered_turns(conversations)
-    return format_pairs(turns, pair_by_first_turn(turns))
+    return format_pairs(ordered_turns(conversations), pair_by_first_turn(ordered_turns(conversations, 1)))

@@ -78,7 +78,6 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
-    # first turns with over 1000 conversations would be split; the tables that this is held against have none
     "op3_preference_pairs": """
         WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS pos, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations),
              f AS (SELECT conv_id, row_number() OVER w - 1 AS k, lead(conv_id) OVER w AS nxt, lag(conv_id) OVER w AS lst FROM t WHERE pos = 0 WINDOW w AS (PARTITION BY role, text ORDER BY conv_id)),

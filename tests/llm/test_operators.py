@@ -135,6 +135,16 @@ def test_long_and_hot_conversations(spark):
     assert pairs.count() == 31 and pairs.where("conv_id >= 10").groupBy("pair_id", "side").count().where("count > 1").isEmpty()
 
 
+def test_hot_first_turns_pair_in_order_of_id(spark):
+    ids = random.Random(7).sample(range(10**6), 2999)
+    df = spark.createDataFrame([(c, 0, "user", "hot") for c in ids] + [(-c, 0, "user", f"rare {c % 3}") for c in range(1, 8)], "conv_id long, turn long, role string, text string")
+    want = set()
+    for group in (sorted(ids), *(sorted(-c for c in range(1, 8) if c % 3 == k) for k in range(3))):
+        want |= {(c, group[k - k % 2], k % 2, k % 2 == 0 and k + 1 == len(group)) for k, c in enumerate(group)}
+    for hot in (1000, 7, 10**6):
+        assert {tuple(r) for r in preferences.pair_by_first_turn(preferences.ordered_turns(df), hot).select("conv_id", "pair_id", "side", "alone").collect()} == want
+
+
 # 4
 
 
