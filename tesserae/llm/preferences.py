@@ -14,8 +14,8 @@ DataFrame functions alone are used.
 Defined results: null role and text count as empty; turns that tie are ordered by
 role and text; repeated rows are turns of their own; a conversation without a
 partner has all turns but its last as prompt, the last as chosen and no rejected
-rows; a completion without turns has no rows; a null conv_id is a conversation
-of its own; other columns are ignored; an empty table gives an empty result.
+rows; a completion without turns has no rows; the turns with a null conv_id
+are one conversation, which has no partner; other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,14 +29,17 @@ START, END = "<|im_start|>", "<|im_end|>"
 
 
 def ordered_turns(conversations: DataFrame, most: int | None = None) -> DataFrame:
-    """conv_id, pos from 0, role, text, digest; of the first ``most`` turns of each conversation, or of all."""
-    turns = conversations.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    """conv_id, conv, pos from 0, role, text, digest; of the first ``most`` turns of each conversation, or of all.
+
+    conv is the id in a struct: it is never null, so joins on it keep a null id.
+    """
+    turns = conversations.select("conv_id", F.struct("conv_id").alias("conv"), "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     turns = turns.withColumn("digest", F.sha2(F.concat_ws("\n", F.length("role").cast("string"), "role", "text"), 256))
-    order = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
+    order = Window.partitionBy("conv").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
     turns = turns.withColumn("nth", F.row_number().over(order))
     if most is not None:
         turns = turns.where(F.col("nth") <= most)  # Spark drops the others before it shuffles
-    return turns.select("conv_id", (F.col("nth") - 1).cast("long").alias("pos"), "role", "text", "digest")
+    return turns.select("conv_id", "conv", (F.col("nth") - 1).cast("long").alias("pos"), "role", "text", "digest")
 
 
 def pair_by_first_turn(turns: DataFrame, hot: int = 1000) -> DataFrame:
@@ -46,9 +49,10 @@ def pair_by_first_turn(turns: DataFrame, hot: int = 1000) -> DataFrame:
     second, third with fourth. All are sorted by (first turn, id) in ranges, of
     ``hot`` conversations at least on average; a conversation's rank is its place
     within the range and the counts of its first turn in earlier ranges, so that
-    no task holds a whole first turn.
+    no task holds a whole first turn. The conversation without id has no partner.
     """
-    firsts = written(turns.where("pos = 0").select("conv_id", F.col("digest").alias("first")), "first-turns")
+    first = F.when(F.col("conv_id").isNull(), "").otherwise(F.col("digest"))  # "" is no digest
+    firsts = written(turns.where("pos = 0").select("conv_id", first.alias("first")), "first-turns")
     most = int(firsts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranges = min(most, firsts.count() // hot + 1)
     # the id has the range in its upper bits and the place within the range in the lower 33
@@ -70,16 +74,17 @@ def rendered(role: Column, text: Column) -> Column:
 
 def format_pairs(turns: DataFrame, pairs: DataFrame, part_turns: int = 64) -> DataFrame:
     """pair_id, segment, part, n_turns, text, mask_spans array<struct<start, end>>."""
-    slim = turns.select("conv_id", "pos", "digest").join(pairs, "conv_id")
-    at = slim.groupBy("pair_id", "pos").agg(F.count("*").alias("n"), F.min("digest").alias("lo"), F.max("digest").alias("hi"), F.max("alone").alias("alone"))
+    pairs = pairs.select(F.struct("conv_id").alias("conv"), F.struct("pair_id").alias("pair"), "side", "alone")
+    slim = turns.select("conv", "pos", "digest").join(pairs, "conv")
+    at = slim.groupBy("pair", "pos").agg(F.count("*").alias("n"), F.min("digest").alias("lo"), F.max("digest").alias("hi"), F.max("alone").alias("alone"))
     same = (F.col("n") == 2) & (F.col("lo") == F.col("hi"))
-    prefix = at.groupBy("pair_id").agg(F.when(F.max("alone"), F.max("pos")).otherwise(F.coalesce(F.min(F.when(~same, F.col("pos"))), F.max("pos") + 1)).alias("prefix"))
-    placed = turns.join(pairs, "conv_id").join(prefix, "pair_id")
+    prefix = at.groupBy("pair").agg(F.when(F.max("alone"), F.max("pos")).otherwise(F.coalesce(F.min(F.when(~same, F.col("pos"))), F.max("pos") + 1)).alias("prefix"))
+    placed = turns.join(pairs, "conv").join(prefix, "pair")
     segment = F.when(F.col("pos") < F.col("prefix"), "prompt").when(F.col("side") == 0, "chosen").otherwise("rejected")
     placed = placed.where(~((F.col("pos") < F.col("prefix")) & (F.col("side") == 1)))
 
     shown = placed.select(
-        "pair_id",
+        "pair",
         segment.alias("segment"),
         F.floor(F.col("pos") / part_turns).cast("long").alias("part"),
         F.struct(
@@ -90,7 +95,7 @@ def format_pairs(turns: DataFrame, pairs: DataFrame, part_turns: int = 64) -> Da
             (F.col("role") == "assistant").alias("trained"),
         ).alias("t"),
     )
-    parts = shown.groupBy("pair_id", "segment", "part").agg(F.array_sort(F.collect_list("t")).alias("ts"))  # at most part_turns items
+    parts = shown.groupBy("pair", "segment", "part").agg(F.array_sort(F.collect_list("t")).alias("ts"))  # at most part_turns items
     start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("spans"))
 
     def step(acc, t):
@@ -99,7 +104,7 @@ def format_pairs(turns: DataFrame, pairs: DataFrame, part_turns: int = 64) -> Da
         return F.struct((acc["at"] + F.length(t["shown"])).cast("long").alias("at"), F.when(t["trained"], F.array_append(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
 
     spans = F.when(F.col("segment") == "prompt", F.array().cast("array<struct<start:bigint,end:bigint>>")).otherwise(F.aggregate("ts", start, step)["spans"])
-    return parts.select("pair_id", "segment", "part", F.size("ts").cast("long").alias("n_turns"), F.array_join(F.transform("ts", lambda t: t["shown"]), "").alias("text"), spans.alias("mask_spans"))
+    return parts.select("pair.pair_id", "segment", "part", F.size("ts").cast("long").alias("n_turns"), F.array_join(F.transform("ts", lambda t: t["shown"]), "").alias("text"), spans.alias("mask_spans"))
 
 
 def format_conversations(conversations: DataFrame) -> DataFrame:

@@ -145,6 +145,14 @@ def test_hot_first_turns_pair_in_order_of_id(spark):
         assert {tuple(r) for r in preferences.pair_by_first_turn(preferences.ordered_turns(df), hot).select("conv_id", "pair_id", "side", "alone").collect()} == want
 
 
+def test_a_null_conversation_has_no_partner(spark):
+    turns = [(None, 0, "user", "hi"), (None, 1, "assistant", "lost"), (1, 0, "user", "hi"), (1, 1, "assistant", "a"), (2, 0, "user", "hi"), (2, 1, "assistant", "b"), (3, 0, "user", "hi"), (3, 1, "assistant", "c")]
+    for kind in ("long", "string"):
+        df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").withColumn("conv_id", F.col("conv_id").cast(kind))
+        got = {(r["pair_id"] and int(r["pair_id"]), r["segment"]): r["text"].split("\n")[1].removesuffix("<|im_end|>") for r in preferences.format_conversations(df).collect()}
+        assert got == {(None, "prompt"): "hi", (None, "chosen"): "lost", (1, "prompt"): "hi", (1, "chosen"): "a", (1, "rejected"): "b", (3, "prompt"): "hi", (3, "chosen"): "c"}
+
+
 # 4
 
 
