@@ -96,7 +96,8 @@ def group_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with their columns."""
+    """The rows of ``docs`` that stay, with their columns; an id may be null or stand for several texts."""
     groups = group_copies(docs, id_col, text_col)
-    gone = groups.where(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs[id_col].eqNullSafe(F.col("__gone")), "left_anti")
+    gone = groups.where(~F.col("kept")).select(F.col("doc_id").alias("__gone"), F.col("text_sha256").alias("__gone_text")).distinct()
+    rows = docs.withColumn("__text", F.sha2(normalised(text_col).cast("binary"), 256))
+    return rows.join(gone, rows[id_col].eqNullSafe(F.col("__gone")) & (F.col("__text") == F.col("__gone_text")), "left_anti").drop("__text")

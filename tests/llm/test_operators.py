@@ -387,6 +387,13 @@ def test_exact_groups_with_and_without_clashes(spark):
     assert kept.columns == df.columns and {r["doc_id"] for r in kept.collect()} == {max(v) for v in groups.values()}
 
 
+def test_dropped_copies_are_rows_not_ids(spark):
+    docs = [(None, "one"), (None, "Two"), (None, "only"), (3, "ONE"), (5, "a"), (9, "A"), (5, "b"), (5, None), (6, "")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    kept = exact_dedup.drop_copies(df)
+    assert kept.columns == df.columns and {tuple(r) for r in kept.collect()} == {(None, "Two"), (None, "only"), (3, "ONE"), (9, "A"), (5, "b"), (6, "")}
+
+
 # 10
 
 
