@@ -3,7 +3,7 @@
 Three pattern kinds (assign, access, hex) and the token-efficiency test: a long
 unbroken string whose characters per token under a tiktoken vocabulary fall
 under ``min_chars_per_token`` reads like random data, unless it is a known
-digest or an identifier. Each row is scanned alone, in one pass, with no
+digest or an identifier, whose words have to pass the same test themselves. Each row is scanned alone, in one pass, with no
 shuffle. Spans are code point offsets, end exclusive, sorted by start and then
 by kind in the order of ``KINDS``.
 
@@ -33,6 +33,7 @@ _DIGEST = re.compile(r"(?:[0-9a-f]+|[0-9A-F]+)\Z")
 _DIGEST_SIZES = frozenset({32, 40, 48, 56, 64, 96, 128})
 _UUID = re.compile(r"[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}\Z")
 _PARTS = re.compile(r"[+/_=-]+|(?<=[a-z])(?=[A-Z])")
+LONG = 8
 _WORDLIKE = re.compile(r"(?:[A-Za-z]+|[0-9]+|[A-Za-z]+[0-9]{1,4}|v[0-9]+)\Z")
 
 
@@ -56,11 +57,21 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return found
 
 
-def is_known(run: str) -> bool:
-    """A digest in hex of a usual size, a UUID, or an identifier: words and short numbers with separators."""
+def is_known(run: str, encoding, min_chars_per_token: float) -> bool:
+    """A digest in hex of a usual size, a UUID, or an identifier: words and short numbers with separators.
+
+    Letters are words if they have the characters per token of words: each part of
+    LONG letters or more by itself, and all parts together, as a short one tells little.
+    """
     if _UUID.match(run) or len(run) in _DIGEST_SIZES and _DIGEST.match(run):
         return True
-    return all(_WORDLIKE.match(p) for p in _PARTS.split(run) if p)
+    parts = [p for p in _PARTS.split(run) if p]
+    if not all(_WORDLIKE.match(p) for p in parts):
+        return False
+    words = [w for p in parts if (w := p.rstrip("0123456789"))]
+    tokens = [len(encoding.encode_ordinary(w)) for w in words]
+    wordlike = all(len(w) >= min_chars_per_token * n for w, n in zip(words, tokens) if len(w) >= LONG)
+    return wordlike and sum(map(len, words)) >= min_chars_per_token * sum(tokens)
 
 
 def random_spans(text: str, taken: list[tuple[str, int, int]], encoding, min_chars_per_token: float) -> list[tuple[str, int, int]]:
@@ -68,7 +79,7 @@ def random_spans(text: str, taken: list[tuple[str, int, int]], encoding, min_cha
     for m in _RUN.finditer(text):
         start, end = m.span()
         run = m[0]
-        if is_known(run) or not (any(map(str.isdigit, run)) and any(map(str.isalpha, run))):
+        if not any(map(str.isalpha, run)) or is_known(run, encoding, min_chars_per_token):
             continue
         if any(a < end and start < b for _, a, b in taken):
             continue

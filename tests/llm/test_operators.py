@@ -366,6 +366,18 @@ def test_random_strings_stand_out():
         assert find(calm) == []
 
 
+def test_random_letters_stand_out():
+    encoding = secrets._encoding(P.path("byte_bpe_50k.tiktoken"))
+    find = lambda t: secrets.random_spans(t, secrets.base_spans(t), encoding, 2.2)
+    for key in ("xkqzjvwpthgmrbnclsdf", "kQzXvJwPtHgMrBnClSdF", "qzxvkjwpthgmrbncls4821", "configuration_xkqzjvwpthgmrbnclsdf_2"):
+        assert find(f"see {key} here") == [("random", 4, 4 + len(key))]
+    rng = random.Random(6)
+    keys = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ") for _ in range(24)) for _ in range(500)]
+    assert sum(find(k) == [("random", 0, 24)] for k in keys) >= 495
+    for calm in ("Rechtsschutzversicherungsgesellschaften", "handle_get_by_id_or_name", "THIS_IS_A_CONSTANT_NAME", "my-long-kebab-case-name-of-css", "getHTTPResponseCodeFromURL", "12345678901234567890", "a-b-c/2024-01-02/internationalization", "-" * 30):
+        assert find(calm) == []
+
+
 # 9
 
 
