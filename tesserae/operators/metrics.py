@@ -42,6 +42,46 @@ def ewma(samples: DataFrame, key: str, order: str, value: str, half_life: float,
     return samples.withColumn("recent", recent).withColumn("ewma", total(lambda s: s["x"] * decay(s)) / total(decay)).drop("recent")
 
 
+#: Half-lives in a block, and blocks to look back on: what is older is below the least double, however large the values.
+SPAN, REACH = 16, 134
+
+
+def ewma_whole(samples: DataFrame, key: str, order: str, value: str, half_life: float, weight: Column | None = None) -> DataFrame:
+    """The same over all samples so far, however old: sum of values over sum of weights (1 without ``weight``), both decayed.
+
+    Sums run inside blocks of ``SPAN`` half-lives, on top of a carry from the
+    sums of earlier blocks; so powers stay small, work is in proportion to the
+    rows, and a task holds a key's block. Null values are left out; before the
+    first value ewma is null.
+    """
+    length = SPAN * half_life
+    s = samples.withColumn("__block", F.floor(F.col(order) / F.lit(length)))
+    up = F.pow(F.lit(2.0), (F.col(order) - F.col("__block") * F.lit(length)) / F.lit(float(half_life)))
+    x = F.col(value).cast("double")
+    s = s.withColumn("__x", x * up).withColumn("__w", F.when(x.isNotNull(), (F.lit(1.0) if weight is None else weight.cast("double")) * up))
+    s = s.withColumn("__at", F.struct(F.col(key).alias("key"), F.col("__block").alias("block")))
+    sums = s.groupBy("__at").agg(F.coalesce(F.sum("__x"), F.lit(0.0)).alias("x"), F.coalesce(F.sum("__w"), F.lit(0.0)).alias("w"))
+    earlier = Window.partitionBy("__at.key").orderBy("__at.block").rangeBetween(-REACH, -1)
+    sums = sums.withColumn("__past", F.collect_list(F.struct(F.col("__at.block").alias("block"), "x", "w")).over(earlier))  # at most REACH items
+
+    def carried(c: str) -> Column:
+        half = lambda b: F.pow(F.lit(2.0), (b["block"] - F.col("__at.block")) * F.lit(SPAN / 2))
+        return F.aggregate("__past", F.lit(0.0), lambda acc, b: acc + b[c] * half(b) * half(b))  # in halves, as the whole power may be no double
+
+    carry = sums.select("__at", carried("x").alias("__cx"), carried("w").alias("__cw"))
+    inside = Window.partitionBy("__at").orderBy(order)
+    total = lambda c: F.col(f"__c{c}") + F.coalesce(F.sum(f"__{c}").over(inside), F.lit(0.0))
+    out = s.join(carry, "__at").withColumn("__x", total("x")).withColumn("__w", total("w"))
+    return out.withColumn("ewma", F.col("__x") / F.nullif("__w", F.lit(0.0))).drop("__at", "__block", "__x", "__w", "__cx", "__cw")
+
+
+def ewma_by_count(samples: DataFrame, key: str, order: str, value: str, half_life: float, weight: Column | None = None) -> DataFrame:
+    """The same, decayed by the weights of later samples instead of by time; ``order`` has no ties within a key."""
+    so_far = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    counted = samples.withColumn("__n", F.sum(F.lit(1.0) if weight is None else weight.cast("double")).over(so_far))
+    return ewma_whole(counted, key, "__n", value, half_life, weight).drop("__n")
+
+
 def ew_regression(points: DataFrame, key: str, order: str, half_life: float, at: float) -> DataFrame:
     """Exponentially weighted least squares of y on x, by key, after the last point.
 

@@ -489,9 +489,18 @@ def timeline_summary(spark, sf_dir):
     FROM (SELECT event_id, client_id, ts_ms FROM s) x JOIN (SELECT client_id, ts_ms, value FROM s) y ON y.client_id = x.client_id AND y.ts_ms <= x.ts_ms AND y.ts_ms >= x.ts_ms - 172800000 GROUP BY 1"""
 )
 def ewma_rate(spark, sf_dir):
+    """Of the last 8 half-lives; ewma_rate_whole is of all samples."""
     return metrics.ewma(_samples(spark, sf_dir), "client_id", "ts_ms", "value", 21_600_000, 8).select("event_id", F.round("ewma", 5).alias("ewma"))
 
 
+@registered(
+    f"""WITH {SAMPLES} SELECT x.event_id, round(sum(y.value * pow(2.0, (y.ts_ms - x.ts_ms) / 21600000.0)) / sum(pow(2.0, (y.ts_ms - x.ts_ms) / 21600000.0)), 5) AS ewma
+    FROM s x LEFT JOIN s y ON y.client_id = x.client_id AND y.ts_ms <= x.ts_ms AND y.value IS NOT NULL GROUP BY 1"""
+)
+def ewma_rate_whole(spark, sf_dir):
+    return metrics.ewma_whole(_samples(spark, sf_dir), "client_id", "ts_ms", "value", 21_600_000).select("event_id", F.round("ewma", 5).alias("ewma"))
+
+
 @registered(
     f"""WITH {SAMPLES}, p AS (SELECT client_id, CAST(json_extract(props, '$.k') AS DOUBLE) AS x, value AS y, pow(2.0, -(row_number() OVER (PARTITION BY client_id ORDER BY event_id DESC) - 1) / 20.0) AS w FROM s),
     m AS (SELECT client_id, count(*) AS n, sum(w) AS sw, sum(w * x) AS sx, sum(w * y) AS sy, sum(w * x * x) AS sxx, sum(w * x * y) AS sxy, sum(w * y * y) AS syy FROM p GROUP BY 1),
