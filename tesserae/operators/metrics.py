@@ -82,6 +82,20 @@ def ewma_by_count(samples: DataFrame, key: str, order: str, value: str, half_lif
     return ewma_whole(counted, key, "__n", value, half_life, weight).drop("__n")
 
 
+def speeds(samples: DataFrame, key: str, order: str, total: str, half_life: float, least: int = 4) -> DataFrame:
+    """key, order, n, rate: smoothed speed of a cumulative ``total``, per unit of ``order``; null before the ``least``-th observation.
+
+    An observation is the growth since the one before, at least 0, over the time
+    since then; the first grows from 0 over one half-life. Of samples at one time
+    only the least counts, as no time passes between them.
+    """
+    w = Window.partitionBy(key).orderBy(order)
+    s = samples.groupBy(key, order).agg(F.min(total).cast("double").alias("total")).withColumn("n", F.row_number().over(w))
+    s = s.withColumn("delta", F.greatest(F.col("total") - F.coalesce(F.lag("total").over(w), F.lit(0.0)), F.lit(0.0)))
+    s = s.withColumn("elapsed", F.coalesce((F.col(order) - F.lag(order).over(w)).cast("double"), F.lit(float(half_life))))
+    return ewma_whole(s, key, order, "delta", half_life, F.col("elapsed")).select(key, order, "n", F.when(F.col("n") >= least, F.col("ewma")).alias("rate"))
+
+
 def ew_regression(points: DataFrame, key: str, order: str, half_life: float, at: float) -> DataFrame:
     """Exponentially weighted least squares of y on x, by key, after the last point.
 

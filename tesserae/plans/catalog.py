@@ -501,6 +501,18 @@ def ewma_rate_whole(spark, sf_dir):
     return metrics.ewma_whole(_samples(spark, sf_dir), "client_id", "ts_ms", "value", 21_600_000).select("event_id", F.round("ewma", 5).alias("ewma"))
 
 
+@registered(
+    f"""WITH {SAMPLES}, t AS (SELECT client_id, ts_ms, ts_ms % 86400000 AS total FROM s GROUP BY 1, 2),
+    d AS (SELECT *, row_number() OVER w AS n, greatest(total - coalesce(lag(total) OVER w, 0), 0) AS delta, coalesce(ts_ms - lag(ts_ms) OVER w, 21600000) AS elapsed FROM t WINDOW w AS (PARTITION BY client_id ORDER BY ts_ms))
+    SELECT x.client_id, x.ts_ms, x.n, CASE WHEN x.n >= 4 THEN round(sum(y.delta * pow(2.0, (y.ts_ms - x.ts_ms) / 21600000.0)) / sum(y.elapsed * pow(2.0, (y.ts_ms - x.ts_ms) / 21600000.0)), 6) END AS rate
+    FROM d x JOIN d y ON y.client_id = x.client_id AND y.ts_ms <= x.ts_ms GROUP BY 1, 2, 3"""
+)
+def client_speeds(spark, sf_dir):
+    """Speed of a counter that starts again each day: the time of day."""
+    counters = _samples(spark, sf_dir).withColumn("total", F.col("ts_ms") % 86_400_000)
+    return metrics.speeds(counters, "client_id", "ts_ms", "total", 21_600_000).select("client_id", "ts_ms", "n", F.round("rate", 6).alias("rate"))
+
+
 @registered(
     f"""WITH {SAMPLES}, p AS (SELECT client_id, CAST(json_extract(props, '$.k') AS DOUBLE) AS x, value AS y, pow(2.0, -(row_number() OVER (PARTITION BY client_id ORDER BY event_id DESC) - 1) / 20.0) AS w FROM s),
     m AS (SELECT client_id, count(*) AS n, sum(w) AS sw, sum(w * x) AS sx, sum(w * y) AS sy, sum(w * x * x) AS sxx, sum(w * x * y) AS sxy, sum(w * y * y) AS syy FROM p GROUP BY 1),

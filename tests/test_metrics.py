@@ -29,3 +29,22 @@ def test_ewma_by_count_decays_by_weight(spark):
     for _, i, v, w in rows:
         weight, value = weight * 2 ** (-w / 4) + w, value * 2 ** (-w / 4) + v
         assert got[i] == pytest.approx(value / weight, rel=1e-9)
+
+
+def test_speeds_follow_the_tracker(spark):
+    rng, rows, at, total = random.Random(5), [], 0, 0
+    for i in range(60):
+        at, total = at + rng.choice([1, 2, 30, 500]), max(0, total + rng.choice([-50, 0, 10, 400]))
+        rows += [("k", at, total)] + [("k", at, total + 7)] * (i % 3 == 0)
+    got = {r["t"]: (r["n"], r["rate"]) for r in metrics.speeds(spark.createDataFrame(rows, "k string, t long, v long"), "k", "t", "v", 8).collect()}
+    weight = value = n = last = 0
+    last_at = None
+    for _, t, v in rows:
+        if t == last_at:
+            continue
+        elapsed = 8 if last_at is None else t - last_at
+        decay = 2 ** (-(t - (last_at or t)) / 8)
+        weight, value = weight * decay + elapsed, value * decay + max(0, v - last)
+        n, last, last_at = n + 1, v, t
+        assert got[t] == (n, pytest.approx(value / weight, rel=1e-9) if n >= 4 else None)
+    assert len(got) == n
