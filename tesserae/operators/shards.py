@@ -25,22 +25,38 @@ def difference(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     return b.join(a.select(key), key, "left_anti")
 
 
+def _sum_newest_first(shards: DataFrame, column: str, *by: str) -> DataFrame:
+    """shards with upto: the sum of ``column`` over each shard and all newer ones, within ``by`` (not null).
+
+    Creation times are cut into ranges of about as many shards each; running sums
+    over the few ranges are added to those inside each, so no task holds them all.
+    """
+    n = int(shards.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cuts = sorted(set(shards.approxQuantile("created", [k / n for k in range(1, n)], 0.25 / n))) if n > 1 else []
+    ranged = shards.withColumn("__range", sum((F.when(F.col("created") >= c, 1).otherwise(0) for c in cuts), F.lit(0)))
+    newer = Window.partitionBy(*by).orderBy(F.col("__range").desc()).rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    before = ranged.groupBy(*by, "__range").agg(F.sum(column).alias("__sum")).select(*by, "__range", F.coalesce(F.sum("__sum").over(newer), F.lit(0)).alias("__before"))
+    inside = Window.partitionBy(*by, "__range").orderBy(F.col("created").desc(), "shard_id").rowsBetween(Window.unboundedPreceding, 0)
+    summed = ranged.withColumn("upto", F.coalesce(F.sum(column).over(inside), F.lit(0)))
+    few = shards.sparkSession.createDataFrame(before.collect(), before.schema)  # a row a range
+    return summed.join(F.broadcast(few), [*by, "__range"]).withColumn("upto", F.col("upto") + F.col("__before")).drop("__range", "__before")
+
+
 def retained(shards: DataFrame, now: int, buffer: int, cap_bytes: int) -> DataFrame:
     """shards(shard_id, created, expires, size) with state: live, expired (kept until the buffer is over), deleted or pruned.
 
     Of the live ones the newest stay while their sizes add up to no more than the cap.
     """
     live = F.col("expires") >= now
-    newest = Window.partitionBy(live).orderBy(F.col("created").desc(), "shard_id").rowsBetween(Window.unboundedPreceding, 0)
-    summed = shards.withColumn("upto", F.sum("size").over(newest))
+    summed = _sum_newest_first(shards.withColumn("__live", F.coalesce(live, F.lit(False))), "size", "__live")
     state = F.when(live & (F.col("upto") <= cap_bytes), "live").when(live, "pruned").when(F.col("expires") + buffer <= now, "deleted").otherwise("expired")
     return summed.select("shard_id", "size", state.alias("state"))
 
 
 def indexed_within(shards: DataFrame, cap: int) -> DataFrame:
     """Newest first, a shard is indexed while the chunks before it are fewer than the cap."""
-    before = Window.orderBy(F.col("created").desc(), "shard_id").rowsBetween(Window.unboundedPreceding, -1)
-    return shards.select("shard_id", "n_chunks", (F.coalesce(F.sum("n_chunks").over(before), F.lit(0)) < cap).alias("indexed"))
+    summed = _sum_newest_first(shards, "n_chunks")
+    return summed.select("shard_id", "n_chunks", (F.col("upto") - F.coalesce("n_chunks", F.lit(0)) < cap).alias("indexed"))
 
 
 def compaction_groups(shards: DataFrame, by: str, target: int, overhead: int) -> DataFrame:
