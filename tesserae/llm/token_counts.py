@@ -8,13 +8,15 @@ appended to the cache. Equal texts are folded before the first shuffle, so a
 text that a third of the rows share is one row per task.
 
 Defined results: null and empty text have 0 tokens; repeated rows each get a
-row; an empty table gives an empty result; other columns are ignored.
+row; an empty table gives an empty result; other columns are ignored. Texts of
+any length and kind are counted, long runs of white space too.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -24,6 +26,8 @@ from pyspark.sql import functions as F
 
 from .shared import written
 
+#: tiktoken's engine keeps a step back for each character of a run of white space, and its stack is bounded.
+_LONG_SPACE = re.compile(r"\s{10000}")
 CACHE_SCHEMA = "tokenizer_digest binary, text_digest binary, n_tokens long"
 
 
@@ -55,6 +59,13 @@ def _byte_encoder(path: str):
     return tiktoken.Encoding(path, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added), set(added)
 
 
+@lru_cache(maxsize=4)
+def _library(path: str):
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
 def _counter(path: str):
     if path.endswith(".model"):
         import sentencepiece
@@ -62,8 +73,14 @@ def _counter(path: str):
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
         return lambda texts: [len(x) for x in sp.encode(texts, num_threads=1)]
     encoder, added = _byte_encoder(path)
-    # as the library does by default, an added token's string in a text is that token
-    return lambda texts: [len(encoder.encode(t, allowed_special=added) if any(a in t for a in added) else encoder.encode_ordinary(t)) for t in texts]
+
+    def count(text: str) -> int:
+        if _LONG_SPACE.search(text):
+            return len(_library(path).encode(text, add_special_tokens=False).ids)
+        # as the library does by default, an added token's string in a text is that token
+        return len(encoder.encode(text, allowed_special=added) if any(a in text for a in added) else encoder.encode_ordinary(text))
+
+    return lambda texts: list(map(count, texts))
 
 
 def open_cache(spark: SparkSession, path: str) -> str:
