@@ -1,15 +1,22 @@
 """Operator 7: quality classifier by importance resampling.
 
 Two hashed n-gram models, one of target texts (labelled good) and one of all
-raw text, give each text a log importance weight: the mean over its n-grams of
-log p_target - log p_raw, times ``length``, so that long and short texts are
-weighed alike. The target model is shrunk towards the raw one, which keeps
-n-grams that were seen a few times from deciding. Gumbel noise, a seeded function
-of the id, is added, and the k largest sums are the sample (Gumbel top-k: k
-draws without replacement in proportion to the weights). k is given, or such
-that ``recall`` of the labelled target rows are in it.
-
-Raw counts cover all rows and whole texts. The target model is fitted on at most
+raw text, give each text its log importance weight: the sum over its n-grams of
+log p_target - log p_raw. The target model is shrunk towards the raw one, which
+keeps n-grams that were seen a few times from deciding. The weight is tempered by
+the text's length, to that of ``length`` of its n-grams, since the sum of a long
+text's says more about its length than its quality; Gumbel noise, a seeded
+function of the id, is added, and the k largest sums are the sample (Gumbel
+top-k: k draws without replacement in proportion to the tempered weights). Texts
+whose weights lie within a few units of the k-th are decided by the draw, those
+far from it by their weight; a larger ``length`` leaves less to the draw.
+
+k is given, or the count of rows whose tempered weight reaches that of the
+``recall`` share of target rows. There each target row is weighed by a model
+that was fitted without it: the target rows are dealt into ``FOLDS`` parts by id
+hash, and each part is held out in turn.
+
+Raw counts cover all rows and whole texts. The target models are fitted on at most
 ``sample`` labelled rows (those of smallest id hash), whose ids are broadcast.
 The models are ``buckets`` numbers each, whatever the input; texts are never
 shuffled, only counts and scores are.
@@ -34,9 +41,13 @@ from .shared import written
 from .words import ngram_buckets, slices, split_tokens
 
 
+FOLDS = 8
+
+
 @dataclass
 class Model:
     log_ratio: np.ndarray | None  # of each bucket; None without target rows
+    held_out: list[np.ndarray]  # the same, fitted without the target rows of each fold
     n: int
 
 
@@ -48,46 +59,65 @@ def target_ids(labels: DataFrame, sample: int) -> DataFrame:
 
 
 def _marked(docs: DataFrame, targets: DataFrame) -> DataFrame:
-    # at most ``sample`` ids
-    return docs.join(F.broadcast(targets.select(F.col("doc_id").alias("__t"))), docs["doc_id"] == F.col("__t"), "left").withColumn("__target", F.col("__t").isNotNull()).drop("__t")
+    """``docs`` with __fold: the fold of a target row, null for others."""
+    fold = targets.select(F.col("doc_id").alias("__t"), F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(FOLDS)).cast("int").alias("__fold"))
+    return docs.join(F.broadcast(fold), docs["doc_id"] == F.col("__t"), "left").drop("__t")  # at most ``sample`` ids
+
 
+def fit(docs: DataFrame, targets: DataFrame, n: int = 2, buckets: int = 1 << 18, shrink: float = 30.0) -> Model:
+    names = [f"t{i}" for i in range(FOLDS)]
 
-def fit(docs: DataFrame, targets: DataFrame, n: int = 2, buckets: int = 1 << 16, shrink: float = 30.0) -> Model:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw, target = np.zeros(buckets, np.int64), np.zeros(buckets, np.int64)
+        raw, target = np.zeros(buckets, np.int64), np.zeros((FOLDS, buckets), np.int64)
         for b in batches:
-            chosen = b.column("__target").to_numpy(zero_copy_only=False)
+            folds = b.column("__fold").fill_null(-1).to_numpy(zero_copy_only=False)
             for i, j, data, offsets in slices(b.column("text")):
                 bucket, doc = ngram_buckets(split_tokens(data, offsets), n, buckets)
                 raw += np.bincount(bucket, minlength=buckets)
-                target += np.bincount(bucket[chosen[i:j][doc]], minlength=buckets)
+                of = folds[i:j][doc]
+                for k in range(FOLDS):
+                    target[k] += np.bincount(bucket[of == k], minlength=buckets)
         seen = np.flatnonzero(raw)
-        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(raw[seen]), pa.array(target[seen])], names=["bucket", "raw", "target"])
+        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int32()), pa.array(raw[seen]), *(pa.array(t[seen]) for t in target)], names=["bucket", "raw", *names])
+
+    rows = _marked(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), targets).select("text", "__fold")
+    counted = rows.mapInArrow(count, "bucket int, raw long, " + ", ".join(f"{t} long" for t in names))
+    # counts of at most ``sample`` texts fit an int; at most ``buckets`` rows
+    found = counted.groupBy("bucket").agg(F.sum("raw").alias("raw"), *(F.sum(t).cast("int").alias(t) for t in names)).toPandas()
+    raw, target = np.zeros(buckets), np.zeros((FOLDS, buckets))
+    raw[found["bucket"]] = found["raw"]
+    for k, t in enumerate(names):
+        target[k][found["bucket"]] = found[t]
+
+    def log_ratio(of: np.ndarray) -> np.ndarray:
+        return np.log((of + shrink) / (raw * (of.sum() / max(raw.sum(), 1)) + shrink)).astype(np.float32)
 
-    rows = _marked(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), targets).select("text", "__target")
-    found = rows.mapInArrow(count, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toPandas()  # at most ``buckets`` rows
-    raw, target = np.zeros(buckets), np.zeros(buckets)
-    raw[found["bucket"]], target[found["bucket"]] = found["raw"], found["target"]
-    if not target.sum():
-        return Model(None, n)
-    expected = raw * (target.sum() / raw.sum())
-    return Model(np.log((target + shrink) / (expected + shrink)), n)
+    whole = target.sum(0)
+    return Model(log_ratio(whole) if whole.sum() else None, [log_ratio(whole - t) for t in target], n)
 
 
-def log_weight(model: Model, text: Column, length: float = 200.0) -> Column:
-    """Log importance weight of a text; null without n-grams."""
+def weights(model: Model, text: Column, length: float, fold: Column | None = None) -> Column:
+    """struct<log_weight, tempered> of a text, null without n-grams; for rows with a fold by the model fitted without it, if ``fold`` is given."""
+    none = np.zeros(1, np.float32)
 
-    @F.arrow_udf("double")
-    def weigh(texts: pa.Array) -> pa.Array:
-        out = []
+    @F.arrow_udf("struct<log_weight:double,tempered:double>")
+    def weigh(texts: pa.Array, folds: pa.Array) -> pa.Array:
+        sums, counts = [np.zeros(0)], [np.zeros(0, np.int64)]
+        at = folds.fill_null(-1).to_numpy(zero_copy_only=False)
         for i, j, data, offsets in slices(texts):
-            bucket, doc = ngram_buckets(split_tokens(data, offsets), model.n, 1 if model.log_ratio is None else len(model.log_ratio))
-            count = np.bincount(doc, minlength=j - i)
-            total = np.zeros(j - i) if model.log_ratio is None else np.bincount(doc, model.log_ratio[bucket], j - i)
-            out.append(pa.array(total / np.maximum(count, 1) * length, mask=count == 0))
-        return pa.chunked_array(out, pa.float64()).combine_chunks() if out else pa.array([], pa.float64())
+            whole = none if model.log_ratio is None else model.log_ratio
+            bucket, doc = ngram_buckets(split_tokens(data, offsets), model.n, len(whole))
+            total = np.bincount(doc, whole[bucket], j - i)
+            of = at[i:j]
+            for k in set(of[of >= 0].tolist()):
+                mine = (of == k)[doc]
+                total = np.where(of == k, np.bincount(doc[mine], model.held_out[k][bucket[mine]], j - i), total)
+            sums.append(total)
+            counts.append(np.bincount(doc, minlength=j - i))
+        total, count = np.concatenate(sums), np.concatenate(counts)
+        return pa.StructArray.from_arrays([pa.array(total, mask=count == 0), pa.array(total / np.maximum(count, 1) * length, mask=count == 0)], names=["log_weight", "tempered"])
 
-    return weigh(F.coalesce(text, F.lit("")))
+    return weigh(F.coalesce(text, F.lit("")), F.lit(None).cast("int") if fold is None else fold)
 
 
 def gumbel(id_col: Column, seed: int) -> Column:
@@ -124,22 +154,24 @@ def kth_largest(keyed: DataFrame, k: int, bins: int = 4096) -> tuple[float, int
     return at["key"], at["doc_id"]
 
 
-def classify(docs: DataFrame, labels: DataFrame, k: int | None = None, recall: float = 0.999, seed: int = 0, sample: int = 50_000, n: int = 2, buckets: int = 1 << 16, length: float = 200.0) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, k: int | None = None, recall: float = 0.998, seed: int = 0, sample: int = 50_000, n: int = 2, buckets: int = 1 << 18, length: float = 100.0) -> DataFrame:
     """The rows of ``docs`` with log_weight, gumbel_key and kept."""
-    if clash := {"log_weight", "gumbel_key", "kept"} & set(docs.columns):
+    if clash := {"log_weight", "gumbel_key", "kept", "__w"} & set(docs.columns):
         raise ValueError(f"columns in the way: {sorted(clash)}")
     targets = written(target_ids(labels, sample), "targets")
     model = fit(docs, targets, n, buckets)
-    scored = docs.withColumn("log_weight", log_weight(model, docs["text"], length)).withColumn("gumbel_key", F.col("log_weight") + gumbel(docs["doc_id"], seed))
+    scored = docs.withColumn("__w", weights(model, docs["text"], length))
+    scored = scored.withColumn("log_weight", F.col("__w.log_weight")).withColumn("gumbel_key", F.col("__w.tempered") + gumbel(docs["doc_id"], seed))
     if model.log_ratio is None and k is None:
-        return scored.withColumn("kept", F.col("gumbel_key").isNotNull())
-    keyed = written(_marked(scored.select("doc_id", F.col("gumbel_key").alias("key")), targets), "gumbel-keys")
+        return scored.withColumn("kept", F.col("gumbel_key").isNotNull()).drop("__w")
+    keyed = written(scored.select("doc_id", F.col("__w.tempered").alias("tempered"), F.col("gumbel_key").alias("key")), "gumbel-keys")
     if k is None:
-        floor = keyed.where("__target").agg(F.percentile("key", F.lit(1 - recall))).first()[0]
-        k = keyed.where(F.col("key") >= floor).count() if floor is not None else keyed.count()
+        held = _marked(docs.select("doc_id", "text"), targets).where("__fold is not null")
+        floor = held.select(weights(model, F.col("text"), length, F.col("__fold"))["tempered"].alias("w")).agg(F.percentile("w", F.lit(1 - recall))).first()[0]
+        k = keyed.where(F.col("tempered") >= floor).count() if floor is not None else keyed.count()
     cut = kth_largest(keyed, k)
     if cut is None:
-        return scored.withColumn("kept", F.lit(False))
+        return scored.withColumn("kept", F.lit(False)).drop("__w")
     key, last = cut
     tie = (F.col("gumbel_key") == key) & (F.lit(True) if last is None else docs["doc_id"] >= last)
-    return scored.withColumn("kept", F.coalesce((F.col("gumbel_key") > key) | tie, F.lit(False)))
+    return scored.withColumn("kept", F.coalesce((F.col("gumbel_key") > key) | tie, F.lit(False))).drop("__w")

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tesserae.functions.chunking import ChunkSpec
-from tesserae.llm import components, exact_dedup, jaccard_join, mixing, neighbours, preferences, quality, queries, secrets, sentence_pieces, sharding, token_counts
+from tesserae.llm import components, exact_dedup, jaccard_join, mixing, neighbours, preferences, quality, queries, secrets, sentence_pieces, sharding, token_counts, words
 from tesserae.llm.shared import shared_dir
 
 from ..conftest import SF
@@ -73,6 +73,16 @@ def test_byte_encoder_equals_the_library_on_every_code_point(byte_bpe):
         assert count(xs) == [len(x.ids) for x in byte_bpe.encode_batch_fast(xs, add_special_tokens=False)]
 
 
+def test_long_runs_are_counted(byte_bpe):
+    count = token_counts._counter(P.path("byte_bpe_50k.json"))
+    for unit in (" ", "\n", "\t", "\u3000", "a", "Zx9+", "<|endoftext|>"):
+        t = "x" + unit * (1_000_000 // len(unit)) + "y"
+        assert count([t]) == [len(byte_bpe.encode(t, add_special_tokens=False).ids)]
+    for n in (9_999, 10_000, 10_001):
+        t = "a" + " " * n + "b <|endoftext|>"
+        assert count([t]) == [len(byte_bpe.encode(t, add_special_tokens=False).ids)]
+
+
 # 2
 
 
@@ -198,6 +208,19 @@ def test_linked_sets_share_a_signature():
                 assert set(sig[of == 0].tolist()) & set(sig[of == 1].tolist())
 
 
+def test_words_that_differ_have_other_hashes():
+    low = "a"
+    for _ in range(13):
+        low += low.translate(str.maketrans("ab", "ba"))  # Thue-Morse: clashes in any polynomial modulo 2**64
+        data = np.frombuffer((low + " " + low.translate(str.maketrans("ab", "ba"))).encode(), np.uint8)
+        got = words.split_words(data, np.array([0, len(data)])).hash.tolist()
+        assert len(got) == len(set(got)) == 2
+    rng = random.Random(8)
+    many = sorted({"".join(rng.choice("abAB\u00e9") for _ in range(rng.randrange(1, 40))) for _ in range(20000)})
+    data = np.frombuffer("\t".join(many).encode(), np.uint8)
+    assert words.split_words(data, np.array([0, len(data)]), fold=False).hash.tolist() == [brute.run_hash(w.encode()) for w in many]
+
+
 def test_sketch_difference_is_a_lower_bound():
     rng = np.random.default_rng(1)
     for size in (5, 80, 700):
@@ -308,6 +331,37 @@ def test_quality_on_held_out_labels(spark):
     assert share("quality = 1 and toxic = 0") > 0.97 and share("quality = 0") < 0.1
 
 
+def test_quality_equals_a_plain_version(spark):
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    texts_ = list(texts(docs).items())
+    good = {r["doc_id"] for r in labels.collect() if r["quality"] == 1 and not r["toxic"]}
+    of = lambda c: {r[0]: r[1] for r in docs.select("doc_id", c).collect()}
+    fold = {i: x % quality.FOLDS for i, x in of(F.xxhash64(F.lit("fold"), "doc_id")).items()}
+    noise = of(quality.gumbel(F.col("doc_id"), 3))
+    size = {i: max(1, len(brute.ngrams(t, 1))) for i, t in texts_}
+    for buckets in (1 << 18, 1 << 10):
+        got = {r["doc_id"]: r for r in quality.classify(docs, labels, seed=3, recall=0.95, buckets=buckets, length=50.0).collect()}
+        want = brute.importance(texts_, good, buckets, 30.0)
+        assert len(got) == docs.count() and all(w is not None for w in want.values())
+        tempered = {i: w / size[i] * 50 for i, w in want.items()}
+        key = {i: w + noise[i] for i, w in tempered.items()}
+        for i, r in got.items():
+            assert r["log_weight"] == pytest.approx(want[i], rel=1e-4, abs=1e-3) and r["gumbel_key"] == pytest.approx(key[i], rel=1e-4, abs=1e-3)
+        held = {}
+        for f in range(quality.FOLDS):
+            held |= {i: w / size[i] * 50 for i, w in brute.importance(texts_, {g for g in good if fold[g] != f}, buckets, 30.0).items() if i in good and fold[i] == f}
+        k = sum(w >= np.quantile(list(held.values()), 0.05) for w in tempered.values())
+        assert {i for i, r in got.items() if r["kept"]} == set(sorted(got, key=lambda i: -key[i])[:k])
+
+
+def test_the_draw_samples(spark):
+    """Rows of equal weight are drawn by noise alone, another seed draws others."""
+    docs = spark.createDataFrame([(i, f"good words here {i % 2}") for i in range(400)], "doc_id long, text string")
+    labels = spark.createDataFrame([(0, 1, 0)], "doc_id long, quality int, toxic int")
+    drawn = [{r["doc_id"] for r in quality.classify(docs, labels, k=100, seed=s).where("kept").collect()} for s in (1, 2)]
+    assert [len(x) for x in drawn] == [100, 100] and 5 < len(drawn[0] & drawn[1]) < 60
+
+
 def test_quality_defined_results(spark):
     df = fixtures.frame(spark)
     labels = spark.createDataFrame([(1, 1, 0), (3, 1, None), (12, 0, 0), (None, 1, 0), (1, 1, 0)], "doc_id long, quality int, toxic int")
