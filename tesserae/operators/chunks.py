@@ -63,3 +63,14 @@ def natural_groups(chunks: DataFrame, cut) -> DataFrame:
     before = Window.partitionBy("file_id").orderBy("chunk_idx").rowsBetween(Window.unboundedPreceding, -1)
     grouped = chunks.withColumn("group_idx", F.coalesce(F.sum(cut.cast("long")).over(before), F.lit(0)))
     return grouped.groupBy("file_id", "group_idx").agg(F.count("*").alias("n_chunks"), F.sum("length").alias("bytes"))
+
+
+def next_stable_boundary(chunks: DataFrame, asked: DataFrame, low: int, high: int) -> DataFrame:
+    """asked(file_id, position) -> file_id, position, boundary: the end of the first two chunks in a row of sizes in [low, high) that begin at a chunk's end at or after the position; null if there are none."""
+    w = Window.partitionBy("file_id").orderBy("chunk_idx")
+    inside = lambda c: (c >= low) & (c < high)
+    a, b = F.lead("length", 1).over(w), F.lead("length", 2).over(w)
+    ends = running_offsets(chunks, "file_id", "chunk_idx", "length").withColumn("stop", F.col("byte_start") + F.col("length"))
+    pairs = ends.withColumn("ok", inside(a) & inside(b)).withColumn("boundary", F.col("stop") + a + b).where("ok").select(F.col("file_id").alias("f"), "stop", "boundary")
+    j = asked.join(pairs, (F.col("file_id") == F.col("f")) & (F.col("stop") >= F.col("position")), "left")
+    return j.groupBy("file_id", "position").agg(F.min_by("boundary", "stop").alias("boundary"))

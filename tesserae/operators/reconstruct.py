@@ -6,6 +6,7 @@ with a range filter, since a file's segments and a container's chunks are bounde
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,20 +56,47 @@ def multirange(fetches: DataFrame, per_fetch: int) -> DataFrame:
     return lists.select("query_id", "container_hash", "request_idx", F.concat(F.lit("bytes="), F.array_join(F.transform("rs", lambda x: x["r"]), ",")).alias("byte_ranges"))
 
 
-def blocks_of_terms(found: DataFrame, fetches: DataFrame) -> DataFrame:
-    """Each term with the fetch that contains its chunks; a term in none has null block columns."""
+def blocks_of_terms(found: DataFrame, fetches: DataFrame, strict: bool = False) -> DataFrame:
+    """Each term with the fetch that contains its chunks; a term in none has null block columns, or ends the job if ``strict``."""
     block = fetches.select("query_id", "container_hash", F.col("chunk_start").alias("block_start"), F.col("chunk_end").alias("block_end"))
     inside = (F.col("t.chunk_start") >= F.col("b.block_start")) & (F.col("t.chunk_end") <= F.col("b.block_end"))
     on = (F.col("t.query_id") == F.col("b.query_id")) & (F.col("t.container_hash") == F.col("b.container_hash")) & inside
-    return found.alias("t").join(block.alias("b"), on, "left").select("t.query_id", "t.term_idx", "t.container_hash", "b.block_start", "b.block_end")
+    out = found.alias("t").join(block.alias("b"), on, "left").select("t.query_id", "t.term_idx", "t.container_hash", "b.block_start", "b.block_end")
+    lost = F.raise_error(F.concat_ws(" ", F.lit("no block for term"), F.col("term_idx").cast("string"), F.lit("of"), F.col("query_id").cast("string")))
+    return out.withColumn("block_start", F.coalesce("block_start", lost.cast("long"))) if strict else out
 
 
-def file_bytes(requests: DataFrame, found: DataFrame, placed: DataFrame, payload: DataFrame) -> DataFrame:
-    """query_id, data: the requested bytes, from terms and payload(chunk_hash, data)."""
+def batch_fetches(requests: DataFrame, known_files: DataFrame, fetches: DataFrame) -> DataFrame:
+    """container_hash, n_ranges, byte_ranges of a batch of requests: each request's ranges in order, side by side, not joined across requests; unknown files are skipped."""
+    asked = requests.join(known_files.select("file_id").distinct(), "file_id", "left_semi").select("query_id")
+    one = F.struct("query_id", "chunk_start", F.concat_ws("-", F.col("byte_start").cast("string"), (F.col("byte_end") - 1).cast("string")).alias("r"))
+    lists = fetches.join(asked, "query_id", "left_semi").groupBy("container_hash").agg(F.array_sort(F.collect_list(one)).alias("rs"))  # as many as the batch has
+    return lists.select("container_hash", F.size("rs").cast("long").alias("n_ranges"), F.array_join(F.transform("rs", lambda x: x["r"]), ",").alias("byte_ranges"))
+
+
+def file_pieces(requests: DataFrame, found: DataFrame, placed: DataFrame, payload: DataFrame) -> DataFrame:
+    """query_id, piece_idx, offset, data: the requested bytes as pieces in order, one a chunk, from terms and payload(chunk_hash, data).
+
+    Pieces add up to the range whatever its length; a chunk that is stored twice counts once.
+    """
     chunk = placed.select("container_hash", F.col("chunk_idx").alias("c"), "chunk_hash")
-    parts = found.join(chunk, "container_hash").where((F.col("c") >= F.col("chunk_start")) & (F.col("c") < F.col("chunk_end"))).join(payload, "chunk_hash")
-    lists = parts.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("term_idx", "c", "data"))).alias("ps"), F.max("skip").alias("skip"))
-    whole = lists.withColumn("hexed", F.array_join(F.transform("ps", lambda p: F.hex(p["data"])), ""))
-    ends = requests.select("query_id", (F.coalesce("end", F.lit(2**30)) - F.col("start")).alias("want"))
-    cut = F.substring(F.unhex("hexed"), F.col("skip").cast("int") + 1, F.col("want").cast("int"))
-    return whole.join(ends, "query_id").select("query_id", cut.alias("data"))
+    parts = found.join(chunk, "container_hash").where((F.col("c") >= F.col("chunk_start")) & (F.col("c") < F.col("chunk_end")))
+    parts = parts.select("query_id", "term_idx", "c", "chunk_hash", "skip").join(payload.select("chunk_hash", "data"), "chunk_hash").dropDuplicates(["query_id", "term_idx", "c"])
+    order = Window.partitionBy("query_id").orderBy("term_idx", "c")
+    first = F.row_number().over(order) == 1
+    own = parts.join(requests.select("query_id", (F.col("end") - F.col("start")).alias("want")), "query_id")
+    own = own.withColumn("piece_idx", (F.row_number().over(order) - 1).cast("long")).withColumn("from", F.when(first, F.col("skip")).otherwise(0).cast("long"))
+    own = own.withColumn("len", F.octet_length("data") - F.col("from"))
+    own = own.withColumn("offset", F.sum("len").over(order) - F.col("len")).withColumn("len", F.least("len", F.col("want") - F.col("offset")))
+    return own.where("len > 0").select("query_id", "piece_idx", "offset", F.substring("data", (F.col("from") + 1).cast("int"), F.col("len").cast("int")).alias("data"))
+
+
+def file_bytes(requests: DataFrame, found: DataFrame, placed: DataFrame, payload: DataFrame) -> DataFrame:
+    """query_id, data: the pieces in one value, for ranges that fit one."""
+
+    def joined(lists: pd.Series) -> pd.Series:
+        return pd.Series([b"".join(bytes(x["data"]) for x in row) for row in lists], dtype=object)
+
+    pieces = file_pieces(requests, found, placed, payload)
+    lists = pieces.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("piece_idx", "data"))).alias("ps"))
+    return lists.select("query_id", F.pandas_udf(joined, "binary")("ps").alias("data"))

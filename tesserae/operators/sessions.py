@@ -7,8 +7,6 @@ place a chunk. A group is as large as one file's chunk list.
 
 from __future__ import annotations
 
-from collections import deque
-
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,84 +14,97 @@ from pyspark.sql import functions as F
 SEGMENTS = "file_id long, seg_idx long, target string, chunk_start long, chunk_end long, bytes long, decision string"
 
 
-class Fragmentation:
-    """Decides whether a run is long enough to cite, by the mean chunks a range over the last ``window`` ranges.
-
-    Nothing is rejected until the window is full. A run shorter than the mean is
-    rejected while the mean is under the limit; the limit is ``low`` times itself
-    until the first rejection, and again once the mean has recovered.
-    """
+START = (None, None, [], False, 0)
 
-    def __init__(self, window: int = 128, limit: float = 8.0, low: float = 0.5):
-        self.recent: deque[int] = deque(maxlen=window)
-        self.total, self.limit, self.low, self.strict = 0, limit, low, False
 
-    def allows(self, run: int) -> bool:
-        if len(self.recent) < self.recent.maxlen:
-            return True
-        mean = self.total / len(self.recent)
-        if mean >= self.limit:
-            self.strict = False
-        if mean < self.limit * (1.0 if self.strict else self.low) and run < mean:
-            self.strict = True
-            return False
-        return True
+def cited_ranges(rows, state, window: int, limit: float, low: float, last: bool):
+    """Closed ranges (seg_idx, target, start, end, bytes, decision) of a file's next chunks, and the state to go on from.
 
-    def add_range(self, chunks: int) -> None:
-        if len(self.recent) == self.recent.maxlen:
-            self.total -= self.recent[0]
-        self.recent.append(chunks)
-        self.total += chunks
-
-    def extend_range(self, chunks: int) -> None:
-        self.recent[-1] += chunks
-        self.total += chunks
+    rows are (target, target_idx, length) in order; target is None for a chunk
+    that nothing knows. Chunks at consecutive places of one target are a run. A
+    run that goes on from the last range joins it. Any other run of known chunks
+    is held against the mean number of chunks of the last ``window`` ranges, once
+    there are so many: a run shorter than the mean becomes new data (decision
+    ``prevented``) while the mean is under the bar. The bar is ``low * limit``; it
+    is ``limit`` from a rejection on, until the mean has reached that.
+    """
+    run, held, sizes, strict, n_closed = state
+    sizes, closed = list(sizes), []
+
+    def settle(target, at, chunks, size):
+        nonlocal held, strict, n_closed
+        decision = "new" if target is None else "known"
+        follows = held is not None and target is not None and held[0] == target and held[2] == at
+        if target is not None and not follows and len(sizes) == window:
+            mean = sum(sizes) / window
+            strict = strict and mean < limit
+            if chunks < mean < (limit if strict else low * limit):
+                target, at, decision, strict = None, 0, "prevented", True
+        if follows or (held is not None and target is None and held[4] == decision):
+            held = (*held[:2], held[2] + chunks, held[3] + size, decision)
+            sizes[-1] += chunks
+            return
+        if held is not None:
+            closed.append((n_closed, *held))
+            n_closed += 1
+        held = (target, at, at + chunks, size, decision)
+        sizes.append(chunks)
+        del sizes[:-window]
+
+    for target, at, size in rows:
+        if run is not None and target is not None and run[0] == target and run[1] + run[2] == at:
+            run = (target, run[1], run[2] + 1, run[3] + size)
+            continue
+        if run is not None:
+            settle(*run)
+        run = (target, 0 if target is None else at, 1, size)
+    if last:
+        if run is not None:
+            settle(*run)
+        if held is not None:
+            closed.append((n_closed, *held))
+        return closed, START
+    return closed, (run, held, sizes, strict, n_closed)
 
 
 def greedy_segments(chunks: DataFrame, index: DataFrame, window: int = 128, limit: float = 8.0, low: float = 0.5) -> DataFrame:
-    """Files as runs of known chunks and runs of new data, first match first.
+    """Files as runs of known chunks and runs of new data, first match first; see ``cited_ranges``.
 
-    index(chunk_hash, target string, target_idx long) holds one place a chunk. At
-    each chunk the run that starts at its place is followed while the next chunks
-    lie at the next places; a run that fragmentation control rejects becomes new
-    data (decision ``prevented``), and its chunks aren't looked up again.
+    index(chunk_hash, target string, target_idx long) holds one place a chunk.
     """
     place = index.select("chunk_hash", "target", "target_idx")
     located = chunks.select("file_id", "chunk_idx", "chunk_hash", "length").join(place, "chunk_hash", "left")
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("chunk_idx")
-        target = pdf["target"].where(pdf["target"].notna(), None).tolist()
-        at = pdf["target_idx"].fillna(-1).astype("int64").tolist()
-        size = pdf["length"].tolist()
-        control, out, i, n = Fragmentation(window, limit, low), [], 0, len(pdf)
-
-        def put(where, start, end, held, decision):
-            last = out[-1] if out else None
-            if last and last[0] == where and last[4] == decision and (where is None or last[2] == start):
-                last[2], last[3] = last[2] + (end - start), last[3] + held
-                control.extend_range(end - start)
-            else:
-                out.append([where, start, end, held, decision])
-                control.add_range(end - start)
-
-        while i < n:
-            j = i + 1
-            while target[i] is not None and j < n and target[j] == target[i] and at[j] == at[j - 1] + 1:
-                j += 1
-            if target[i] is None:
-                put(None, 0, j - i, sum(size[i:j]), "new")
-            elif (out and out[-1][0] == target[i] and out[-1][2] == at[i]) or control.allows(j - i):
-                put(target[i], at[i], at[i] + j - i, sum(size[i:j]), "known")
-            else:
-                put(None, 0, j - i, sum(size[i:j]), "prevented")
-            i = j
-        rows = [(pdf["file_id"].iloc[0], k, w, a, b, held, d) for k, (w, a, b, held, d) in enumerate(out)]
-        return pd.DataFrame(rows, columns=["file_id", "seg_idx", "target", "chunk_start", "chunk_end", "bytes", "decision"])
+        rows = zip(pdf["target"].where(pdf["target"].notna(), None), pdf["target_idx"].fillna(-1).astype("int64"), pdf["length"])
+        closed, _ = cited_ranges(rows, START, window, limit, low, True)
+        return pd.DataFrame([(pdf["file_id"].iloc[0], *r) for r in closed], columns=["file_id", "seg_idx", "target", "chunk_start", "chunk_end", "bytes", "decision"])
 
     return located.groupBy("file_id").applyInPandas(fold, SEGMENTS)
 
 
+def session_metrics(segments: DataFrame, shared: DataFrame, uploads: DataFrame) -> DataFrame:
+    """The 13 sums of a session by file.
+
+    segments as ``greedy_segments`` gives them; shared(target) are targets that the
+    shared index named; uploads(file_id, container_bytes, shard_bytes) is what was sent.
+    """
+    chunks, size = F.col("chunk_end") - F.col("chunk_start"), F.col("bytes")
+    known, prevented = F.col("decision") == "known", F.col("decision") == "prevented"
+    s = segments.join(shared.select("target", F.lit(True).alias("by_shared")).distinct(), "target", "left")
+    of = lambda cond, what: F.coalesce(F.sum(F.when(cond, what)), F.lit(0))
+    out = s.groupBy("file_id").agg(
+        *(f.alias(n.format(unit)) for unit, what in (("bytes", size), ("chunks", chunks)) for n, f in (
+            ("total_{}", F.sum(what)), ("deduped_{}", of(known, what)), ("new_{}", of(~known, what)),
+            ("deduped_{}_by_global_dedup", of(known & F.col("by_shared"), what)), ("defrag_prevented_dedup_{}", of(prevented, what)),
+        ))
+    )
+    sent = uploads.groupBy("file_id").agg(F.sum("container_bytes").alias("container_bytes_uploaded"), F.sum("shard_bytes").alias("shard_bytes_uploaded"))
+    out = out.join(sent, "file_id", "left").fillna(0, ["container_bytes_uploaded", "shard_bytes_uploaded"])
+    return out.withColumn("total_bytes_uploaded", F.col("container_bytes_uploaded") + F.col("shard_bytes_uploaded"))
+
+
 def merged_leftovers(leftovers: DataFrame, by: str, max_bytes: int, max_chunks: int) -> DataFrame:
     """leftovers(by, file_id, bytes, chunks) in order of file -> container number of each.
 

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tesserae.functions import bytegroups, digests, hashes
@@ -12,24 +10,13 @@ from tesserae.functions.chunking import ChunkSpec
 from tesserae.operators import chunks as ch
 from tesserae.operators import dedup, edits, intervals, merkle, merkle_partial, metrics, packing, payloads, reconstruct, sessions, shards
 from tesserae.sources import store
+from tesserae.sources.shared import written
 
+from . import catalog_store  # noqa: F401  its queries are registered too
 from . import relations as rel
+from .registry import ORACLE_SQL, QUERIES, registered  # noqa: F401
 from .relations import read, sql_with
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def registered(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
 METRICS_SQL = """count(*) AS total_chunks, CAST(sum(length) AS BIGINT) AS total_bytes, count(*) FILTER (is_new) AS new_chunks, CAST(coalesce(sum(length) FILTER (is_new), 0) AS BIGINT) AS new_bytes,
     count(*) FILTER (NOT is_new) AS deduped_chunks, CAST(coalesce(sum(length) FILTER (NOT is_new), 0) AS BIGINT) AS deduped_bytes,
     round(coalesce(CAST(coalesce(sum(length) FILTER (NOT is_new), 0) AS DOUBLE) / nullif(sum(length), 0), 0), 6) AS dedup_ratio"""
@@ -39,8 +26,7 @@ METRICS_SQL = """count(*) AS total_chunks, CAST(sum(length) AS BIGINT) AS total_
 def line_chunk_dedup_report(spark, sf_dir):
     """Chunks and bytes in all, new and deduplicated, by source."""
     docs = read(spark, sf_dir, "documents")
-    flagged = dedup.flag_new(ch.line_chunks(docs))
-    return dedup.dedup_metrics(flagged.join(docs.select(F.col("doc_id").alias("file_id"), "source"), "file_id"), "source")
+    return dedup.dedup_totals(ch.line_chunks(docs), docs.select(F.col("doc_id").alias("file_id"), "source"), "source")
 
 
 @registered(sql_with("SELECT chunk_hash, file_id, chunk_idx, length FROM firsts", "firsts"))
@@ -160,20 +146,6 @@ def term_to_block_containment(spark, sf_dir):
     return reconstruct.blocks_of_terms(found, reconstruct.fetch_ranges(found, placed))
 
 
-@registered()
-def reconstruct_bytes_equal(spark, sf_dir):
-    """Every requested range, rebuilt from container chunks, next to the same range cut from its file."""
-    docs = read(spark, sf_dir, "documents")
-    chunks = ch.line_chunks(docs)
-    asked, found, placed = _terms(spark, sf_dir)
-    lines = docs.select(F.explode(F.split("text", "\n")).alias("line")).distinct().select(F.sha2("line", 256).alias("chunk_hash"), F.encode("line", "utf-8").alias("data"))
-    got = reconstruct.file_bytes(asked, found, placed, lines)
-    # chunks are lines without their ends, so that is what the file is here
-    whole = docs.select(F.col("doc_id").alias("file_id"), F.encode(F.replace("text", F.lit("\n"), F.lit("")), "utf-8").alias("file"))
-    want = asked.join(whole, "file_id").select("query_id", F.substring("file", F.col("start").cast("int") + 1, (F.col("end") - F.col("start")).cast("int")).alias("want"))
-    return want.join(got, "query_id", "left").select("query_id", F.octet_length("want").cast("long").alias("n_bytes"), F.coalesce(F.col("want") == F.col("data"), F.octet_length("want") == 0).alias("equal"))
-
-
 @registered(
     sql_with(
         """SELECT file_id, min(s) AS start, max(e) AS end, count(*) AS n_ranges FROM (SELECT *, max(CASE WHEN s > reach OR reach IS NULL THEN s END) OVER (PARTITION BY file_id ORDER BY s) AS isl FROM
@@ -233,19 +205,6 @@ def shard_index_cap(spark, sf_dir):
     return shards.indexed_within(rel.synthetic_shards(rel.line_chunks(spark, sf_dir)), 3000)
 
 
-@registered(
-    sql_with(
-        "SELECT s.kind, s.shard_id, s.size, m.g AS merge_group FROM m JOIN s USING (kind, rn)",
-        "shards",
-        extra="""s AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY created, shard_id) AS rn FROM shards),
-        m AS (SELECT kind, rn, CAST(0 AS BIGINT) AS g, size AS held FROM s WHERE rn = 1 UNION ALL SELECT s.kind, s.rn, CASE WHEN m.held + s.size - 200 > 30000 THEN m.g + 1 ELSE m.g END,
-            CASE WHEN m.held + s.size - 200 > 30000 THEN s.size ELSE m.held + s.size - 200 END FROM m JOIN s ON s.kind = m.kind AND s.rn = m.rn + 1)""",
-    )
-)
-def shard_compaction_groups(spark, sf_dir):
-    return shards.compaction_groups(rel.synthetic_shards(rel.line_chunks(spark, sf_dir)), "kind", target=30000, overhead=200)
-
-
 @registered(
     sql_with(
         "SELECT (SELECT count(*) FROM named) AS n_containers, (SELECT count(*) FROM placed) AS n_stored_chunks, (SELECT CAST(sum(bytes_raw) AS BIGINT) FROM named) AS stored_bytes, (SELECT count(DISTINCT file_id) FROM segments) AS n_files, (SELECT count(*) FROM segments) AS n_segments, (SELECT CAST(sum(bytes) AS BIGINT) FROM segments) AS materialized_bytes",
@@ -439,8 +398,8 @@ def compression_retest_windows(spark, sf_dir):
 def content_chunk_stats(spark, sf_dir):
     """Content-defined chunks of all texts at a 1 KiB target: counts, bytes and what dedup saves, by source."""
     docs = read(spark, sf_dir, "documents")
-    chunks = ch.content_chunks(_blocks(spark, sf_dir).withColumnRenamed("doc_id", "file_id"), ChunkSpec(target=1024))
-    return dedup.dedup_metrics(dedup.flag_new(chunks).join(docs.select(F.col("doc_id").alias("file_id"), "source"), "file_id"), "source")
+    chunks = written(ch.content_chunks(_blocks(spark, sf_dir).withColumnRenamed("doc_id", "file_id"), ChunkSpec(target=1024)), "content-chunks")
+    return dedup.dedup_totals(chunks, docs.select(F.col("doc_id").alias("file_id"), "source"), "source")
 
 
 @registered()
@@ -477,11 +436,13 @@ def timeline_resample_asof(spark, sf_dir):
     return metrics.resample(_samples(spark, sf_dir), 3_600_000)
 
 
-@registered(f"WITH {SAMPLES}, {ASOF} SELECT grid_ms, count(*) AS n_clients, count(*) FILTER (active) AS n_active, round(sum(value), 4) AS total_value, round(coalesce(avg(value) FILTER (active), 0), 4) AS mean_active FROM r GROUP BY 1")
+@registered(f"WITH {SAMPLES}, {ASOF} SELECT grid_ms, count(*) AS n_clients, count(*) FILTER (active) AS n_active, CAST(sum(micros) / 1000000 AS DOUBLE) AS total_value, coalesce(CAST(sum(micros) FILTER (active) AS DOUBLE) / 1000000 / count(*) FILTER (active), 0) AS mean_active FROM (SELECT *, CAST(round(value * 1000000) AS BIGINT) AS micros FROM r) GROUP BY 1")
 def timeline_summary(spark, sf_dir):
-    r = metrics.resample(_samples(spark, sf_dir), 3_600_000)
-    on = F.when(F.col("active"), F.col("value"))
-    return r.groupBy("grid_ms").agg(F.count("*").alias("n_clients"), F.count(on).alias("n_active"), F.round(F.sum("value"), 4).alias("total_value"), F.round(F.coalesce(F.avg(on), F.lit(0.0)), 4).alias("mean_active"))
+    """Sums are of whole millionths, so that they don't depend on the order of the rows."""
+    r = metrics.resample(_samples(spark, sf_dir), 3_600_000).withColumn("micros", F.round(F.col("value") * 1_000_000).cast("long"))
+    on = F.when(F.col("active"), F.col("micros"))
+    sums = r.groupBy("grid_ms").agg(F.count("*").alias("n_clients"), F.count(on).alias("n_active"), F.sum("micros").alias("t"), F.sum(on).alias("a"))
+    return sums.select("grid_ms", "n_clients", "n_active", (F.col("t") / 1_000_000).alias("total_value"), F.coalesce(F.col("a") / 1_000_000 / F.nullif("n_active", F.lit(0)), F.lit(0.0)).alias("mean_active"))
 
 
 @registered(
@@ -561,14 +522,14 @@ def upload_progress_rollup(spark, sf_dir):
 @registered(
     """WITH t AS (SELECT event_id // 50 AS transfer_id, value, epoch_us(ts) // 1000 AS ms, event_id % 97 = 0 AS gone, CASE event_id % 11 WHEN 1 THEN 429 WHEN 2 THEN 503 WHEN 3 THEN 404 WHEN 4 THEN 418 END AS status, CASE event_id % 7 WHEN 1 THEN 'timeout' WHEN 2 THEN 'network' END AS transport FROM events)
     SELECT transfer_id, CASE WHEN gone THEN 'cancelled' WHEN status = 429 THEN 'rate_limited' WHEN status >= 500 THEN 'server_error' WHEN status = 404 THEN 'not_found' WHEN transport IS NOT NULL THEN transport WHEN status >= 400 THEN 'other' ELSE 'ok' END AS outcome,
-    count(*) AS n, round(coalesce(sum(value) / nullif((max(ms) - min(ms)) / 1000.0, 0), 0), 6) AS value_per_s FROM t GROUP BY 1, 2"""
+    count(*) AS n, coalesce(CAST(sum(CAST(round(value * 1000000) AS BIGINT)) AS DOUBLE) / nullif(max(ms) - min(ms), 0) / 1000, 0) AS value_per_s FROM t GROUP BY 1, 2"""
 )
 def transfer_telemetry(spark, sf_dir):
     k, seven = F.col("event_id") % 11, F.col("event_id") % 7
     status = F.when(k == 1, 429).when(k == 2, 503).when(k == 3, 404).when(k == 4, 418)
     ev = read(spark, sf_dir, "events").select(F.floor(F.col("event_id") / 50).alias("transfer_id"), "value", _millis("ts").alias("ms"), metrics.outcome(status, F.when(seven == 1, "timeout").when(seven == 2, "network"), F.col("event_id") % 97 == 0).alias("outcome"))
-    out = ev.groupBy("transfer_id", "outcome").agg(F.count("*").alias("n"), metrics.rate(F.sum("value"), (F.max("ms") - F.min("ms")) / 1000.0).alias("r"))
-    return out.select("transfer_id", "outcome", "n", F.round("r", 6).alias("value_per_s"))
+    whole = F.sum(F.round(F.col("value") * 1_000_000).cast("long"))  # millionths, so that the sum is exact
+    return ev.groupBy("transfer_id", "outcome").agg(F.count("*").alias("n"), (metrics.rate(whole, F.max("ms") - F.min("ms")) / 1000).alias("value_per_s"))
 
 
 RAW = " || ".join(f"substr(chunk_hash, {16 * w + 2 * b + 1}, 2)" for w in range(4) for b in reversed(range(8)))
@@ -620,21 +581,6 @@ def payload_roundtrip(spark, sf_dir):
     return placed.join(back.select("container_hash", "chunk_idx", F.sha2("data", 256).alias("h")), ["container_hash", "chunk_idx"]).select("container_hash", "chunk_idx", "length", (F.col("h") == F.col("chunk_hash")).alias("equal"))
 
 
-@registered()
-def greedy_dedup_segments(spark, sf_dir):
-    """Odd files as runs of chunks known from even ones, with fragmentation control over 8 ranges."""
-    chunks = rel.line_chunks(spark, sf_dir)
-    known = dedup.first_locations(chunks.where("file_id % 2 = 0")).select("chunk_hash", F.col("file_id").cast("string").alias("target"), F.col("chunk_idx").alias("target_idx"))
-    return sessions.greedy_segments(chunks.where("file_id % 2 = 1"), known, window=8, limit=3.0)
-
-
-@registered()
-def session_leftovers(spark, sf_dir):
-    bins = rel.packed(rel.line_chunks(spark, sf_dir))
-    left = bins.groupBy("grp", "file_id").agg(F.sum("length").alias("bytes"), F.count("*").alias("chunks"))
-    return sessions.merged_leftovers(left, "grp", rel.MAX_BYTES, rel.MAX_CHUNKS)
-
-
 @registered()
 def edit_windows_to_recut(spark, sf_dir):
     chunks = ch.running_offsets(rel.line_chunks(spark, sf_dir), "file_id", "chunk_idx", "length")

@@ -1,7 +1,16 @@
-"""The engine's surface: ingest, reconstruct, hash, edit, delete and check a store of files."""
+"""The engine's surface: ingest, reconstruct, hash, edit, delete and check a store of files.
+
+Each ingest is a batch with folders of its own in every relation; its row in
+``commits`` is written last, and readers take committed batches only. A batch
+that dies on its way leaves nothing that is read, and may simply be repeated; two
+writers don't disturb each other (what both found to be new is stored twice and
+read once).
+"""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,8 +29,15 @@ class Engine:
 
     def _stored(self, name: str) -> DataFrame:
         schema = st.SCHEMAS[name] if name in st.SCHEMAS else "chunk_hash string, data binary"
-        self.spark.createDataFrame([], schema).write.mode("ignore").parquet(f"{self.store}/{name}")
-        return self.spark.read.schema(schema).parquet(f"{self.store}/{name}")
+        self.spark.createDataFrame([], schema).write.mode("ignore").parquet(f"{self.store}/{name}/batch=none")
+        self.spark.createDataFrame([], "batch string").write.mode("ignore").parquet(f"{self.store}/commits")
+        rows = self.spark.read.schema(schema + ", batch string").option("basePath", f"{self.store}/{name}").parquet(f"{self.store}/{name}")
+        return rows.join(self.spark.read.schema("batch string").parquet(f"{self.store}/commits"), "batch", "left_semi").drop("batch")
+
+    def _places(self) -> DataFrame:
+        """One place of each stored chunk."""
+        first = self._stored("container_chunks").groupBy("chunk_hash").agg(F.min(F.struct("container_hash", "chunk_idx", "byte_start", "length")).alias("at"))
+        return first.select("chunk_hash", "at.*")
 
     def hash_files(self, files: DataFrame) -> DataFrame:
         """file_id, container_hash, file_hash, range_hash; nothing is stored."""
@@ -35,35 +51,48 @@ class Engine:
         """
         cut = ch.content_chunks(files, self.spec, with_data=True)
         known = self._stored("container_chunks").select("chunk_hash").distinct()
+        batch = uuid.uuid4().hex
         if not dry_run:
             # the cut is used many times below: stored once, under the batch's own name
-            batch = f"{self.store}/.batch"
-            cut.write.mode("overwrite").parquet(batch)
-            known.write.mode("overwrite").parquet(f"{batch}-known")
-            cut, known = self.spark.read.parquet(batch), self.spark.read.schema("chunk_hash string").parquet(f"{batch}-known")
+            staged = f"{self.store}/staging/{batch}"
+            cut.write.parquet(f"{staged}/chunks")
+            known.write.parquet(f"{staged}/known")
+            cut, known = self.spark.read.parquet(f"{staged}/chunks"), self.spark.read.schema("chunk_hash string").parquet(f"{staged}/known")
         rows = cut.select("file_id", "chunk_idx", "chunk_hash", "length")
         flagged = dedup.flag_new(rows).join(known.withColumn("seen", F.lit(True)), "chunk_hash", "left").withColumn("is_new", F.col("is_new") & F.col("seen").isNull()).drop("seen")
         metrics = dedup.dedup_metrics(flagged, "file_id")
         if dry_run:
             return metrics
         new = flagged.where("is_new").withColumn("grp", F.floor(F.col("file_id") / self.group_files))
-        bins = packing.pack(new, self.max_bytes, self.max_chunks)
+        packing.pack(new, self.max_bytes, self.max_chunks).write.parquet(f"{staged}/packed")
+        bins = self.spark.read.parquet(f"{staged}/packed")
         named = packing.containers(bins)
         placed = packing.container_chunks(bins, named)
-        bodies = cut.join(flagged.where("is_new").select("file_id", "chunk_idx"), ["file_id", "chunk_idx"], "left_semi").select("chunk_hash", "data")
-        bodies.write.mode("append").parquet(f"{self.store}/payload")
-        st.write(named.select("container_hash", "n_chunks", "bytes_raw"), self.store, "containers")
-        st.write(placed, self.store, "container_chunks")
-        st.write(packing.segments(rows, self._stored("container_chunks")), self.store, "segments")
+        bodies = cut.join(bins.select("file_id", "chunk_idx"), ["file_id", "chunk_idx"], "left_semi").select("chunk_hash", "data")
+        bodies.write.parquet(f"{self.store}/payload/batch={batch}")
+        st.write(named.select("container_hash", "n_chunks", "bytes_raw"), self.store, "containers", batch)
+        st.write(placed, self.store, "container_chunks", batch)
+        # this batch's own places, then those of committed batches
+        own = st.read(self.spark, self.store, f"container_chunks/batch={batch}").select("chunk_hash", "container_hash", "chunk_idx")
+        here = rows.select("chunk_hash").distinct()
+        older = self._places().select("chunk_hash", "container_hash", "chunk_idx").join(here, "chunk_hash", "left_semi").join(own, "chunk_hash", "left_anti")
+        st.write(packing.segments(rows, own.unionByName(older)), self.store, "segments", batch)
         hashes = merkle.merkle_hashes(rows).select("file_id", "file_hash")
-        st.write(rows.groupBy("file_id").agg(F.sum("length").alias("size")).join(hashes, "file_id").select("file_id", "file_hash", "size"), self.store, "files")
+        st.write(rows.groupBy("file_id").agg(F.sum("length").alias("size")).join(hashes, "file_id").select("file_id", "file_hash", "size"), self.store, "files", batch)
+        self.spark.createDataFrame([(batch,)], "batch string").coalesce(1).write.mode("append").parquet(f"{self.store}/commits")
         return metrics
 
+    def _read(self, requests: DataFrame, form) -> DataFrame:
+        segments, placed = self._stored("segments"), self._stored("container_chunks").dropDuplicates(["container_hash", "chunk_idx"])
+        return form(requests, reconstruct.terms(requests, segments, placed), placed, self._stored("payload"))
+
     def reconstruct(self, requests: DataFrame) -> DataFrame:
         """requests(query_id, file_id, start, end) -> query_id, data; end null reads to the end."""
-        segments, placed = self._stored("segments"), self._stored("container_chunks")
-        found = reconstruct.terms(requests, segments, placed)
-        return reconstruct.file_bytes(requests, found, placed, self._stored("payload"))
+        return self._read(requests, reconstruct.file_bytes)
+
+    def read_pieces(self, requests: DataFrame) -> DataFrame:
+        """The same as query_id, piece_idx, offset, data, for ranges of any length."""
+        return self._read(requests, reconstruct.file_pieces)
 
     def splice(self, changes: DataFrame) -> DataFrame:
         """changes(file_id, start, end, data) of stored files -> file_id, data after them, for ``ingest`` under new ids."""

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tesserae.operators import chunks as ch
 from tesserae.operators import dedup, packing
+from tesserae.sources.shared import written
 
 MAX_BYTES, MAX_CHUNKS, GROUP = 65536, 256, 250
 
@@ -30,16 +31,16 @@ def packed(chunks: DataFrame) -> DataFrame:
 
 
 def store(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """chunks, containers, container chunks."""
+    """chunks, containers, container chunks. Chunks are packed once; the tables that follow are written and read."""
     chunks = line_chunks(spark, sf_dir)
-    bins = packed(chunks)
-    named = packing.containers(bins)
-    return chunks, named, packing.container_chunks(bins, named)
+    bins = written(packed(chunks), "packed")
+    named = written(packing.containers(bins), "containers")
+    return chunks, named, written(packing.container_chunks(bins, named), "container-chunks")
 
 
 def segments(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     chunks, _, placed = store(spark, sf_dir)
-    return packing.segments(chunks, placed), placed
+    return written(packing.segments(chunks, placed), "segments"), placed
 
 
 def requests(segs: DataFrame) -> DataFrame:

@@ -18,14 +18,14 @@ SCHEMAS = {
 SORTED_BY = {"chunks": "chunk_hash", "containers": "container_hash", "container_chunks": "container_hash", "segments": "file_id", "files": "file_id", "shards": "created"}
 
 
-def write(df: DataFrame, store: str, name: str, mode: str = "append") -> None:
-    """One relation, sorted by its key within ranges of it, so that lookups by key skip files and row groups by their statistics."""
+def write(df: DataFrame, store: str, name: str, batch: str | None = None) -> None:
+    """One relation, or a batch of it, sorted by its key within ranges of it, so that lookups by key skip files and row groups by their statistics."""
     key = SORTED_BY[name]
-    df.repartitionByRange(F.col(key)).sortWithinPartitions(key).write.mode(mode).parquet(f"{store}/{name}")
+    df.repartitionByRange(F.col(key)).sortWithinPartitions(key).write.mode("append").parquet(f"{store}/{name}" + (f"/batch={batch}" if batch else ""))
 
 
 def read(spark: SparkSession, store: str, name: str) -> DataFrame:
-    return spark.read.schema(SCHEMAS[name]).parquet(f"{store}/{name}")
+    return spark.read.schema(SCHEMAS[name.split("/")[0]]).parquet(f"{store}/{name}")
 
 
 def files(spark: SparkSession, path: str, recursive: bool = False, glob: str | None = None) -> DataFrame:

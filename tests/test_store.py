@@ -43,13 +43,39 @@ def test_engine_stores_and_rebuilds(spark, tmp_path):
     assert again.agg(F.sum("new_bytes")).first()[0] == 0
     total = engine.totals().first()
     assert total["n_files"] == 12 and total["stored_bytes"] == sum(r["new_bytes"] for r in made.values())
-    limits = spark.read.parquet(f"file://{tmp_path}/store/containers").agg(F.max("bytes_raw"), F.max("n_chunks")).first()
+    limits = engine._stored("containers").agg(F.max("bytes_raw"), F.max("n_chunks")).first()
     assert limits[0] <= 5120 and limits[1] <= 8
     spliced = engine.splice(spark.createDataFrame([(3, 10, 20, b"new"), (3, 4000, 4000, b"inserted")], "file_id long, start long, end long, data binary")).first()
     old = files[3][1]
     assert bytes(spliced["data"]) == old[:10] + b"new" + old[20:4000] + b"inserted" + old[4000:]
 
 
+def test_engine_reads_committed_batches_only(spark, tmp_path):
+    files = bodies(6)
+    df = spark.createDataFrame(files, "file_id long, data binary")
+    path = f"file://{tmp_path}/store"
+    first = Engine(spark, path, SPEC, max_bytes=5120, max_chunks=8, group_files=4)
+    lazy = first.ingest(df.where("file_id < 3"))
+    # a batch that dies after its payload and its segments, and is repeated
+    dying = Engine(spark, path, SPEC, max_bytes=5120, max_chunks=8, group_files=4)
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr("tesserae.operators.merkle.merkle_hashes", lambda *_: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            dying.ingest(df.where("file_id >= 3"))
+    assert first.totals().first()["n_files"] == 3
+    dying.ingest(df.where("file_id >= 3"))
+    assert lazy.count() == 3  # figures of an earlier batch can still be read
+    # a second writer that knows of nothing stores the same chunks again
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(Engine, "_stored", lambda self, name, old=Engine._stored: old(self, name).where("false"))
+        first.ingest(df.withColumn("file_id", F.col("file_id") + 100))
+    whole = first._stored("files").select(F.col("file_id").alias("query_id"), "file_id", F.lit(0).cast("long").alias("start"), F.lit(None).cast("long").alias("end"))
+    got = {r["query_id"]: bytes(r["data"]) for r in first.reconstruct(whole).collect()}
+    assert got == {i + k: d for i, d in files for k in (0, 100) if d}
+    pieces = sorted((r["query_id"], r["piece_idx"], r["offset"], bytes(r["data"])) for r in first.read_pieces(whole.where("file_id = 2")).collect())
+    assert b"".join(p[3] for p in pieces) == files[2][1] and [p[2] for p in pieces] == [sum(len(q[3]) for q in pieces[:i]) for i in range(len(pieces))]
+
+
 def test_keyed_hashes_of_columns(spark):
     key = "ab" * 32
     df = spark.createDataFrame([(b"x" * n,) for n in (0, 5, 3000)], "d binary").withColumn("h", digests.data_hash("d"))
@@ -71,15 +97,44 @@ def test_payload_errors_and_schemes(spark):
     assert [bytes(r["data"]) for r in payloads.decode_containers(payloads.encode_containers(df)).orderBy("chunk_idx").collect()] == [b"one" * 90, b"two"]
 
 
-def test_fragmentation_rejects_short_runs_only_when_full():
-    control = sessions.Fragmentation(window=4, limit=8, low=0.5)
-    for _ in range(4):
-        assert control.allows(1)
-        control.add_range(2)
-    assert not control.allows(1) and control.strict and control.allows(2)
-    for _ in range(4):
-        control.add_range(10)
-    assert control.allows(1) and not control.strict
+def runs_as_rows(runs):
+    return [(t, a + k if t else -1, 10) for t, a, n in runs for k in range(n)]
+
+
+def decisions(runs, **how):
+    closed, _ = sessions.cited_ranges(runs_as_rows(runs), sessions.START, last=True, **how)
+    return [(r[5], r[3] - r[2]) for r in closed]
+
+
+def test_short_runs_are_rejected_only_when_the_window_is_full():
+    twos = [(f"t{k}", 0, 2) for k in range(4)]
+    how = dict(window=4, limit=8, low=0.5)
+    assert decisions(twos + [("x", 0, 1)], **how) == [("known", 2)] * 4 + [("prevented", 1)]
+    # a run of the mean length passes; a longer one too
+    assert decisions(twos + [("x", 0, 2), ("y", 5, 3)], **how) == [("known", 2)] * 5 + [("known", 3)]
+    assert decisions(twos[:3] + [("x", 0, 1)], **how) == [("known", 2)] * 3 + [("known", 1)]
+    # after a rejection the bar is the limit itself: mean (2 + 2 + 1 + 15) / 4 = 5 is under 8, though over 4
+    assert decisions(twos + [("x", 0, 1), ("y", 0, 15), ("z", 0, 3)], **how)[-2:] == [("known", 15), ("prevented", 3)]
+    # once the mean has reached the limit the bar is low again: mean 22 / 4 = 5.5 is over 4
+    again = decisions(twos + [("x", 0, 1)] + [(f"y{k}", 0, 10) for k in range(4)] + [("a", 0, 9), ("b", 0, 1), ("c", 0, 1), ("d", 0, 1)], **how)
+    assert again[4:] == [("prevented", 1)] + [("known", 10)] * 4 + [("known", 9)] + [("known", 1)] * 3
+    # a run that goes on where the last range ended joins it, however short
+    assert decisions(twos + [("t3", 2, 1)], **how) == [("known", 2)] * 3 + [("known", 3)]
+
+
+def test_ranges_do_not_depend_on_where_the_rows_are_cut():
+    rng = random.Random(3)
+    rows = [(rng.choice([None, "a", "b"]), rng.randrange(6), 1 + rng.randrange(9)) for _ in range(400)]
+    rows = [(t, a if t else -1, n) for t, a, n in rows]
+    whole, _ = sessions.cited_ranges(rows, sessions.START, 8, 3.0, 0.5, True)
+    for _ in range(5):
+        state, parts, at = sessions.START, [], 0
+        while at < len(rows):
+            stop = at + 1 + rng.randrange(50)
+            closed, state = sessions.cited_ranges(rows[at:stop], state, 8, 3.0, 0.5, stop >= len(rows))
+            parts, at = parts + closed, stop
+        assert parts == whole and state == sessions.START
+    assert sum(r[4] for r in whole) == sum(n for _, _, n in rows)
 
 
 def test_greedy_segments_add_up(spark):
