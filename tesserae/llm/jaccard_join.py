@@ -6,27 +6,31 @@ such that linked sets lie in the same band or in neighbours; each set makes
 signatures for its own band and the next one up. For a band with top size r the
 difference is at most k = 2 r (den - num) / (den + num): the feature domain is
 hashed into n1 partitions, each into n2 second-level ones, and each subset of
-n2 - 1 second-level partitions of a partition gives one signature, the hash of
-the set's features there. With n1 > k / 2 some partition has at most one
-difference, and one of its subsets has none, so linked sets share a signature.
+n2 - k2 second-level partitions of a partition gives one signature, the hash of
+the set's features there. With n1 > k / (k2 + 1) some partition has at most k2
+differences, and one of its subsets has none, so linked sets share a signature.
 ``spare`` more partitions guarantee ``spare`` + 1 such partitions; a set in which
 no more than ``spare`` partitions are thin (a subset with fewer than ``THIN``
 features) leaves its thin signatures out and still shares another.
 
-Signatures are shuffled once. Within a bucket each set is paired with the first
-and with the one before it; pairs pass a lower bound of the difference (the
-differing bits of parity sketches) and then an exact comparison of the texts'
-shingle sets. Sets that are already connected need no more comparisons, so a
-group of near copies is never expanded into pairs: only buckets that still hold
-several components are compared pairwise, in blocks of bounded size, by sketch;
-sets that have a partner left are compared once more by larger sketches, and what
-passes is compared exactly. Equal sets are folded first. The result is
-every component of the link graph, exactly; no candidate is dropped.
+Signatures (n2 = 2, k2 = 1) are shuffled once. Within a bucket each set is paired
+with the first and with the one before it; pairs pass a lower bound of the
+difference (the differing bits of parity sketches) and then an exact comparison
+of the texts' shingle sets. Sets that are already connected need no more
+comparisons, so a group of near copies is never expanded into pairs. Of the
+buckets that still hold several components, those of more than ``large`` sets
+are given up and their sets signed anew with n2 = 5, k2 = 2, whose signatures
+cover twice as many features: sets that merely have a common passage part, and
+linked ones still share a signature. In what is left sets are compared by sketch
+in cells of bounded size; sets that have a partner are compared once more by
+larger sketches, and what passes is compared exactly. Equal sets are folded
+first. The result is every component of the link graph; no candidate is dropped.
+Shingles are told apart by 64-bit hashes of their words.
 
 Defined results: a row without words has an empty set, 0 shingles and itself as
 component; a null doc_id takes no part in links (component null); rows that
-share a doc_id count as one document; other columns are ignored; an empty table
-gives an empty result.
+share a doc_id count as one document, whose links are those of all its texts;
+other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -45,7 +49,7 @@ from .words import U, mix, shingles, slices, split_words
 
 FINE = 16
 THIN = 2
-BLOCK = 2000
+BLOCK = 500
 DESCRIBED = "node long, n long, key1 long, key2 long, sketch binary"
 _K = [U(x) for x in (0x8CB92BA72F3D8DD7, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xA0761D6478BD642F)]
 
@@ -53,9 +57,9 @@ _K = [U(x) for x in (0x8CB92BA72F3D8DD7, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9,
 class Bands:
     """Size bands for similarity num / den and the partition counts of each."""
 
-    def __init__(self, num: int, den: int, n2: int = 2):
-        self.num, self.den, self.n2 = num, den, n2
-        self.subsets = list(combinations(range(n2), n2 - 1))
+    def __init__(self, num: int, den: int, n2: int = 2, k2: int = 1):
+        self.num, self.den, self.n2, self.k2 = num, den, n2, k2
+        self.subsets = list(combinations(range(n2), n2 - k2))
         self.tops: list[int] = []
         self.n1: list[int] = []
         self.spare: list[int] = []
@@ -66,7 +70,7 @@ class Bands:
             low = self.tops[-1] + 1 if self.tops else 1
             top = low * self.den // self.num
             k = 2 * top * (self.den - self.num) // (self.den + self.num)
-            n1 = k // 2 + 1
+            n1 = k // (self.k2 + 1) + 1
             self.tops.append(top)
             self.spare.append(1 + n1 // 16)
             # with k = 0 only equal sets are linked, and those are folded already
@@ -293,19 +297,37 @@ def _matching(df: DataFrame, ids: DataFrame, how: str, bound: int = 1_000_000) -
     return df.join(F.broadcast(ids) if ids.count() <= bound else ids, "node", how)
 
 
-def link_components(docs: DataFrame, n: int, num: int, den: int, id_col: str = "doc_id", text_col: str = "text", n2: int = 2) -> DataFrame:
+def _one_text_a_node(source: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """``source`` with nodes that have one text each, and (own, node) of nodes that were made for further texts of an id; None if there are none."""
+    marked = source.withColumn("__h", F.xxhash64("text"))
+    first = marked.where("node is not null").groupBy("node").agg(F.min("__h").alias("__lo"), F.max("__h").alias("__hi"))
+    several = written(first.where("__lo <> __hi").select("node", "__lo"), "ids-of-several-texts")
+    if several.isEmpty():
+        return source, None
+    low, high = source.agg(F.min("node"), F.max("node")).first()
+    more = marked.join(several, "node").where("__h <> __lo").select("node", "__h").distinct()
+    k = F.monotonically_increasing_id()
+    own = F.lit(high + 1) + k if high < 2**62 else F.lit(low - 1) - k  # ids that no row has
+    more = written(more.withColumn("own", own), "further-texts")
+    return marked.join(more, ["node", "__h"], "left").select(F.coalesce("own", "node").alias("node"), "text"), more.select("own", "node")
+
+
+def link_components(docs: DataFrame, n: int, num: int, den: int, id_col: str = "doc_id", text_col: str = "text", n2: int = 2, block: int = BLOCK, large: int = 16 * BLOCK) -> DataFrame:
     """doc_id, n_shingles, component_id of every row; links at Jaccard >= num / den on n-word shingles."""
-    source = docs.select(F.col(id_col).cast("long").alias("node"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    source, further = _one_text_a_node(docs.select(F.col(id_col).cast("long").alias("node"), F.coalesce(F.col(text_col), F.lit("")).alias("text")))
     rows = written(source.mapInArrow(_describe(n), DESCRIBED), "sets")
     full = rows.where("n > 0 and node is not null")
     classes = written(full.groupBy("n", "key1", "key2").agg(F.min("node").alias("rep")), "set-classes")
-    # one row a node; a node with several texts stands for its smallest class
-    nodes = written(full.join(classes, ["n", "key1", "key2"]).groupBy("node").agg(F.min(F.struct("rep", "n", "sketch")).alias("x"), F.max("rep").alias("rep2")).select("node", "x.*", "rep2"), "set-nodes")
-    same = nodes.where("rep <> rep2").select(F.col("rep").alias("a"), F.col("rep2").alias("b"))
-    copies = written(nodes.join(classes.select(F.col("rep").alias("node")).distinct(), "node", "left_anti").select("node"), "set-copies")
+    nodes = written(full.join(classes, ["n", "key1", "key2"]).groupBy("node").agg(F.min(F.struct("rep", "n", "sketch")).alias("x")).select("node", "x.*"), "set-nodes")
+    copies = written(nodes.where("node <> rep").select("node"), "set-copies")
+    by_doc = nodes.select("node", "rep", F.col("node").alias("doc"))
+    if further is not None:
+        by_doc = written(nodes.select("node", "rep").join(further.select(F.col("own").alias("node"), F.col("node").alias("doc")), "node", "left").select("node", "rep", F.coalesce("doc", "node").alias("doc")), "set-docs")
+    # texts of one id are linked
+    same = by_doc.join(by_doc.groupBy("doc").agg(F.min("rep").alias("a"), F.max("rep").alias("hi")).where("a <> hi"), "doc").where("rep <> a").select("a", F.col("rep").alias("b"))
 
-    signed = _matching(source.where("node is not null"), copies, "left_anti").mapInArrow(_sign(n, Bands(num, den, n2)), "sig long, node long")
     bucket = Window.partitionBy("sig").orderBy("node")
+    signed = _matching(source.where("node is not null"), copies, "left_anti").mapInArrow(_sign(n, Bands(num, den, n2)), "sig long, node long")
     shared = signed.select("sig", "node", F.lag("node").over(bucket).alias("before"), F.lead("node").over(bucket).alias("after"), F.first("node").over(bucket.rowsBetween(Window.unboundedPreceding, 0)).alias("head"))
     shared = written(shared.where("before is not null or after is not null").select("sig", "node", "before", "head"), "buckets")
 
@@ -338,30 +360,47 @@ def link_components(docs: DataFrame, n: int, num: int, den: int, id_col: str = "
         links = links.unionByName(more)
         comp = parts(links)
 
-    def open_cells(held: DataFrame, sketched: DataFrame, least: int) -> DataFrame:
-        """Sets of buckets that hold several components, a row for each pair of blocks of a bucket that a set is in."""
-        buckets = held.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("sets")).where(f"lo <> hi and sets >= {least}").select("sig", F.ceil(F.col("sets") / BLOCK).alias("blocks"))
-        cells = held.join(buckets, "sig").join(sketched.select("node", "n", "sketch"), "node").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    def in_parts(buckets: DataFrame) -> DataFrame:
+        return buckets.select("sig", "node").join(comp.select(F.col("rep").alias("node"), "comp"), "node")
+
+    def open_buckets(held: DataFrame, least: int, most: int | None = None) -> DataFrame:
+        """sig, sets of the buckets that hold several components."""
+        found = held.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("sets")).where(f"lo <> hi and sets >= {least}")
+        return (found if most is None else found.where(f"sets <= {most}")).select("sig", "sets")
+
+    def open_cells(held: DataFrame, sketched: DataFrame, buckets: DataFrame) -> DataFrame:
+        """Sets of open buckets, a row for each pair of blocks of a bucket that a set is in."""
+        cells = held.join(buckets.select("sig", F.ceil(F.col("sets") / block).alias("blocks")), "sig").join(sketched.select("node", "n", "sketch"), "node").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")))
         cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
         side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), -1).otherwise(1).cast("int")
         cells = cells.select("sig", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"), side.alias("side"), "node", "comp", "n", "sketch")
         return cells.repartition("sig", "bi", "bj").sortWithinPartitions("sig", "bi", "bj")
 
-    held = written(shared.select("sig", "node").join(comp.select(F.col("rep").alias("node"), "comp"), "node"), "bucket-parts")
-    # the first set of a bucket has been compared with all others, so buckets of two need no more;
-    # which sets have a partner by the small sketch; then pairs of those by one that is nearly exact
-    close = written(open_cells(held, nodes, 3).mapInArrow(_cross_pairs(num, den, nodes_only=True), "node long").distinct(), "open-nodes")
-    if close.isEmpty():
-        left = close
-    else:
-        fine = written(_matching(source, close, "left_semi").mapInArrow(_describe(n, FINE), DESCRIBED).select("node", "n", "sketch"), "fine-sketches")
-        few = written(_matching(held, close, "left_semi"), "open-parts")
-        left = written(open_cells(few, fine, 2).mapInArrow(_cross_pairs(num, den), "a long, b long").distinct(), "open-pairs")
+    def left_over(held: DataFrame, least: int, most: int | None) -> DataFrame:
+        """Pairs of different components that larger sketches allow: which sets have a partner by the small sketch, then pairs of those."""
+        close = written(open_cells(held, nodes, open_buckets(held, least, most)).mapInArrow(_cross_pairs(num, den, nodes_only=True), "node long").distinct(), "open-nodes")
+        if close.isEmpty():
+            return close.select(F.col("node").alias("a"), F.col("node").alias("b"))
+        fine = written(_matching(source, close, "left_semi").mapInArrow(_describe(n, FINE), DESCRIBED).select("node", "n", "sketch").dropDuplicates(["node"]), "fine-sketches")
+        few = written(_matching(held.join(open_buckets(held, least, most), "sig", "left_semi"), close, "left_semi"), "open-parts")
+        return written(open_cells(few, fine, open_buckets(few, 2)).mapInArrow(_cross_pairs(num, den), "a long, b long").distinct(), "open-pairs")
+
+    held = written(in_parts(shared), "bucket-parts")
+    # the first set of a bucket has been compared with all others, so buckets of two need no more
+    left = left_over(held, 3, large)
+    again = written(held.join(open_buckets(held, large + 1), "sig", "left_semi").select("node").distinct(), "sets-of-large-buckets")
+    if not again.isEmpty():
+        anew = _matching(source, again, "left_semi").mapInArrow(_sign(n, Bands(num, den, 5, 2)), "sig long, node long")
+        left = left.unionByName(left_over(written(in_parts(anew), "bucket-parts"), 2, None)).distinct()
     if not left.isEmpty():
         comp = parts(links.unionByName(written(verified(left), "links")))
 
-    of_rep = nodes.select("node", "rep").join(comp, "rep").select(F.col("node").alias("__n"), "comp")
-    return rows.join(of_rep, F.col("node") == F.col("__n"), "left").select(F.col("node").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("comp", "node").alias("component_id"))
+    of_doc = by_doc.join(comp, "rep").select("doc", "comp")
+    if further is not None:
+        # a component is named by the smallest id, not by a node made for a further text
+        of_doc = of_doc.join(of_doc.groupBy("comp").agg(F.min("doc").alias("name")), "comp").select("doc", F.col("name").alias("comp")).distinct()
+        rows = rows.join(further.select(F.col("own").alias("__own"), F.col("node").alias("__doc")), F.col("node") == F.col("__own"), "left").select(F.coalesce("__doc", "node").alias("node"), "n")
+    return rows.join(of_doc, F.col("node") == F.col("doc"), "left").select(F.col("node").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("comp", "node").alias("component_id"))
 
 
 def drop_near_copies(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5) -> DataFrame:

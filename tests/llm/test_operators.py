@@ -184,6 +184,32 @@ def test_join_components_equal_brute_force(spark, n, num, den):
     assert got == brute.components(docs, n, num, den)
 
 
+def test_large_buckets_are_signed_anew(spark):
+    """Many texts that share most of a passage without being linked, and copies of some, in cells of three."""
+    rng = random.Random(12)
+    passage = fixtures.text(77, 60).split()
+    docs = [(i, " ".join(passage[: 60 - k] + [f"own{rng.randrange(10**6)}" for _ in range(k)])) for i, k in enumerate([rng.choice([4, 8, 14, 20]) for _ in range(90)])]
+    for i in range(30):
+        w = docs[i * 3][1].split()
+        w[rng.randrange(60)] = f"edit{i}"
+        docs.append((200 + i, " ".join(w)))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    want = brute.components(docs, 4, 85, 100)
+    assert 20 < len({c for _, _, c in want}) < 120
+    for how in ({"block": 3, "large": 5}, {"block": 3}):
+        assert sorted(tuple(r) for r in jaccard_join.link_components(df, 4, 85, 100, **how).collect()) == want
+
+
+def test_rows_that_share_an_id_have_the_links_of_all_their_texts(spark):
+    a, b = fixtures.text(31, 80), fixtures.text(32, 80)
+    docs = [(3, a), (5, a), (5, b), (12, b + " tail"), (7, ""), (7, fixtures.text(33, 60)), (9, fixtures.text(33, 60) + " x"), (1, None), (2**63 - 1, "far away from all of them")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    for part in (df, df.where("doc_id < 100")):
+        got = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard_join.link_components(part, 4, 85, 100).collect())
+        want = [(1, 0, 1), (3, 77, 3), (5, 77, 3), (5, 77, 3), (7, 0, 7), (7, 57, 7), (9, 58, 7), (12, 78, 3)]
+        assert [g for g in got if g[0] < 100] == want
+
+
 def test_join_defined_results(spark):
     df = fixtures.frame(spark)
     rows = {r["doc_id"]: r for r in jaccard_join.link_components(df, 4, 85, 100).collect()}
@@ -197,10 +223,10 @@ def test_join_defined_results(spark):
 
 def test_linked_sets_share_a_signature():
     rng = np.random.default_rng(0)
-    for n2 in (2, 3):
+    for n2, k2 in ((2, 1), (3, 1), (5, 2), (6, 3)):
         for size in (7, 9, 13, 40, 133, 900):
             for _ in range(30):
-                bands = jaccard_join.Bands(85, 100, n2)
+                bands = jaccard_join.Bands(85, 100, n2, k2)
                 a = rng.integers(0, 2**63, size, dtype=np.int64).astype(np.uint64)
                 both = -(-85 * size * 2 // 185)  # fewest shared features of equal sizes
                 b = np.concatenate([a[:both], rng.integers(0, 2**63, size - both, dtype=np.int64).astype(np.uint64)])
