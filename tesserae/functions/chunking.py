@@ -66,7 +66,11 @@ def cut_points(data: bytes | np.ndarray, spec: ChunkSpec, gear: np.ndarray) -> l
         return []
     if n <= spec.min_size:
         return [n]
-    allowed = candidates(buf, gear, spec.mask)
+    return chosen_cuts(candidates(buf, gear, spec.mask), n, spec)
+
+
+def chosen_cuts(allowed: np.ndarray, n: int, spec: ChunkSpec) -> list[int]:
+    """The cuts of ``n`` bytes among the places that allow one, in order."""
     cuts, start = [], 0
     while n - start > spec.min_size:
         k = int(np.searchsorted(allowed, start + spec.min_size))

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import hashlib
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tesserae.functions.chunking import ChunkSpec, cut_points, default_gear
+from tesserae.functions.chunking import WINDOW, ChunkSpec, candidates, chosen_cuts, cut_points, default_gear
 
 
 def line_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -44,6 +45,38 @@ def content_chunks(files: DataFrame, spec: ChunkSpec = ChunkSpec(), with_data: b
     return files.select("file_id", "data").mapInArrow(run, fields)
 
 
+def cuts_of_blocks(blocks: DataFrame, spec: ChunkSpec = ChunkSpec()) -> DataFrame:
+    """file_id, chunk_idx, offset, length of files that come as blocks(file_id, offset, data), cut as they would be in one piece.
+
+    Where a cut is allowed depends on the last ``WINDOW`` bytes alone, so it is found
+    block by block, wherever the blocks are, with the end of the block before; only
+    the allowed places, about one for ``target`` bytes, come together by file. Blocks
+    but the last have ``WINDOW`` bytes at least.
+    """
+    before = F.lag(F.expr(f"right(data, {WINDOW - 1})")).over(Window.partitionBy("file_id").orderBy("offset"))
+    ends = blocks.select("file_id", "offset", F.coalesce(before, F.lit(b"")).alias("before"), F.octet_length("data").cast("long").alias("size"), "data")
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gear = default_gear()
+        for b in batches:
+            found = []
+            for offset, head, data in zip(b.column("offset").to_pylist(), b.column("before"), b.column("data")):
+                head, data = head.as_py(), data.as_py()
+                at = candidates(np.frombuffer(head + data, np.uint8), gear, spec.mask) - len(head)
+                found.append((at[at > 0] + offset).tolist())
+            yield pa.RecordBatch.from_arrays([b.column("file_id"), b.column("offset"), b.column("size"), pa.array(found, pa.list_(pa.int64()))], names=["file_id", "offset", "size", "allowed"])
+
+    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("offset")
+        allowed = np.concatenate([np.asarray(x, np.int64) for x in pdf["allowed"]])
+        cuts = np.array(chosen_cuts(allowed, int((pdf["offset"] + pdf["size"]).max()), spec), np.int64)
+        starts = np.concatenate([[0], cuts[:-1]])
+        return pd.DataFrame({"file_id": pdf["file_id"].iloc[0], "chunk_idx": np.arange(len(cuts)), "offset": starts, "length": cuts - starts})
+
+    marked = ends.mapInArrow(places, "file_id long, offset long, size long, allowed array<long>")
+    return marked.groupBy("file_id").applyInPandas(choose, "file_id long, chunk_idx long, offset long, length long")
+
+
 def running_offsets(chunks: DataFrame, group: str, order: str, size: str) -> DataFrame:
     """Adds byte_start: the sum of the sizes before, within the group."""
     before = Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)

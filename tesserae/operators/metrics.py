@@ -25,29 +25,12 @@ def resample(samples: DataFrame, step_ms: int) -> DataFrame:
     return grid.select("client_id", at.alias("grid_ms"), "value", (F.col("next_ms").isNotNull() | (at <= F.col("ts_ms"))).alias("active"))
 
 
-def decayed_sum(value: Column, age: Column, half_life: float) -> Column:
-    return value * F.pow(F.lit(2.0), -age / half_life)
-
-
-def ewma(samples: DataFrame, key: str, order: str, value: str, half_life: float, lookback: int) -> DataFrame:
-    """Mean of the samples so far, each weighing 2**(-age / half_life), age in units of ``order``.
-
-    Samples more than ``lookback`` half-lives old are left out: their weight is
-    below 2**-lookback, and no power has to span the whole series.
-    """
-    w = Window.partitionBy(key).orderBy(order).rangeBetween(-int(half_life * lookback), 0)
-    recent = F.collect_list(F.struct(F.col(order).alias("t"), F.col(value).cast("double").alias("x"))).over(w)
-    decay = lambda s: F.pow(F.lit(2.0), (s["t"] - F.col(order)) / F.lit(half_life))
-    total = lambda f: F.aggregate("recent", F.lit(0.0), lambda acc, s: acc + f(s))
-    return samples.withColumn("recent", recent).withColumn("ewma", total(lambda s: s["x"] * decay(s)) / total(decay)).drop("recent")
-
-
 #: Half-lives in a block, and blocks to look back on: what is older is below the least double, however large the values.
 SPAN, REACH = 16, 134
 
 
 def ewma_whole(samples: DataFrame, key: str, order: str, value: str, half_life: float, weight: Column | None = None) -> DataFrame:
-    """The same over all samples so far, however old: sum of values over sum of weights (1 without ``weight``), both decayed.
+    """Mean of the samples so far, each weighing 2**(-age / half_life), age in units of ``order``: the decayed sum of values over that of weights (1 without ``weight``), however old the samples.
 
     Sums run inside blocks of ``SPAN`` half-lives, on top of a carry from the
     sums of earlier blocks; so powers stay small, work is in proportion to the
@@ -146,3 +129,25 @@ def outcome(status: Column, transport: Column, cancelled: Column) -> Column:
 
 def rate(amount: Column, over: Column) -> Column:
     return F.coalesce(amount / F.nullif(over, F.lit(0)), F.lit(0.0))
+
+
+def scenario_summary(samples: DataFrame) -> DataFrame:
+    """A row a scenario, from samples(scenario, client_id, ts_ms, bytes, concurrency, retries, rtt_ms, bandwidth).
+
+    Bytes and retries are running totals of a client: their maxima add up over
+    clients. Utilisation is the bytes in percent of what the bandwidth (bytes a
+    millisecond) allowed from each sample to the client's next one, at most 100;
+    the mean round trip is of positive ones. Whole numbers are summed and divided once.
+    """
+    w = Window.partitionBy("scenario", "client_id").orderBy("ts_ms", "bytes")
+    s = samples.withColumn("__could", (F.lead("ts_ms").over(w) - F.col("ts_ms")) * F.col("bandwidth"))
+    rtt = F.when(F.col("rtt_ms") > 0, F.col("rtt_ms"))
+    by_client = s.groupBy("scenario", "client_id").agg(
+        F.max("bytes").alias("b"), F.max("retries").alias("r"), F.min("ts_ms").alias("t0"), F.max("ts_ms").alias("t1"), F.sum("__could").alias("could"),
+        F.count("*").alias("n"), F.sum("concurrency").alias("c"), F.sum(rtt).alias("rtt"), F.count(rtt).alias("n_rtt"),
+    )
+    out = by_client.groupBy("scenario").agg(*(F.sum(c).alias(c) for c in ("b", "r", "could", "n", "c", "rtt", "n_rtt")), (F.max("t1") - F.min("t0")).alias("elapsed_ms"))
+    return out.select(
+        "scenario", F.col("b").alias("bytes"), "elapsed_ms", F.col("r").alias("retries"), rate(F.col("c"), F.col("n")).alias("mean_concurrency"),
+        rate(F.col("rtt"), F.col("n_rtt")).alias("mean_rtt_ms"), F.least(100 * rate(F.col("b"), F.col("could")), F.lit(100.0)).alias("utilisation"),
+    )

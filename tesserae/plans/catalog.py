@@ -372,21 +372,39 @@ def byte_planes_recommended(spark, sf_dir):
     return bytegroups.planes_recommended(d, "doc_id").withColumn("max_divergence", F.round("max_divergence", 6))
 
 
-def _as_bytes(spark, sf_dir):
-    floats = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.encode(F.to_json("embedding"), "utf-8").alias("data"))
-    return floats
-
-
-@registered("SELECT vec_id AS id, true AS equal FROM embeddings")
+@registered(
+    """WITH hx AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents), p AS (SELECT doc_id, from_hex(string_agg(substr(h, i * 2 + 1, 2), '' ORDER BY i % 4, i)) AS planes FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2)) AS i FROM hx) GROUP BY 1)
+    SELECT doc_id, sha256(coalesce(planes, from_hex(''))) AS planes_sha256, sha256(coalesce(text, '')) AS sha256 FROM documents LEFT JOIN p USING (doc_id)"""
+)
 def byte_planes_roundtrip(spark, sf_dir):
-    return _as_bytes(spark, sf_dir).select("id", (bytegroups.from_byte_planes(bytegroups.byte_planes("data")) == F.col("data")).alias("equal"))
+    """Digests of each text's byte planes, and of what comes back from them."""
+    planes = _blocks(spark, sf_dir).withColumn("p", bytegroups.byte_planes("data"))
+    return planes.select("doc_id", F.sha2("p", 256).alias("planes_sha256"), F.sha2(bytegroups.from_byte_planes("p"), 256).alias("sha256"))
 
 
-@registered("SELECT doc_id, CAST(strlen(coalesce(text, '')) AS BIGINT) AS n_bytes, true AS equal FROM documents")
+@registered("SELECT doc_id, CAST(strlen(coalesce(text, '')) AS BIGINT) AS n_bytes, sha256(coalesce(text, '')) AS sha256 FROM documents")
 def lz4_roundtrip(spark, sf_dir):
-    packed = _blocks(spark, sf_dir).withColumn("z", bytegroups.lz4_frame(bytegroups.byte_planes("data")))
     size = F.octet_length("data")
-    return packed.select("doc_id", size.cast("long").alias("n_bytes"), (bytegroups.from_byte_planes(bytegroups.lz4_unframe("z", size)) == F.col("data")).alias("equal"))
+    packed = _blocks(spark, sf_dir).select("doc_id", size.alias("n"), bytegroups.lz4_frame(bytegroups.byte_planes("data")).alias("z"))
+    return packed.select("doc_id", F.col("n").cast("long").alias("n_bytes"), F.sha2(bytegroups.from_byte_planes(bytegroups.lz4_unframe("z", F.col("n"))), 256).alias("sha256"))
+
+
+@registered(
+    sql_with(
+        "SELECT container_hash, chunk_idx, CASE WHEN max_divergence > 0.02 THEN 2 ELSE 1 END AS scheme FROM windows LEFT JOIN worst ON worst.doc_id = decided_by",
+        "placed",
+        extra=f"""windows AS (SELECT container_hash, chunk_idx, first_value(chunk_hash) OVER (PARTITION BY container_hash, chunk_idx // 32 ORDER BY chunk_idx) AS decided_by FROM placed),
+        decided AS (SELECT DISTINCT sha256(line) AS doc_id, line AS text FROM (SELECT unnest(l) AS line FROM lines) WHERE sha256(line) IN (SELECT decided_by FROM windows)),
+        {BYTES.replace("FROM documents", "FROM decided")}, {LANES}, worst AS (SELECT doc_id, greatest(coalesce(max(divergence), 0), 0) AS max_divergence FROM kl GROUP BY 1)""",
+    )
+)
+def chunk_schemes(spark, sf_dir):
+    """The scheme of each container chunk under ``auto``: that of the first of its 32."""
+    windows = packing.retest_windows(rel.store(spark, sf_dir)[2]).select("container_hash", "chunk_idx", "decided_by")
+    lines = read(spark, sf_dir, "documents").select(F.explode(F.split("text", "\n")).alias("line")).distinct().select(F.sha2("line", 256).alias("decided_by"), F.encode("line", "utf-8").alias("data"))
+    decided = lines.join(windows.select("decided_by").distinct(), "decided_by", "left_semi")
+    told = bytegroups.planes_recommended(bytegroups.lane_divergence(bytegroups.popcount_histogram(decided, "decided_by", "data"), "decided_by"), "decided_by")
+    return windows.join(told, "decided_by", "left").select("container_hash", "chunk_idx", payloads.chosen_scheme(F.lit("auto"), F.coalesce("recommended", F.lit(False))).alias("scheme"))
 
 
 @registered(sql_with("SELECT container_hash, chunk_idx, first_value(chunk_hash) OVER (PARTITION BY container_hash, chunk_idx // 32 ORDER BY chunk_idx) AS decided_by FROM placed", "placed"))
@@ -445,21 +463,20 @@ def timeline_summary(spark, sf_dir):
     return sums.select("grid_ms", "n_clients", "n_active", (F.col("t") / 1_000_000).alias("total_value"), F.coalesce(F.col("a") / 1_000_000 / F.nullif("n_active", F.lit(0)), F.lit(0.0)).alias("mean_active"))
 
 
-@registered(
-    f"""WITH {SAMPLES} SELECT event_id, round(sum(y.value * pow(2.0, (y.ts_ms - x.ts_ms) / 21600000.0)) / sum(pow(2.0, (y.ts_ms - x.ts_ms) / 21600000.0)), 5) AS ewma
-    FROM (SELECT event_id, client_id, ts_ms FROM s) x JOIN (SELECT client_id, ts_ms, value FROM s) y ON y.client_id = x.client_id AND y.ts_ms <= x.ts_ms AND y.ts_ms >= x.ts_ms - 172800000 GROUP BY 1"""
-)
+def _ewma_sql(half_life):
+    return f"""WITH {SAMPLES} SELECT x.event_id, round(sum(y.value * pow(2.0, (y.ts_ms - x.ts_ms) / {half_life}.0)) / sum(pow(2.0, (y.ts_ms - x.ts_ms) / {half_life}.0)), 5) AS ewma
+    FROM s x LEFT JOIN s y ON y.client_id = x.client_id AND y.ts_ms <= x.ts_ms AND y.value IS NOT NULL GROUP BY 1"""
+
+
+@registered(_ewma_sql(21_600_000))
 def ewma_rate(spark, sf_dir):
-    """Of the last 8 half-lives; ewma_rate_whole is of all samples."""
-    return metrics.ewma(_samples(spark, sf_dir), "client_id", "ts_ms", "value", 21_600_000, 8).select("event_id", F.round("ewma", 5).alias("ewma"))
+    return metrics.ewma_whole(_samples(spark, sf_dir), "client_id", "ts_ms", "value", 21_600_000).select("event_id", F.round("ewma", 5).alias("ewma"))
 
 
-@registered(
-    f"""WITH {SAMPLES} SELECT x.event_id, round(sum(y.value * pow(2.0, (y.ts_ms - x.ts_ms) / 21600000.0)) / sum(pow(2.0, (y.ts_ms - x.ts_ms) / 21600000.0)), 5) AS ewma
-    FROM s x LEFT JOIN s y ON y.client_id = x.client_id AND y.ts_ms <= x.ts_ms AND y.value IS NOT NULL GROUP BY 1"""
-)
+@registered(_ewma_sql(3_600_000))
 def ewma_rate_whole(spark, sf_dir):
-    return metrics.ewma_whole(_samples(spark, sf_dir), "client_id", "ts_ms", "value", 21_600_000).select("event_id", F.round("ewma", 5).alias("ewma"))
+    """With a half-life of an hour, of which a client's samples lie many apart."""
+    return metrics.ewma_whole(_samples(spark, sf_dir), "client_id", "ts_ms", "value", 3_600_000).select("event_id", F.round("ewma", 5).alias("ewma"))
 
 
 @registered(
@@ -572,16 +589,27 @@ def upload_outcomes(spark, sf_dir):
     return store.upload_outcomes(frames, 60)
 
 
-@registered(sql_with("SELECT container_hash, chunk_idx, CAST(length AS BIGINT) AS length, true AS equal FROM placed", "placed"))
+@registered(sql_with("SELECT container_hash, chunk_idx, CAST(length AS BIGINT) AS length, chunk_hash AS sha256 FROM placed", "placed"))
 def payload_roundtrip(spark, sf_dir):
-    """Every container is encoded and decoded again; each chunk is what went in."""
+    """Sizes and digests of chunks whose containers were encoded and decoded again."""
     placed = rel.store(spark, sf_dir)[2]
     lines = read(spark, sf_dir, "documents").select(F.explode(F.split("text", "\n")).alias("line")).distinct().select(F.sha2("line", 256).alias("chunk_hash"), F.encode("line", "utf-8").alias("data"))
     back = payloads.decode_containers(payloads.encode_containers(placed.join(lines, "chunk_hash"), payloads.PLANES))
-    return placed.join(back.select("container_hash", "chunk_idx", F.sha2("data", 256).alias("h")), ["container_hash", "chunk_idx"]).select("container_hash", "chunk_idx", "length", (F.col("h") == F.col("chunk_hash")).alias("equal"))
+    return back.select("container_hash", "chunk_idx", "length", F.sha2("data", 256).alias("sha256"))
 
 
-@registered()
+@registered(
+    sql_with(
+        """SELECT file_id, min(a) AS start_chunk, max(b) AS end_chunk FROM (SELECT *, max(CASE WHEN a > reach OR reach IS NULL THEN a END) OVER (PARTITION BY file_id ORDER BY a) AS isl FROM
+        (SELECT *, max(b) OVER (PARTITION BY file_id ORDER BY a RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM one)) GROUP BY file_id, isl""",
+        "chunks",
+        extra=EDITS
+        + """, at_ AS (SELECT *, sum(length) OVER w - length AS byte_start, length >= 100 AND length < 600 AND lead(length) OVER w >= 100 AND lead(length) OVER w < 600 AS settled FROM chunks WINDOW w AS (PARTITION BY file_id ORDER BY chunk_idx)),
+        st AS (SELECT *, coalesce(min(CASE WHEN settled THEN chunk_idx + 2 END) OVER f, max(chunk_idx) OVER f + 1) AS stop FROM at_ WINDOW f AS (PARTITION BY file_id ORDER BY chunk_idx ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+        nx AS (SELECT *, coalesce(lead(stop) OVER (PARTITION BY file_id ORDER BY chunk_idx), chunk_idx + 1) AS next_stop FROM st),
+        one AS (SELECT ed.file_id, min(chunk_idx) AS a, max_by(next_stop, chunk_idx) AS b FROM ed JOIN nx ON nx.file_id = ed.file_id AND s < byte_start + length AND byte_start < greatest(e, s + 1) GROUP BY ed.file_id, s, e)""",
+    )
+)
 def edit_windows_to_recut(spark, sf_dir):
     chunks = ch.running_offsets(rel.line_chunks(spark, sf_dir), "file_id", "chunk_idx", "length")
     return sessions.edit_windows(chunks, _edits(spark, sf_dir)[0].select("file_id", "start", "end"), 100, 600)
@@ -592,3 +620,12 @@ def keyed_chunk_export(spark, sf_dir):
     """Container chunks with their hashes under a key, in order of the keyed hash."""
     placed = rel.store(spark, sf_dir)[2]
     return placed.select("container_hash", "chunk_idx", digests.keyed("chunk_hash", "ab" * 32).alias("keyed_hash"), "length").orderBy("keyed_hash")
+
+
+@registered(
+    f"""WITH {SAMPLES}, n AS (SELECT *, row_number() OVER (PARTITION BY client_id ORDER BY event_id) AS n FROM s)
+    SELECT x.event_id, round(sum(y.value * pow(2.0, (y.n - x.n) / 10.0)) / sum(pow(2.0, (y.n - x.n) / 10.0)), 5) AS ewma FROM n x JOIN n y ON y.client_id = x.client_id AND y.n <= x.n GROUP BY 1"""
+)
+def ewma_by_count(spark, sf_dir):
+    """Decayed by the number of later samples; half weight after 10."""
+    return metrics.ewma_by_count(_samples(spark, sf_dir), "client_id", "event_id", "value", 10.0).select("event_id", F.round("ewma", 5).alias("ewma"))

@@ -460,3 +460,36 @@ def reconstruct_bytes(spark, sf_dir):
     lines = docs.select(F.explode(F.split("text", "\n")).alias("line")).distinct().select(F.sha2("line", 256).alias("chunk_hash"), F.encode("line", "utf-8").alias("data"))
     got = reconstruct.file_bytes(asked, found, placed, lines)
     return got.select("query_id", F.octet_length("data").cast("long").alias("n_bytes"), F.sha2("data", 256).alias("sha256"))
+
+
+# D14, E1, E2
+
+
+@registered(
+    """WITH s AS (SELECT event_type AS scenario, user_id AS client_id, epoch_us(ts) // 1000 AS ts_ms, CAST(floor(value * 1000) AS BIGINT) AS bytes, event_id % 16 + 1 AS concurrency, event_id % 5 AS retries, event_id % 40 AS rtt_ms, event_id % 3 AS bandwidth FROM events),
+    l AS (SELECT *, (lead(ts_ms) OVER (PARTITION BY scenario, client_id ORDER BY ts_ms, bytes) - ts_ms) * bandwidth AS could FROM s),
+    c AS (SELECT scenario, client_id, max(bytes) AS b, max(retries) AS r, min(ts_ms) AS t0, max(ts_ms) AS t1, sum(could) AS could, count(*) AS n, sum(concurrency) AS c, sum(rtt_ms) FILTER (rtt_ms > 0) AS rtt, count(*) FILTER (rtt_ms > 0) AS n_rtt FROM l GROUP BY 1, 2)
+    SELECT scenario, CAST(sum(b) AS BIGINT) AS bytes, max(t1) - min(t0) AS elapsed_ms, CAST(sum(r) AS BIGINT) AS retries, sum(c) / sum(n) AS mean_concurrency, coalesce(sum(rtt) / nullif(sum(n_rtt), 0), 0) AS mean_rtt_ms,
+    least(100 * coalesce(sum(b) / nullif(sum(could), 0), 0), 100.0) AS utilisation FROM c GROUP BY 1"""
+)
+def scenario_summary(spark, sf_dir):
+    from tesserae.operators import metrics
+
+    i = F.col("event_id")
+    ms = F.unix_millis(F.col("ts").cast("timestamp"))
+    return metrics.scenario_summary(
+        read(spark, sf_dir, "events").select(F.col("event_type").alias("scenario"), F.col("user_id").alias("client_id"), ms.alias("ts_ms"), F.floor(F.col("value") * 1000).cast("long").alias("bytes"), (i % 16 + 1).alias("concurrency"), (i % 5).alias("retries"), (i % 40).alias("rtt_ms"), (i % 3).alias("bandwidth"))
+    )
+
+
+@registered("SELECT doc_id AS file_id, true AS equal FROM documents WHERE strlen(text) > 0")
+def cuts_of_blocks(spark, sf_dir):
+    """Content-defined cuts of texts that come as blocks of 700 bytes, next to those of whole texts."""
+    from tesserae.functions.chunking import ChunkSpec
+
+    docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("file_id"), F.encode(F.coalesce("text", F.lit("")), "utf-8").alias("data")).where("octet_length(data) > 0")
+    size = F.octet_length("data")
+    blocks = docs.withColumn("offset", F.explode(F.sequence(F.lit(0), size - 1, F.lit(700)))).select("file_id", F.col("offset").cast("long").alias("offset"), F.expr("substring(data, offset + 1, 700)").alias("data"))
+    whole = ch.content_chunks(docs, ChunkSpec(target=1024)).groupBy("file_id").agg(F.array_sort(F.collect_list("offset")).alias("a"))
+    parts = ch.cuts_of_blocks(blocks, ChunkSpec(target=1024)).groupBy("file_id").agg(F.array_sort(F.collect_list("offset")).alias("b"))
+    return whole.join(parts, "file_id", "left").select("file_id", (F.col("a") == F.col("b")).alias("equal"))

@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import hashlib
+import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tesserae.functions.chunking import ChunkSpec, cut_points, default_gear
+from tesserae.operators import dedup, sessions
 from tesserae.operators.metrics import STAGES
 
 CHUNKS = "file_id long, chunk_idx long, offset long, length long, chunk_hash string"
@@ -67,6 +69,46 @@ def index_new_chunks(chunks: DataFrame, index_path: str, checkpoint: str, interv
     return writer.start()
 
 
+def cite_stream(located: DataFrame, window: int = 128, limit: float = 8.0, low: float = 0.5) -> DataFrame:
+    """Files as ranges of known and new chunks while their chunks arrive: what ``sessions.greedy_segments`` gives, range by range.
+
+    located(file_id, chunk_idx, target, target_idx, length, is_last): chunks with the
+    place that the index knows, if any. A file's state is its open run and range, and
+    the sizes of its last ranges; a range is emitted once the next one begins. Chunks
+    of a file must arrive in order across batches; within a batch they are put in order.
+    """
+
+    def advance(key, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        at = json.loads(state.get[0]) if state.exists else sessions.START
+        batch = pd.concat(list(parts)).sort_values("chunk_idx")
+        places = zip(batch["target"].where(batch["target"].notna(), None), map(int, batch["target_idx"].fillna(-1)), map(int, batch["length"]))
+        last = bool(batch["is_last"].any())
+        closed, at = sessions.cited_ranges(places, at, window, limit, low, last)
+        state.remove() if last else state.update((json.dumps(at),))
+        yield pd.DataFrame([(key[0], *r) for r in closed], columns=["file_id", "seg_idx", "target", "chunk_start", "chunk_end", "bytes", "decision"])
+
+    return located.groupBy("file_id").applyInPandasWithState(advance, sessions.SEGMENTS, "at string", "append", GroupStateTimeout.NoTimeout)
+
+
+def two_pass_stream(chunks: DataFrame, index_path: str, found_path: str, dedup_rows: DataFrame, shard_chunks: DataFrame, eligible: Column, checkpoint: str):
+    """Looks up each batch twice, see ``dedup.two_pass``; what the shared index told and what is new goes into the local index for the batches that follow.
+
+    found_path has a folder a batch: the chunks with their pass. Folders are named by
+    the batch's number and overwritten if the batch runs again.
+    """
+    chunks.sparkSession.createDataFrame([], "chunk_hash string").write.mode("ignore").parquet(f"{index_path}/batch=-1")
+
+    def look(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        known = spark.read.schema("chunk_hash string, batch long").option("basePath", index_path).parquet(index_path).where(F.col("batch") < number)
+        found, learnt = dedup.two_pass(batch, known, dedup_rows, shard_chunks, eligible)
+        found.write.mode("overwrite").parquet(f"{found_path}/batch={number}")
+        done = spark.read.parquet(f"{found_path}/batch={number}")
+        done.where("pass is null").select("chunk_hash").distinct().unionByName(learnt).write.mode("overwrite").parquet(f"{index_path}/batch={number}")
+
+    return chunks.writeStream.foreachBatch(look).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def progress(events: DataFrame) -> DataFrame:
     """Furthest stage and most verified bytes of each upload, whatever order events come in; for update mode."""
     rank = F.coalesce(F.array_position(F.array(*map(F.lit, STAGES)), F.col("stage")), F.lit(0))

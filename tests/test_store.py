@@ -229,3 +229,38 @@ def test_stream_index_and_progress(spark, tmp_path):
     assert sorted((r["chunk_hash"], r["file_id"]) for r in run().collect()) == [("a", 1), ("b", 1), ("c", 2)]
     events = spark.createDataFrame([(1, "result", 9), (1, "validating", 3), (2, "odd", None), (2, "validating", 4)], "upload_id long, stage string, verified long")
     assert sorted(map(tuple, ingest.progress(events).collect())) == [(1, "result", 9, 2), (2, "validating", 4, 2)]
+
+
+def test_stream_of_ranges_gives_the_batch_ranges(spark, tmp_path):
+    rng = random.Random(5)
+    chunks = [(f, i, rng.choice([None, "a", "b"]), rng.randrange(4), 1 + rng.randrange(9)) for f in range(3) for i in range(90)]
+    chunks = [(f, i, t, a if t else None, n, i == 89) for f, i, t, a, n in chunks]
+    schema = "file_id long, chunk_idx long, target string, target_idx long, length long, is_last boolean"
+    src = f"file://{tmp_path}/in"
+    for k in range(3):
+        spark.createDataFrame([c for c in chunks if c[1] // 30 == k], schema).coalesce(1).write.mode("append").parquet(src)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
+    q = ingest.cite_stream(stream, 4, 3.0).writeStream.format("memory").queryName("cited").option("checkpointLocation", f"file://{tmp_path}/cp").trigger(availableNow=True).start()
+    q.awaitTermination(240)
+    want = set()
+    for f in range(3):
+        closed, _ = sessions.cited_ranges([(t, -1 if a is None else a, n) for g, _, t, a, n, _ in chunks if g == f], sessions.START, 4, 3.0, 0.5, True)
+        want |= {(f, *r) for r in closed}
+    assert {tuple(r) for r in spark.table("cited").collect()} == want
+
+
+def test_stream_learns_from_the_shared_index(spark, tmp_path):
+    schema = "file_id long, chunk_idx long, chunk_hash string, length long"
+    rows = spark.createDataFrame([("a", 1)], "chunk_hash string, shard_id long")
+    shard = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c")], "shard_id long, chunk_hash string")
+
+    def run():
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"file://{tmp_path}/chunks")
+        ingest.two_pass_stream(stream, f"file://{tmp_path}/index", f"file://{tmp_path}/found", rows, shard, F.lit(False), f"file://{tmp_path}/cp").awaitTermination(240)
+        return sorted(((r["file_id"], r["chunk_hash"], r["pass"]) for r in spark.read.parquet(f"file://{tmp_path}/found").collect()), key=lambda r: r[:2])
+
+    spark.createDataFrame([(1, 0, "a", 1), (1, 1, "b", 1), (1, 2, "c", 1)], schema).coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/chunks")
+    first = [(1, "a", 2), (1, "b", 2), (1, "c", None)]
+    assert run() == first
+    spark.createDataFrame([(2, 0, "b", 1), (2, 1, "c", 1), (2, 2, "d", 1)], schema).coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/chunks")
+    assert run() == sorted(first + [(2, "b", 1), (2, "c", 1), (2, "d", None)], key=lambda r: r[:2])
