@@ -8,7 +8,7 @@ shuffle. Spans are code point offsets, end exclusive, sorted by start and then
 by kind in the order of ``KINDS``.
 
 Defined results: null and empty text have no spans; repeated rows each get a
-row; an empty table gives an empty result.
+row; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,8 +32,10 @@ _RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
 _DIGEST = re.compile(r"(?:[0-9a-f]+|[0-9A-F]+)\Z")
 _DIGEST_SIZES = frozenset({32, 40, 48, 56, 64, 96, 128})
 _UUID = re.compile(r"[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}\Z")
+#: Digests in base64 that say what they are, as web pages have them: name, separator, 16 to 64 bytes.
+_NAMED_DIGEST = re.compile(r"(?:md5|sha1|sha224|sha256|sha384|sha512)[-=_/](?:[A-Za-z0-9+/_-]{22}(?:==)?|[A-Za-z0-9+/_-]{27}=?|[A-Za-z0-9+/_-]{38}(?:==)?|[A-Za-z0-9+/_-]{43}=?|[A-Za-z0-9+/_-]{64}|[A-Za-z0-9+/_-]{86}(?:==)?)\Z")
 _PARTS = re.compile(r"[+/_=-]+|(?<=[a-z])(?=[A-Z])")
-LONG = 8
+LONG, SHORTEST = 8, 20
 _WORDLIKE = re.compile(r"(?:[A-Za-z]+|[0-9]+|[A-Za-z]+[0-9]{1,4}|v[0-9]+)\Z")
 
 
@@ -58,12 +60,12 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 def is_known(run: str, encoding, min_chars_per_token: float) -> bool:
-    """A digest in hex of a usual size, a UUID, or an identifier: words and short numbers with separators.
+    """A digest in hex of a usual size or in base64 after its name, a UUID, or an identifier: words and short numbers with separators.
 
     Letters are words if they have the characters per token of words: each part of
     LONG letters or more by itself, and all parts together, as a short one tells little.
     """
-    if _UUID.match(run) or len(run) in _DIGEST_SIZES and _DIGEST.match(run):
+    if _UUID.match(run) or _NAMED_DIGEST.match(run) or len(run) in _DIGEST_SIZES and _DIGEST.match(run):
         return True
     parts = [p for p in _PARTS.split(run) if p]
     if not all(_WORDLIKE.match(p) for p in parts):
@@ -74,17 +76,28 @@ def is_known(run: str, encoding, min_chars_per_token: float) -> bool:
     return wordlike and sum(map(len, words)) >= min_chars_per_token * sum(tokens)
 
 
+def outside(start: int, end: int, taken: list[tuple[str, int, int]]) -> Iterator[tuple[int, int]]:
+    """The pieces of [start, end) that no span in ``taken`` has."""
+    for a, b in sorted((a, b) for _, a, b in taken if a < end and start < b):
+        if start < a:
+            yield start, a
+        start = max(start, b)
+    if start < end:
+        yield start, end
+
+
 def random_spans(text: str, taken: list[tuple[str, int, int]], encoding, min_chars_per_token: float) -> list[tuple[str, int, int]]:
+    """Long runs that the test takes for random; of a run that has a span already, what lies beside it is tested by itself."""
     found = []
     for m in _RUN.finditer(text):
-        start, end = m.span()
-        run = m[0]
-        if not any(map(str.isalpha, run)) or is_known(run, encoding, min_chars_per_token):
-            continue
-        if any(a < end and start < b for _, a, b in taken):
+        if not any(map(str.isalpha, m[0])) or is_known(m[0], encoding, min_chars_per_token):
             continue
-        if len(run) / len(encoding.encode_ordinary(run)) < min_chars_per_token:
-            found.append(("random", start, end))
+        for start, end in outside(*m.span(), taken):
+            run = text[start:end]
+            if end - start < SHORTEST or (end - start < len(m[0]) and (not any(map(str.isalpha, run)) or is_known(run, encoding, min_chars_per_token))):
+                continue
+            if len(run) / len(encoding.encode_ordinary(run)) < min_chars_per_token:
+                found.append(("random", start, end))
     return found
 
 
