@@ -16,7 +16,8 @@ queries meet by shuffle, and each block sends at most k rows a query onward.
 
 Defined results: vectors that are null or zero, that hold null or non-finite
 components, or that have another length than the most frequent one of the
-sample take no part; repeated vec_ids are rows of their own (none of them is a
+sample take no part (an inner product needs equal lengths); scores too large for a
+double are infinite and count as such; repeated vec_ids are rows of their own (none of them is a
 candidate of a query with the same id); fewer candidates than k give fewer rows.
 """
 
@@ -110,11 +111,10 @@ def search_block(index: Index, of: int, ids: np.ndarray, rows: pd.Series, querie
         score[qid[:, None] == ids] = -np.inf
         pick = np.argpartition(-score, n - 1, axis=1)[:, :n]
         exact = exact_scores(original[pick], asked[at : at + at_once])
-        exact[qid[:, None] == ids[pick]] = -np.inf
-        best = np.lexsort((ids[pick], -exact), axis=1)[:, :k]
-        found = np.take_along_axis(exact, best, 1)
-        real = np.isfinite(found)
-        out.append((np.repeat(qid, real.sum(1)), ids[np.take_along_axis(pick, best, 1)][real], found[real]))
+        own = qid[:, None] == ids[pick]  # a mark of its own: any score may be infinite
+        best = np.lexsort((ids[pick], -exact, own), axis=1)[:, :k]
+        real = ~np.take_along_axis(own, best, 1)
+        out.append((np.repeat(qid, real.sum(1)), ids[np.take_along_axis(pick, best, 1)][real], np.take_along_axis(exact, best, 1)[real]))
     return tuple(np.concatenate(c) for c in zip(*out))
 
 
@@ -216,5 +216,5 @@ def nearest(
         return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), found)))
 
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(search, "query_id long, vec_id long, score double")
-    best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    best = Window.partitionBy("query_id").orderBy(F.isnan("score"), F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
