@@ -46,11 +46,11 @@ def targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, max_epochs: fl
     return filled.select("source", "source_size", F.least("cap", F.coalesce(F.col("w") * F.col("level"), F.col("cap"))).alias("target"))
 
 
-def repeats(rows: DataFrame, seed: int = 0, weights: Sequence[float] = WEIGHTS, max_epochs: float = 3.0, large: int = 64, cells: int = 4096) -> DataFrame:
+def repeats(rows: DataFrame, seed: int = 0, weights: Sequence[float] = WEIGHTS, max_epochs: float = 3.0, large: int = 64, cells: int = 4096, ordered_by: str = "doc_id") -> DataFrame:
     """rows(doc_id, source, size) -> doc_id, size, source_size, target, times, row_id, row_id following the order of a written copy."""
     if cells & (cells - 1):
         raise ValueError("cells must be a power of two")
-    rows = written(rows.select("doc_id", "source", "size", F.monotonically_increasing_id().alias("row_id"), F.xxhash64(F.lit(seed), "doc_id").alias("h")), "mix-rows")
+    rows = written(rows.select("doc_id", "source", "size", F.monotonically_increasing_id().alias("row_id"), F.xxhash64(F.lit(seed), F.col(ordered_by)).alias("h")), "mix-rows")
     return _repeats_of(rows, weights, max_epochs, large, cells)
 
 
@@ -109,8 +109,9 @@ def mix_documents(docs: DataFrame, seed: int = 0) -> DataFrame:
 
 
 def mixed_rows(docs: DataFrame, seed: int = 0) -> DataFrame:
-    """The mix itself: rows of ``docs``, each as often as it is taken. Rows that share an id repeat alike, as often as the most drawn of them."""
-    drawn = repeats(docs.select("doc_id", "source", word_count("text").alias("size")), seed).where("times > 0")
-    times = drawn.groupBy(F.col("doc_id").alias("__id")).agg(F.max("times").alias("times"))
-    again = docs.join(times, docs["doc_id"].eqNullSafe(F.col("__id")))
-    return again.withColumn("__time", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times")))).select(*[docs[c] for c in docs.columns])
+    """The mix itself: rows of ``docs``, each as often as it is taken. Rows of one id, source and text repeat alike, as often as the most drawn of them."""
+    key = F.struct(F.col("doc_id").alias("doc_id"), F.col("source").alias("source"), F.xxhash64("text").alias("text"))
+    drawn = repeats(docs.select(key.alias("doc_id"), "source", word_count("text").alias("size")), seed, ordered_by="doc_id.doc_id").where("times > 0")
+    times = drawn.groupBy(F.col("doc_id").alias("__key")).agg(F.max("times").alias("__times"))
+    again = docs.withColumn("__own", key).join(times, F.col("__own") == F.col("__key"))
+    return again.withColumn("__time", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__times")))).drop("__own", "__key", "__times", "__time")
