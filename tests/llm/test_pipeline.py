@@ -68,6 +68,29 @@ def test_stages_on_awkward_rows(spark):
             assert name == "sentence pieces" or out.columns == df.columns
             n = out.count()
             assert n <= 3 * df.count() and (df.count() > 0 or n == 0)
+            if df.count():
+                # what has to be left of these rows
+                left = collections.Counter(r["doc_id"] for r in out.select("doc_id").collect())
+                if name == "exact dedup":
+                    assert left == collections.Counter([1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15, 15, 16, 17, 18, 111]) - collections.Counter([1, 2, 6, 10])
+                elif name == "n-gram Jaccard join":
+                    comp = {i: c for i, _, c in brute.components([(r["doc_id"], r["text"]) for r in df.collect()], 5, 4, 5)}
+                    assert left == collections.Counter(r["doc_id"] for r in df.collect() if comp[r["doc_id"]] == r["doc_id"])
+                elif name == "sentence pieces":
+                    assert left == collections.Counter(r["doc_id"] for r in df.collect())
+                elif name == "quality classifier":
+                    assert set(left) & {6, 7, 8} == set()  # without tokens
+
+
+def test_the_mix_repeats_rows_not_ids(spark):
+    rows = [(1, "one two", "a"), (1, "three four five", "b"), (None, "six", "a"), (None, "seven", "b"), (2, None, "a"), (1, "one two", "a")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = collections.Counter(tuple(r) for r in mixing.mixed_rows(df).collect())
+    taken = collections.Counter()
+    for t, n in got.items():
+        assert t in rows and n <= 3 * rows.count(t)
+        taken[t[2]] += n * len((t[1] or "").split())
+    assert 6 <= taken["a"] <= 9 and 1 <= taken["b"] <= 6
 
 
 def test_weights_do_not_depend_on_other_columns(spark):
