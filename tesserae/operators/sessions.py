@@ -133,6 +133,28 @@ def merged_leftovers(leftovers: DataFrame, by: str, max_bytes: int, max_chunks:
     return kept.groupBy(by).applyInPandas(fold, f"{by} {kind}, file_id long, bytes long, chunks long, container long")
 
 
+def flush_windows(made: DataFrame, interval_ms: int = 20_000, most: int = 64) -> DataFrame:
+    """made(session, ts_ms, container) -> the same with flush: which flush of its session takes a container.
+
+    A window begins with its first container; one that comes ``interval_ms`` or more
+    after that, or finds ``most`` in the window, begins the next. A fold over a
+    session's containers in order of time.
+    """
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["ts_ms", "container"])
+        flushes, begin, held, k = [], None, 0, 0
+        for at in pdf["ts_ms"].tolist():
+            if begin is None or at - begin >= interval_ms or held == most:
+                begin, held, k = at, 0, k + (begin is not None)
+            held += 1
+            flushes.append(k)
+        return pdf.assign(flush=flushes)
+
+    kept = made.select("session", "ts_ms", "container")
+    return kept.groupBy("session").applyInPandas(fold, f"session {kept.schema['session'].dataType.simpleString()}, ts_ms long, container {kept.schema['container'].dataType.simpleString()}, flush long")
+
+
 def chain_size(terms: DataFrame) -> DataFrame:
     """terms(block, start, end, size) -> block, size: the bytes of the chunks from the first term to the last.
 

@@ -493,3 +493,18 @@ def cuts_of_blocks(spark, sf_dir):
     whole = ch.content_chunks(docs, ChunkSpec(target=1024)).groupBy("file_id").agg(F.array_sort(F.collect_list("offset")).alias("a"))
     parts = ch.cuts_of_blocks(blocks, ChunkSpec(target=1024)).groupBy("file_id").agg(F.array_sort(F.collect_list("offset")).alias("b"))
     return whole.join(parts, "file_id", "left").select("file_id", (F.col("a") == F.col("b")).alias("equal"))
+
+
+# I4
+
+
+@registered(
+    """WITH RECURSIVE q AS (SELECT event_id // 300 AS session, epoch_us(ts) // 1000 AS ts_ms, event_id AS container, row_number() OVER (PARTITION BY event_id // 300 ORDER BY epoch_us(ts) // 1000, event_id) AS rn FROM events),
+    f AS (SELECT session, ts_ms, container, rn, CAST(0 AS BIGINT) AS flush, ts_ms AS begin, CAST(1 AS BIGINT) AS held FROM q WHERE rn = 1
+        UNION ALL SELECT q.session, q.ts_ms, q.container, q.rn, CASE WHEN next THEN f.flush + 1 ELSE f.flush END, CASE WHEN next THEN q.ts_ms ELSE f.begin END, CASE WHEN next THEN 1 ELSE f.held + 1 END
+        FROM f JOIN q ON q.session = f.session AND q.rn = f.rn + 1, LATERAL (SELECT q.ts_ms - f.begin >= 7200000 OR f.held = 6 AS next))
+    SELECT session, ts_ms, container, flush FROM f"""
+)
+def session_flush_windows(spark, sf_dir):
+    made = read(spark, sf_dir, "events").select(F.floor(F.col("event_id") / 300).alias("session"), F.unix_millis(F.col("ts").cast("timestamp")).alias("ts_ms"), F.col("event_id").alias("container"))
+    return sessions.flush_windows(made, 7_200_000, 6)
