@@ -4,6 +4,10 @@ Each round replaces edges by edges to smaller neighbours until every node points
 at the smallest of its component. Only minima are aggregated, so a node with
 many neighbours is folded before the shuffle; edges stay tables throughout and
 each round is written to the shared folder.
+
+Defined results: edges from a node to itself count for nothing, repeated and
+reversed ones for one, edges with a null end are left out; without edges there
+are no rows.
 """
 
 from __future__ import annotations

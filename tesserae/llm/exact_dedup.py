@@ -13,9 +13,9 @@ group that holds a third of the rows is folded to a row per task, and its side
 of the join can be split.
 
 Defined results: null text counts as empty, and all empty texts are one group;
-of equal texts the largest doc_id stays (a repeated row that ties with itself
-is kept each time; a null id is smaller than all others); other columns are
-ignored.
+of equal texts the largest doc_id stays (in ``group_copies`` a repeated row that
+ties with itself is marked as kept each time, ``drop_copies`` keeps one of them; a
+null id is smaller than all others); other columns are ignored.
 """
 
 from __future__ import annotations
@@ -96,8 +96,14 @@ def group_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with their columns; an id may be null or stand for several texts."""
+    """One row of ``docs`` for each text, with its columns: of the largest id, which may be null or stand for several texts; of rows that share id and text one stays."""
     groups = group_copies(docs, id_col, text_col)
-    gone = groups.where(~F.col("kept")).select(F.col("doc_id").alias("__gone"), F.col("text_sha256").alias("__gone_text")).distinct()
+    at = [F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha")]
+    gone = groups.where(~F.col("kept")).select(*at).distinct()
     rows = docs.withColumn("__text", F.sha2(normalised(text_col).cast("binary"), 256))
-    return rows.join(gone, rows[id_col].eqNullSafe(F.col("__gone")) & (F.col("__text") == F.col("__gone_text")), "left_anti").drop("__text")
+    same = rows[id_col].eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__sha"))
+    rows = rows.join(gone, same, "left_anti")
+    tied = written(groups.where("kept").select(*at).groupBy("__id", "__sha").count().where("count > 1").drop("count"), "tied-copies")
+    if not tied.isEmpty():
+        rows = rows.join(tied, same, "left_anti").unionByName(rows.join(tied, same, "left_semi").dropDuplicates([id_col, "__text"]))
+    return rows.drop("__text")
