@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -57,10 +58,19 @@ def parsed_size(text: Column | str) -> Column:
     return F.round(number * factor).cast("long")
 
 
+def _fixed(x: Column, places: int) -> Column:
+    """A double with so many places, rounded as the double is: SQL's own format rounds its shortest digits, and ties up."""
+
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(lambda v: f"{v:.{places}f}", na_action="ignore")
+
+    return F.pandas_udf(run, "string")(x)
+
+
 def _shown(n: Column, units, exact, rounded, rest: Column) -> Column:
     out = None
     for name, size in units:
-        text = F.when(n % size == 0, F.concat(F.floor(n / size).cast("string"), F.lit(exact + name))).otherwise(F.concat(F.format_string(f"%.{rounded}f", n / size), F.lit(exact + name)))
+        text = F.when(n % size == 0, F.concat(F.floor(n / size).cast("string"), F.lit(exact + name))).otherwise(F.concat(_fixed(n / size, rounded), F.lit(exact + name)))
         out = F.when(n >= size, text) if out is None else out.when(n >= size, text)
     return out.otherwise(rest)
 
