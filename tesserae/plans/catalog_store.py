@@ -445,21 +445,31 @@ def session_leftovers(spark, sf_dir):
     return sessions.merged_leftovers(left, "grp", rel.MAX_BYTES, rel.MAX_CHUNKS)
 
 
-@registered(
-    sql_with(
-        """SELECT query_id, CAST(strlen(want) AS BIGINT) AS n_bytes, sha256(want) AS sha256 FROM (SELECT query_id, decode(from_hex(substr(h, start_ * 2 + 1, (end_ - start_) * 2))) AS want FROM requests JOIN (SELECT doc_id AS file_id, hex(encode(replace(text, chr(10), ''))) AS h FROM documents) USING (file_id))""",
-        "requests",
-    ).replace("decode(from_hex(substr(h, start_ * 2 + 1, (end_ - start_) * 2))) AS want", "from_hex(substr(h, start_ * 2 + 1, (end_ - start_) * 2)) AS want").replace("CAST(strlen(want) AS BIGINT)", "CAST(octet_length(want) AS BIGINT)")
-)
-def reconstruct_bytes(spark, sf_dir):
-    """Size and digest of every requested range, rebuilt from container chunks; chunks are lines without their ends."""
-    docs = read(spark, sf_dir, "documents")
+WANTED = "want AS (SELECT query_id, from_hex(substr(h, start_ * 2 + 1, (end_ - start_) * 2)) AS want FROM requests JOIN (SELECT doc_id AS file_id, hex(encode(replace(text, chr(10), ''))) AS h FROM documents) USING (file_id))"
+
+
+def _rebuilt(spark, sf_dir):
+    """Requests and their ranges, rebuilt from container chunks; chunks are lines without their ends."""
     segs, placed = rel.segments(spark, sf_dir)
     asked = rel.requests(segs)
     found = written(reconstruct.terms(asked, segs, placed), "terms")
-    lines = docs.select(F.explode(F.split("text", "\n")).alias("line")).distinct().select(F.sha2("line", 256).alias("chunk_hash"), F.encode("line", "utf-8").alias("data"))
-    got = reconstruct.file_bytes(asked, found, placed, lines)
-    return got.select("query_id", F.octet_length("data").cast("long").alias("n_bytes"), F.sha2("data", 256).alias("sha256"))
+    lines = read(spark, sf_dir, "documents").select(F.explode(F.split("text", "\n")).alias("line")).distinct().select(F.sha2("line", 256).alias("chunk_hash"), F.encode("line", "utf-8").alias("data"))
+    return asked, reconstruct.file_bytes(asked, found, placed, lines)
+
+
+@registered(sql_with("SELECT query_id, CAST(octet_length(want) AS BIGINT) AS n_bytes, sha256(want) AS sha256 FROM want", "requests", extra=WANTED))
+def reconstruct_bytes(spark, sf_dir):
+    """Size and digest of every requested range."""
+    return _rebuilt(spark, sf_dir)[1].select("query_id", F.octet_length("data").cast("long").alias("n_bytes"), F.sha2("data", 256).alias("sha256"))
+
+
+@registered(sql_with("SELECT query_id, CAST(octet_length(want) AS BIGINT) AS n_bytes, true AS equal FROM want", "requests", extra=WANTED))
+def reconstruct_bytes_equal(spark, sf_dir):
+    """Every requested range next to the same range cut from its file."""
+    asked, got = _rebuilt(spark, sf_dir)
+    whole = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("file_id"), F.encode(F.replace("text", F.lit("\n"), F.lit("")), "utf-8").alias("file"))
+    want = asked.join(whole, "file_id").select("query_id", F.substring("file", F.col("start").cast("int") + 1, (F.col("end") - F.col("start")).cast("int")).alias("want"))
+    return want.join(got, "query_id", "left").select("query_id", F.octet_length("want").cast("long").alias("n_bytes"), F.coalesce(F.col("want") == F.col("data"), F.octet_length("want") == 0).alias("equal"))
 
 
 # D14, E1, E2
