@@ -264,3 +264,16 @@ def test_stream_learns_from_the_shared_index(spark, tmp_path):
     assert run() == first
     spark.createDataFrame([(2, 0, "b", 1), (2, 1, "c", 1), (2, 2, "d", 1)], schema).coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/chunks")
     assert run() == sorted(first + [(2, "b", 1), (2, "c", 1), (2, "d", None)], key=lambda r: r[:2])
+
+
+def test_own_tables_are_cleaned_up(spark):
+    import os
+
+    from tesserae.sources import shared
+
+    kept, shared._MADE[:] = list(shared._MADE), []
+    df = shared.written(spark.range(5), "five")
+    path = shared._MADE[0].removeprefix("file:")
+    assert df.count() == 5 and os.path.isdir(path)
+    assert shared.clean_up(spark) == 1 and not os.path.exists(path) and shared.clean_up(spark) == 0
+    shared._MADE[:] = kept
