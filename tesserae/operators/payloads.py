@@ -102,3 +102,10 @@ def decode_containers(containers: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in rows], schema=pa.schema([("container_hash", pa.string()), ("chunk_idx", pa.int64()), ("scheme", pa.int64()), ("packed_length", pa.int64()), ("length", pa.int64()), ("data", pa.binary())]))
 
     return containers.select("container_hash", "payload").mapInArrow(run, "container_hash string, chunk_idx long, scheme long, packed_length long, length long, data binary")
+
+
+def rebuilt_rows(containers: DataFrame) -> DataFrame:
+    """container_hash, chunk_idx, chunk_hash, byte_start, length of containers whose listing is lost: payloads are decoded and their chunks hashed."""
+    before = Window.partitionBy("container_hash").orderBy("chunk_idx").rowsBetween(Window.unboundedPreceding, -1)
+    rows = decode_containers(containers).select("container_hash", "chunk_idx", F.sha2("data", 256).alias("chunk_hash"), "length")
+    return rows.select("container_hash", "chunk_idx", "chunk_hash", F.coalesce(F.sum("length").over(before), F.lit(0)).cast("long").alias("byte_start"), "length")

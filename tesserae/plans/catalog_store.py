@@ -518,3 +518,14 @@ def cuts_of_blocks(spark, sf_dir):
 def session_flush_windows(spark, sf_dir):
     made = read(spark, sf_dir, "events").select(F.floor(F.col("event_id") / 300).alias("session"), F.unix_millis(F.col("ts").cast("timestamp")).alias("ts_ms"), F.col("event_id").alias("container"))
     return sessions.flush_windows(made, 7_200_000, 6)
+
+
+# A16
+
+
+@registered(sql_with("SELECT * FROM placed", "placed"))
+def container_rows_rebuilt(spark, sf_dir):
+    """Every container's chunk rows, from its payload alone."""
+    placed = rel.store(spark, sf_dir)[2]
+    lines = read(spark, sf_dir, "documents").select(F.explode(F.split("text", "\n")).alias("line")).distinct().select(F.sha2("line", 256).alias("chunk_hash"), F.encode("line", "utf-8").alias("data"))
+    return payloads.rebuilt_rows(payloads.encode_containers(placed.join(lines, "chunk_hash"), payloads.LZ4).select("container_hash", "payload"))
