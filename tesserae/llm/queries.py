@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, jaccard_join, mixing, neighbours, preferences, quality, secrets, sentence_pieces, sharding, token_counts
+from . import alignment, exact_dedup, filter_audit, jaccard_join, mixing, neighbours, preferences, quality, quality_rules, secrets, sentence_pieces, sharding, token_counts
 from .shared import shared_dir, table
 
 
@@ -64,6 +64,20 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(vectors, vectors.where("vec_id % 20 = 0"), k=20)
 
 
+def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    judged = quality_rules.judge(docs, quality_rules.learn(docs, table(spark, sf_dir, "labels")))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), _tokenizer("piece_bpe_32k.model"))
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_sentence_pieces": op2_sentence_pieces,
@@ -75,6 +89,9 @@ QUERIES = {
     "op8_secret_scans": op8_secret_scans,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_nearest_neighbours": op10_nearest_neighbours,
+    "op11_quality_rules": op11_quality_rules,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_alignment": op13_alignment,
 }
 
 ORACLE_SQL = {
@@ -106,4 +123,21 @@ ORACLE_SQL = {
         WITH n AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
              g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM n GROUP BY t)
         SELECT n.doc_id, g.keep_id, g.group_size, n.doc_id = g.keep_id AS kept, sha256(n.t) AS text_sha256 FROM n JOIN g USING (t)""",
+    # bits of each row, rows by part, bits and labels, and the steps of the 120 orders over those
+    "op12_filter_audit": r"""
+        WITH w AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS l FROM documents),
+             m AS (SELECT doc_id AS d, max(quality = 1) AS good, max(toxic = 1) AS toxic FROM labels GROUP BY 1),
+             b AS (SELECT part, (len(l) < 100)::INT + 2 * (100 * len(list_distinct(l)) < 80 * len(l))::INT + 4 * (100 * len(regexp_extract_all(t, '[A-Z]')) > 10 * length(t))::INT
+                          + 8 * regexp_matches(t, '[#$%&*|]')::INT + 16 * coalesce(min(doc_id) OVER (PARTITION BY t) < doc_id, false)::INT AS bits, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic
+                   FROM w LEFT JOIN m ON d = doc_id),
+             c AS (SELECT part, bits, good, toxic, count(*) AS n FROM b GROUP BY ALL),
+             v(i) AS (VALUES (0), (1), (2), (3), (4)),
+             o AS (SELECT [p.i, q.i, r.i, s.i, t.i] AS p FROM v p JOIN v q ON q.i <> p.i JOIN v r ON r.i NOT IN (p.i, q.i) JOIN v s ON s.i NOT IN (p.i, q.i, r.i) JOIN v t ON t.i NOT IN (p.i, q.i, r.i, s.i)),
+             x AS (SELECT array_to_string(list_transform(p, lambda i: chr(65 + i)), '') AS filter_order, CAST(step AS INT) AS step, 1 << p[step] AS f, coalesce(list_sum(list_transform(p[1:step - 1], lambda i: 1 << i)), 0)::INT AS before FROM o, (SELECT unnest(range(1, 6)) AS step)),
+             y AS (SELECT part, filter_order, step, f,
+                          coalesce(sum(n) FILTER (bits & (before | f) = 0), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (bits & f > 0 AND bits & before = 0), 0)::BIGINT AS removed,
+                          coalesce(sum(n) FILTER (bits & f > 0 AND bits & before > 0), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (bits = f), 0)::BIGINT AS unique_fails,
+                          coalesce(sum(n) FILTER (bits & f > 0 AND bits & before = 0 AND good), 0)::BIGINT AS good_lost, coalesce(sum(n) FILTER (bits & f > 0 AND bits & before = 0 AND toxic), 0)::BIGINT AS toxic_lost
+                   FROM c CROSS JOIN x GROUP BY ALL)
+        SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, sum(removed) OVER (PARTITION BY part, f)::BIGINT AS shapley FROM y""",
 }
