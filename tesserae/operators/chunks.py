@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesserae.functions.chunking import WINDOW, ChunkSpec, candidates, chosen_cuts, cut_points, default_gear
+from tesserae.sources.shared import written
 
 
 def line_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -45,36 +46,78 @@ def content_chunks(files: DataFrame, spec: ChunkSpec = ChunkSpec(), with_data: b
     return files.select("file_id", "data").mapInArrow(run, fields)
 
 
-def cuts_of_blocks(blocks: DataFrame, spec: ChunkSpec = ChunkSpec()) -> DataFrame:
-    """file_id, chunk_idx, offset, length of files that come as blocks(file_id, offset, data), cut as they would be in one piece.
+def _own_places(spec: ChunkSpec):
+    """Of each block: its places that its own bytes allow, and its first and last bytes, ``WINDOW`` - 1 at most."""
 
-    Where a cut is allowed depends on the last ``WINDOW`` bytes alone, so it is found
-    block by block, wherever the blocks are, with the end of the block before; only
-    the allowed places, about one for ``target`` bytes, come together by file. Blocks
-    but the last have ``WINDOW`` bytes at least.
-    """
-    before = F.lag(F.expr(f"right(data, {WINDOW - 1})")).over(Window.partitionBy("file_id").orderBy("offset"))
-    ends = blocks.select("file_id", "offset", F.coalesce(before, F.lit(b"")).alias("before"), F.octet_length("data").cast("long").alias("size"), "data")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gear, edge = default_gear(), WINDOW - 1
+        for b in batches:
+            size, front, tail, found = [], [], [], []
+            for offset, data in zip(b.column("offset").to_pylist(), b.column("data")):
+                body = data.as_py() or b""
+                at = candidates(np.frombuffer(body, np.uint8), gear, spec.mask)
+                size.append(len(body))
+                front.append(body[:edge])
+                tail.append(body[-edge:])
+                found.append((at[at > edge] + offset).tolist())
+            columns = [pa.array(size, pa.int64()), pa.array(front, pa.binary()), pa.array(tail, pa.binary()), pa.array(found, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([b.column("file_id"), b.column("offset"), *columns], names=["file_id", "offset", "size", "front", "tail", "allowed"])
 
-    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return run
+
+
+def _seam_places(spec: ChunkSpec):
+    """Places among a block's first bytes, from what comes before them and themselves."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gear = default_gear()
         for b in batches:
             found = []
-            for offset, head, data in zip(b.column("offset").to_pylist(), b.column("before"), b.column("data")):
-                head, data = head.as_py(), data.as_py()
-                at = candidates(np.frombuffer(head + data, np.uint8), gear, spec.mask) - len(head)
+            for offset, tails, front in zip(b.column("offset").to_pylist(), b.column("tails").to_pylist(), b.column("front").to_pylist()):
+                head = b"".join(x["tail"] for x in tails)[1 - WINDOW :]
+                at = candidates(np.frombuffer(head + front, np.uint8), gear, spec.mask) - len(head)
                 found.append((at[at > 0] + offset).tolist())
-            yield pa.RecordBatch.from_arrays([b.column("file_id"), b.column("offset"), b.column("size"), pa.array(found, pa.list_(pa.int64()))], names=["file_id", "offset", "size", "allowed"])
+            yield pa.RecordBatch.from_arrays([b.column("file_id"), b.column("offset"), pa.array([0] * b.num_rows, pa.int64()), pa.array(found, pa.list_(pa.int64()))], names=["file_id", "offset", "size", "allowed"])
+
+    return run
+
+
+def cuts_of_blocks(blocks: DataFrame, spec: ChunkSpec = ChunkSpec()) -> DataFrame:
+    """file_id, chunk_idx, offset, length of files that come as blocks(file_id, offset, data), cut as they would be in one piece.
+
+    Whether a cut is allowed at a place depends on the last ``WINDOW`` bytes alone.
+    Blocks stay where they are: a task finds the places that a block's own bytes
+    decide and gives out its first and last bytes, ``WINDOW`` - 1 at most. Those meet
+    by where they lie in the file: the bytes before a block come from as many earlier
+    blocks as it takes, so blocks may have any length. Of the data nothing else is
+    shuffled. Cuts are then chosen by file among the allowed places, about one for
+    ``target`` bytes.
+
+    A file whose blocks leave a hole or overlap ends the job; one without bytes has no chunks.
+    """
+    marked = written(blocks.select("file_id", "offset", "data").mapInArrow(_own_places(spec), "file_id long, offset long, size long, front binary, tail binary, allowed array<long>"), "block-places").where("size > 0")
+    stretch = lambda c: F.floor(c / WINDOW)
+    ends = marked.select("file_id", (F.col("offset") + F.col("size")).alias("end"), "tail")
+    # a tail is of use to blocks that begin less than WINDOW bytes after its end: in its stretch of WINDOW bytes or the next
+    ends = ends.withColumn("at", F.explode(F.array(stretch(F.col("end")), stretch(F.col("end")) + 1)))
+    fronts = marked.select("file_id", "offset", "front", stretch(F.col("offset")).alias("at"))
+    met = fronts.join(ends, ["file_id", "at"], "left").withColumn("near", (F.col("end") <= F.col("offset")) & (F.col("end") > F.col("offset") - (WINDOW - 1)))
+    seams = met.groupBy("file_id", "offset").agg(F.first("front").alias("front"), F.array_sort(F.collect_list(F.when(F.col("near"), F.struct("end", "tail")))).alias("tails"))
+    between = seams.mapInArrow(_seam_places(spec), "file_id long, offset long, size long, allowed array<long>")
 
     def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("offset")
-        allowed = np.concatenate([np.asarray(x, np.int64) for x in pdf["allowed"]])
-        cuts = np.array(chosen_cuts(allowed, int((pdf["offset"] + pdf["size"]).max()), spec), np.int64)
+        pdf = pdf.sort_values("offset", kind="stable")
+        own = pdf[pdf["size"] > 0]
+        ends = np.cumsum(own["size"].to_numpy())
+        if (own["offset"].to_numpy() != np.concatenate([[0], ends[:-1]])).any():
+            raise ValueError(f"the blocks of file {pdf['file_id'].iloc[0]} don't follow each other")
+        allowed = np.sort(np.concatenate([np.asarray(x, np.int64) for x in pdf["allowed"]]))
+        cuts = np.array(chosen_cuts(allowed, int(ends[-1]), spec), np.int64)
         starts = np.concatenate([[0], cuts[:-1]])
         return pd.DataFrame({"file_id": pdf["file_id"].iloc[0], "chunk_idx": np.arange(len(cuts)), "offset": starts, "length": cuts - starts})
 
-    marked = ends.mapInArrow(places, "file_id long, offset long, size long, allowed array<long>")
-    return marked.groupBy("file_id").applyInPandas(choose, "file_id long, chunk_idx long, offset long, length long")
+    places = marked.select("file_id", "offset", "size", "allowed").unionByName(between)
+    return places.groupBy("file_id").applyInPandas(choose, "file_id long, chunk_idx long, offset long, length long")
 
 
 def running_offsets(chunks: DataFrame, group: str, order: str, size: str) -> DataFrame:

@@ -8,7 +8,7 @@ place a chunk. A group is as large as one file's chunk list.
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SEGMENTS = "file_id long, seg_idx long, target string, chunk_start long, chunk_end long, bytes long, decision string"
@@ -155,17 +155,39 @@ def flush_windows(made: DataFrame, interval_ms: int = 20_000, most: int = 64) ->
     return kept.groupBy("session").applyInPandas(fold, f"session {kept.schema['session'].dataType.simpleString()}, ts_ms long, container {kept.schema['container'].dataType.simpleString()}, flush long")
 
 
-def chain_size(terms: DataFrame) -> DataFrame:
-    """terms(block, start, end, size) -> block, size: the bytes of the chunks from the first term to the last.
+def chain_size(ranges: DataFrame, terms: DataFrame) -> DataFrame:
+    """ranges(block, start, end), terms(block, start, end, size) -> block, size of each block that has ranges.
 
-    Terms that share ends form chains, and a chain's bytes are the sum of its
-    terms'; a gap between chains costs nothing. Null where terms overlap without
-    sharing ends, so that the size can't be told.
+    A block's chunk ranges are those that are fetched for it; its size is told by
+    terms that follow each other from the first range's start to the last one's end.
+    Which places such chains reach, and with how many bytes, is carried over the
+    terms in order of start: a term that begins at a reached place makes its end
+    reached, and the end of a range makes the start of the next one reached at no
+    cost. The first way to a place counts. Null where the last end is not reached:
+    terms leave a hole, or overlap without sharing ends.
+
+    A block's terms are folded as distinct (start, end), so a fold has no more steps than pairs
+    of a container's chunks.
     """
-    w = Window.partitionBy("block").orderBy("start", "end")
-    distinct = terms.dropDuplicates(["block", "start", "end"])
-    marked = distinct.withColumn("clear", F.coalesce(F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1)) <= F.col("start"), F.lit(True)))
-    return marked.groupBy("block").agg(F.bool_and("clear").alias("c"), F.sum("size").alias("s")).select("block", F.when(F.col("c"), F.col("s")).alias("size"))
+    size = F.col("size").cast("long")
+    place = lambda c: F.col(c).cast("long").alias(c)
+    own = ranges.select("block", place("start"), place("end")).groupBy("block").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("r"))
+    found = terms.groupBy("block", place("start"), place("end")).agg(F.min(size).alias("size")).groupBy("block").agg(F.array_sort(F.collect_list(F.struct("start", "end", "size"))).alias("t"))
+    bridge = F.transform("r", lambda x, i: F.struct(x["end"].alias("key"), F.get("r", i + 1)["start"].alias("value")))
+    bridges = F.map_from_entries(F.filter(bridge, lambda x: x["key"] < x["value"]))
+
+    def reached(places: Column, at: Column, bytes_: Column) -> Column:
+        return F.when(at.isNull() | F.map_contains_key(places, at), places).otherwise(F.map_concat(places, F.create_map(at, bytes_)))
+
+    def step(places: Column, term: Column) -> Column:
+        with_term = F.try_element_at(places, term["start"]) + term["size"]
+        further = reached(reached(places, term["end"], with_term), F.try_element_at("bridges", term["end"]), with_term)
+        return F.when(with_term.isNull(), places).otherwise(further)
+
+    seed = F.create_map(F.get("r", F.lit(0))["start"], F.lit(0).cast("long"))
+    joined = own.withColumn("bridges", bridges).join(found, "block", "left")
+    places = F.aggregate(F.coalesce("t", F.array().cast("array<struct<start:bigint,end:bigint,size:bigint>>")), seed, step)
+    return joined.select("block", F.try_element_at(places, F.element_at("r", -1)["end"]).alias("size"))
 
 
 def edit_windows(chunks: DataFrame, edits: DataFrame, low: int, high: int) -> DataFrame:

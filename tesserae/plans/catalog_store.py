@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tesserae.functions import digests, forms
 from tesserae.operators import chunks as ch
 from tesserae.operators import dedup, edits, packing, payloads, reconstruct, sessions, shards
+from tesserae.operators.intervals import coalesced
 from tesserae.sources import store
 from tesserae.sources.shared import written
 
@@ -418,15 +419,23 @@ def offset_forms(spark, sf_dir):
 
 @registered(
     sql_with(
-        """SELECT block, CAST(CASE WHEN bool_and(clear) THEN sum(size) END AS BIGINT) AS size FROM (SELECT *, coalesce(max(e) OVER (PARTITION BY block ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) <= s, true) AS clear FROM t) GROUP BY 1""",
+        """SELECT f.block, CAST(min(r.size) AS BIGINT) AS size FROM (SELECT block, max(e) AS last FROM ranges GROUP BY 1) f LEFT JOIN reach r ON r.block = f.block AND r.place = f.last GROUP BY 1""",
         "terms",
-        extra="t AS (SELECT DISTINCT container_hash AS block, chunk_start AS s, chunk_end AS e, unpacked_length AS size FROM terms WHERE query_id % 3 = 0)",
+        extra="""given AS (SELECT DISTINCT container_hash || '-' || query_id // 6 AS block, chunk_start AS s, chunk_end AS e FROM terms WHERE query_id % 6 < 5),
+        ranges AS (SELECT block, min(s) AS s, max(e) AS e FROM (SELECT *, max(CASE WHEN s > upto OR upto IS NULL THEN s END) OVER (PARTITION BY block ORDER BY s) AS isl FROM
+            (SELECT *, max(e) OVER (PARTITION BY block ORDER BY s RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS upto FROM given)) GROUP BY block, isl),
+        edges AS (SELECT DISTINCT container_hash || '-' || query_id // 6 AS block, chunk_start AS s, chunk_end AS e, unpacked_length AS size FROM terms WHERE query_id % 6 < 4
+            UNION ALL SELECT block, e, nxt, 0 FROM (SELECT block, e, lead(s) OVER (PARTITION BY block ORDER BY s) AS nxt FROM ranges) WHERE e < nxt),
+        reach AS (SELECT block, min(s) AS place, CAST(0 AS HUGEINT) AS size FROM ranges GROUP BY 1 UNION SELECT x.block, x.e, r.size + x.size FROM reach r JOIN edges x ON x.block = r.block AND x.s = r.place)""",
     )
 )
 def block_sizes(spark, sf_dir):
+    """Containers as blocks of six requests each: the ranges of five are fetched, the terms of four have to tell the size."""
     segs, placed = rel.segments(spark, sf_dir)
-    found = reconstruct.terms(rel.requests(segs).where("query_id % 3 = 0"), segs, placed)
-    return sessions.chain_size(found.select(F.col("container_hash").alias("block"), F.col("chunk_start").alias("start"), F.col("chunk_end").alias("end"), F.col("unpacked_length").alias("size")))
+    block = F.concat_ws("-", "container_hash", F.floor(F.col("query_id") / 6).cast("string")).alias("block")
+    found = written(reconstruct.terms(rel.requests(segs), segs, placed), "terms").select("query_id", block, F.col("chunk_start").alias("start"), F.col("chunk_end").alias("end"), F.col("unpacked_length").alias("size"))
+    ranges = coalesced(found.where("query_id % 6 < 5").select("block", "start", "end"), ["block"])
+    return sessions.chain_size(ranges, found.where("query_id % 6 < 4"))
 
 
 @registered(
@@ -492,17 +501,28 @@ def scenario_summary(spark, sf_dir):
     )
 
 
-@registered("SELECT doc_id AS file_id, true AS equal FROM documents WHERE strlen(text) > 0")
+# the gear hash of each place by doubling windows of lagged hashes, then one cut after the other
+CONTENT_CUTS = r"""gear AS (SELECT b, (SELECT sum(CAST('0x' || substr(sha256(unhex(printf('%02x', b))), 2 * i + 1, 2) AS UTINYINT)::HUGEINT << (8 * i)) FROM range(8) t(i)) AS g FROM range(256) r(b)),
+    bytes AS (SELECT file_id, pos, CAST('0x' || substr(h, 2 * pos - 1, 2) AS UTINYINT) AS b FROM (SELECT doc_id AS file_id, hex(encode(text)) AS h, unnest(range(1, strlen(text) + 1)) AS pos FROM documents WHERE strlen(text) > 0)),
+    h1 AS (SELECT file_id, pos, g AS h FROM bytes JOIN gear USING (b)),
+    """ + ", ".join(
+    f"h{2 * k} AS (SELECT file_id, pos, (h + (coalesce(lag(h, {k}) OVER (PARTITION BY file_id ORDER BY pos), 0) << {k}) % 18446744073709551616) % 18446744073709551616 AS h FROM h{k})" for k in (1, 2, 4, 8, 16, 32)
+) + """,
+    size AS (SELECT doc_id AS file_id, CAST(strlen(text) AS BIGINT) AS n FROM documents WHERE strlen(text) > 0),
+    places AS MATERIALIZED (SELECT file_id, n, coalesce(p, []) AS p FROM size LEFT JOIN (SELECT file_id, list(pos ORDER BY pos) AS p FROM h64 WHERE h >> 54 = 0 GROUP BY 1) USING (file_id)),
+    cut AS (SELECT file_id, CAST(-1 AS BIGINT) AS chunk_idx, CAST(0 AS BIGINT) AS start, CAST(0 AS BIGINT) AS stop FROM size
+        UNION ALL SELECT c.file_id, c.chunk_idx + 1, c.stop, CASE WHEN n - c.stop <= 128 THEN n ELSE least(coalesce(list_filter(p, lambda x: x >= c.stop + 128)[1], n), c.stop + 2048, n) END FROM cut c JOIN places USING (file_id) WHERE c.stop < n)"""
+
+
+@registered("WITH RECURSIVE " + CONTENT_CUTS + " SELECT file_id, chunk_idx, start AS offset, stop - start AS length FROM cut WHERE chunk_idx >= 0")
 def cuts_of_blocks(spark, sf_dir):
-    """Content-defined cuts of texts that come as blocks of 700 bytes, next to those of whole texts."""
+    """Content-defined cuts of texts that come as blocks of 700 and of 40 bytes."""
     from tesserae.functions.chunking import ChunkSpec
 
     docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("file_id"), F.encode(F.coalesce("text", F.lit("")), "utf-8").alias("data")).where("octet_length(data) > 0")
-    size = F.octet_length("data")
-    blocks = docs.withColumn("offset", F.explode(F.sequence(F.lit(0), size - 1, F.lit(700)))).select("file_id", F.col("offset").cast("long").alias("offset"), F.expr("substring(data, offset + 1, 700)").alias("data"))
-    whole = ch.content_chunks(docs, ChunkSpec(target=1024)).groupBy("file_id").agg(F.array_sort(F.collect_list("offset")).alias("a"))
-    parts = ch.cuts_of_blocks(blocks, ChunkSpec(target=1024)).groupBy("file_id").agg(F.array_sort(F.collect_list("offset")).alias("b"))
-    return whole.join(parts, "file_id", "left").select("file_id", (F.col("a") == F.col("b")).alias("equal"))
+    width = F.when(F.col("file_id") % 2 == 0, 700).otherwise(40)
+    blocks = docs.withColumn("w", width).withColumn("offset", F.explode(F.sequence(F.lit(0), F.octet_length("data") - 1, F.col("w")))).select("file_id", F.col("offset").cast("long").alias("offset"), F.expr("substring(data, offset + 1, w)").alias("data"))
+    return ch.cuts_of_blocks(blocks, ChunkSpec(target=1024))
 
 
 # I4

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tesserae.functions import blake3, bytegroups, hashes
 from tesserae.functions.chunking import WINDOW, ChunkSpec, cut_points, default_gear
 from tesserae.operators import chunks, intervals, merkle
+from tesserae.operators.chunks import cuts_of_blocks
 
 GEAR = default_gear()
 
@@ -129,3 +130,31 @@ def test_interval_pieces(spark):
     assert [tuple(r) for r in intervals.fixed_segments(df.where("k = 1 and start = 0"), 4).orderBy("start").collect()] == [(1, 0, 4), (1, 4, 8), (1, 8, 10)]
     binned = intervals.binned(df.where("start = 10"), "start", "end", 4).select(F.col("bin")).collect()
     assert [r["bin"] for r in binned] == [2]
+
+
+def test_blocks_of_any_length_are_cut_like_the_whole(spark):
+    spec = ChunkSpec(target=1024)
+    rng = random.Random(4)
+    files = {1: rng.randbytes(20_000), 2: rng.randbytes(20_000), 3: b"\x3b" * 9_000, 4: rng.randbytes(50), 5: rng.randbytes(6_000), 6: b"ab" * 2_000}
+    widths = {1: [40], 2: [1], 3: [700], 4: [63], 5: [1, 62, 63, 64, 65, 200], 6: [3, 5000]}
+    blocks = []
+    for f, data in files.items():
+        at = k = 0
+        while at < len(data):
+            w = widths[f][k % len(widths[f])]
+            blocks.append((f, at, data[at : at + w]))
+            at, k = at + w, k + 1
+        blocks.append((f, len(data), b""))
+    rng.shuffle(blocks)
+    df = spark.createDataFrame(blocks, "file_id long, offset long, data binary")
+    out = cuts_of_blocks(df, spec)
+    got = {}
+    for r in sorted(out.collect()):
+        got.setdefault(r["file_id"], []).append(r["offset"] + r["length"])
+    assert got == {f: cut_points(d, spec, default_gear()) for f, d in files.items()}
+    # of the data no more than edges of blocks is shuffled
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "data" not in plan and "front" in plan
+    with pytest.raises(Exception, match="don't follow"):
+        cuts_of_blocks(df.where("not (file_id = 3 and offset = 1400)"), spec).collect()
+    assert cuts_of_blocks(df.limit(0), spec).count() == 0

@@ -156,9 +156,39 @@ def test_leftovers_close_the_larger(spark):
     assert got == {1: 0, 2: 0, 4: 1, 3: 2}
 
 
-def test_chain_size_and_edit_assignment(spark):
-    terms = spark.createDataFrame([(1, 0, 3, 30), (1, 3, 5, 20), (1, 9, 10, 1), (2, 0, 5, 9), (2, 3, 6, 9), (1, 3, 5, 20)], "block long, start long, end long, size long")
-    assert {r["block"]: r["size"] for r in sessions.chain_size(terms).collect()} == {1: 51, 2: None}
+def plain_chain_size(ranges, terms):
+    """Every chain of terms and bridges is walked; None if none comes to the end."""
+    ends = {a[1]: b[0] for a, b in zip(ranges, ranges[1:]) if a[1] < b[0]}
+    found, todo = {}, [(ranges[0][0], 0)]
+    while todo:
+        at, size = todo.pop()
+        if found.setdefault(at, size) == size:
+            todo += [(e, size + n) for s, e, n in terms if s == at and e not in found]
+            todo += [(ends[at], size)] if at in ends and ends[at] not in found else []
+    return found.get(ranges[-1][1])
+
+
+def test_chain_sizes_follow_the_rule(spark):
+    # ranges, terms -> size
+    cases = [
+        ([(0, 5)], [(0, 5, 1000)], 1000), ([(0, 6)], [(0, 2, 200), (4, 6, 500)], None), ([(0, 5)], [(1, 5, 800)], None), ([(0, 5)], [(0, 3, 600)], None), ([(0, 5)], [], None),
+        ([(0, 5)], [(0, 3, 600), (1, 4, 700), (3, 5, 400)], 1000), ([(3, 8)], [(3, 8, 1000)], 1000), ([(0, 8)], [(0, 5, 50), (3, 5, 20), (5, 8, 30)], 80), ([(0, 8)], [(0, 3, 30), (6, 8, 20)], None),
+        ([(0, 3), (5, 8)], [(0, 3, 300), (5, 8, 400)], 700), ([(0, 3), (5, 8)], [(0, 3, 300)], None), ([(0, 3), (5, 8)], [(5, 8, 400)], None), ([(0, 3), (5, 8), (9, 10)], [(0, 3, 1), (5, 8, 1), (9, 10, 1), (5, 7, 1)], 3),
+    ]
+    rng = random.Random(9)
+    for _ in range(60):
+        sizes = [rng.randrange(1, 9) for _ in range(12)]
+        cuts = sorted(rng.sample(range(13), 4))
+        ranges = [(cuts[0], cuts[1]), (cuts[2], cuts[3])] if rng.random() < 0.6 else [(cuts[0], cuts[3])]
+        terms = [(a, b, sum(sizes[a:b])) for r in ranges for a in range(*r) for b in range(a + 1, r[1] + 1) if rng.random() < 0.3]
+        cases.append((ranges, terms, plain_chain_size(ranges, terms)))
+    ranges = spark.createDataFrame([(i, *r) for i, c in enumerate(cases) for r in c[0]], "block long, start long, end long")
+    terms = spark.createDataFrame([(i, *t) for i, c in enumerate(cases) for t in c[1] * 2], "block long, start long, end long, size long")
+    assert {r["block"]: r["size"] for r in sessions.chain_size(ranges, terms).collect()} == {i: c[2] for i, c in enumerate(cases)}
+    assert sessions.chain_size(ranges.limit(0), terms).count() == 0
+
+
+def test_edit_assignment(spark):
     windows = spark.createDataFrame([(1, 0, 10), (1, 10, 20)], "file_id long, start long, end long")
     asks = spark.createDataFrame([(1, 2, 5), (1, 10, 10), (1, 20, 20)], "file_id long, start long, end long")
     sizes = spark.createDataFrame([(1, 20)], "file_id long, size long")
