@@ -12,7 +12,7 @@ from tesserae.operators import dedup, edits, intervals, merkle, merkle_partial,
 from tesserae.sources import store
 from tesserae.sources.shared import written
 
-from . import catalog_store  # noqa: F401  its queries are registered too
+from . import catalog_store
 from . import relations as rel
 from .registry import ORACLE_SQL, QUERIES, registered  # noqa: F401
 from .relations import read, sql_with
@@ -412,7 +412,13 @@ def compression_retest_windows(spark, sf_dir):
     return packing.retest_windows(rel.store(spark, sf_dir)[2]).select("container_hash", "chunk_idx", "decided_by")
 
 
-@registered()
+@registered(
+    "WITH RECURSIVE "
+    + catalog_store.CONTENT_CUTS
+    + f""", piece AS (SELECT file_id, chunk_idx, stop - start AS length, sha256(unhex(substr(hex(encode(text)), 2 * start + 1, 2 * (stop - start)))) AS chunk_hash FROM cut JOIN documents ON doc_id = file_id WHERE chunk_idx >= 0),
+    flagged AS (SELECT *, row_number() OVER (PARTITION BY chunk_hash ORDER BY file_id, chunk_idx) = 1 AS is_new FROM piece)
+    SELECT source, {METRICS_SQL} FROM flagged JOIN documents ON doc_id = file_id GROUP BY source"""
+)
 def content_chunk_stats(spark, sf_dir):
     """Content-defined chunks of all texts at a 1 KiB target: counts, bytes and what dedup saves, by source."""
     docs = read(spark, sf_dir, "documents")

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tesserae.functions import digests, forms
 from tesserae.operators import chunks as ch
-from tesserae.operators import dedup, edits, packing, payloads, reconstruct, sessions, shards
+from tesserae.operators import dedup, edits, lookup, packing, payloads, reconstruct, sessions, shards
 from tesserae.operators.intervals import coalesced
 from tesserae.sources import store
-from tesserae.sources.shared import written
+from tesserae.sources.shared import shared_dir, written
 
 from . import relations as rel
 from .registry import registered
@@ -549,3 +551,23 @@ def container_rows_rebuilt(spark, sf_dir):
     placed = rel.store(spark, sf_dir)[2]
     lines = read(spark, sf_dir, "documents").select(F.explode(F.split("text", "\n")).alias("line")).distinct().select(F.sha2("line", 256).alias("chunk_hash"), F.encode("line", "utf-8").alias("data"))
     return payloads.rebuilt_rows(payloads.encode_containers(placed.join(lines, "chunk_hash"), payloads.LZ4).select("container_hash", "payload"))
+
+
+# C1, C2
+
+
+@registered(
+    sql_with(
+        "SELECT chunk_hash, min(p.container_hash) AS container_hash, arg_min(p.chunk_idx, (p.container_hash, p.chunk_idx)) AS chunk_idx FROM asked JOIN placed p USING (chunk_hash) GROUP BY chunk_hash",
+        "placed",
+        extra="asked AS (SELECT chunk_hash FROM chunks WHERE file_id % 3 = 0 UNION SELECT sha256('none ' || doc_id) FROM documents)",
+    )
+)
+def lookup_by_hash(spark, sf_dir):
+    """The chunks of a third of the files, and as many unknown hashes as there are files, looked up in the store's index."""
+    chunks, _, placed = rel.store(spark, sf_dir)
+    path = f"{shared_dir(spark)}/hash-index-{uuid.uuid4().hex}"
+    lookup.write_index(placed.select("chunk_hash", "container_hash", "chunk_idx"), path, digits=1)
+    unknown = read(spark, sf_dir, "documents").select(F.sha2(F.concat(F.lit("none "), F.col("doc_id")), 256).alias("chunk_hash"))
+    asked = chunks.where("file_id % 3 = 0").select("chunk_hash").unionByName(unknown)
+    return lookup.lookup(asked, lookup.read_index(spark, path, "chunk_hash string, container_hash string, chunk_idx long"), digits=1)

@@ -5,6 +5,10 @@ Each ingest is a batch with folders of its own in every relation; its row in
 that dies on its way leaves nothing that is read, and may simply be repeated; two
 writers don't disturb each other (what both found to be new is stored twice and
 read once).
+
+Chunks are looked up in ``chunk_index``, which each batch adds to by ranges of the
+hash; a batch reads only the ranges that its own hashes hit, and keeps of them only
+what it asked for.
 """
 
 from __future__ import annotations
@@ -16,28 +20,31 @@ from pyspark.sql import functions as F
 
 from tesserae.functions.chunking import ChunkSpec
 from tesserae.operators import chunks as ch
-from tesserae.operators import dedup, edits, merkle, packing, reconstruct
+from tesserae.operators import dedup, edits, lookup, merkle, packing, reconstruct
 from tesserae.sources import store as st
 
 
+INDEXED = "chunk_hash string, container_hash string, chunk_idx long"
+INDEX = f"{INDEXED}, {lookup.RANGE} string"
+
+
 class Engine:
     """A store is a folder of relations; see ``tesserae.sources.store.SCHEMAS``, and ``payload(chunk_hash, data)``."""
 
-    def __init__(self, spark: SparkSession, store: str, spec: ChunkSpec = ChunkSpec(), max_bytes: int = 64 << 20, max_chunks: int = 8192, group_files: int = 250):
+    def __init__(self, spark: SparkSession, store: str, spec: ChunkSpec = ChunkSpec(), max_bytes: int = 64 << 20, max_chunks: int = 8192, group_files: int = 250, index_digits: int = lookup.DIGITS):
         self.spark, self.store, self.spec = spark, store.rstrip("/"), spec
-        self.max_bytes, self.max_chunks, self.group_files = max_bytes, max_chunks, group_files
+        self.max_bytes, self.max_chunks, self.group_files, self.index_digits = max_bytes, max_chunks, group_files, index_digits
 
     def _stored(self, name: str) -> DataFrame:
-        schema = st.SCHEMAS[name] if name in st.SCHEMAS else "chunk_hash string, data binary"
-        self.spark.createDataFrame([], schema).write.mode("ignore").parquet(f"{self.store}/{name}/batch=none")
+        schema = INDEX if name == "chunk_index" else st.SCHEMAS[name] if name in st.SCHEMAS else "chunk_hash string, data binary"
+        self.spark.createDataFrame([], INDEXED if name == "chunk_index" else schema).write.mode("ignore").parquet(f"{self.store}/{name}/batch=none" + (f"/{lookup.RANGE}=none" if name == "chunk_index" else ""))
         self.spark.createDataFrame([], "batch string").write.mode("ignore").parquet(f"{self.store}/commits")
         rows = self.spark.read.schema(schema + ", batch string").option("basePath", f"{self.store}/{name}").parquet(f"{self.store}/{name}")
         return rows.join(self.spark.read.schema("batch string").parquet(f"{self.store}/commits"), "batch", "left_semi").drop("batch")
 
-    def _places(self) -> DataFrame:
-        """One place of each stored chunk."""
-        first = self._stored("container_chunks").groupBy("chunk_hash").agg(F.min(F.struct("container_hash", "chunk_idx", "byte_start", "length")).alias("at"))
-        return first.select("chunk_hash", "at.*")
+    def _known(self, asked: DataFrame) -> DataFrame:
+        """chunk_hash, container_hash, chunk_idx: one place of each asked chunk that the store has."""
+        return lookup.lookup(asked, self._stored("chunk_index"), digits=self.index_digits)
 
     def hash_files(self, files: DataFrame) -> DataFrame:
         """file_id, container_hash, file_hash, range_hash; nothing is stored."""
@@ -50,16 +57,19 @@ class Engine:
         them. New chunks are packed by ranges of ``group_files`` file ids.
         """
         cut = ch.content_chunks(files, self.spec, with_data=True)
-        known = self._stored("container_chunks").select("chunk_hash").distinct()
         batch = uuid.uuid4().hex
         if not dry_run:
             # the cut is used many times below: stored once, under the batch's own name
             staged = f"{self.store}/staging/{batch}"
             cut.write.parquet(f"{staged}/chunks")
-            known.write.parquet(f"{staged}/known")
-            cut, known = self.spark.read.parquet(f"{staged}/chunks"), self.spark.read.schema("chunk_hash string").parquet(f"{staged}/known")
+            cut = self.spark.read.parquet(f"{staged}/chunks")
         rows = cut.select("file_id", "chunk_idx", "chunk_hash", "length")
-        flagged = dedup.flag_new(rows).join(known.withColumn("seen", F.lit(True)), "chunk_hash", "left").withColumn("is_new", F.col("is_new") & F.col("seen").isNull()).drop("seen")
+        known = self._known(rows)
+        if not dry_run:
+            # no more rows than the batch has chunks
+            known.write.parquet(f"{staged}/known")
+            known = self.spark.read.schema("chunk_hash string, container_hash string, chunk_idx long").parquet(f"{staged}/known")
+        flagged = dedup.flag_new(rows).join(known.select("chunk_hash").withColumn("seen", F.lit(True)), "chunk_hash", "left").withColumn("is_new", F.col("is_new") & F.col("seen").isNull()).drop("seen")
         metrics = dedup.dedup_metrics(flagged, "file_id")
         if dry_run:
             return metrics
@@ -72,11 +82,10 @@ class Engine:
         bodies.write.parquet(f"{self.store}/payload/batch={batch}")
         st.write(named.select("container_hash", "n_chunks", "bytes_raw"), self.store, "containers", batch)
         st.write(placed, self.store, "container_chunks", batch)
-        # this batch's own places, then those of committed batches
+        # this batch's own places, then those of committed batches: what is known is not placed anew
         own = st.read(self.spark, self.store, f"container_chunks/batch={batch}").select("chunk_hash", "container_hash", "chunk_idx")
-        here = rows.select("chunk_hash").distinct()
-        older = self._places().select("chunk_hash", "container_hash", "chunk_idx").join(here, "chunk_hash", "left_semi").join(own, "chunk_hash", "left_anti")
-        st.write(packing.segments(rows, own.unionByName(older)), self.store, "segments", batch)
+        lookup.write_index(own, f"{self.store}/chunk_index/batch={batch}", digits=self.index_digits)
+        st.write(packing.segments(rows, own.unionByName(known)), self.store, "segments", batch)
         hashes = merkle.merkle_hashes(rows).select("file_id", "file_hash")
         st.write(rows.groupBy("file_id").agg(F.sum("length").alias("size")).join(hashes, "file_id").select("file_id", "file_hash", "size"), self.store, "files", batch)
         self.spark.createDataFrame([(batch,)], "batch string").coalesce(1).write.mode("append").parquet(f"{self.store}/commits")

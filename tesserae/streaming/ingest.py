@@ -7,12 +7,12 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tesserae.functions.chunking import ChunkSpec, cut_points, default_gear
-from tesserae.operators import dedup, sessions
+from tesserae.operators import dedup, lookup, sessions
 from tesserae.operators.metrics import STAGES
 
 CHUNKS = "file_id long, chunk_idx long, offset long, length long, chunk_hash string"
@@ -50,20 +50,26 @@ def chunk_blocks(blocks: DataFrame, spec: ChunkSpec = ChunkSpec()) -> DataFrame:
     return blocks.groupBy("file_id").applyInPandasWithState(advance, CHUNKS, "tail binary, offset long, chunk_idx long", "append", GroupStateTimeout.NoTimeout)
 
 
+def _earlier(spark: SparkSession, index_path: str, number: int) -> DataFrame:
+    """What batches before this one have put into a hash index."""
+    return lookup.read_index(spark, index_path, "chunk_hash string, batch long").where(F.col("batch") < number)
+
+
 def index_new_chunks(chunks: DataFrame, index_path: str, checkpoint: str, interval: str | None = None):
     """Appends chunks that the index hasn't got, batch by batch; a restart from the checkpoint repeats no batch in the result.
 
-    Each batch is one folder named by its number, overwritten if the batch runs again.
+    Each batch is one folder named by its number, overwritten if the batch runs again. The
+    index is laid out by ranges of the hash, and a batch reads those that it hits.
     """
 
     def add(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         first = batch.groupBy("chunk_hash").agg(F.min(F.struct("file_id", "chunk_idx", "length")).alias("at")).select("chunk_hash", "at.*")
-        known = spark.read.schema("chunk_hash string, batch long").option("basePath", index_path).parquet(index_path).where(F.col("batch") < number)
-        first.join(known.select("chunk_hash"), "chunk_hash", "left_anti").write.mode("overwrite").parquet(f"{index_path}/batch={number}")
+        known = lookup.hit(_earlier(spark, index_path, number), first)
+        lookup.write_index(first.join(known.select("chunk_hash"), "chunk_hash", "left_anti"), f"{index_path}/batch={number}", mode="overwrite")
 
     # so that the first batch finds a table
-    chunks.sparkSession.createDataFrame([], "chunk_hash string, file_id long, chunk_idx long, length long").write.mode("ignore").parquet(f"{index_path}/batch=-1")
+    chunks.sparkSession.createDataFrame([], "chunk_hash string, file_id long, chunk_idx long, length long").write.mode("ignore").parquet(f"{index_path}/batch=-1/{lookup.RANGE}=none")
     writer = chunks.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)
     writer = writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)
     return writer.start()
@@ -96,15 +102,15 @@ def two_pass_stream(chunks: DataFrame, index_path: str, found_path: str, dedup_r
     found_path has a folder a batch: the chunks with their pass. Folders are named by
     the batch's number and overwritten if the batch runs again.
     """
-    chunks.sparkSession.createDataFrame([], "chunk_hash string").write.mode("ignore").parquet(f"{index_path}/batch=-1")
+    chunks.sparkSession.createDataFrame([], "chunk_hash string").write.mode("ignore").parquet(f"{index_path}/batch=-1/{lookup.RANGE}=none")
 
     def look(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        known = spark.read.schema("chunk_hash string, batch long").option("basePath", index_path).parquet(index_path).where(F.col("batch") < number)
+        known = lookup.hit(_earlier(spark, index_path, number), batch).select("chunk_hash")
         found, learnt = dedup.two_pass(batch, known, dedup_rows, shard_chunks, eligible)
         found.write.mode("overwrite").parquet(f"{found_path}/batch={number}")
         done = spark.read.parquet(f"{found_path}/batch={number}")
-        done.where("pass is null").select("chunk_hash").distinct().unionByName(learnt).write.mode("overwrite").parquet(f"{index_path}/batch={number}")
+        lookup.write_index(done.where("pass is null").select("chunk_hash").distinct().unionByName(learnt), f"{index_path}/batch={number}", mode="overwrite")
 
     return chunks.writeStream.foreachBatch(look).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tesserae.functions import blake3, digests
 from tesserae.functions.chunking import ChunkSpec, cut_points, default_gear
-from tesserae.operators import edits, payloads, sessions
+from tesserae.operators import edits, lookup, payloads, sessions
 from tesserae.plans.engine import Engine
 from tesserae.sources import store
 from tesserae.streaming import ingest
@@ -307,3 +307,46 @@ def test_own_tables_are_cleaned_up(spark):
     assert df.count() == 5 and os.path.isdir(path)
     assert shared.clean_up(spark) == 1 and not os.path.exists(path) and shared.clean_up(spark) == 0
     shared._MADE[:] = kept
+
+
+def test_lookup_reads_only_the_ranges_it_hits(spark, tmp_path):
+    hashes = [hashlib.sha256(str(i).encode()).hexdigest() for i in range(3000)]
+    path = f"file://{tmp_path}/index"
+    lookup.write_index(spark.createDataFrame([(h, i) for i, h in enumerate(hashes)], "chunk_hash string, at long"), path)
+    lookup.write_index(spark.createDataFrame([(hashes[7], 3)], "chunk_hash string, at long"), path)
+    index = lookup.read_index(spark, path, "chunk_hash string, at long")
+    asked = spark.createDataFrame([(hashes[7],), (hashes[7],), (hashes[99],), ("f" * 64,), (None,)], "chunk_hash string")
+    assert {tuple(r) for r in lookup.lookup(asked, index).collect()} == {(hashes[7], 3), (hashes[99], 99)}
+    read = lookup.hit(index, asked).select(F.input_file_name()).distinct().count()
+    every = index.select(F.input_file_name()).distinct().count()
+    assert read <= 8 and every > 200
+    plan = lookup.lookup(asked, index)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [range" in plan
+    assert lookup.lookup(asked.limit(0), index).count() == 0 and lookup.lookup(asked, index.where("false")).count() == 0
+
+
+def test_lookup_verifies_whole_hashes_and_refuses_crowds(spark, tmp_path):
+    hashes = ["ab" + f"{i:062x}" for i in range(12)]
+    path = f"file://{tmp_path}/index"
+    lookup.write_index(spark.createDataFrame([(h, i) for i, h in enumerate(hashes)], "chunk_hash string, at long"), path)
+    index = lookup.read_index(spark, path, "chunk_hash string, at long")
+    asked = spark.createDataFrame([(hashes[5],), ("ab" + "9" * 62,)], "chunk_hash string")
+    # all twelve begin alike
+    with pytest.raises(Exception, match="too many hashes"):
+        lookup.lookup(asked, index, truncate=16).collect()
+    few = index.where("at < 7")
+    assert [tuple(r) for r in lookup.lookup(asked, few, truncate=16).collect()] == [(hashes[5], 5)]
+    assert [tuple(r) for r in lookup.lookup(asked, index, truncate=64).collect()] == [(hashes[5], 5)]
+
+
+def test_a_batch_keeps_of_the_index_only_what_it_asked_for(spark, tmp_path):
+    files = bodies(8)
+    df = spark.createDataFrame(files, "file_id long, data binary")
+    engine = Engine(spark, f"file://{tmp_path}/store", SPEC, max_bytes=5120, max_chunks=8, group_files=4, index_digits=1)
+    engine.ingest(df)
+    stored = engine._stored("chunk_index").count()
+    engine.ingest(spark.createDataFrame([(50, files[3][1][:4000])], "file_id long, data binary"))
+    kept = spark.read.parquet(*[f"file://{p}" for p in (tmp_path / "store" / "staging").glob("*/known")]).count()
+    assert stored > 20 and kept < 8
+    whole = spark.createDataFrame([(1, 50, 0, None)], "query_id long, file_id long, start long, end long")
+    assert bytes(engine.reconstruct(whole).first()["data"]) == files[3][1][:4000]
