@@ -298,7 +298,7 @@ def _matching(df: DataFrame, ids: DataFrame, how: str, bound: int = 1_000_000) -
 
 
 def _one_text_a_node(source: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-    """``source`` with nodes that have one text each, and (own, node) of nodes that were made for further texts of an id; None if there are none."""
+    """``source`` with nodes that have one text each, and (own, node, __h) of nodes that were made for further texts of an id, by the text's hash; None if there are none."""
     marked = source.withColumn("__h", F.xxhash64("text"))
     first = marked.where("node is not null").groupBy("node").agg(F.min("__h").alias("__lo"), F.max("__h").alias("__hi"))
     several = written(first.where("__lo <> __hi").select("node", "__lo"), "ids-of-several-texts")
@@ -309,7 +309,7 @@ def _one_text_a_node(source: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     k = F.monotonically_increasing_id()
     own = F.lit(high + 1) + k if high < 2**62 else F.lit(low - 1) - k  # ids that no row has
     more = written(more.withColumn("own", own), "further-texts")
-    return marked.join(more, ["node", "__h"], "left").select(F.coalesce("own", "node").alias("node"), "text"), more.select("own", "node")
+    return marked.join(more, ["node", "__h"], "left").select(F.coalesce("own", "node").alias("node"), "text"), more.select("own", "node", "__h")
 
 
 def link_components(docs: DataFrame, n: int, num: int, den: int, id_col: str = "doc_id", text_col: str = "text", n2: int = 2, block: int = BLOCK, large: int = 16 * BLOCK) -> DataFrame:
@@ -404,6 +404,17 @@ def link_components(docs: DataFrame, n: int, num: int, den: int, id_col: str = "
 
 
 def drop_near_copies(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5) -> DataFrame:
-    """The rows of ``docs`` that are the smallest doc_id of their component; null ids stay."""
-    gone = link_components(docs, n, num, den).where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == F.col("__gone"), "left_anti")
+    """One text of each component of near copies: that of the smallest doc_id.
+
+    Rows are judged by their own text: different texts of one id are nodes of their
+    own, not linked by the id, and come after all ids where one of them has to stay.
+    Rows that share id and text stay or go together; null ids stay.
+    """
+    source, further = _one_text_a_node(docs.select(F.col("doc_id").cast("long").alias("node"), F.coalesce("text", F.lit("")).alias("text")))
+    gone = link_components(source, n, num, den, id_col="node").where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
+    if further is None:
+        return docs.join(gone, docs["doc_id"] == F.col("__gone"), "left_anti")
+    own = further.select(F.col("node").alias("__id"), F.col("__h").alias("__hash"), F.col("own").alias("__own"))
+    of_text = (docs["doc_id"] == F.col("__id")) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col("__hash"))
+    named = docs.join(own, of_text, "left").withColumn("__node", F.coalesce("__own", docs["doc_id"]))
+    return named.join(gone, F.col("__node") == F.col("__gone"), "left_anti").drop("__id", "__hash", "__own", "__node")

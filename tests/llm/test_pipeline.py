@@ -7,7 +7,7 @@ import public_tokenizers as P
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tesserae.llm import mixing, quality
+from tesserae.llm import jaccard_join, mixing, quality
 
 from ..conftest import SF
 from . import brute, fixtures
@@ -99,3 +99,16 @@ def test_weights_do_not_depend_on_other_columns(spark):
     a = {(r["doc_id"], r["gumbel_key"]) for r in quality.classify(df, labels).collect()}
     b = {(r["doc_id"], r["gumbel_key"]) for r in quality.classify(df.select("text", "doc_id").orderBy(F.rand(3)), labels).collect()}
     assert a == b
+
+
+def test_near_copies_are_judged_by_text_not_by_id(spark):
+    a, b, c = fixtures.text(1, 120), fixtures.text(2, 120), fixtures.text(3, 120)
+    near = lambda t: t + " tail"
+    rows = [(3, a, "x"), (5, near(a), "y"), (5, b, "z"), (5, b, "z"), (7, near(b), "w"), (None, near(a), "n"), (None, a, "n"), (None, None, "n"), (9, c, "x"), (2, near(c), "x"), (9, near(c) + " more", "q"), (11, None, "e"), (12, "", "e")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __extra string")
+    kept = {tuple(r) for r in jaccard_join.drop_near_copies(docs).collect()}
+    # of each group one text stays: of the ids that have one text, the smallest
+    assert {r for r in rows if r[0] is None or r[0] in (11, 12)} | {rows[0], (2, near(c), "x")} <= kept
+    assert len(kept & {(5, b, "z"), (7, near(b), "w")}) == 1 and len(kept) == 8
+    # without repeated ids nothing changes
+    assert sorted(r["doc_id"] for r in jaccard_join.drop_near_copies(docs.where("doc_id <> 5 and doc_id is not null")).collect()) == [2, 3, 7, 11, 12]
