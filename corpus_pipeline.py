@@ -6,9 +6,9 @@ Parquet and read again as the next one's docs.
 Defined results, for any rows: an empty table stays empty through all stages; a
 null or blank text is rejected by the first stage; a row with a null id is kept
 or dropped by its text in the first two stages, is never a near copy, and is
-mixed and encoded like any other; rows that share an id are judged each for
-itself, but in the third stage, which keeps or drops an id; of a row that is
-there twice the second stage keeps one. Further columns are passed on by all stages but the last.
+mixed and encoded like any other; rows that share an id are judged each by its
+own text in every stage; of a row that is there twice the second stage keeps one.
+Further columns are passed on by all stages but the last.
 """
 
 from __future__ import annotations
