@@ -604,23 +604,46 @@ def payload_roundtrip(spark, sf_dir):
     return back.select("container_hash", "chunk_idx", "length", F.sha2("data", 256).alias("sha256"))
 
 
-@registered(
-    sql_with(
-        """SELECT file_id, min(a) AS start_chunk, max(b) AS end_chunk FROM (SELECT *, max(CASE WHEN a > reach OR reach IS NULL THEN a END) OVER (PARTITION BY file_id ORDER BY a) AS isl FROM
-        (SELECT *, max(b) OVER (PARTITION BY file_id ORDER BY a RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM one)) GROUP BY file_id, isl""",
-        "chunks",
-        extra=EDITS
-        + """, at_ AS (SELECT *, sum(length) OVER w - length AS byte_start, length >= 100 AND length < 600 AND lead(length) OVER w >= 100 AND lead(length) OVER w < 600 AS settled FROM chunks WINDOW w AS (PARTITION BY file_id ORDER BY chunk_idx)),
+WINDOWS = (
+    EDITS
+    + """, at_ AS (SELECT *, sum(length) OVER w - length AS byte_start, length >= 100 AND length < 600 AND lead(length) OVER w >= 100 AND lead(length) OVER w < 600 AS settled FROM chunks WINDOW w AS (PARTITION BY file_id ORDER BY chunk_idx)),
         st AS (SELECT *, coalesce(min(CASE WHEN settled THEN chunk_idx + 2 END) OVER f, max(chunk_idx) OVER f + 1) AS stop FROM at_ WINDOW f AS (PARTITION BY file_id ORDER BY chunk_idx ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
         nx AS (SELECT *, coalesce(lead(stop) OVER (PARTITION BY file_id ORDER BY chunk_idx), chunk_idx + 1) AS next_stop FROM st),
-        one AS (SELECT ed.file_id, min(chunk_idx) AS a, max_by(next_stop, chunk_idx) AS b FROM ed JOIN nx ON nx.file_id = ed.file_id AND s < byte_start + length AND byte_start < greatest(e, s + 1) GROUP BY ed.file_id, s, e)""",
-    )
+        one AS (SELECT ed.file_id, min(chunk_idx) AS a, max_by(next_stop, chunk_idx) AS b FROM ed JOIN nx ON nx.file_id = ed.file_id AND s < byte_start + length AND byte_start < greatest(e, s + 1) GROUP BY ed.file_id, s, e),
+        win AS (SELECT file_id, min(a) AS start_chunk, max(b) AS end_chunk FROM (SELECT *, max(CASE WHEN a > reach OR reach IS NULL THEN a END) OVER (PARTITION BY file_id ORDER BY a) AS isl FROM
+        (SELECT *, max(b) OVER (PARTITION BY file_id ORDER BY a RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM one)) GROUP BY file_id, isl)"""
 )
+
+
+@registered(sql_with("SELECT * FROM win", "chunks", extra=WINDOWS))
 def edit_windows_to_recut(spark, sf_dir):
     chunks = ch.running_offsets(rel.line_chunks(spark, sf_dir), "file_id", "chunk_idx", "length")
     return sessions.edit_windows(chunks, _edits(spark, sf_dir)[0].select("file_id", "start", "end"), 100, 600)
 
 
+@registered(
+    sql_with(
+        """SELECT file_id, row_number() OVER (PARTITION BY file_id ORDER BY pos) - 1 AS seg_idx, container_hash, chunk_start, chunk_end, bytes FROM (SELECT * FROM old UNION ALL SELECT * FROM fresh)""",
+        "located",
+        extra=WINDOWS
+        + """, c AS (SELECT file_id, chunk_idx, length, container_hash, at_, sum(begins) OVER (PARTITION BY file_id ORDER BY chunk_idx) AS sg FROM located WHERE file_id IN (SELECT file_id FROM win)),
+        out_ AS (SELECT c.*, (SELECT count(*) FROM win WHERE win.file_id = c.file_id AND win.end_chunk <= c.chunk_idx) AS gap FROM c WHERE NOT EXISTS (SELECT 1 FROM win WHERE win.file_id = c.file_id AND c.chunk_idx >= win.start_chunk AND c.chunk_idx < win.end_chunk)),
+        old AS (SELECT file_id, min(chunk_idx) AS pos, min(container_hash) AS container_hash, min(at_) AS chunk_start, max(at_) + 1 AS chunk_end, CAST(sum(length) AS BIGINT) AS bytes FROM out_ GROUP BY file_id, sg, gap),
+        fresh AS (SELECT win.file_id, win.start_chunk AS pos, 'new' AS container_hash, win.start_chunk AS chunk_start, win.end_chunk AS chunk_end, CAST(sum(length) AS BIGINT) AS bytes FROM win JOIN chunks c ON c.file_id = win.file_id AND c.chunk_idx >= win.start_chunk AND c.chunk_idx < win.end_chunk GROUP BY ALL)""",
+    )
+)
+def edit_segments_spliced(spark, sf_dir):
+    """Segments of edited files: those outside the windows taken over, cut at the windows' chunks, one new segment a window."""
+    segs, placed = rel.segments(spark, sf_dir)
+    asked = _edits(spark, sf_dir)[0].select("file_id", "start", "end")
+    own = segs.join(asked.select("file_id").distinct(), "file_id", "left_semi")
+    chunks = written(edits.stored_chunks(own, placed), "stored-chunks")
+    windows = written(sessions.edit_windows(chunks, asked, 100, 600), "edit-windows")
+    size = chunks.join(windows, "file_id").where("chunk_idx >= start_chunk and chunk_idx < end_chunk").groupBy("file_id", "start_chunk", "end_chunk").agg(F.sum("length").alias("bytes"))
+    made = size.select("file_id", "start_chunk", F.lit(0).alias("seg_idx"), F.lit("new").alias("container_hash"), F.col("start_chunk").alias("chunk_start"), F.col("end_chunk").alias("chunk_end"), "bytes")
+    return edits.composed(own, placed, windows, made)
+
+
 @registered()
 def keyed_chunk_export(spark, sf_dir):
     """Container chunks with their hashes under a key, in order of the keyed hash."""

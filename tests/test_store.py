@@ -350,3 +350,40 @@ def test_a_batch_keeps_of_the_index_only_what_it_asked_for(spark, tmp_path):
     assert stored > 20 and kept < 8
     whole = spark.createDataFrame([(1, 50, 0, None)], "query_id long, file_id long, start long, end long")
     assert bytes(engine.reconstruct(whole).first()["data"]) == files[3][1][:4000]
+
+
+def test_splice_of_stored_files_reads_windows_only(spark, tmp_path):
+    rng = random.Random(8)
+    files = {i: rng.randbytes(60_000) for i in range(4)} | {4: b"", 5: rng.randbytes(300)}
+    engine = Engine(spark, f"file://{tmp_path}/store", SPEC, max_bytes=5120, max_chunks=8, group_files=4, index_digits=1)
+    engine.ingest(spark.createDataFrame(list(files.items()), "file_id long, data binary"))
+    long = rng.randbytes(4_000)
+    asked = {
+        0: [(30_000, 30_010, b"new")],
+        1: [(0, 0, b"at the start"), (25_000, 40_000, b""), (60_000, 60_000, b"at the end")],
+        2: [(100, 200, long), (200, 200, b"touching"), (59_990, 60_000, b"")],
+        3: [(0, 60_000, b"all of it")],
+        5: [(0, 300, b"")],
+    }
+    rows = [(f, a, b, d, f + 100) for f, es in asked.items() for a, b, d in es]
+    schema = "file_id long, start long, end long, data binary, new_id long"
+    done = {r["new_id"]: r for r in engine.splice_stored(spark.createDataFrame(rows, schema)).collect()}
+    want = {}
+    for f, es in asked.items():
+        out, at = b"", 0
+        for a, b, d in es:
+            out, at = out + files[f][at:a] + d, b
+        want[f + 100] = out + files[f][at:]
+    whole = spark.createDataFrame([(f, f, 0, None) for f in want], "query_id long, file_id long, start long, end long")
+    got = {r["query_id"]: bytes(r["data"]) for r in engine.reconstruct(whole).collect()}
+    assert got == {f: d for f, d in want.items() if d}
+    # chunks, and so hashes, are those of the whole files after the edits
+    fresh = {r["file_id"]: r["file_hash"] for r in engine.hash_files(spark.createDataFrame(list(want.items()), "file_id long, data binary")).collect()}
+    stored = {r["file_id"]: (r["file_hash"], r["size"]) for r in engine._stored("files").where("file_id >= 100").collect()}
+    assert stored == {f: (fresh[f], len(d)) for f, d in want.items() if d}
+    # what is read and cut is in proportion to the edits
+    assert done[100]["bytes_read"] < 12_000 and done[101]["bytes_read"] < 30_000 and done[103]["bytes_read"] == 0
+    assert {f: r["size"] for f, r in done.items()} == {f: len(d) for f, d in want.items()}
+    for wrong in ([(0, 5, 9, b"", 200), (0, 8, 10, b"", 200)], [(0, 59_999, 60_001, b"", 200)], [(77, 0, 0, b"x", 200)]):
+        with pytest.raises(ValueError):
+            engine.splice_stored(spark.createDataFrame(wrong, schema))
