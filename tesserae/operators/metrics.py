@@ -114,6 +114,32 @@ def latest_stage(events: DataFrame, key: str) -> DataFrame:
     return events.groupBy(key).agg(F.max_by("stage", F.when(rank > 0, rank)).alias("stage"), F.coalesce(F.max("verified"), F.lit(0)).alias("verified"), F.count("*").alias("n_events"))
 
 
+#: Milestones of a shard's upload in order; validating comes before them.
+MILESTONES = ("uploading", "syncing", "result")
+
+
+def credited_progress(events: DataFrame, key: str = "shard_id", order: str = "seq") -> DataFrame:
+    """key, stage, total, completed, stored, synced: what events(key, order, stage, verified, total) add up to, by arrival in ``order``.
+
+    Counters of validation only move forward, so a late or repeated frame adds nothing.
+    The first milestone of a key ends its validation: what was announced but not
+    reported is credited, and later validation frames count for nothing. A milestone
+    stands if none further has come; skipped ones are credited: whichever of syncing
+    and result comes first counts the shard as stored, once, and a result as synced.
+    Frames of other kinds and nulls change nothing; a key that has sent no more than
+    those is validating, with zero counts.
+    """
+    rank = F.coalesce(F.array_position(F.array(*map(F.lit, MILESTONES)), F.col("stage")), F.lit(0))
+    first = events.where(F.col("stage").isin(*MILESTONES)).groupBy(F.col(key).alias("__k")).agg(F.min(order).alias("__first"))
+    j = events.join(first, F.col(key).eqNullSafe(F.col("__k")), "left")
+    counts = (F.col("stage") == "validating") & (F.col("__first").isNull() | (F.col(order) < F.col("__first")))
+    most = lambda c: F.coalesce(F.max(F.when(counts, F.greatest(F.col(c), F.lit(0)))), F.lit(0)).cast("long")
+    at = j.groupBy(key).agg(most("verified").alias("verified"), most("total").alias("total"), F.max(rank).alias("rank"))
+    stage = F.when(F.col("rank") > 0, F.get(F.array(*map(F.lit, MILESTONES)), F.col("rank").cast("int") - 1)).otherwise("validating")
+    completed = F.when(F.col("rank") > 0, F.greatest("verified", "total")).otherwise(F.col("verified"))
+    return at.select(key, stage.alias("stage"), "total", completed.alias("completed"), (F.col("rank") >= 2).cast("long").alias("stored"), (F.col("rank") == 3).cast("long").alias("synced"))
+
+
 def upload_rollup(dependencies: DataFrame, progress: DataFrame) -> DataFrame:
     """dependencies(file_id, container_hash, n_bytes, is_external), progress(container_hash, ratio) -> completed and total bytes a file."""
     j = dependencies.join(progress, "container_hash", "left")

@@ -518,6 +518,27 @@ def congestion_cycle(spark, sf_dir):
 STAGE_SQL = "CASE event_type WHEN 'view' THEN 'validating' WHEN 'click' THEN 'committing' WHEN 'purchase' THEN 'result' END"
 
 
+SHARD_EVENTS = """ev AS (SELECT event_id // 6 AS shard_id, (event_id * 7) % 11 AS seq, ['validating', 'uploading', 'syncing', 'result', 'unknown', 'validating', 'validating'][event_id * event_id % 7 + 1] AS stage, event_id * 13 % 40 AS verified, event_id * 29 % 60 AS total FROM events)"""
+
+
+# one event of a shard after the other
+@registered(
+    f"""WITH RECURSIVE {SHARD_EVENTS},
+    q AS (SELECT *, row_number() OVER (PARTITION BY shard_id ORDER BY seq) AS rn, CASE stage WHEN 'uploading' THEN 1 WHEN 'syncing' THEN 2 WHEN 'result' THEN 3 ELSE 0 END AS r FROM ev),
+    f AS (SELECT DISTINCT shard_id, CAST(0 AS BIGINT) AS rn, CAST(0 AS BIGINT) AS v, CAST(0 AS BIGINT) AS t, 0 AS at_, CAST(0 AS BIGINT) AS credited, CAST(0 AS BIGINT) AS stored, CAST(0 AS BIGINT) AS synced FROM ev
+        UNION ALL SELECT f.shard_id, q.rn, CASE WHEN q.stage = 'validating' AND at_ = 0 THEN f.v + greatest(q.verified - f.v, 0) ELSE f.v END, CASE WHEN q.stage = 'validating' AND at_ = 0 THEN f.t + greatest(q.total - f.t, 0) ELSE f.t END,
+            greatest(at_, q.r), CASE WHEN q.r > 0 AND at_ = 0 THEN greatest(f.t - f.v, 0) ELSE f.credited END, CASE WHEN q.r >= 2 AND at_ < 2 THEN f.stored + 1 ELSE f.stored END, CASE WHEN q.r = 3 AND at_ < 3 THEN f.synced + 1 ELSE f.synced END
+        FROM f JOIN q ON q.shard_id = f.shard_id AND q.rn = f.rn + 1)
+    SELECT shard_id, ['validating', 'uploading', 'syncing', 'result'][at_ + 1] AS stage, t AS total, v + credited AS completed, stored, synced FROM f QUALIFY row_number() OVER (PARTITION BY shard_id ORDER BY rn DESC) = 1"""
+)
+def shard_upload_progress(spark, sf_dir):
+    """Six events a shard, out of order: counters that move forward only, with what skipped stages are credited."""
+    e, kinds = F.col("event_id"), ("validating", "uploading", "syncing", "result", "unknown", "validating", "validating")
+    stage = F.get(F.array(*map(F.lit, kinds)), (e * e % 7).cast("int"))
+    events = read(spark, sf_dir, "events").select(F.floor(e / 6).alias("shard_id"), (e * 7 % 11).alias("seq"), stage.alias("stage"), (e * 13 % 40).alias("verified"), (e * 29 % 60).alias("total"))
+    return metrics.credited_progress(events)
+
+
 @registered(
     f"""WITH e AS (SELECT event_id // 10 AS upload_id, {STAGE_SQL} AS stage, CAST(floor(value) AS BIGINT) AS verified FROM events)
     SELECT upload_id, CASE max(CASE stage WHEN 'validating' THEN 1 WHEN 'committing' THEN 2 WHEN 'result' THEN 3 END) WHEN 1 THEN 'validating' WHEN 2 THEN 'committing' WHEN 3 THEN 'result' END AS stage, coalesce(max(verified), 0) AS verified, count(*) AS n_events FROM e GROUP BY 1"""

@@ -13,7 +13,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tesserae.functions.chunking import ChunkSpec, cut_points, default_gear
 from tesserae.operators import dedup, lookup, sessions
-from tesserae.operators.metrics import STAGES
+from tesserae.operators.metrics import MILESTONES, STAGES
 
 CHUNKS = "file_id long, chunk_idx long, offset long, length long, chunk_hash string"
 
@@ -122,6 +122,27 @@ def progress(events: DataFrame) -> DataFrame:
     return at.select("upload_id", F.when(F.col("rank") > 0, F.element_at(F.array(*map(F.lit, STAGES)), F.greatest(F.col("rank"), F.lit(1)).cast("int"))).alias("stage"), "verified", "n_events")
 
 
+def credited_progress(events: DataFrame) -> DataFrame:
+    """The totals of ``metrics.credited_progress`` while events(shard_id, seq, stage, verified, total) arrive, a row for each shard that an update moves; for update mode.
+
+    A shard's state is its counters and its furthest milestone. Events of a batch are
+    taken in order of seq; a later batch can't move anything back.
+    """
+    rank = {m: i + 1 for i, m in enumerate(MILESTONES)}
+
+    def advance(key, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        verified, total, at = state.get if state.exists else (0, 0, 0)
+        for stage, v, n in pd.concat(list(parts)).sort_values("seq")[["stage", "verified", "total"]].itertuples(index=False):
+            if stage == "validating" and not at:
+                verified, total = (int(max(a, 0 if pd.isna(b) else b)) for a, b in ((verified, v), (total, n)))
+            elif stage in rank:
+                verified, at = max(verified, total), max(at, rank[stage])
+        state.update((verified, total, at))
+        yield pd.DataFrame([(key[0], MILESTONES[at - 1] if at else "validating", total, verified, int(at >= 2), int(at == 3))], columns=["shard_id", "stage", "total", "completed", "stored", "synced"])
+
+    return events.groupBy("shard_id").applyInPandasWithState(advance, "shard_id long, stage string, total long, completed long, stored long, synced long", "verified long, total long, rank long", "update", GroupStateTimeout.NoTimeout)
+
+
 def windowed_rates(samples: DataFrame, late: str = "1 hour", width: str = "1 hour") -> DataFrame:
     """Sum and count by client and window of ts; rows later than the watermark are left out."""
     return samples.withWatermark("ts", late).groupBy(F.window("ts", width), "client_id").agg(F.sum("value").alias("total"), F.count("*").alias("n")).select("client_id", F.col("window.start").alias("start"), "total", "n")

@@ -48,3 +48,36 @@ def test_speeds_follow_the_tracker(spark):
         n, last, last_at = n + 1, v, t
         assert got[t] == (n, pytest.approx(value / weight, rel=1e-9) if n >= 4 else None)
     assert len(got) == n
+
+
+def test_progress_is_credited_once(spark, tmp_path):
+    from tesserae.streaming import ingest
+
+    rng = random.Random(6)
+    kinds = ["validating", "validating", "uploading", "syncing", "result", "error", None]
+    # fixed cases: a stale frame; skipped validation; result alone; repeated syncing; frames after a milestone
+    cases = {
+        1: [("validating", 2, 5), ("validating", 1, 3)], 2: [("validating", 4, 10), ("uploading", None, None)], 3: [("result", None, None)],
+        4: [("validating", 10, 10), ("syncing", None, None), ("syncing", None, None), ("uploading", None, None)], 5: [("syncing", None, None), ("validating", 3, 9), ("result", None, None)], 6: [("error", 1, 1)],
+    }
+    want = {1: ("validating", 5, 2, 0, 0), 2: ("uploading", 10, 10, 0, 0), 3: ("result", 0, 0, 1, 1), 4: ("syncing", 10, 10, 1, 0), 5: ("result", 0, 0, 1, 1), 6: ("validating", 0, 0, 0, 0)}
+    for k in range(10, 60):
+        cases[k] = [(rng.choice(kinds), rng.choice([None, rng.randrange(20)]), rng.choice([None, rng.randrange(30)])) for _ in range(rng.randrange(1, 8))]
+    rows = [(k, i, *e) for k, es in cases.items() for i, e in enumerate(es)]
+    schema = "shard_id long, seq long, stage string, verified long, total long"
+    shuffled = spark.createDataFrame(rng.sample(rows, len(rows)), schema)
+    got = {r[0]: tuple(r)[1:] for r in metrics.credited_progress(shuffled).collect()}
+    assert {k: got[k] for k in want} == want and set(got) == set(cases)
+    assert metrics.credited_progress(shuffled.limit(0)).count() == 0
+    # as a stream, two events of each shard a batch
+    src = f"file://{tmp_path}/events"
+    for part in range(4):
+        spark.createDataFrame([r for r in rows if r[1] // 2 == part] or rows[:0], schema).coalesce(1).write.mode("append").parquet(src)
+    out = ingest.credited_progress(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src))
+    seen = {}
+
+    def keep(batch, _):
+        seen.update({r[0]: tuple(r)[1:] for r in batch.collect()})
+
+    out.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"file://{tmp_path}/cp").trigger(availableNow=True).start().awaitTermination(240)
+    assert seen == got
