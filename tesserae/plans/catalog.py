@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -10,7 +12,7 @@ from tesserae.functions.chunking import ChunkSpec
 from tesserae.operators import chunks as ch
 from tesserae.operators import dedup, edits, intervals, merkle, merkle_partial, metrics, packing, payloads, reconstruct, sessions, shards
 from tesserae.sources import store
-from tesserae.sources.shared import written
+from tesserae.sources.shared import shared_dir, written
 
 from . import catalog_store
 from . import relations as rel
@@ -679,3 +681,26 @@ def keyed_chunk_export(spark, sf_dir):
 def ewma_by_count(spark, sf_dir):
     """Decayed by the number of later samples; half weight after 10."""
     return metrics.ewma_by_count(_samples(spark, sf_dir), "client_id", "event_id", "value", 10.0).select("event_id", F.round("ewma", 5).alias("ewma"))
+
+
+# A23, B14-B16
+
+
+def _folder(spark, name):
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@registered(ORACLE_SQL["scenario_summary"])
+def scenario_summary_csv(spark, sf_dir):
+    """The scenario summary written as CSV and read again."""
+    summary, path = QUERIES["scenario_summary"](spark, sf_dir), _folder(spark, "summary-csv")
+    store.write_csv(summary, path)
+    return spark.read.schema(summary.schema).option("header", "true").csv(path)
+
+
+@registered(ORACLE_SQL["timeline_summary"])
+def timeline_documents(spark, sf_dir):
+    """The timeline summary as JSON documents, one a line, and read again as such."""
+    summary, path = QUERIES["timeline_summary"](spark, sf_dir), _folder(spark, "summary-json")
+    store.as_documents(summary.withColumn("__id", F.lit(0)), "__id").select("document").write.text(path)
+    return store.json_lines(spark, path, summary.schema)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tesserae.functions.digests import shard_name
 
@@ -41,7 +42,8 @@ def shard_files(spark: SparkSession, path: str) -> DataFrame:
     return found.withColumn("shard_hash", shard_name("path")).where("shard_hash is not null")
 
 
-def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
+def json_lines(spark: SparkSession, path: str, schema: str | StructType) -> DataFrame:
+    """Rows of JSON documents, one a line; fields that a document hasn't got are null, and a line that is no document is a row of nulls."""
     return spark.read.schema(schema).json(path)
 
 

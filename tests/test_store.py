@@ -387,3 +387,16 @@ def test_splice_of_stored_files_reads_windows_only(spark, tmp_path):
     for wrong in ([(0, 5, 9, b"", 200), (0, 8, 10, b"", 200)], [(0, 59_999, 60_001, b"", 200)], [(77, 0, 0, b"x", 200)]):
         with pytest.raises(ValueError):
             engine.splice_stored(spark.createDataFrame(wrong, schema))
+
+
+def test_csv_and_json_lines_round_trip(spark, tmp_path):
+    rows = [(1, "a, \"b\"\nc", 0.1, None), (2, None, 1e300, 5), (3, "é", -0.0, 7)]
+    df = spark.createDataFrame(rows, "id long, name string, rate double, n long")
+    store.write_csv(df.select("id", "rate", "n"), f"file://{tmp_path}/csv")
+    assert sorted(map(tuple, spark.read.schema("id long, rate double, n long").option("header", "true").csv(f"file://{tmp_path}/csv").collect())) == [(i, r, n) for i, _, r, n in rows]
+    documents = store.as_documents(df.withColumn("k", F.col("id")), "k")
+    assert '"n":null' in documents.where("k = 1").first()["document"]
+    documents.select("document").write.text(f"file://{tmp_path}/json")
+    (tmp_path / "json" / "more.txt").write_text("not a document\n{\"id\": 9}\n")
+    got = store.json_lines(spark, f"file://{tmp_path}/json", df.schema).collect()
+    assert sorted(map(tuple, got), key=repr) == sorted([*rows, (9, None, None, None), (None, None, None, None)], key=repr)
