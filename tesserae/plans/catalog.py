@@ -14,7 +14,7 @@ from tesserae.operators import dedup, edits, intervals, merkle, merkle_partial,
 from tesserae.sources import store
 from tesserae.sources.shared import shared_dir, written
 
-from . import catalog_store
+from . import catalog_shards, catalog_store  # noqa: F401
 from . import relations as rel
 from .registry import ORACLE_SQL, QUERIES, registered  # noqa: F401
 from .relations import read, sql_with
