@@ -12,6 +12,7 @@ from tesserae.operators import dedup, edits, lookup, packing, payloads, reconstr
 from tesserae.operators.intervals import coalesced
 from tesserae.sources import store
 from tesserae.sources.shared import shared_dir, written
+from tesserae.streaming import flushes
 
 from . import relations as rel
 from .registry import registered
@@ -530,18 +531,41 @@ def cuts_of_blocks(spark, sf_dir):
 # I4
 
 
-@registered(
-    """WITH RECURSIVE q AS (SELECT event_id // 300 AS session, epoch_us(ts) // 1000 AS ts_ms, event_id AS container, row_number() OVER (PARTITION BY event_id // 300 ORDER BY epoch_us(ts) // 1000, event_id) AS rn FROM events),
+FLUSHES = """WITH RECURSIVE q AS (SELECT event_id // 300 AS session, epoch_us(ts) // 1000 AS ts_ms, event_id AS container, row_number() OVER (PARTITION BY event_id // 300 ORDER BY epoch_us(ts) // 1000, event_id) AS rn FROM events),
     f AS (SELECT session, ts_ms, container, rn, CAST(0 AS BIGINT) AS flush, ts_ms AS begin, CAST(1 AS BIGINT) AS held FROM q WHERE rn = 1
         UNION ALL SELECT q.session, q.ts_ms, q.container, q.rn, CASE WHEN next THEN f.flush + 1 ELSE f.flush END, CASE WHEN next THEN q.ts_ms ELSE f.begin END, CASE WHEN next THEN 1 ELSE f.held + 1 END
         FROM f JOIN q ON q.session = f.session AND q.rn = f.rn + 1, LATERAL (SELECT q.ts_ms - f.begin >= 7200000 OR f.held = 6 AS next))
-    SELECT session, ts_ms, container, flush FROM f"""
-)
+    """
+
+
+@registered(FLUSHES + "SELECT session, ts_ms, container, flush FROM f")
 def session_flush_windows(spark, sf_dir):
     made = read(spark, sf_dir, "events").select(F.floor(F.col("event_id") / 300).alias("session"), F.unix_millis(F.col("ts").cast("timestamp")).alias("ts_ms"), F.col("event_id").alias("container"))
     return sessions.flush_windows(made, 7_200_000, 6)
 
 
+# a window that is neither full nor followed by another is flushed by its timer, if the watermark has got there
+@registered(
+    FLUSHES.replace("7200000", "1200000")
+    + """SELECT session, flush, begin_ms, n, containers, closed_by FROM (SELECT session, flush, min(ts_ms) AS begin_ms, count(*) AS n, string_agg(container, ',' ORDER BY rn) AS containers, CASE WHEN count(*) = 6 THEN 'count' ELSE 'interval' END AS closed_by,
+        flush = max(flush) OVER (PARTITION BY session) AS newest FROM f GROUP BY session, flush) WHERE closed_by = 'count' OR NOT newest OR begin_ms + 1200000 <= (SELECT max(ts_ms) - 10000 FROM f)"""
+)
+def session_flush_stream(spark, sf_dir):
+    """The flushes of the events table, read as a stream to its end."""
+    at = f"{shared_dir(spark)}/flushes-{uuid.uuid4().hex}"
+    # a pattern, as a stream takes no single file by its name
+    events = spark.readStream.schema(read(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parque[t]")
+    made = events.select(F.floor(F.col("event_id") / 300).alias("session"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("container"))
+    before = spark.conf.get(flushes.PROVIDER_KEY, None)
+    spark.conf.set(flushes.PROVIDER_KEY, flushes.PROVIDER)
+    try:
+        query = flushes.flush_stream(made, 1_200_000, 6).writeStream.format("parquet").option("path", f"{at}/rows").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
+    finally:
+        spark.conf.unset(flushes.PROVIDER_KEY) if before is None else spark.conf.set(flushes.PROVIDER_KEY, before)
+    query.awaitTermination()
+    return spark.read.parquet(f"{at}/rows").withColumn("containers", F.concat_ws(",", F.col("containers").cast("array<string>")))
+
+
 # A16
 
 
