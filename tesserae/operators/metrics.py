@@ -79,17 +79,33 @@ def speeds(samples: DataFrame, key: str, order: str, total: str, half_life: floa
     return ewma_whole(s, key, order, "delta", half_life, F.col("elapsed")).select(key, order, "n", F.when(F.col("n") >= least, F.col("ewma")).alias("rate"))
 
 
+MOMENTS = ("n", "sw", "sx", "sy", "sxx", "sxy", "syy")
+
+
+def range_moments(points: DataFrame, key: str, order: str, half_life: float) -> DataFrame:
+    """key, block and the weighed moments of the points of each range of (key, order), as if the range's last point were the last.
+
+    Ranges are Spark's own and about equal in size, so that a key with most of the
+    points is cut into many; points alike in both stay in one range.
+    """
+    ranged = points.select(key, order, "x", "y").repartitionByRange(key, order).withColumn("block", F.spark_partition_id())
+    age = F.row_number().over(Window.partitionBy(key, "block").orderBy(F.col(order).desc())) - 1
+    x, y, w = F.col("x"), F.col("y"), F.col("w")
+    sums = (F.count("*"), F.sum(w), F.sum(w * x), F.sum(w * y), F.sum(w * x * x), F.sum(w * x * y), F.sum(w * y * y))
+    return ranged.withColumn("w", F.pow(F.lit(2.0), -age / F.lit(half_life))).groupBy(key, "block").agg(*(c.alias(m) for c, m in zip(sums, MOMENTS)))
+
+
 def ew_regression(points: DataFrame, key: str, order: str, half_life: float, at: float) -> DataFrame:
     """Exponentially weighted least squares of y on x, by key, after the last point.
 
     The k-th point from the end weighs 2**(-k / half_life). Gives n, weight,
     intercept, slope, mean at ``at`` and its standard error; null where the points
-    don't determine a line, or the weights leave no degree of freedom.
+    don't determine a line, or the weights leave no degree of freedom. Moments of
+    ranges are added up, each decayed by the number of its key's points that follow.
     """
-    age = F.row_number().over(Window.partitionBy(key).orderBy(F.col(order).desc())) - 1
-    weighed = points.withColumn("w", F.pow(F.lit(2.0), -age / F.lit(half_life)))
-    x, y, w = F.col("x"), F.col("y"), F.col("w")
-    s = weighed.groupBy(key).agg(F.count("*").alias("n"), F.sum(w).alias("sw"), F.sum(w * x).alias("sx"), F.sum(w * y).alias("sy"), F.sum(w * x * x).alias("sxx"), F.sum(w * x * y).alias("sxy"), F.sum(w * y * y).alias("syy"))
+    later = F.coalesce(F.sum("n").over(Window.partitionBy(key).orderBy(F.col("block").desc()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row a range
+    parts = range_moments(points, key, order, half_life).withColumn("decay", F.pow(F.lit(2.0), -later / F.lit(half_life)))
+    s = parts.groupBy(key).agg(F.sum("n").alias("n"), *(F.sum(F.col("decay") * F.col(m)).alias(m) for m in MOMENTS[1:]))
     det = F.col("sw") * F.col("sxx") - F.col("sx") * F.col("sx")
     s = s.withColumn("det", F.when(F.abs(det) >= 1e-12, det))
     s = s.withColumn("slope", (F.col("sw") * F.col("sxy") - F.col("sx") * F.col("sy")) / F.col("det")).withColumn("intercept", (F.col("sxx") * F.col("sy") - F.col("sx") * F.col("sxy")) / F.col("det"))

@@ -81,3 +81,27 @@ def test_progress_is_credited_once(spark, tmp_path):
 
     out.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"file://{tmp_path}/cp").trigger(availableNow=True).start().awaitTermination(240)
     assert seen == got
+
+
+def test_regression_of_a_client_with_most_points(spark):
+    rng = random.Random(11)
+    # one client has three quarters of the points, others few; a null key is a client as well
+    rows = [("hot", i, rng.uniform(0, 20), rng.uniform(0, 3)) for i in range(3000)] + [(k, i, float(i), rng.random()) for k in ("a", "b", None) for i in range(300)] + [("one", 1, 2.0, 3.0), ("same", 1, 2.0, 3.0), ("same", 2, 2.0, 4.0), ("same", 3, 2.0, None)]
+    df = spark.createDataFrame(rng.sample(rows, len(rows)), "k string, i long, x double, y double")
+    got = {r["k"]: r for r in metrics.ew_regression(df, "k", "i", 40, 10.0).collect()}
+    for k in ("hot", "a", "b", None):
+        mine = sorted(r[1:] for r in rows if r[0] == k)
+        w = [2.0 ** (-(len(mine) - 1 - n) / 40) for n in range(len(mine))]
+        mx, my = (sum(v * r[c] for v, r in zip(w, mine)) / sum(w) for c in (1, 2))
+        slope = sum(v * (x - mx) * (y - my) for v, (_, x, y) in zip(w, mine)) / sum(v * (x - mx) ** 2 for v, (_, x, _) in zip(w, mine))
+        assert (got[k]["n"], got[k]["weight"], got[k]["slope"], got[k]["mean_at"]) == (len(mine), pytest.approx(sum(w)), pytest.approx(slope), pytest.approx(my + slope * (10 - mx)))
+    assert got["one"]["slope"] is None and got["same"]["slope"] is None and got["same"]["n"] == 3 and len(got) == 6
+    assert metrics.ew_regression(df.limit(0), "k", "i", 40, 10.0).count() == 0
+    # the large client's points are folded in several tasks, none far above its share
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        blocks = [r["n"] for r in metrics.range_moments(df, "k", "i", 40).where("k = 'hot'").collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    assert sum(blocks) == 3000 and len(blocks) > 2 and max(blocks) < 2 * len(rows) / 4
