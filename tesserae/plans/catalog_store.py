@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tesserae.functions import digests, forms
 from tesserae.operators import chunks as ch
-from tesserae.operators import dedup, edits, lookup, packing, payloads, reconstruct, sessions, shards
+from tesserae.operators import dedup, edits, lookup, packing, payloads, reads, reconstruct, sessions, shards
 from tesserae.operators.intervals import coalesced
 from tesserae.sources import store
 from tesserae.sources.shared import shared_dir, written
@@ -595,3 +595,46 @@ def lookup_by_hash(spark, sf_dir):
     unknown = read(spark, sf_dir, "documents").select(F.sha2(F.concat(F.lit("none "), F.col("doc_id")), 256).alias("chunk_hash"))
     asked = chunks.where("file_id % 3 = 0").select("chunk_hash").unionByName(unknown)
     return lookup.lookup(asked, lookup.read_index(spark, path, "chunk_hash string, container_hash string, chunk_idx long"), digits=1)
+
+
+# A17, A18
+
+
+@registered(
+    sql_with(
+        """SELECT query_id, outcome, CASE WHEN outcome = 'ok' THEN n ELSE CASE WHEN outcome = 'empty' THEN 0 END END AS n_chunks, CASE WHEN outcome = 'ok' THEN b ELSE CASE WHEN outcome = 'empty' THEN 0 END END AS bytes, digest AS chunks_sha256
+        FROM (SELECT query_id, CASE WHEN held IS NULL THEN 'not_found' WHEN s >= e THEN 'empty' WHEN e > held THEN 'out_of_range' ELSE 'ok' END AS outcome, container_hash, s, e FROM
+            (SELECT query_id, a.container_hash, n.n_chunks AS held, coalesce(s, 0) AS s, coalesce(e, n.n_chunks) AS e FROM asked a LEFT JOIN named n USING (container_hash))) q
+        LEFT JOIN LATERAL (SELECT count(*) AS n, CAST(sum(length) AS BIGINT) AS b, sha256(string_agg(chunk_hash, '' ORDER BY chunk_idx)) AS digest FROM placed p WHERE q.outcome = 'ok' AND p.container_hash = q.container_hash AND chunk_idx >= s AND chunk_idx < e) ON true""",
+        "placed",
+        extra="""asked AS (SELECT container_hash AS query_id, container_hash, CASE WHEN n_chunks % 3 > 0 THEN n_chunks // 3 END AS s, CASE n_chunks % 3 WHEN 1 THEN n_chunks // 2 WHEN 2 THEN n_chunks + n_chunks % 2 END AS e FROM named
+            UNION ALL SELECT h, h, 0, 1 FROM (SELECT sha256('none ' || doc_id) AS h FROM documents))""",
+    )
+)
+def container_ranges_read(spark, sf_dir):
+    """Whole containers, ranges of them, some empty or too long, and containers that aren't there."""
+    _, named, placed = rel.store(spark, sf_dir)
+    n = F.col("n_chunks")
+    kind = n % 3
+    asked = named.select(F.col("container_hash").alias("query_id"), "container_hash", F.when(kind > 0, F.floor(n / 3)).alias("chunk_start"), F.when(kind == 1, F.floor(n / 2)).when(kind == 2, n + n % 2).alias("chunk_end"))
+    none = F.sha2(F.concat(F.lit("none "), F.col("doc_id")), 256)
+    unknown = read(spark, sf_dir, "documents").select(none.alias("query_id"), none.alias("container_hash"), F.lit(0).cast("long").alias("chunk_start"), F.lit(1).cast("long").alias("chunk_end"))
+    return reads.container_reads(asked.unionByName(unknown), named, placed)
+
+
+@registered(
+    sql_with(
+        """SELECT query_id, outcome, size, CASE WHEN outcome = 'ok' THEN s END AS start, CASE WHEN outcome = 'ok' THEN least(e, size) END AS end FROM
+        (SELECT query_id, size, s, e, CASE WHEN size IS NULL THEN 'not_found' WHEN s >= size OR e < s THEN 'invalid_range' ELSE 'ok' END AS outcome FROM
+            (SELECT d.doc_id AS query_id, d.doc_id * 7919 % 3000 AS s, d.doc_id * 7919 % 3000 + d.doc_id * 31 % 5000 - 200 AS e, f.size FROM documents d
+                LEFT JOIN (SELECT file_id, CAST(sum(length) AS BIGINT) AS size FROM chunks GROUP BY 1) f ON f.file_id = CASE WHEN d.doc_id % 11 = 0 THEN -1 - d.doc_id ELSE d.doc_id END))""",
+        "chunks",
+    )
+)
+def file_ranges_read(spark, sf_dir):
+    """Ranges that begin within a file or behind it, end there or behind it, or are turned round; some of files that aren't there."""
+    sizes = rel.line_chunks(spark, sf_dir).groupBy("file_id").agg(F.sum("length").alias("size"))
+    d = F.col("doc_id")
+    start = d * 7919 % 3000
+    asked = read(spark, sf_dir, "documents").select(d.alias("query_id"), F.when(d % 11 == 0, -1 - d).otherwise(d).alias("file_id"), start.alias("start"), (start + d * 31 % 5000 - 200).alias("end"))
+    return reads.file_reads(asked, sizes)

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from tesserae.functions.chunking import ChunkSpec
 from tesserae.operators import chunks as ch
-from tesserae.operators import dedup, edits, lookup, merkle, merkle_partial, packing, reconstruct
+from tesserae.operators import dedup, edits, lookup, merkle, merkle_partial, packing, reads, reconstruct
 from tesserae.sources import store as st
 
 
@@ -111,6 +111,18 @@ class Engine:
         """The same as query_id, piece_idx, offset, data, for ranges of any length."""
         return self._read(requests, reconstruct.file_pieces)
 
+    def read_outcomes(self, requests: DataFrame) -> DataFrame:
+        """query_id, outcome, size, start, end: what ``reconstruct`` and ``read_pieces`` give for requests, told before any byte is read; see ``reads.file_reads``."""
+        return reads.file_reads(requests, self._stored("files"))
+
+    def read_containers(self, asked: DataFrame) -> DataFrame:
+        """asked(query_id, container_hash, chunk_start, chunk_end) -> whether they exist, and how long the ranges are; see ``reads.container_reads``."""
+        return reads.container_reads(asked, self._stored("containers"), self._stored("container_chunks"))
+
+    def containers(self) -> DataFrame:
+        """container_hash, n_chunks, bytes_raw of what is stored, each once."""
+        return self._stored("containers").dropDuplicates(["container_hash"])
+
     def splice_stored(self, changes: DataFrame) -> DataFrame:
         """changes(file_id, start, end, data, new_id) of stored files -> new_id, size, bytes_read, bytes_cut, new_bytes of each edited file, stored under new_id.
 
