@@ -3,9 +3,10 @@
 Two hashed n-gram models, one of target texts (labelled good) and one of all
 raw text, give each text its log importance weight: the sum over its n-grams of
 log p_target - log p_raw. The target model is shrunk towards the raw one, which
-keeps n-grams that were seen a few times from deciding. The weight is tempered by
-the text's length, to that of ``length`` of its n-grams, since the sum of a long
-text's says more about its length than its quality; Gumbel noise, a seeded
+keeps n-grams that were seen a few times from deciding. A text of more than
+``length`` n-grams has its weight tempered to that of ``length`` of them, since the
+sum of a long text's says more about its length than its quality; shorter texts
+keep their own weight. Gumbel noise, a seeded
 function of the id, is added, and the k largest sums are the sample (Gumbel
 top-k: k draws without replacement in proportion to the tempered weights). Texts
 whose weights lie within a few units of the k-th are decided by the draw, those
@@ -115,7 +116,7 @@ def weights(model: Model, text: Column, length: float, fold: Column | None = Non
             sums.append(total)
             counts.append(np.bincount(doc, minlength=j - i))
         total, count = np.concatenate(sums), np.concatenate(counts)
-        return pa.StructArray.from_arrays([pa.array(total, mask=count == 0), pa.array(total / np.maximum(count, 1) * length, mask=count == 0)], names=["log_weight", "tempered"])
+        return pa.StructArray.from_arrays([pa.array(total, mask=count == 0), pa.array(total * np.minimum(1.0, length / np.maximum(count, 1)), mask=count == 0)], names=["log_weight", "tempered"])
 
     return weigh(F.coalesce(text, F.lit("")), F.lit(None).cast("int") if fold is None else fold)
 

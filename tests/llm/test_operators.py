@@ -406,13 +406,13 @@ def test_quality_equals_a_plain_version(spark):
         got = {r["doc_id"]: r for r in quality.classify(docs, labels, seed=3, recall=0.95, buckets=buckets, length=50.0).collect()}
         want = brute.importance(texts_, good, buckets, 30.0)
         assert len(got) == docs.count() and all(w is not None for w in want.values())
-        tempered = {i: w / size[i] * 50 for i, w in want.items()}
+        tempered = {i: w * min(1, 50 / size[i]) for i, w in want.items()}
         key = {i: w + noise[i] for i, w in tempered.items()}
         for i, r in got.items():
             assert r["log_weight"] == pytest.approx(want[i], rel=1e-4, abs=1e-3) and r["gumbel_key"] == pytest.approx(key[i], rel=1e-4, abs=1e-3)
         held = {}
         for f in range(quality.FOLDS):
-            held |= {i: w / size[i] * 50 for i, w in brute.importance(texts_, {g for g in good if fold[g] != f}, buckets, 30.0).items() if i in good and fold[i] == f}
+            held |= {i: w * min(1, 50 / size[i]) for i, w in brute.importance(texts_, {g for g in good if fold[g] != f}, buckets, 30.0).items() if i in good and fold[i] == f}
         k = sum(w >= np.quantile(list(held.values()), 0.05) for w in tempered.values())
         assert {i for i, r in got.items() if r["kept"]} == set(sorted(got, key=lambda i: -key[i])[:k])
 
@@ -425,6 +425,32 @@ def test_the_draw_samples(spark):
     assert [len(x) for x in drawn] == [100, 100] and 5 < len(drawn[0] & drawn[1]) < 60
 
 
+def test_inclusion_over_seeds_follows_the_weights(spark):
+    """Each row's share of 300 seeds, against draws without replacement in proportion to exp(weight), one after the other."""
+    sf = SF.replace("0.001", "0.01")
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    model = quality.fit(docs, quality.target_ids(labels, 50_000))
+    scored = docs.select(quality.weights(model, F.col("text"), 20.0)["tempered"].alias("w"), *(quality.gumbel(F.col("doc_id"), s).alias(f"g{s}") for s in range(300))).where("w is not null").toPandas()
+    w, noise, k = scored["w"].to_numpy(), scored.drop(columns="w").to_numpy(), 200
+    keys = w[:, None] + noise
+    got = (keys >= np.sort(keys, axis=0)[-k]).mean(axis=1)
+    rng, want = np.random.default_rng(0), np.zeros(len(w))
+    p = np.exp(w - w.max()) / np.exp(w - w.max()).sum()
+    for _ in range(300):
+        want[rng.choice(len(w), k, replace=False, p=p)] += 1 / 300
+    assert ((want > 0.05) & (want < 0.95)).sum() > 300  # most rows are left to the draw
+    assert np.abs(got - want).max() < 0.16 and np.abs(got - want).mean() < 0.03 and abs((got - want).mean()) < 1e-9
+    key, last = quality.kth_largest(docs.select("doc_id", (quality.weights(model, F.col("text"), 20.0)["tempered"] + quality.gumbel(F.col("doc_id"), 7)).alias("key")), k)
+    assert key == pytest.approx(np.sort(keys[:, 7])[-k])
+
+
+def test_short_texts_keep_their_own_weight(spark):
+    docs = spark.createDataFrame([(1, "good words"), (2, "bad terms"), (3, "good words " * 400)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1, 0), (3, 1, 0)], "doc_id long, quality int, toxic int")
+    rows = {r["doc_id"]: r for r in quality.classify(docs, labels, seed=1).withColumn("w", F.col("gumbel_key") - quality.gumbel(F.col("doc_id"), 1)).collect()}
+    assert all(rows[i]["w"] == pytest.approx(rows[i]["log_weight"]) for i in (1, 2)) and rows[3]["w"] < rows[3]["log_weight"] / 5
+
+
 def test_quality_defined_results(spark):
     df = fixtures.frame(spark)
     labels = spark.createDataFrame([(1, 1, 0), (3, 1, None), (12, 0, 0), (None, 1, 0), (1, 1, 0)], "doc_id long, quality int, toxic int")
