@@ -95,6 +95,22 @@ def greedy_bin_packing(spark, sf_dir):
     return bins.groupBy("grp", "bin").agg(F.count("*").alias("n_chunks"), F.sum("length").alias("bytes"), F.min("file_id").alias("first_file"), F.max("file_id").alias("last_file"))
 
 
+@registered(
+    sql_with(
+        """SELECT o.file_id, o.chunk_idx, o.length, CAST(s.bin AS BIGINT) AS bin, o.rn - s.rn AS pos FROM ordered o ASOF JOIN starts s ON o.rn >= s.rn""",
+        "firsts",
+        extra=f"""ordered AS (SELECT *, row_number() OVER w AS rn, CAST(sum(length) OVER (w ROWS UNBOUNDED PRECEDING) AS BIGINT) AS upto FROM firsts WINDOW w AS (ORDER BY file_id, chunk_idx)),
+        sums AS (SELECT upto, min(rn) AS rn FROM ordered GROUP BY upto),
+        jumps AS MATERIALIZED (SELECT o.rn, least(o.rn + {rel.MAX_CHUNKS}, greatest(o.rn + 1, coalesce(b.rn, o.rn + {rel.MAX_CHUNKS}))) AS next_ FROM ordered o ASOF LEFT JOIN sums b ON b.upto > o.upto - o.length + {rel.MAX_BYTES}),
+        starts AS (SELECT CAST(1 AS BIGINT) AS rn, 0 AS bin UNION ALL SELECT j.next_, s.bin + 1 FROM starts s JOIN jumps j ON j.rn = s.rn WHERE j.next_ <= (SELECT max(rn) FROM jumps))""",
+    )
+)
+def whole_source_packing(spark, sf_dir):
+    """New chunks of all files packed in one order, as a session packs them, by ranges side by side."""
+    new = dedup.first_locations(rel.line_chunks(spark, sf_dir)).withColumn("grp", F.lit(0).cast("long"))
+    return packing.pack_ranges(new, rel.MAX_BYTES, rel.MAX_CHUNKS).select("file_id", "chunk_idx", "length", "bin", "pos")
+
+
 @registered(sql_with("SELECT * FROM placed", "placed"))
 def container_chunk_offsets(spark, sf_dir):
     return rel.store(spark, sf_dir)[2]

@@ -86,7 +86,7 @@ class Engine:
         """Packs and stores the new chunks of a batch; chunk_hash, container_hash, chunk_idx of all its chunks."""
         staged = f"{self.store}/staging/{batch}"
         new = flagged.where("is_new").withColumn("grp", F.floor(F.col("file_id") / self.group_files))
-        packing.pack(new, self.max_bytes, self.max_chunks).write.parquet(f"{staged}/packed")
+        packing.pack_ranges(new, self.max_bytes, self.max_chunks).write.parquet(f"{staged}/packed")
         bins = self.spark.read.parquet(f"{staged}/packed")
         named = packing.containers(bins)
         placed = packing.container_chunks(bins, named)
