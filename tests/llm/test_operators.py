@@ -634,3 +634,28 @@ def test_clustered_vectors_need_few_lists():
     wide, _ = neighbours.calibrate(neighbours.fit(flat, 90, 16), flat, 20, 0.97, 40)
     print(f"neighbours: {probes} of 90 lists for clusters, {wide} without structure")
     assert probes <= 10 < wide
+
+
+def test_neighbours_of_any_rows_equal_brute_force(spark):
+    """Queries unlike the other rows, clusters with outliers, unequal norms, vectors of several lengths, repeated ids."""
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(40, 16))
+    x = centres[rng.integers(0, 40, 3000)] + rng.normal(size=(3000, 16)) * 0.05
+    x[::20] = rng.normal(size=(150, 16))
+    x[1::7] *= np.exp(rng.normal(size=(len(x[1::7]), 1)))
+    rows = [(i, [float(c) for c in v]) for i, v in enumerate(x)]
+    rows += [(3000 + i, [float(c) for c in rng.normal(size=5)]) for i in range(100)]
+    rows += [(40, [float(c) for c in rng.normal(size=16)]), rows[60], rows[60], (3020, rows[3020][1])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    want = []
+    for q, v in rows:
+        if q % 20 == 0:
+            same = [(i, w) for i, w in rows if i != q and len(w) == len(v)]
+            scores = np.zeros(len(same))
+            for d in range(len(v)):
+                scores += np.array([w[d] for _, w in same]) * v[d]
+            best = sorted((-s, i) for s, (i, _) in zip(scores.tolist(), same))[:20]
+            want += [(q, n, i, -s) for n, (s, i) in enumerate(best, 1)]
+    # small blocks and bins split long lists
+    for more in ({}, {"block": 64, "bin_rows": 100, "lists": 8}):
+        assert sorted(map(tuple, neighbours.nearest(df, df.where("vec_id % 20 = 0"), **more).collect())) == sorted(want)
