@@ -1,13 +1,16 @@
 """Operator 13: alignment of two tokenizers over the same bytes.
 
-Python tokenises only: ids and byte ends of each text by a byte-level vocabulary
+Python tokenises only: ids and byte ends of each chunk of the texts by a byte-level vocabulary
 (A, over a space and the text) and by a piece model (B, which adds that space
-itself). All that follows are Spark's own functions. The ends that both have
-(``array_intersect``) cut the tokens into groups. Both ends merged in order are the
+itself). Where a chunk ends a token of either side does, so no group and no link
+crosses it; a batch of texts is a row of its distinct chunks and of which chunks each
+text has, so a word that is repeated in a batch is aligned once. All that follows are Spark's own functions. The ends that both have
+(``array_intersect``) cut a chunk's tokens into groups. Both ends merged in order are the
 links: between two neighbouring ends lies one token of A and one of B, and two
-tokens overlap in one such stretch, so a text has as many links as it has different
+tokens overlap in one such stretch, so a chunk has as many links as it has different
 ends; the place of an end in the merged order tells how many tokens of the other
-side came before it, so one pass makes all links.
+side came before it, so one pass makes all links. A text's groups and links are those
+of its chunks in order.
 
 Counts of id pairs over the corpus are sums of links, folded before the shuffle.
 Each link then needs its pair's count. Pairs that hold a ``BROADCAST``th of all
@@ -41,7 +44,8 @@ from .token_counts import _LONG_SPACE, _byte_encoder, _library
 
 #: Pairs of so large a share of all links are broadcast.
 BROADCAST = 1 << 19
-TOKENS = "doc_id long, row long, a_ids array<int>, a_ends array<int>, b_ids array<int>, b_ends array<int>"
+TOKENS = """docs array<struct<doc_id: bigint, row: bigint, n_a: bigint, n_b: bigint, of: array<int>>>,
+    chunks array<struct<a_ids: array<int>, a_ends: array<int>, b_ids: array<int>, b_ends: array<int>>>"""
 #: A space with white space or nothing beside it (Unicode's, as both pre-tokenisers have it); then only spaces between other characters cut.
 _PLAIN = re.compile(r"^ | $|\s | \s").search
 _CUT = re.compile(r"(?<=\S) (?=\S)")
@@ -103,16 +107,18 @@ class _Ids:
         self.pool = np.concatenate([self.pool, np.fromiter((i for x in ids for i in x), np.int32, int(size.sum()))])
         return [b"".join([self.entries[i] for i in x]) == (" " + c).encode() for x, c in zip(ids, chunks)]
 
-    def arrays(self, of: np.ndarray, counts: np.ndarray) -> tuple[pa.Array, pa.Array]:
-        """Ids and byte ends of texts that have so many of the chunks ``of``."""
+    def arrays(self, of: np.ndarray) -> tuple[pa.Array, pa.Array]:
+        """Ids and byte ends of the chunks ``of``."""
         size = self.size[of]
-        flat = self.pool[np.arange(int(size.sum())) + np.repeat(self.start[of] - (np.cumsum(size) - size), size)]
-        total = np.concatenate([[0], np.cumsum(size)])
-        stops = np.concatenate([[0], total[np.cumsum(counts)]])
+        stops = np.concatenate([[0], np.cumsum(size)])
+        flat = self.pool[np.arange(int(stops[-1])) + np.repeat(self.start[of] - stops[:-1], size)]
         ends = np.concatenate([[0], np.cumsum(self.width[flat])])
-        ends = ends[1:] - np.repeat(ends[stops[:-1]], np.diff(stops))
-        offsets = pa.array(stops.astype(np.int32), pa.int32())
-        return tuple(pa.ListArray.from_arrays(offsets, pa.array(x.astype(np.int32), pa.int32())) for x in (flat, ends))
+        ends = ends[1:] - np.repeat(ends[stops[:-1]], size)
+        return _lists(stops, flat), _lists(stops, ends)
+
+
+def _lists(stops: np.ndarray, flat: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(stops.astype(np.int32), pa.int32()), pa.array(flat.astype(np.int32), pa.int32()))
 
 
 class TokenTable:
@@ -140,8 +146,8 @@ class TokenTable:
         """The chunks without the space before each."""
         return text.split(" ") if _PLAIN(text) is None else _CUT.split(text)
 
-    def arrays(self, texts: list[str | None]) -> list[pa.Array]:
-        """a_ids, a_ends, b_ids, b_ends of texts."""
+    def arrays(self, texts: list[str | None]) -> tuple[list[pa.Array], list[pa.Array]]:
+        """n_a, n_b and the places of their chunks of texts; a_ids, a_ends, b_ids, b_ends of the distinct chunks."""
         if len(self.numbers) > self.max_chunks:
             self.clear()
         number, of, counts = self.numbers.__getitem__, [], []
@@ -160,7 +166,10 @@ class TokenTable:
         wrong = np.zeros(len(texts), bool)
         wrong[text[~self.whole[of]]] = True
         of, counts = of[~wrong[text]], np.where(wrong, 0, counts)
-        return [x for side in self.sides for x in side.arrays(of, counts)]
+        stops = np.concatenate([[0], np.cumsum(counts)])
+        sizes = [pa.array(np.diff(np.concatenate([[0], np.cumsum(side.size[of])])[stops])) for side in self.sides]
+        distinct, place = np.unique(of, return_inverse=True)
+        return [*sizes, _lists(stops, place)], [x for side in self.sides for x in side.arrays(distinct)]
 
     def _pieces(self, chunks: list[str]) -> list[list[int]]:
         mark = self.sp.piece_to_id(MARK)
@@ -177,13 +186,16 @@ def _tokenise(byte_path: str, piece_path: str, batch_chars: int):
             cuts = [0, *(np.flatnonzero(np.diff(sizes // batch_chars)) + 1).tolist(), whole.num_rows] if whole.num_rows else [0]
             for x, y in zip(cuts, cuts[1:]):
                 part = whole.slice(x, y - x)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("row"), *table.arrays(texts[x:y])], names=["doc_id", "row", "a_ids", "a_ends", "b_ids", "b_ends"])
+                docs, chunks = table.arrays(texts[x:y])
+                docs = pa.StructArray.from_arrays([part.column("doc_id"), part.column("row"), *docs], names=["doc_id", "row", "n_a", "n_b", "of"])
+                chunks = pa.StructArray.from_arrays(chunks, names=["a_ids", "a_ends", "b_ids", "b_ends"])
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c) for c in (docs, chunks)], names=["docs", "chunks"])
 
     return run
 
 
-def tokenised(docs: DataFrame, byte_path: str, piece_path: str, batch_chars: int = 1_000_000) -> DataFrame:
-    """doc_id, row (a number of its own), ids and byte ends of both sides of docs(doc_id, text)."""
+def tokenised(docs: DataFrame, byte_path: str, piece_path: str, batch_chars: int = 4_000_000) -> DataFrame:
+    """A row for each batch of docs(doc_id, text): each document with a number of its own and the places of its chunks; ids and byte ends of both sides of the distinct chunks."""
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), "text")
     return source.mapInArrow(_tokenise(byte_path, piece_path, batch_chars), TOKENS)
 
@@ -199,26 +211,45 @@ def _by_group(ids: Column, ends: Column, cuts: Column) -> Column:
     return F.split(F.array_join(F.zip_with(ids.cast("array<string>"), marks, lambda i, m: F.concat(i, m)), ""), ";")
 
 
-def linked(tokens: DataFrame) -> DataFrame:
-    """doc_id, row, n_a, n_b, n_groups, n_links, groups and links (id of A in the upper 32 bits, of B in the lower) of tokenised rows."""
-    wide = lambda c: c.cast("long")
-    # end, side and number of each token in one long, so that sorting merges both sides
-    keyed = lambda ends, side: F.transform(ends, lambda e, i: F.shiftleft(wide(e), 32).bitwiseOR(wide(i) + F.lit(side).cast("long")))
-    t = tokens.withColumn("cuts", F.array_intersect("a_ends", "b_ends")).withColumn("merged", F.sort_array(F.concat(keyed(F.col("a_ends"), 0), keyed(F.col("b_ends"), _SIDE))))
+def _aligned(c: Column) -> Column:
+    """groups, n_groups and links of a chunk with cuts and merged ends."""
+    wide = lambda x: x.cast("long")
 
     def link(x: Column, p: Column) -> Column:
         i = x.bitwiseAND(F.lit(_INDEX)).cast("int")
-        pair = lambda a, b: F.shiftleft(wide(F.get("a_ids", a)), 32).bitwiseOR(wide(F.get("b_ids", b)))
+        pair = lambda a, b: F.shiftleft(wide(F.get(c["a_ids"], a)), 32).bitwiseOR(wide(F.get(c["b_ids"], b)))
         # of an end that both sides have, A's comes first and makes the link
-        again = F.shiftright(F.get("merged", p - 1), 32) == F.shiftright(x, 32)
+        again = F.shiftright(F.get(c["merged"], p - 1), 32) == F.shiftright(x, 32)
         return F.when(x.bitwiseAND(F.lit(_SIDE)) == 0, pair(i, p - i)).when((p == 0) | ~again, pair(p - i, i))
 
-    t = t.withColumn("links", F.filter(F.transform("merged", link), lambda x: x.isNotNull())).drop("merged")
-    a, b = (_by_group(F.col(f"{side}_ids"), F.col(f"{side}_ends"), F.col("cuts")) for side in "ab")
+    links = F.filter(F.transform(c["merged"], link), lambda x: x.isNotNull())
+    a, b = (_by_group(c[f"{side}_ids"], c[f"{side}_ends"], c["cuts"]) for side in "ab")
     both = F.zip_with(a, b, lambda x, y: F.concat(x, F.lit("|"), y))
-    groups = F.array_join(F.slice(both, 1, F.size("cuts")), ";")
-    n = lambda c: F.size(c).cast("long")
-    return t.select("doc_id", "row", n("a_ids").alias("n_a"), n("b_ids").alias("n_b"), n("cuts").alias("n_groups"), n("links").alias("n_links"), groups.alias("groups"), "links")
+    text = lambda ids: F.array_join(ids.cast("array<string>"), ",")
+    one = F.concat(text(c["a_ids"]), F.lit("|"), text(c["b_ids"]))
+    groups = F.when(F.size(c["cuts"]) == 1, one).otherwise(F.array_join(F.slice(both, 1, F.size(c["cuts"])), ";"))
+    return F.struct(groups.alias("groups"), wide(F.size(c["cuts"])).alias("n_groups"), links.alias("links"))
+
+
+def linked(tokens: DataFrame) -> DataFrame:
+    """doc_id, row, n_a, n_b, n_groups, n_links, groups and links (id of A in the upper 32 bits, of B in the lower) of tokenised rows."""
+    wide = lambda c: c.cast("long")
+    # end, side and number of each token in one long, so that sorting merges both sides
+    keyed = lambda ends, side: F.transform(ends, lambda e, i: F.shiftleft(wide(e), 32).bitwiseOR(wide(i) + F.lit(side).cast("long")))
+    cuts = lambda c: F.array_intersect(c["a_ends"], c["b_ends"]).alias("cuts")
+    merged = lambda c: F.sort_array(F.concat(keyed(c["a_ends"], 0), keyed(c["b_ends"], _SIDE))).alias("merged")
+    named = lambda c: [c[x].alias(x) for x in ("a_ids", "a_ends", "b_ids", "b_ends")]
+    # steps of their own, so that what is used more than once is made once
+    chunks = F.transform(F.transform("chunks", lambda c: F.struct(*named(c), cuts(c), merged(c))), _aligned)
+    of = lambda d, name: F.transform(d["of"], lambda i: F.get("chunks", i)[name])
+    doc = lambda d: F.struct(
+        *(d[x].alias(x) for x in ("doc_id", "row", "n_a", "n_b")),
+        F.aggregate(d["of"], F.lit(0).cast("long"), lambda n, i: n + F.get("chunks", i)["n_groups"]).alias("n_groups"),
+        F.array_join(of(d, "groups"), ";").alias("groups"),
+        F.flatten(of(d, "links")).alias("links"),
+    )
+    t = tokens.select("docs", chunks.alias("chunks")).select(F.inline(F.transform("docs", doc)))
+    return t.select("doc_id", "row", "n_a", "n_b", "n_groups", wide(F.size("links")).alias("n_links"), "groups", "links")
 
 
 def pair_counts(aligned: DataFrame) -> DataFrame:

@@ -252,3 +252,10 @@ def test_alignment_gives_groups_and_links(spark):
     assert out[0]["groups"].count(";") + 1 == out[0]["n_groups"] == 2 and len(out[0]["links"]) == out[0]["n_links"]
     assert (out[1]["n_a"], out[1]["groups"], out[1]["groups_sha256"]) == (0, "", "")
     assert alignment.align(fixtures.empty(spark), P.path("byte_bpe_50k.json"), P.path("piece_bpe_32k.model")).count() == 0
+
+
+def test_repeated_words_are_aligned_once(spark):
+    df = spark.createDataFrame([(i, " ".join(["word", "another"] * 50)) for i in range(200)], "doc_id long, text string").coalesce(1)
+    tokens = alignment.tokenised(df, P.path("byte_bpe_50k.json"), P.path("piece_bpe_32k.model"))
+    assert tokens.select(F.sum(F.size("docs")), F.sum(F.size("chunks"))).first() == (200, 2)
+    assert alignment.linked(tokens).agg(F.min("n_groups"), F.max("n_groups")).first() == (100, 100)
