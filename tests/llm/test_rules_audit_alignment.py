@@ -259,3 +259,23 @@ def test_repeated_words_are_aligned_once(spark):
     tokens = alignment.tokenised(df, P.path("byte_bpe_50k.json"), P.path("piece_bpe_32k.model"))
     assert tokens.select(F.sum(F.size("docs")), F.sum(F.size("chunks"))).first() == (200, 2)
     assert alignment.linked(tokens).agg(F.min("n_groups"), F.max("n_groups")).first() == (100, 100)
+
+
+def test_units_of_different_words_are_aligned_once(spark, tokenizers):
+    """400 words made of the same parts: each part is aligned once, and no end within a unit is one of both sides."""
+    parts = ["the", "and", "time", "year", "people", "way", "day", "man", "thing", "woman", "life", "child", "world", "school", "state", "family", "student", "group", "country", "problem"]
+    text = " ".join(f"{x}-{y}" for x in parts for y in parts)
+    df = spark.createDataFrame([(i, text if i % 2 else text[::-1]) for i in range(6)], "doc_id long, text string").coalesce(1)
+    tokens = alignment.tokenised(df.where("doc_id % 2 = 1"), P.path("byte_bpe_50k.json"), P.path("piece_bpe_32k.model"))
+    assert tokens.select(F.sum(F.size("chunks"))).first()[0] == 400
+    units = tokens.select(F.inline("units"))
+    assert units.count() <= 60 and units.where(F.size(F.array_intersect("a_ends", "b_ends")) != 1).count() == 0
+    assert aligned(df) == plain_alignment([(r["doc_id"], r["text"]) for r in df.collect()], tokenizers)
+
+
+def test_chunks_are_numbered_anew_when_the_table_is_full():
+    paths, texts = (P.path("byte_bpe_50k.json"), P.path("piece_bpe_32k.model")), ["one two, three", "a ▁ mark", None, "three  four\n five-six one", ""]
+    small, fresh = alignment.TokenTable(*paths, max_chunks=2), lambda: alignment.TokenTable(*paths)
+    plain = lambda made: [x.to_pylist() for x in (*made[0], made[1], *made[2])]
+    assert [plain(small.arrays(texts)) for _ in range(3)] == [plain(fresh().arrays(texts))] * 3
+    assert plain(small.arrays(["a ▁ mark"]))[:3] == [[0], [0], [[]]]
