@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from tesserae.functions.chunking import ChunkSpec, cut_points, default_gear
 
-from .shared import written
+from .shared import scratch, written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SPEC = ChunkSpec(target=4096, min_divisor=4, max_multiplier=4)
@@ -97,13 +97,14 @@ def group_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of ``docs`` for each text, with its columns: of the largest id, which may be null or stand for several texts; of rows that share id and text one stays."""
-    groups = group_copies(docs, id_col, text_col)
     at = [F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha")]
-    gone = groups.where(~F.col("kept")).select(*at).distinct()
+    with scratch(docs.sparkSession) as keep:
+        groups = group_copies(docs, id_col, text_col)
+        gone = keep(written(groups.where(~F.col("kept")).select(*at).distinct(), "exact-copies"))
+        tied = keep(written(groups.where("kept").select(*at).groupBy("__id", "__sha").count().where("count > 1").drop("count"), "tied-copies"))
     rows = docs.withColumn("__text", F.sha2(normalised(text_col).cast("binary"), 256))
     same = rows[id_col].eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__sha"))
     rows = rows.join(gone, same, "left_anti")
-    tied = written(groups.where("kept").select(*at).groupBy("__id", "__sha").count().where("count > 1").drop("count"), "tied-copies")
     if not tied.isEmpty():
         rows = rows.join(tied, same, "left_anti").unionByName(rows.join(tied, same, "left_semi").dropDuplicates([id_col, "__text"]))
     return rows.drop("__text")

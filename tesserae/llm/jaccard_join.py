@@ -23,7 +23,9 @@ are given up and their sets signed anew with n2 = 5, k2 = 2, whose signatures
 cover twice as many features: sets that merely have a common passage part, and
 linked ones still share a signature. In what is left sets are compared by sketch
 in cells of bounded size; sets that have a partner are compared once more by
-larger sketches, and what passes is compared exactly. Equal sets are folded
+larger sketches, and what passes is compared exactly. Rows with sketches, and the
+longer signatures, are more than the input can pay for at once: they go in rounds,
+and tables are deleted when nothing reads them any more. Equal sets are folded
 first. The result is every component of the link graph; no candidate is dropped.
 Shingles are told apart by 64-bit hashes of their words.
 
@@ -36,6 +38,7 @@ other columns are ignored; an empty table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -44,12 +47,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import written
+from .shared import discard, scratch, written
 from .words import U, mix, shingles, slices, split_words
 
 FINE = 16
 THIN = 2
 BLOCK = 500
+#: Rows that carry a sketch are shuffled in rounds of so many a set, signatures made anew in rounds of one for so many features.
+SKETCHED, FEATURES = 16, 8
+LEAST = 1_000_000
 DESCRIBED = "node long, n long, key1 long, key2 long, sketch binary"
 _K = [U(x) for x in (0x8CB92BA72F3D8DD7, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xA0761D6478BD642F)]
 
@@ -85,8 +91,11 @@ def set_sums(h: np.ndarray, cell: np.ndarray, n: int) -> tuple[np.ndarray, np.nd
     return (high << U(32)) + low, np.bincount(cell, minlength=n)
 
 
-def signatures(h: np.ndarray, first: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
-    """PartEnum signatures of each set and the set's number, for sets h[first[i]:first[i + 1]]."""
+def signatures(h: np.ndarray, first: np.ndarray, bands: Bands, only: tuple[int, int, int, int] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """PartEnum signatures of each set and the set's number, for sets h[first[i]:first[i + 1]].
+
+    ``only`` (low, high, m, r): those of the bands from low to high - 1, of each m-th partition from the r-th on.
+    """
     size = np.diff(first)
     if not len(h):
         return np.zeros(0, U), np.zeros(0, np.int64)
@@ -97,6 +106,8 @@ def signatures(h: np.ndarray, first: np.ndarray, bands: Bands) -> tuple[np.ndarr
     for up in (0, 1):
         n1 = np.where(size > 0, np.asarray(bands.n1)[np.minimum(band + up, len(bands.n1) - 1)], 0)
         spare = np.asarray(bands.spare)[np.minimum(band + up, len(bands.n1) - 1)]
+        if only is not None:
+            n1 = np.where((band + up >= only[0]) & (band + up < only[1]), n1, 0)
         base = np.concatenate([[0], np.cumsum(n1)])
         use = n1[doc] > 0
         g, d = mix(h[use] ^ _K[1]), doc[use]
@@ -112,6 +123,8 @@ def signatures(h: np.ndarray, first: np.ndarray, bands: Bands) -> tuple[np.ndarr
         have = np.stack([counts[:, s].sum(1) for s in bands.subsets], 1)
         thin = np.bincount(of, (have < THIN).any(1), len(size))
         skip = (thin <= spare)[of][:, None] & (have < THIN)
+        if only is not None:
+            skip |= ((np.arange(total) - base[of]) % only[2] != only[3])[:, None]
         for c, s in enumerate(bands.subsets):
             sig = tag + U(c + 1)
             for j in s:
@@ -173,12 +186,30 @@ def _describe(n: int, fine: int = 1):
     return run
 
 
-def _sign(n: int, bands: Bands):
+def signing_rounds(sizes: dict[int, int], bands: Bands, at_once: int) -> list[tuple[int, int, int, int]]:
+    """``only`` of rounds that make at most about ``at_once`` signatures each and together all, for so many sets of each band."""
+    rounds: list[tuple[int, int, int, int]] = []
+    low, held = 0, 0
+    for band in range(max(sizes, default=-1) + 2):
+        made = (sizes.get(band, 0) + sizes.get(band - 1, 0)) * bands.n1[band] * len(bands.subsets)
+        if held and held + made > at_once:
+            rounds.append((low, band, 1, 0))
+            low, held = band, 0
+        if (m := -(-made // at_once)) > 1:
+            m = min(m, bands.n1[band])
+            rounds += [(band, band + 1, m, r) for r in range(m)]
+            low, held = band + 1, 0
+        else:
+            low, held = low if held else band, held + made
+    return rounds + [(low, max(sizes) + 2, 1, 0)] * bool(held)
+
+
+def _sign(n: int, bands: Bands, only: tuple[int, int, int, int] | None = None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, j, data, offsets in slices(b.column("text")):
                 h, first = shingles(split_words(data, offsets), n)
-                sig, of = signatures(h, first, bands)
+                sig, of = signatures(h, first, bands, only)
                 nodes = b.column("node").slice(i, j - i).to_numpy(zero_copy_only=False)
                 yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(nodes[of], pa.int64())], names=["sig", "node"])
 
@@ -312,8 +343,13 @@ def _one_text_a_node(source: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     return marked.join(more, ["node", "__h"], "left").select(F.coalesce("own", "node").alias("node"), "text"), more.select("own", "node", "__h")
 
 
-def link_components(docs: DataFrame, n: int, num: int, den: int, id_col: str = "doc_id", text_col: str = "text", n2: int = 2, block: int = BLOCK, large: int = 16 * BLOCK) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row; links at Jaccard >= num / den on n-word shingles."""
+def link_components(docs: DataFrame, n: int, num: int, den: int, id_col: str = "doc_id", text_col: str = "text", n2: int = 2, block: int = BLOCK, large: int = 16 * BLOCK, at_once: int | None = None) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row; links at Jaccard >= num / den on n-word shingles.
+
+    What is shuffled with sketches, and signatures made anew, go in rounds of ``at_once``
+    rows, by default in proportion to the sets and their features; each round's shuffle
+    files are gone before the next, so that disk stays in proportion to the input.
+    """
     source, further = _one_text_a_node(docs.select(F.col(id_col).cast("long").alias("node"), F.coalesce(F.col(text_col), F.lit("")).alias("text")))
     rows = written(source.mapInArrow(_describe(n), DESCRIBED), "sets")
     full = rows.where("n > 0 and node is not null")
@@ -331,9 +367,30 @@ def link_components(docs: DataFrame, n: int, num: int, den: int, id_col: str = "
     shared = signed.select("sig", "node", F.lag("node").over(bucket).alias("before"), F.lead("node").over(bucket).alias("after"), F.first("node").over(bucket.rowsBetween(Window.unboundedPreceding, 0)).alias("head"))
     shared = written(shared.where("before is not null or after is not null").select("sig", "node", "before", "head"), "buckets")
 
+    counted = nodes.agg(F.count("*").alias("sets"), F.coalesce(F.sum("n"), F.lit(0)).alias("features")).first()
+    sketched_at_once = at_once or max(LEAST, SKETCHED * counted["sets"])
+    signed_at_once = at_once or max(LEAST, counted["features"] // FEATURES)
+
+    def rounds(rows: int) -> int:
+        return max(1, -(-rows // sketched_at_once))
+
+    def in_round(k: int, r: int, *key: Column | str) -> Column:
+        return F.pmod(F.xxhash64(*key), F.lit(k)) == r if k > 1 else F.lit(True)
+
+    def all_of(parts: list[DataFrame], name: str) -> DataFrame:
+        """Distinct rows of the written results of rounds."""
+        if len(parts) == 1:
+            return parts[0]
+        made = written(reduce(DataFrame.unionByName, parts).distinct(), name)
+        discard(*parts)
+        return made
+
     a, b = (nodes.select(F.col("node").alias(s), F.col("n").alias(f"n_{s}"), F.col("sketch").alias(f"s_{s}")) for s in "ab")
     pairs = shared.where("head < node").select(F.col("head").alias("a"), F.col("node").alias("b")).unionByName(shared.where("head < before and before < node").select(F.col("before").alias("a"), F.col("node").alias("b"))).distinct()
-    near = written(pairs.join(a, "a").join(b, "b").select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(_near(num, den), "a long, b long, far double"), "near-pairs")
+    pairs = written(pairs, "pairs")
+    k = rounds(pairs.count())
+    near = all_of([written(pairs.where(in_round(k, r, "b")).join(a, "a").join(b, "b").select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(_near(num, den), "a long, b long, far double"), "near-pairs") for r in range(k)], "near-pairs")
+    discard(pairs)
 
     def verified(candidates: DataFrame) -> DataFrame:
         ids = written(candidates.select(F.col("a").alias("node")).unionByName(candidates.select(F.col("b").alias("node"))).distinct(), "pair-nodes")
@@ -368,30 +425,53 @@ def link_components(docs: DataFrame, n: int, num: int, den: int, id_col: str = "
         found = held.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("sets")).where(f"lo <> hi and sets >= {least}")
         return (found if most is None else found.where(f"sets <= {most}")).select("sig", "sets")
 
-    def open_cells(held: DataFrame, sketched: DataFrame, buckets: DataFrame) -> DataFrame:
-        """Sets of open buckets, a row for each pair of blocks of a bucket that a set is in."""
-        cells = held.join(buckets.select("sig", F.ceil(F.col("sets") / block).alias("blocks")), "sig").join(sketched.select("node", "n", "sketch"), "node").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")))
-        cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    def compared(held: DataFrame, sketched: DataFrame, buckets: DataFrame, name: str, nodes_only: bool = False) -> DataFrame:
+        """What ``_cross_pairs`` finds in open buckets: a row for each pair of blocks of a bucket that a set is in, as many rows a round as disk has room for."""
+        sets = held.join(buckets.select("sig", F.ceil(F.col("sets") / block).alias("blocks")), "sig")
+        sets = written(sets.select("sig", "node", "comp", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).alias("own")), "open-sets")
+        k = rounds(sets.agg(F.sum("blocks")).first()[0] or 0)
         side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), -1).otherwise(1).cast("int")
-        cells = cells.select("sig", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"), side.alias("side"), "node", "comp", "n", "sketch")
-        return cells.repartition("sig", "bi", "bj").sortWithinPartitions("sig", "bi", "bj")
+        found = []
+        for r in range(k):
+            others = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
+            if k > 1:
+                others = F.filter(others, lambda o, r=r: in_round(k, r, "sig", F.least("own", o), F.greatest("own", o)))
+            cells = sets.withColumn("others", others).where(F.size("others") > 0).join(sketched.select("node", "n", "sketch"), "node").withColumn("other", F.explode("others"))
+            cells = cells.select("sig", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"), side.alias("side"), "node", "comp", "n", "sketch")
+            cells = cells.repartition("sig", "bi", "bj").sortWithinPartitions("sig", "bi", "bj")
+            found.append(written(cells.mapInArrow(_cross_pairs(num, den, nodes_only), "node long" if nodes_only else "a long, b long").distinct(), name))
+        discard(sets)
+        return all_of(found, name)
 
     def left_over(held: DataFrame, least: int, most: int | None) -> DataFrame:
         """Pairs of different components that larger sketches allow: which sets have a partner by the small sketch, then pairs of those."""
-        close = written(open_cells(held, nodes, open_buckets(held, least, most)).mapInArrow(_cross_pairs(num, den, nodes_only=True), "node long").distinct(), "open-nodes")
+        close = compared(held, nodes, open_buckets(held, least, most), "open-nodes", nodes_only=True)
         if close.isEmpty():
             return close.select(F.col("node").alias("a"), F.col("node").alias("b"))
         fine = written(_matching(source, close, "left_semi").mapInArrow(_describe(n, FINE), DESCRIBED).select("node", "n", "sketch").dropDuplicates(["node"]), "fine-sketches")
         few = written(_matching(held.join(open_buckets(held, least, most), "sig", "left_semi"), close, "left_semi"), "open-parts")
-        return written(open_cells(few, fine, open_buckets(few, 2)).mapInArrow(_cross_pairs(num, den), "a long, b long").distinct(), "open-pairs")
+        found = compared(few, fine, open_buckets(few, 2), "open-pairs")
+        discard(fine, few)
+        return found
 
     held = written(in_parts(shared), "bucket-parts")
+    discard(shared)
     # the first set of a bucket has been compared with all others, so buckets of two need no more
     left = left_over(held, 3, large)
     again = written(held.join(open_buckets(held, large + 1), "sig", "left_semi").select("node").distinct(), "sets-of-large-buckets")
+    discard(held)
     if not again.isEmpty():
-        anew = _matching(source, again, "left_semi").mapInArrow(_sign(n, Bands(num, den, 5, 2)), "sig long, node long")
-        left = left.unionByName(left_over(written(in_parts(anew), "bucket-parts"), 2, None)).distinct()
+        sized = nodes.join(again, "node", "left_semi").select("node", "n")
+        bands = Bands(num, den, 5, 2)
+        bands.upto(sized.agg(F.max("n")).first()[0])
+        sized = written(sized.select("node", F.size(F.filter(F.lit(bands.tops), lambda top: top < F.col("n"))).alias("band")), "sized-sets")
+        parts_of = [left]
+        for only in signing_rounds({r["band"]: r["count"] for r in sized.groupBy("band").count().collect()}, bands, signed_at_once):
+            signing = sized.where((F.col("band") >= only[0] - 1) & (F.col("band") < only[1])).select("node")
+            anew = written(in_parts(_matching(source, signing, "left_semi").mapInArrow(_sign(n, bands, only), "sig long, node long")), "bucket-parts")
+            parts_of.append(left_over(anew, 2, None))
+            discard(anew)
+        left = written(reduce(DataFrame.unionByName, parts_of).distinct(), "open-pairs")
     if not left.isEmpty():
         comp = parts(links.unionByName(written(verified(left), "links")))
 
@@ -411,7 +491,9 @@ def drop_near_copies(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5) ->
     Rows that share id and text stay or go together; null ids stay.
     """
     source, further = _one_text_a_node(docs.select(F.col("doc_id").cast("long").alias("node"), F.coalesce("text", F.lit("")).alias("text")))
-    gone = link_components(source, n, num, den, id_col="node").where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
+    with scratch(docs.sparkSession) as keep:
+        gone = link_components(source, n, num, den, id_col="node").where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
+        gone = keep(written(gone, "near-copies"))
     if further is None:
         return docs.join(gone, docs["doc_id"] == F.col("__gone"), "left_anti")
     own = further.select(F.col("node").alias("__id"), F.col("__h").alias("__hash"), F.col("own").alias("__own"))

@@ -26,7 +26,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import scratch, written
 
 WEIGHTS = (5.0, 2.0, 1.0)
 
@@ -111,8 +111,10 @@ def mix_documents(docs: DataFrame, seed: int = 0) -> DataFrame:
 def mixed_rows(docs: DataFrame, seed: int = 0) -> DataFrame:
     """The mix itself: rows of ``docs``, each as often as it is taken. Rows of one id, source and text repeat alike, as often as the most drawn of them."""
     key = F.struct(F.col("doc_id").alias("doc_id"), F.col("source").alias("source"), F.xxhash64("text").alias("text"))
-    drawn = repeats(docs.select(key.alias("doc_id"), "source", word_count("text").alias("size")), seed, ordered_by="doc_id.doc_id").where("times > 0")
-    times = drawn.groupBy(F.col("doc_id").alias("k")).agg(F.max("times").alias("__times")).select(F.col("k.doc_id").alias("__id"), F.col("k.source").alias("__source"), F.col("k.text").alias("__hash"), "__times")
+    with scratch(docs.sparkSession) as keep:
+        drawn = repeats(docs.select(key.alias("doc_id"), "source", word_count("text").alias("size")), seed, ordered_by="doc_id.doc_id").where("times > 0")
+        times = drawn.groupBy(F.col("doc_id").alias("k")).agg(F.max("times").alias("__times")).select(F.col("k.doc_id").alias("__id"), F.col("k.source").alias("__source"), F.col("k.text").alias("__hash"), "__times")
+        times = keep(written(times, "mix-times"))
     # the id first: rows with their texts are then sorted by a number, not by a struct
     same = docs["doc_id"].eqNullSafe(F.col("__id")) & docs["source"].eqNullSafe(F.col("__source")) & (F.xxhash64(docs["text"]) == F.col("__hash"))
     again = docs.join(times, same)

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import scratch, written
 from .words import ngram_buckets, slices, split_tokens
 
 
@@ -159,20 +159,21 @@ def classify(docs: DataFrame, labels: DataFrame, k: int | None = None, recall: f
     """The rows of ``docs`` with log_weight, gumbel_key and kept."""
     if clash := {"log_weight", "gumbel_key", "kept", "__w"} & set(docs.columns):
         raise ValueError(f"columns in the way: {sorted(clash)}")
-    targets = written(target_ids(labels, sample), "targets")
-    model = fit(docs, targets, n, buckets)
-    scored = docs.withColumn("__w", weights(model, docs["text"], length))
-    scored = scored.withColumn("log_weight", F.col("__w.log_weight")).withColumn("gumbel_key", F.col("__w.tempered") + gumbel(docs["doc_id"], seed))
-    if model.log_ratio is None and k is None:
-        return scored.withColumn("kept", F.col("gumbel_key").isNotNull()).drop("__w")
-    keyed = written(scored.select("doc_id", F.col("__w.tempered").alias("tempered"), F.col("gumbel_key").alias("key")), "gumbel-keys")
-    if k is None:
-        held = _marked(docs.select("doc_id", "text"), targets).where("__fold is not null")
-        floor = held.select(weights(model, F.col("text"), length, F.col("__fold"))["tempered"].alias("w")).agg(F.percentile("w", F.lit(1 - recall))).first()[0]
-        k = keyed.where(F.col("tempered") >= floor).count() if floor is not None else keyed.count()
-    cut = kth_largest(keyed, k)
-    if cut is None:
-        return scored.withColumn("kept", F.lit(False)).drop("__w")
-    key, last = cut
-    tie = (F.col("gumbel_key") == key) & (F.lit(True) if last is None else docs["doc_id"] >= last)
-    return scored.withColumn("kept", F.coalesce((F.col("gumbel_key") > key) | tie, F.lit(False))).drop("__w")
+    with scratch(docs.sparkSession):  # the result reads none of the tables
+        targets = written(target_ids(labels, sample), "targets")
+        model = fit(docs, targets, n, buckets)
+        scored = docs.withColumn("__w", weights(model, docs["text"], length))
+        scored = scored.withColumn("log_weight", F.col("__w.log_weight")).withColumn("gumbel_key", F.col("__w.tempered") + gumbel(docs["doc_id"], seed))
+        if model.log_ratio is None and k is None:
+            return scored.withColumn("kept", F.col("gumbel_key").isNotNull()).drop("__w")
+        keyed = written(scored.select("doc_id", F.col("__w.tempered").alias("tempered"), F.col("gumbel_key").alias("key")), "gumbel-keys")
+        if k is None:
+            held = _marked(docs.select("doc_id", "text"), targets).where("__fold is not null")
+            floor = held.select(weights(model, F.col("text"), length, F.col("__fold"))["tempered"].alias("w")).agg(F.percentile("w", F.lit(1 - recall))).first()[0]
+            k = keyed.where(F.col("tempered") >= floor).count() if floor is not None else keyed.count()
+        cut = kth_largest(keyed, k)
+        if cut is None:
+            return scored.withColumn("kept", F.lit(False)).drop("__w")
+        key, last = cut
+        tie = (F.col("gumbel_key") == key) & (F.lit(True) if last is None else docs["doc_id"] >= last)
+        return scored.withColumn("kept", F.coalesce((F.col("gumbel_key") > key) | tie, F.lit(False))).drop("__w")

@@ -2,34 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from contextlib import contextmanager
-
 from pyspark.sql import DataFrame, SparkSession
 
 from tesserae.sources import shared
-from tesserae.sources.shared import shared_dir  # noqa: F401
+from tesserae.sources.shared import discard, scratch, shared_dir  # noqa: F401
 
 #: Rows and bytes of the batches that Python functions take while a table is written: texts and
 #: sketches are long, and each batch is held by the executor, by its worker and once more on the way back.
 BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": "4m"}
 
 
-@contextmanager
-def small_batches(spark: SparkSession) -> Iterator[None]:
-    before = {k: spark.conf.get(k) for k in BATCH}
-    for k, v in BATCH.items():
-        spark.conf.set(k, v)
-    try:
-        yield
-    finally:
-        for k, v in before.items():
-            spark.conf.set(k, v)
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` as Parquet to a new shared table and reads it: cuts lineage, survives lost executors."""
-    with small_batches(df.sparkSession):
+    with shared.session_settings(df.sparkSession, BATCH):
         return shared.written(df, name)
 
 
