@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -53,7 +54,10 @@ def roots(lists: list[list[Node]]) -> list[str]:
 
 def file_hashes(lists: list[list[Node]], salt: bytes = bytes(32)) -> list[str]:
     """Roots hashed once more under a salt; an empty list keeps the zero hash."""
-    tops = roots(lists)
+    return salted_roots(lists, roots(lists), salt)
+
+
+def salted_roots(lists: list[list[Node]], tops: list[str], salt: bytes = bytes(32)) -> list[str]:
     salted = keyed_hashes([from_hex(t) for t in tops], salt)
     return [to_hex(s) if x else ZERO for x, s in zip(lists, salted)]
 
@@ -62,17 +66,39 @@ def range_hashes(lists: list[list[str]]) -> list[str]:
     return [to_hex(x) for x in keyed_hashes([b"".join(map(from_hex, h)) for h in lists], RANGE_KEY)]
 
 
-def merkle_hashes(chunks: DataFrame, key: str = "file_id") -> DataFrame:
-    """chunks(key, chunk_idx, chunk_hash, length) -> key, container_hash, file_hash, range_hash of each list."""
+def slices_of_lists(sizes: list[int], most: int = 50_000) -> Iterator[tuple[int, int]]:
+    """Runs of lists of ``most`` items together, or one longer list: first, end."""
+    at, held = 0, 0
+    for i, size in enumerate(sizes):
+        if i > at and held + size > most:
+            yield at, i
+            at, held = i, 0
+        held += size
+    if at < len(sizes):
+        yield at, len(sizes)
+
+
+def node_lists(column: pa.Array) -> list[list[Node]]:
+    """Nodes of each row of a column of lists of structs with chunk_hash and length."""
+    flat = column.flatten()
+    nodes = list(zip(flat.field("chunk_hash").to_pylist(), flat.field("length").to_pylist()))
+    ends = np.cumsum(pc.list_value_length(column).to_numpy(zero_copy_only=False)).tolist()
+    return [nodes[x:y] for x, y in zip([0, *ends], ends)]
+
+
+def merkle_hashes(chunks: DataFrame, key: str = "file_id", ranges: bool = True) -> DataFrame:
+    """chunks(key, chunk_idx, chunk_hash, length) -> key, container_hash, file_hash and, if asked for, range_hash of each list."""
     lists = chunks.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("chunk_idx", "chunk_hash", "length"))).alias("nodes"))
     kind = lists.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at in range(0, b.num_rows, 512):
-                part = b.slice(at, 512)
-                nodes = [[(x["chunk_hash"], x["length"]) for x in row] for row in part.column("nodes").to_pylist()]
-                hashed = [roots(nodes), file_hashes(nodes), range_hashes([[h for h, _ in x] for x in nodes])]
-                yield pa.RecordBatch.from_arrays([part.column(key), *(pa.array(h, pa.string()) for h in hashed)], names=[key, "container_hash", "file_hash", "range_hash"])
-
-    return lists.select(key, "nodes").mapInArrow(run, f"{key} {kind}, container_hash string, file_hash string, range_hash string")
+            for at, end in slices_of_lists(pc.list_value_length(b.column("nodes")).to_pylist()):
+                part = b.slice(at, end - at)
+                nodes = node_lists(part.column("nodes"))
+                tops = roots(nodes)
+                hashed = [tops, salted_roots(nodes, tops)] + [range_hashes([[h for h, _ in x] for x in nodes])] * ranges
+                yield pa.RecordBatch.from_arrays([part.column(key), *(pa.array(h, pa.string()) for h in hashed)], names=[key, *names])
+
+    names = ["container_hash", "file_hash"] + ["range_hash"] * ranges
+    return lists.select(key, "nodes").mapInArrow(run, ", ".join([f"{key} {kind}", *(f"{x} string" for x in names)]))

@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tesserae.operators import merkle
+from tesserae.operators import merkle, merkle_partial
 from tesserae.operators.merkle_partial import Part, merged, merkle_hashes_of_parts, part_of, root
 
 
@@ -47,3 +47,20 @@ def test_parts_in_spark_equal_whole_lists(spark):
     a = {r["file_id"]: r["file_hash"] for r in merkle.merkle_hashes(df).collect()}
     b = {r["file_id"]: r["file_hash"] for r in merkle_hashes_of_parts(df.orderBy(F.rand(1)), 37).collect()}
     assert a == b
+
+
+def test_parts_are_hashed_side_by_side(monkeypatch):
+    lists = [nodes(i, 5 + i % 40) for i in range(200)]
+    calls, hashed = [], merkle_partial.keyed_hashes
+    monkeypatch.setattr(merkle_partial, "keyed_hashes", lambda messages, key: calls.append(len(messages)) or hashed(messages, key))
+    made = merkle_partial.in_step([merkle_partial.making_part(x, True) for x in lists])
+    assert merkle_partial.in_step([merkle_partial.closing(p) for p in made]) == merkle.roots(lists)
+    # a call for each level, not for each list
+    assert len(calls) < 15 and sum(calls) > 1000
+
+
+def test_slices_hold_all_lists():
+    for sizes in ([], [0], [3, 3, 3], [9, 1, 1, 7], [1] * 10):
+        made = list(merkle.slices_of_lists(sizes, 4))
+        assert [i for a, b in made for i in range(a, b)] == list(range(len(sizes)))
+        assert all(b == a + 1 or sum(sizes[a:b]) <= 4 for a, b in made)
