@@ -6,8 +6,8 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,28 +46,58 @@ def content_chunks(files: DataFrame, spec: ChunkSpec = ChunkSpec(), with_data: b
     return files.select("file_id", "data").mapInArrow(run, fields)
 
 
+def _runs(file_id: np.ndarray, offset: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of a batch's blocks by file and place, and where in it runs of blocks that follow each other begin."""
+    order = np.lexsort((offset, file_id))
+    f, at, n = file_id[order], offset[order], size[order]
+    begins = np.ones(len(order), bool)
+    begins[1:] = (f[1:] != f[:-1]) | (at[1:] != at[:-1] + n[:-1])
+    return order, np.flatnonzero(begins)
+
+
+def _places(body: np.ndarray, gear: np.ndarray, mask: int, stretch: int = 1 << 18) -> np.ndarray:
+    """``candidates`` of long data, a stretch at a time: eight bytes for each are held."""
+    found = [np.zeros(0, np.int64)]
+    for x in range(0, len(body), stretch):
+        low = max(0, x - WINDOW + 1)
+        at = candidates(body[low : x + stretch], gear, mask) + low
+        found.append(at[at > x])
+    return np.concatenate(found)
+
+
 def _own_places(spec: ChunkSpec):
-    """Of each block: its places that its own bytes allow, and its first and last bytes, ``WINDOW`` - 1 at most."""
+    """Of each run of blocks that lie together: its places that its own bytes allow, and its first and last bytes, ``WINDOW`` - 1 at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gear, edge = default_gear(), WINDOW - 1
         for b in batches:
-            size, front, tail, found = [], [], [], []
-            for offset, data in zip(b.column("offset").to_pylist(), b.column("data")):
-                body = data.as_py() or b""
-                at = candidates(np.frombuffer(body, np.uint8), gear, spec.mask)
-                size.append(len(body))
-                front.append(body[:edge])
-                tail.append(body[-edge:])
-                found.append((at[at > edge] + offset).tolist())
-            columns = [pa.array(size, pa.int64()), pa.array(front, pa.binary()), pa.array(tail, pa.binary()), pa.array(found, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([b.column("file_id"), b.column("offset"), *columns], names=["file_id", "offset", "size", "front", "tail", "allowed"])
+            b = b.filter(pc.greater(pc.coalesce(pc.binary_length(b.column("data")), pa.scalar(0, pa.int32())), 0))
+            if not b.num_rows:
+                continue
+            size = pc.binary_length(b.column("data")).to_numpy().astype(np.int64)
+            numbered = b.column("file_id").dictionary_encode(null_encoding="encode").indices.to_numpy()
+            offset = b.column("offset").to_numpy(zero_copy_only=False)
+            order, first = _runs(numbered, offset, size)
+            body = np.frombuffer(b"".join(b.column("data").take(pa.array(order)).to_pylist()), np.uint8)
+            start = np.concatenate([[0], np.cumsum(size[order])])[[*first, len(order)]]
+            # whether a place allows a cut depends on WINDOW bytes: those of one run, from its WINDOW-th on
+            at = _places(body, gear, spec.mask)
+            of = np.searchsorted(start, at, "left") - 1
+            inside = at - start[of]
+            own = inside > edge
+            places = np.concatenate([[0], np.cumsum(np.bincount(of[own], minlength=len(first)))])
+            begin = offset[order[first]]
+            values = (inside + begin[of])[own]
+            front = [body[x : min(x + edge, y)].tobytes() for x, y in zip(start[:-1].tolist(), start[1:].tolist())]
+            tail = [body[max(y - edge, x) : y].tobytes() for x, y in zip(start[:-1].tolist(), start[1:].tolist())]
+            columns = [pa.array(begin), pa.array(np.diff(start)), pa.array(front, pa.binary()), pa.array(tail, pa.binary()), pa.ListArray.from_arrays(pa.array(places, pa.int32()), pa.array(values))]
+            yield pa.RecordBatch.from_arrays([b.column("file_id").take(pa.array(order[first])), *columns], names=["file_id", "offset", "size", "front", "tail", "allowed"])
 
     return run
 
 
 def _seam_places(spec: ChunkSpec):
-    """Places among a block's first bytes, from what comes before them and themselves."""
+    """Places among a run's first bytes, from what comes before them and themselves."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gear = default_gear()
@@ -82,42 +112,74 @@ def _seam_places(spec: ChunkSpec):
     return run
 
 
+def _choose(spec: ChunkSpec):
+    """Rows of runs and seams, in order of file and place -> the cuts of each file."""
+
+    def cuts_of(file_id, offset: np.ndarray, size: np.ndarray, allowed: np.ndarray) -> tuple:
+        own = size > 0
+        ends = np.cumsum(size[own])
+        if (offset[own] != np.concatenate([[0], ends[:-1]])).any():
+            raise ValueError(f"the blocks of file {file_id} don't follow each other")
+        cuts = np.array(chosen_cuts(np.sort(allowed), int(ends[-1]), spec), np.int64)
+        starts = np.concatenate([[0], cuts[:-1]])
+        return file_id, cuts, starts
+
+    def told(found: list[tuple]) -> pa.RecordBatch:
+        n = [len(cuts) for _, cuts, _ in found]
+        ids = pa.array([f for f, _, _ in found], pa.int64()).take(pa.array(np.repeat(np.arange(len(n)), n)))
+        cuts, starts = (np.concatenate([x[k] for x in found]) for k in (1, 2))
+        return pa.RecordBatch.from_arrays([ids, pa.array(np.concatenate([np.arange(k) for k in n])), pa.array(starts), pa.array(cuts - starts)], names=["file_id", "chunk_idx", "offset", "length"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, last = [], None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            ids, lists = b.column("file_id").to_pylist(), b.column("allowed")
+            offset, size = b.column("offset").to_numpy(), b.column("size").to_numpy()
+            upto = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))])
+            allowed = lists.flatten().to_numpy()
+            bounds = [0, *(i for i in range(1, len(ids)) if ids[i] != ids[i - 1]), len(ids)]
+            found = []
+            for x, y in zip(bounds, bounds[1:]):
+                if held and ids[x] != last:
+                    found.append(cuts_of(last, *(np.concatenate(c) for c in zip(*held))))
+                    held = []
+                last = ids[x]
+                held.append((offset[x:y], size[x:y], allowed[upto[x] : upto[y]]))
+            if found:
+                yield told(found)
+        if held:
+            yield told([cuts_of(last, *(np.concatenate(c) for c in zip(*held)))])
+
+    return run
+
+
 def cuts_of_blocks(blocks: DataFrame, spec: ChunkSpec = ChunkSpec()) -> DataFrame:
     """file_id, chunk_idx, offset, length of files that come as blocks(file_id, offset, data), cut as they would be in one piece.
 
     Whether a cut is allowed at a place depends on the last ``WINDOW`` bytes alone.
-    Blocks stay where they are: a task finds the places that a block's own bytes
-    decide and gives out its first and last bytes, ``WINDOW`` - 1 at most. Those meet
-    by where they lie in the file: the bytes before a block come from as many earlier
-    blocks as it takes, so blocks may have any length. Of the data nothing else is
-    shuffled. Cuts are then chosen by file among the allowed places, about one for
-    ``target`` bytes.
+    Blocks stay where they are: a task puts blocks that follow each other in a batch
+    together to runs, finds the places that a run's own bytes decide and gives out its
+    first and last bytes, ``WINDOW`` - 1 at most. Those meet by where they lie in the
+    file: the bytes before a run come from as many earlier ones as it takes, so blocks
+    may have any length and lie in any order. Of the data nothing else is shuffled. Cuts
+    are then chosen by file among the allowed places, about one for ``target`` bytes.
 
     A file whose blocks leave a hole or overlap ends the job; one without bytes has no chunks.
     """
-    marked = written(blocks.select("file_id", "offset", "data").mapInArrow(_own_places(spec), "file_id long, offset long, size long, front binary, tail binary, allowed array<long>"), "block-places").where("size > 0")
+    marked = written(blocks.select("file_id", "offset", "data").mapInArrow(_own_places(spec), "file_id long, offset long, size long, front binary, tail binary, allowed array<long>"), "block-places")
     stretch = lambda c: F.floor(c / WINDOW)
     ends = marked.select("file_id", (F.col("offset") + F.col("size")).alias("end"), "tail")
-    # a tail is of use to blocks that begin less than WINDOW bytes after its end: in its stretch of WINDOW bytes or the next
+    # a tail is of use to runs that begin less than WINDOW bytes after its end: in its stretch of WINDOW bytes or the next
     ends = ends.withColumn("at", F.explode(F.array(stretch(F.col("end")), stretch(F.col("end")) + 1)))
     fronts = marked.select("file_id", "offset", "front", stretch(F.col("offset")).alias("at"))
     met = fronts.join(ends, ["file_id", "at"], "left").withColumn("near", (F.col("end") <= F.col("offset")) & (F.col("end") > F.col("offset") - (WINDOW - 1)))
     seams = met.groupBy("file_id", "offset").agg(F.first("front").alias("front"), F.array_sort(F.collect_list(F.when(F.col("near"), F.struct("end", "tail")))).alias("tails"))
     between = seams.mapInArrow(_seam_places(spec), "file_id long, offset long, size long, allowed array<long>")
 
-    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("offset", kind="stable")
-        own = pdf[pdf["size"] > 0]
-        ends = np.cumsum(own["size"].to_numpy())
-        if (own["offset"].to_numpy() != np.concatenate([[0], ends[:-1]])).any():
-            raise ValueError(f"the blocks of file {pdf['file_id'].iloc[0]} don't follow each other")
-        allowed = np.sort(np.concatenate([np.asarray(x, np.int64) for x in pdf["allowed"]]))
-        cuts = np.array(chosen_cuts(allowed, int(ends[-1]), spec), np.int64)
-        starts = np.concatenate([[0], cuts[:-1]])
-        return pd.DataFrame({"file_id": pdf["file_id"].iloc[0], "chunk_idx": np.arange(len(cuts)), "offset": starts, "length": cuts - starts})
-
     places = marked.select("file_id", "offset", "size", "allowed").unionByName(between)
-    return places.groupBy("file_id").applyInPandas(choose, "file_id long, chunk_idx long, offset long, length long")
+    return places.repartition("file_id").sortWithinPartitions("file_id", "offset").mapInArrow(_choose(spec), "file_id long, chunk_idx long, offset long, length long")
 
 
 def running_offsets(chunks: DataFrame, group: str, order: str, size: str) -> DataFrame:

@@ -2,15 +2,16 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tesserae.functions import blake3, bytegroups, hashes
-from tesserae.functions.chunking import WINDOW, ChunkSpec, cut_points, default_gear
+from tesserae.functions.chunking import ChunkSpec, WINDOW, candidates, cut_points, default_gear
 from tesserae.operators import chunks, intervals, merkle
-from tesserae.operators.chunks import cuts_of_blocks
+from tesserae.operators.chunks import _own_places, _places, cuts_of_blocks
 
 GEAR = default_gear()
 
@@ -158,3 +159,21 @@ def test_blocks_of_any_length_are_cut_like_the_whole(spark):
     with pytest.raises(Exception, match="don't follow"):
         cuts_of_blocks(df.where("not (file_id = 3 and offset = 1400)"), spec).collect()
     assert cuts_of_blocks(df.limit(0), spec).count() == 0
+
+
+def test_blocks_that_lie_together_are_one_run():
+    """Of 500 blocks of 40 bytes in one batch the edges of one run are given out, not those of each block."""
+    spec, rng = ChunkSpec(target=1024), random.Random(5)
+    files = {i: rng.randbytes(20_000) for i in (1, 2)}
+    rows = [(f, at, d[at : at + 40]) for f, d in files.items() for at in range(0, len(d), 40)] + [(2, 20_000, b""), (3, 0, None)]
+    rows = [r for r in rows if r[:2] != (2, 8_000)]  # a hole parts the second file's blocks
+    rng.shuffle(rows)
+    batch = pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.binary()))], names=["file_id", "offset", "data"])
+    got = [x for b in _own_places(spec)(iter([batch, batch.slice(0, 0)])) for x in b.to_pylist()]
+    assert sorted((x["file_id"], x["offset"], x["size"]) for x in got) == [(1, 0, 20_000), (2, 0, 8_000), (2, 8_040, 11_960)]
+    for x in got:
+        data = files[x["file_id"]][x["offset"] : x["offset"] + x["size"]]
+        assert (x["front"], x["tail"]) == (data[:63], data[-63:])
+        assert x["allowed"] == [x["offset"] + int(at) for at in candidates(np.frombuffer(data, np.uint8), default_gear(), spec.mask) if at > 63]
+    whole = np.frombuffer(files[1], np.uint8)
+    assert all((_places(whole, default_gear(), spec.mask, n) == candidates(whole, default_gear(), spec.mask)).all() for n in (64, 999, 1 << 18))
